@@ -7,7 +7,8 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import account, events, windows
+from ..operators import account, events, links, steps, windows
+from ..session import materialize
 from ..sources.rules import RuleSet, load_rules
 from . import driver_views as views
 
@@ -38,6 +39,11 @@ class Trace:
     def flows(self) -> DataFrame:
         return views.flows(self.slices)
 
+    @property
+    def stored_flows(self) -> DataFrame:
+        """Flow edges as the stored table they are after ingest, for queries that read them often."""
+        return materialize(self.flows)
+
     @property
     def steps(self) -> DataFrame:
         return views.steps(self.slices)
@@ -109,3 +115,67 @@ def bubble_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 def conservation_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Trace(spark, sf_dir)
     return account.conservation_checks(t.device, t.windows, rules())
+
+
+@query
+def link_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = Trace(spark, sf_dir)
+    profile = links.link_profile(t.device, t.runtimes, t.flows, {"launch": ("min", "id")})
+    return profile.select("trace_id", F.col("id").alias("event_id"), "basis", "candidate_count", "possible_count",
+                          F.col("cand_launch").alias("first_candidate"), F.col("poss_launch").alias("first_possible"))
+
+
+@query
+def scope_runtimes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = Trace(spark, sf_dir)
+    return links.scope_runtimes(t.slices.filter("category = 'cpu_op'"), t.runtimes).select(
+        "trace_id", "scope_id", "runtime_id", "rt_ts", "on_track")
+
+
+@query
+def owned_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = Trace(spark, sf_dir)
+    flows = t.stored_flows
+    scope_rt = links.scope_runtimes(t.steps, t.runtimes)
+    owned = links.owned_events(links.event_links(t.device, t.runtimes, flows), scope_rt, t.runtimes, flows)
+    return owned.select("trace_id", "scope_id", F.col("id").alias("event_id"), "ts_ns", "dur_ns", "basis")
+
+
+@query
+def ambiguous_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = Trace(spark, sf_dir)
+    flows = t.stored_flows
+    scope_rt = materialize(links.scope_runtimes(t.steps, t.runtimes))
+    profile = materialize(links.event_links(t.device, t.runtimes, flows))
+    owned = links.owned_events(profile, scope_rt, t.runtimes, flows)
+    return links.uncertain_events(profile, owned, scope_rt, flows).select("trace_id", "scope_id", "uncertain_count")
+
+
+@query
+def step_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = Trace(spark, sf_dir)
+    return links.scope_boundaries(t.steps, t.device, t.runtimes, t.stored_flows)
+
+
+@query
+def nth_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return steps.step_pairs(Trace(spark, sf_dir).steps, "decode").select(
+        "trace_id", "step", "id", "name", "ts_ns", "next_id", "error_code")
+
+
+@query
+def step_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = Trace(spark, sf_dir)
+    return steps.step_windows(steps.step_pairs(t.steps, "decode"), t.device, t.runtimes, t.stored_flows)
+
+
+@query
+def boundary_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = Trace(spark, sf_dir)
+    bounds = links.scope_boundaries(t.steps, t.device, t.runtimes, t.stored_flows)
+    return steps.boundary_evidence(bounds, t.windows, windows.trace_bounds(t.slices))
+
+
+@query
+def annotation_work(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return steps.annotation_work(Trace(spark, sf_dir).steps)

@@ -182,3 +182,119 @@ SELECT trace_id, window_id, 'raw_equals_busy_plus_excluded' AS check_name, sum_n
 UNION ALL SELECT trace_id, window_id, 'selected_covered_within_sum', sel_ns, sum_ns, sel_ns <= sum_ns FROM v_busy
 UNION ALL SELECT trace_id, window_id, 'selected_covered_within_covered', sel_ns, cov_ns, sel_ns <= cov_ns FROM v_busy
 UNION ALL SELECT trace_id, window_id, 'covered_within_window', cov_ns, window_ns, cov_ns <= window_ns FROM v_busy""")
+
+# Launch sets per device event, by correlation id and by flow edge.
+V_LINK = """
+v_rtc AS (SELECT trace_id, correlation, list(id ORDER BY id) AS ids FROM v_runtime GROUP BY ALL),
+v_fl AS (SELECT f.trace_id, f.slice_in, list(DISTINCT f.slice_out) AS ids FROM v_flow f JOIN v_runtime r ON f.trace_id = r.trace_id AND f.slice_out = r.id GROUP BY ALL),
+v_sets AS (
+  SELECT d.*, coalesce(c.ids, []) AS cs, coalesce(f.ids, []) AS fs
+  FROM v_device d LEFT JOIN v_rtc c ON d.trace_id = c.trace_id AND d.correlation = c.correlation
+  LEFT JOIN v_fl f ON d.trace_id = f.trace_id AND d.id = f.slice_in),
+v_link AS (
+  SELECT *, CASE WHEN len(cs) > 0 AND len(fs) > 0 THEN list_intersect(cs, fs) WHEN len(cs) > 0 THEN cs ELSE fs END AS cand,
+    list_distinct(list_concat(cs, fs)) AS poss,
+    CASE WHEN len(cs) > 0 AND len(fs) > 0 THEN CASE WHEN len(list_intersect(cs, fs)) > 0 THEN 'flow+correlation' ELSE 'conflicting-flow-correlation' END
+         WHEN len(cs) > 0 THEN 'correlation' WHEN len(fs) > 0 THEN 'flow' ELSE 'unlinked' END AS basis
+  FROM v_sets)"""
+V_OWN = """
+v_srt AS (
+  SELECT s.trace_id, s.id AS scope_id, list(r.id) AS ids
+  FROM v_step s JOIN v_runtime r ON s.trace_id = r.trace_id AND s.host_thread = r.host_thread
+    AND r.ts_ns >= s.ts_ns AND r.ts_ns < s.ts_ns + s.dur_ns AND r.ts_ns + r.dur_ns <= s.ts_ns + s.dur_ns
+  GROUP BY ALL),
+v_pair AS (
+  SELECT l.trace_id, s.scope_id, l.id, l.name, l.ts_ns, l.dur_ns, l.device, l.stream, l.correlation, l.basis, l.track_id, l.cand,
+         len(l.cand) > 0 AND len(list_intersect(l.cand, s.ids)) = len(l.cand) AS owned
+  FROM v_link l JOIN v_srt s ON l.trace_id = s.trace_id AND list_has_any(l.poss, s.ids)),
+v_owned AS (SELECT * FROM v_pair WHERE owned)"""
+V_BOUND = """
+v_first AS (SELECT trace_id, scope_id, min(ts_ns) AS first_ts, count(*) AS n_owned FROM v_owned GROUP BY ALL),
+v_fe AS (
+  SELECT o.trace_id, o.scope_id, f.first_ts, f.n_owned, count(*) AS n_tied, arg_min(o.id, o.id) AS eid, arg_min(o.name, o.id) AS ename,
+    arg_min(o.device, o.id) AS dev, arg_min(o.stream, o.id) AS stream, arg_min(o.correlation, o.id) AS corr, arg_min(o.basis, o.id) AS basis,
+    bool_or(o.dur_ns < 0 OR (SELECT max(r.ts_ns) FROM v_runtime r WHERE r.trace_id = o.trace_id AND list_contains(o.cand, r.id)) > o.ts_ns) AS bad
+  FROM v_owned o JOIN v_first f ON o.trace_id = f.trace_id AND o.scope_id = f.scope_id AND o.ts_ns = f.first_ts
+  GROUP BY o.trace_id, o.scope_id, f.first_ts, f.n_owned),
+v_unc AS (
+  SELECT p.trace_id, p.scope_id, count(*) AS n_unc, bool_or(p.ts_ns <= f.first_ts) AS early
+  FROM v_pair p LEFT JOIN v_first f USING (trace_id, scope_id) WHERE NOT p.owned GROUP BY ALL),
+v_near AS (
+  SELECT s.trace_id, s.id AS scope_id, count(*) AS n_near FROM v_step s JOIN v_first f ON s.trace_id = f.trace_id AND s.id = f.scope_id
+  JOIN v_link l ON l.trace_id = s.trace_id AND l.basis = 'unlinked' AND l.ts_ns >= s.ts_ns AND l.ts_ns <= f.first_ts GROUP BY ALL),
+v_boundary AS (
+  SELECT s.trace_id, s.id AS scope_id, s.name AS annotation, s.ts_ns AS scope_start, s.ts_ns + s.dur_ns AS scope_end,
+    e.eid AS first_event_id, e.ename AS first_event_name, e.first_ts AS first_ts_ns, e.dev AS device, e.stream, e.corr AS correlation,
+    'same-host-thread-enclosure+' || e.basis AS association_basis, coalesce(e.n_tied, 0) AS tied_first_events,
+    coalesce(e.n_owned, 0) AS owned_event_count, coalesce(u.n_unc, 0) AS ambiguous_event_count, coalesce(n.n_near, 0) AS unlinked_near_boundary,
+    CASE WHEN e.eid IS NOT NULL THEN CASE WHEN n.n_near > 0 THEN 'first-confirmed-link; nearby-unlinked-events' ELSE 'confirmed-within-recorded-links' END END AS boundary_confidence,
+    CASE WHEN e.eid IS NULL THEN 'no_owned_event' WHEN u.early THEN 'ambiguous_earlier_event' WHEN e.bad THEN 'unfinished_or_before_launch' END AS error_code
+  FROM v_step s LEFT JOIN v_fe e ON s.trace_id = e.trace_id AND s.id = e.scope_id
+  LEFT JOIN v_unc u ON s.trace_id = u.trace_id AND s.id = u.scope_id LEFT JOIN v_near n ON s.trace_id = n.trace_id AND s.id = n.scope_id)"""
+LINKED = [V_SLICE, V_FLOW, V_LINK]
+OWNED = [V_SLICE, V_FLOW, V_SLOT, V_STEP, V_LINK, V_OWN]
+V_NTH = """
+v_nth AS (
+  SELECT trace_id, row_number() OVER p AS step, id, name, ts_ns, dur_ns, lead(id) OVER p AS next_id, lead(ts_ns) OVER p AS next_ts
+  FROM v_step WHERE regexp_matches(name, '^execute_context_.*_generation_[1-9]\\d*\\(')
+  WINDOW p AS (PARTITION BY trace_id ORDER BY ts_ns, id)),
+v_pairs AS (
+  SELECT *, CASE WHEN next_id IS NULL THEN 'no_next_annotation' WHEN ts_ns + dur_ns > next_ts THEN 'overlapping_annotations' END AS error_code
+  FROM v_nth)"""
+
+SQL["link_reconcile"] = with_views(*LINKED, """
+SELECT trace_id, id AS event_id, basis, CAST(len(cand) AS BIGINT) AS candidate_count, CAST(len(poss) AS BIGINT) AS possible_count,
+       list_min(cand) AS first_candidate, list_min(poss) AS first_possible FROM v_link""")
+
+SQL["scope_runtimes"] = with_views(V_SLICE, """
+SELECT s.trace_id, s.id AS scope_id, r.id AS runtime_id, r.ts_ns AS rt_ts, r.track_id = s.track_id AS on_track
+FROM v_slice s JOIN v_runtime r ON s.trace_id = r.trace_id AND s.host_thread = r.host_thread
+  AND r.ts_ns >= s.ts_ns AND r.ts_ns < s.ts_ns + s.dur_ns AND r.ts_ns + r.dur_ns <= s.ts_ns + s.dur_ns
+WHERE s.category = 'cpu_op'""")
+
+SQL["owned_events"] = with_views(*OWNED, """
+SELECT trace_id, scope_id, id AS event_id, ts_ns, dur_ns, basis FROM v_owned""")
+
+SQL["ambiguous_events"] = with_views(*OWNED, """
+SELECT trace_id, scope_id, count_if(NOT owned) AS uncertain_count FROM v_pair GROUP BY ALL""")
+
+SQL["step_boundary"] = with_views(*OWNED, V_BOUND, "SELECT * FROM v_boundary")
+
+SQL["nth_step"] = with_views(V_SLICE, V_SLOT, V_STEP, V_NTH, """
+SELECT trace_id, step, id, name, ts_ns, next_id, error_code FROM v_pairs""")
+
+SQL["step_windows"] = with_views(*OWNED, V_BOUND, V_NTH, """
+v_span AS (
+  SELECT p.trace_id, p.step, p.id AS scope_id, p.name AS annotation, p.next_id AS next_scope_id, a.first_ts_ns AS a, b.first_ts_ns AS b,
+    coalesce(p.error_code, a.error_code, b.error_code, CASE WHEN a.first_ts_ns >= b.first_ts_ns THEN 'reversed_boundaries' END) AS error_code
+  FROM v_pairs p LEFT JOIN v_boundary a ON p.trace_id = a.trace_id AND p.id = a.scope_id
+  LEFT JOIN v_boundary b ON p.trace_id = b.trace_id AND p.next_id = b.scope_id),
+v_in AS (
+  SELECT s.trace_id, s.scope_id, count(*) AS n, count_if(o.id IS NOT NULL) AS n_own
+  FROM v_span s JOIN v_device d ON s.trace_id = d.trace_id AND d.ts_ns >= s.a AND d.ts_ns < s.b
+  LEFT JOIN v_owned o ON o.trace_id = d.trace_id AND o.id = d.id AND o.scope_id = s.scope_id
+  WHERE s.error_code IS NULL GROUP BY ALL),
+v_cross AS (
+  SELECT s.trace_id, s.scope_id, count(*) AS n FROM v_span s JOIN v_owned o USING (trace_id, scope_id)
+  WHERE o.ts_ns + o.dur_ns > s.b GROUP BY ALL)""", """
+SELECT s.trace_id, s.step, s.scope_id, s.annotation, s.next_scope_id, CASE WHEN error_code IS NULL THEN a END AS start_ns,
+  CASE WHEN error_code IS NULL THEN b END AS end_ns, CASE WHEN error_code IS NULL THEN (b - a) / 1000.0::DOUBLE END AS period_us,
+  CASE WHEN error_code IS NULL THEN coalesce(i.n_own, 0) END AS owned_in_window,
+  CASE WHEN error_code IS NULL THEN coalesce(i.n - i.n_own, 0) END AS not_owned_in_window,
+  CASE WHEN error_code IS NULL THEN coalesce(c.n, 0) END AS owned_crossing_end, error_code
+FROM v_span s LEFT JOIN v_in i USING (trace_id, scope_id) LEFT JOIN v_cross c USING (trace_id, scope_id)""")
+
+SQL["boundary_evidence"] = with_views(*OWNED, V_BOUND, V_WINDOW.replace(V_SLOT + ",", ""), """
+v_origin AS (SELECT trace_id, min(ts_ns) AS t0 FROM v_slice GROUP BY ALL)""", """
+SELECT trace_id, scope_id AS source_id, 'step' AS side, annotation, first_event_name AS event_name, (first_ts_ns - t0) / 1000.0::DOUBLE AS offset_us,
+  device, association_basis, boundary_confidence, ambiguous_event_count, unlinked_near_boundary, error_code
+FROM v_boundary JOIN v_origin USING (trace_id)
+UNION ALL
+SELECT trace_id, window_id, side, NULL, '用户给定时间', (edge - t0) / 1000.0::DOUBLE, NULL, 'user-time', 'caller-provided', 0, 0, NULL
+FROM (SELECT trace_id, window_id, 'start' AS side, start_ns AS edge FROM v_window UNION ALL SELECT trace_id, window_id, 'end', end_ns FROM v_window)
+JOIN v_origin USING (trace_id)""")
+
+SQL["annotation_work"] = with_views(V_SLICE, V_SLOT, V_STEP, """
+SELECT trace_id, id, name, CAST(m[1] AS BIGINT) AS prefill_count, CAST(m[2] AS BIGINT) AS prefill_tokens,
+  CAST(m[3] AS BIGINT) AS decode_count, CAST(m[4] AS BIGINT) AS decode_tokens, CAST(m[1] AS BIGINT) > 0 AND CAST(m[3] AS BIGINT) > 0 AS mixed
+FROM (SELECT *, string_split(regexp_replace(name, '^execute_context_(\\d+)\\((\\d+)\\)_generation_(\\d+)\\((\\d+)\\)', '\\1,\\2,\\3,\\4'), ',') AS m FROM v_step)""")

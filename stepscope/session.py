@@ -1,7 +1,11 @@
 """Session settings the operators expect."""
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import os
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 # Adaptive execution re-plans joins on measured sizes and splits skewed join partitions. Attribute maps
 # follow dictionary semantics (the last of two equal keys wins).
@@ -28,3 +32,17 @@ def rows_per_bin(spark: SparkSession) -> int:
     """Target rows per time bin, from the session."""
     return int(spark.conf.get(ROWS_PER_BIN_KEY, str(ROWS_PER_BIN_DEFAULT)))
 
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write an intermediate that several branches read, as a table in the shared checkpoint folder.
+
+    The table outlives lost executors and keeps column pruning for its readers. The folder is the one the
+    session names in ``spark.checkpoint.dir``; a temporary one is used only where none is set.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() \
+        or os.path.join(tempfile.gettempdir(), "stepscope")
+    path = f"{folder.rstrip('/')}/stepscope-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
