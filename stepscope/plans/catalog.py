@@ -7,7 +7,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import account, events, links, steps, windows
+from ..operators import account, attribution, events, links, steps, windows
 from ..session import materialize
 from ..sources.rules import RuleSet, load_rules
 from . import driver_views as views
@@ -179,3 +179,104 @@ def boundary_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def annotation_work(spark: SparkSession, sf_dir: str) -> DataFrame:
     return steps.annotation_work(Trace(spark, sf_dir).steps)
+
+
+class Pair(Trace):
+    """Mapping half and timed half of every trace."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        super().__init__(spark, sf_dir)
+        self.mapping = self.slices.filter(F.col("ts_ns") < views.MAPPING_END_NS)
+        self.formal = self.slices.filter(F.col("ts_ns") >= views.MAPPING_END_NS)
+
+    @property
+    def mapping_kernels(self) -> DataFrame:
+        return attribution.classified_kernels(events.device_events(self.mapping), rules())
+
+    @property
+    def formal_rows(self) -> DataFrame:
+        timed = events.device_events(self.formal).groupBy("trace_id", "name").agg(
+            F.count(F.lit(1)).alias("call_count"), F.sum("dur_ns").alias("duration_ns"))
+        return account.classified(timed, rules(), "category").filter("detail.category IS NOT NULL").selectExpr(
+            "trace_id", "name AS kernel_name", "detail.category AS category", "call_count", "duration_ns / 1000D AS total_duration_us")
+
+    @property
+    def attributed(self) -> DataFrame:
+        return attribution.attribution(self.mapping, self.mapping_kernels)
+
+    @property
+    def attached(self) -> DataFrame:
+        found = materialize(self.attributed)
+        return attribution.attach_sources(self.formal_rows, attribution.symbol_sites(found), attribution.symbol_links(found))
+
+
+@query
+def innermost_op(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = Trace(spark, sf_dir)
+    return attribution.innermost_ops(t.runtimes, t.slices.filter("category = 'cpu_op'"))
+
+
+@query
+def frame_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = Trace(spark, sf_dir)
+    return attribution.host_frames(t.runtimes, t.slices.filter("category = 'python_function'"))
+
+
+@query
+def asof_launch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = Trace(spark, sf_dir)
+    return attribution.latest_launches(t.device, t.runtimes).select(
+        "trace_id", "kernel_id", "thread", "launch_id", "launch_ts", "is_graph")
+
+
+@query
+def attribution_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = Pair(spark, sf_dir).attributed
+    return found.select("trace_id", "kernel_id", "symbol", *attribution.SITE, "basis", "reason").distinct()
+
+
+@query
+def symbol_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attribution.symbol_sites(Pair(spark, sf_dir).attributed).drop("python_stack")
+
+
+@query
+def symbol_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attribution.symbol_links(Pair(spark, sf_dir).attributed)
+
+
+@query
+def cross_trace_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Pair(spark, sf_dir).attached
+
+
+@query
+def source_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attribution.source_summary(Pair(spark, sf_dir).attached).withColumn(
+        "total_duration_us", F.round("total_duration_us", 3))
+
+
+@query
+def graph_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = Pair(spark, sf_dir)
+    return attribution.graph_evidence(p.mapping, p.mapping_kernels)
+
+
+@query
+def normalized_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part names stretch the symbol list, so the work grows with the data."""
+    parts = views.table(spark, sf_dir, "part").selectExpr(
+        "concat(IF(p_partkey % 2 = 0, 'void ', ''), replace(p_name, ' ', '_'), '<', p_size, '>', '(', p_type, '(', p_brand, ')', ') ') AS name")
+    return attribution.normalized_symbols(Trace(spark, sf_dir).slices.select("name").unionByName(parts))
+
+
+@query
+def config_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as run settings: a pair per order, a field per line number."""
+    lines = views.table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(
+        F.max("l_linestatus").alias("status"), F.max(F.col("l_quantity").cast("int")).alias("quantity"),
+        F.min("l_suppkey").alias("supplier"))
+    setting = "l_orderkey AS trace_id, concat('line', l_linenumber) AS field".split(", ", 1)
+    left = lines.selectExpr(*setting, "CAST(quantity AS STRING) AS value").filter("NOT endswith(value, '3')")
+    right = lines.selectExpr(*setting, "CAST(quantity + IF(supplier % 5 = 0, 1, 0) AS STRING) AS value").filter("NOT endswith(value, '7')")
+    return attribution.config_diff(left, right)

@@ -1,8 +1,10 @@
 """DuckDB statements equivalent to the registered queries."""
 from __future__ import annotations
 
-from ..fixed_values import BUBBLE_LABEL, CATEGORY_ORDER, DENSE_CATEGORIES, TIME_ROWS, TOTAL_LABEL
+from ..fixed_values import (BUBBLE_LABEL, CATEGORY_ORDER, DENSE_CATEGORIES, TIME_ROWS, TOTAL_LABEL,
+                            UNINFORMATIVE_FRAMES)
 from ..sources.rules import load_rules
+from .driver_views import MAPPING_END_NS
 from .oracle_views import V_FLOW, V_FORWARD, V_SLICE, V_STEP, V_WINDOW, V_SLOT, text, text_list
 
 SQL: dict[str, str] = {}
@@ -298,3 +300,150 @@ SQL["annotation_work"] = with_views(V_SLICE, V_SLOT, V_STEP, """
 SELECT trace_id, id, name, CAST(m[1] AS BIGINT) AS prefill_count, CAST(m[2] AS BIGINT) AS prefill_tokens,
   CAST(m[3] AS BIGINT) AS decode_count, CAST(m[4] AS BIGINT) AS decode_tokens, CAST(m[1] AS BIGINT) > 0 AND CAST(m[3] AS BIGINT) > 0 AS mixed
 FROM (SELECT *, string_split(regexp_replace(name, '^execute_context_(\\d+)\\((\\d+)\\)_generation_(\\d+)\\((\\d+)\\)', '\\1,\\2,\\3,\\4'), ',') AS m FROM v_step)""")
+
+
+# Source attribution on the mapping half of each trace.
+GRAPHISH = "(contains(lower({n}), 'graph') AND (contains(lower({n}), 'launch') OR contains(lower({n}), 'replay')))"
+DULL = " OR ".join(f"contains(f.name, {text(w)})" for w in UNINFORMATIVE_FRAMES)
+V_MAP = f"""
+v_map AS (SELECT * FROM v_slice WHERE ts_ns < {MAPPING_END_NS} AND dur_ns > 0),
+v_mk AS (SELECT m.* FROM v_map m JOIN v_class c USING (name) WHERE m.category IN ('kernel','gpu_memcpy','gpu_memset') AND c.category IS NOT NULL),
+v_ml AS (SELECT * FROM v_map WHERE category = 'cuda_runtime'),
+v_op AS (SELECT * FROM v_map WHERE category = 'cpu_op')"""
+V_TIER = f"""
+v_kl AS (
+  SELECT k.trace_id, k.id AS kernel_id, l.tid, arg_max(l.id, l.ts_ns) AS launch_id
+  FROM v_mk k JOIN v_ml l ON k.trace_id = l.trace_id AND k.correlation = l.correlation AND l.ts_ns <= k.ts_ns GROUP BY ALL),
+v_kln AS (SELECT kl.trace_id, kl.kernel_id, l.id AS launch_id, l.ts_ns, l.external_id, l.tid, {GRAPHISH.format(n='l.name')} AS g
+  FROM v_kl kl JOIN v_ml l ON kl.trace_id = l.trace_id AND kl.launch_id = l.id),
+v_subj AS (
+  SELECT k.trace_id, k.id AS kernel_id, k.name AS symbol, k.external_id AS ext, k.ts_ns, count(n.launch_id) AS n_launch, count_if(n.g) AS n_graph
+  FROM v_mk k LEFT JOIN v_kln n ON k.trace_id = n.trace_id AND k.id = n.kernel_id GROUP BY ALL),
+v_t0 AS (
+  SELECT DISTINCT s.trace_id, s.kernel_id, o.id AS host_id, o.id AS op_id, 'external-id' AS basis
+  FROM v_subj s JOIN v_op o ON s.trace_id = o.trace_id AND s.ext = o.external_id AND o.ts_ns <= s.ts_ns
+  WHERE s.n_launch = 0 OR EXISTS (
+    SELECT 1 FROM v_kln n WHERE n.trace_id = s.trace_id AND n.kernel_id = s.kernel_id AND NOT n.g AND n.tid = o.tid
+      AND o.ts_ns <= n.ts_ns AND n.ts_ns < o.ts_ns + o.dur_ns)),
+v_rest AS (SELECT n.* FROM v_kln n WHERE NOT n.g AND NOT EXISTS (SELECT 1 FROM v_t0 t WHERE t.trace_id = n.trace_id AND t.kernel_id = n.kernel_id)),
+v_t1 AS (
+  SELECT r.trace_id, r.kernel_id, r.launch_id AS host_id, o.id AS op_id, 'correlation+launch-external-id' AS basis
+  FROM v_rest r JOIN v_op o ON r.trace_id = o.trace_id AND r.external_id = o.external_id AND r.tid = o.tid AND o.ts_ns <= r.ts_ns AND r.ts_ns < o.ts_ns + o.dur_ns),
+v_in2 AS (
+  SELECT r.trace_id, r.kernel_id, r.launch_id, o.id AS op_id, o.dur_ns, min(o.dur_ns) OVER (PARTITION BY r.trace_id, r.kernel_id, r.launch_id) AS best
+  FROM v_rest r JOIN v_op o ON r.trace_id = o.trace_id AND r.tid = o.tid AND o.ts_ns <= r.ts_ns AND r.ts_ns < o.ts_ns + o.dur_ns
+  WHERE NOT EXISTS (SELECT 1 FROM v_t1 t WHERE t.trace_id = r.trace_id AND t.kernel_id = r.kernel_id AND t.host_id = r.launch_id)),
+v_t2 AS (SELECT trace_id, kernel_id, launch_id AS host_id, op_id, 'correlation+host-thread-enclosure' AS basis FROM v_in2 WHERE dur_ns = best),
+v_t12 AS (SELECT * FROM v_t1 UNION ALL SELECT * FROM v_t2),
+v_t3 AS (
+  SELECT r.trace_id, r.kernel_id, r.launch_id AS host_id, NULL AS op_id, 'correlation+python-frame' AS basis FROM v_rest r
+  WHERE NOT EXISTS (SELECT 1 FROM v_t12 t WHERE t.trace_id = r.trace_id AND t.kernel_id = r.kernel_id AND t.host_id = r.launch_id)),
+v_host AS (SELECT * FROM v_t0 UNION ALL SELECT * FROM v_t12 UNION ALL SELECT * FROM v_t3),
+v_loc AS (
+  SELECT h.trace_id, h.id AS host_id, arg_min(f.name, (({DULL}), f.dur_ns, f.id)) AS python_location
+  FROM v_map h JOIN v_map f ON f.category = 'python_function' AND h.trace_id = f.trace_id AND h.tid = f.tid
+    AND f.ts_ns <= h.ts_ns + least(h.dur_ns // 2, 500) AND h.ts_ns + least(h.dur_ns // 2, 500) < f.ts_ns + f.dur_ns
+  WHERE h.category IN ('cpu_op', 'cuda_runtime') GROUP BY ALL),
+v_site AS (
+  SELECT h.trace_id, h.kernel_id, o.name AS cpu_op, l.python_location, m.pid AS host_pid, m.tid AS host_tid, h.basis
+  FROM v_host h JOIN v_map m ON h.trace_id = m.trace_id AND h.host_id = m.id
+  LEFT JOIN v_op o ON h.trace_id = o.trace_id AND h.op_id = o.id LEFT JOIN v_loc l ON h.trace_id = l.trace_id AND h.host_id = l.host_id
+  WHERE o.name IS NOT NULL OR l.python_location IS NOT NULL),
+v_attr AS (
+  SELECT DISTINCT s.trace_id, s.kernel_id, s.symbol, t.cpu_op, t.python_location, t.host_pid, t.host_tid, t.basis,
+    CASE WHEN n_launch > 0 AND n_graph = n_launch THEN 'graph-launch-only' WHEN t.basis IS NULL THEN 'missing-host-link'
+         WHEN n_graph > 0 THEN 'mixed-graph-and-kernel-launch-links' END AS reason
+  FROM v_subj s LEFT JOIN v_site t USING (trace_id, kernel_id)),
+v_sites AS (
+  SELECT trace_id, symbol, cpu_op, python_location, host_pid, host_tid, count(DISTINCT kernel_id) AS observation_count,
+    list_sort(list(DISTINCT basis)) AS attribution_basis FROM v_attr WHERE basis IS NOT NULL GROUP BY 1, 2, 3, 4, 5, 6),
+v_symbol AS (
+  SELECT trace_id, symbol, count(*) AS kernel_count, count_if(NOT found) AS unresolved_count,
+    coalesce(list_sort(list(DISTINCT reason) FILTER (NOT found)), []) AS unresolved_reasons,
+    coalesce(list_sort(list(DISTINCT reason) FILTER (found AND reason IS NOT NULL)), []) AS link_ambiguities
+  FROM (SELECT trace_id, symbol, kernel_id, bool_or(basis IS NOT NULL) AS found, max(reason) AS reason FROM v_attr GROUP BY ALL) GROUP BY ALL)"""
+# Balanced suffix: the depth seen from the end first returns to zero at the latest position where it does.
+V_NORM = """
+v_n0 AS (SELECT DISTINCT name, trim(regexp_replace(name, '0x[0-9a-fA-F]+', '0xADDR', 'g')) AS t0 FROM v_name),
+v_n1 AS (SELECT name, CASE WHEN starts_with(t0, 'void ') THEN substr(t0, 6) ELSE t0 END AS t FROM v_n0),
+v_n2 AS (
+  SELECT name, t, u.i AS i, substr(t, u.i, 1) AS ch,
+    len(replace(substr(t, u.i), ')', ')~')) - len(substr(t, u.i)) - (len(replace(substr(t, u.i), '(', '(~')) - len(substr(t, u.i))) AS depth
+  FROM v_n1, unnest(range(1, CAST(length(t) AS BIGINT) + 1)) AS u(i) WHERE ends_with(t, ')')),
+v_n3 AS (SELECT name, max(i) AS cut FROM v_n2 WHERE ch = '(' AND depth = 0 GROUP BY name),
+v_norm AS (SELECT name, regexp_replace(CASE WHEN cut IS NOT NULL THEN substr(t, 1, cut - 1) ELSE t END, '\\s+', '', 'g') AS normalized FROM v_n1 LEFT JOIN v_n3 USING (name))"""
+ATTRIBUTED = [V_SLICE, V_CLASS, V_MAP, V_TIER]
+V_ATTACH = f"""
+v_formal AS (
+  SELECT s.trace_id, s.name AS kernel_name, c.category, count(*) AS call_count, CAST(sum(s.dur_ns) AS BIGINT) / 1000.0::DOUBLE AS total_duration_us
+  FROM v_slice s JOIN v_class c USING (name)
+  WHERE s.ts_ns >= {MAPPING_END_NS} AND s.dur_ns > 0 AND s.category IN ('kernel','gpu_memcpy','gpu_memset') AND c.category IS NOT NULL
+  GROUP BY s.trace_id, s.name, c.category),
+v_name AS (SELECT DISTINCT name FROM v_slice)""" + "," + V_NORM + """,
+v_match AS (
+  SELECT f.trace_id, f.kernel_name, y.symbol, 'name:exact' AS match_basis FROM v_formal f JOIN v_symbol y ON f.trace_id = y.trace_id AND f.kernel_name = y.symbol
+  UNION ALL
+  SELECT f.trace_id, f.kernel_name, y.symbol, 'name:normalized' FROM v_formal f JOIN v_norm a ON a.name = f.kernel_name
+  JOIN v_symbol y ON f.trace_id = y.trace_id JOIN v_norm b ON b.name = y.symbol AND a.normalized = b.normalized
+  WHERE NOT EXISTS (SELECT 1 FROM v_symbol z WHERE z.trace_id = f.trace_id AND z.symbol = f.kernel_name)),
+v_cnt AS (SELECT trace_id, symbol, count(*) AS n_sites, count_if(cpu_op IS NULL OR python_location IS NULL) AS n_part FROM v_sites GROUP BY ALL),
+v_got AS (
+  SELECT m.trace_id, m.kernel_name, any_value(m.match_basis) AS match_basis, count(*) AS n_symbols, CAST(sum(coalesce(c.n_sites, 0)) AS BIGINT) AS n_sources,
+    CAST(sum(coalesce(c.n_part, 0)) AS BIGINT) AS n_part, CAST(sum(y.unresolved_count) AS BIGINT) AS n_unresolved,
+    list_sort(list_distinct(flatten(list(y.unresolved_reasons)))) AS unresolved_reasons, list_sort(list_distinct(flatten(list(y.link_ambiguities)))) AS link_ambiguities
+  FROM v_match m JOIN v_symbol y ON m.trace_id = y.trace_id AND m.symbol = y.symbol LEFT JOIN v_cnt c ON m.trace_id = c.trace_id AND m.symbol = c.symbol GROUP BY ALL),
+v_doubt AS (
+  SELECT f.*, coalesce(g.match_basis, 'none') AS match_basis, coalesce(g.n_sources, 0) AS source_count, coalesce(g.n_unresolved, 0) AS mapping_unresolved_count,
+    g.n_part, g.unresolved_reasons, list_concat(coalesce(g.link_ambiguities, []), list_filter([
+      CASE WHEN n_symbols > 1 THEN 'multiple-mapping-symbols' END, CASE WHEN n_sources > 1 THEN 'multiple-source-sites' END,
+      CASE WHEN n_unresolved > 0 AND n_sources > 0 THEN 'mapping-occurrences-without-source' END], lambda x: x IS NOT NULL)) AS doubts
+  FROM v_formal f LEFT JOIN v_got g USING (trace_id, kernel_name)),
+v_attached AS (
+  SELECT trace_id, kernel_name, category, call_count, total_duration_us, match_basis, source_count, mapping_unresolved_count,
+    CASE WHEN source_count = 0 THEN 'unresolved' WHEN len(doubts) > 0 THEN 'ambiguous' WHEN n_part > 0 THEN 'partial' ELSE 'mapped' END AS source_status,
+    CASE WHEN match_basis = 'none' THEN list_concat(doubts, ['no-symbol-match']) WHEN source_count = 0 THEN list_concat(doubts, unresolved_reasons)
+         WHEN len(doubts) > 0 THEN doubts WHEN n_part > 0 THEN ['incomplete-host-source'] ELSE doubts END AS ambiguity_reasons
+  FROM v_doubt)"""
+
+SQL["innermost_op"] = with_views(V_SLICE, """
+v_in AS (
+  SELECT r.trace_id, r.id AS host_id, o.id AS op_id, o.name AS op_name, o.dur_ns AS op_dur, min(o.dur_ns) OVER (PARTITION BY r.trace_id, r.id) AS best
+  FROM v_runtime r JOIN v_slice o ON o.category = 'cpu_op' AND r.trace_id = o.trace_id AND r.host_thread = o.host_thread
+    AND o.ts_ns <= r.ts_ns AND r.ts_ns < o.ts_ns + o.dur_ns)""", """
+SELECT trace_id, host_id, op_id, op_name, op_dur FROM v_in WHERE op_dur = best""")
+
+SQL["frame_stack"] = with_views(V_SLICE, f"""
+v_fr AS (
+  SELECT r.trace_id, r.id AS host_id, f.name, f.dur_ns, f.id, ({DULL}) AS dull,
+    row_number() OVER (PARTITION BY r.trace_id, r.id ORDER BY f.dur_ns, f.id) AS depth
+  FROM v_runtime r JOIN v_slice f ON f.category = 'python_function' AND r.trace_id = f.trace_id AND r.host_thread = f.host_thread
+    AND f.ts_ns <= r.ts_ns + least(r.dur_ns // 2, 500) AND r.ts_ns + least(r.dur_ns // 2, 500) < f.ts_ns + f.dur_ns)""", """
+SELECT trace_id, host_id, arg_min(name, (dull, dur_ns, id)) AS python_location, count(*) AS frame_count,
+       list(name ORDER BY depth) FILTER (depth <= 8) AS python_stack FROM v_fr GROUP BY trace_id, host_id""")
+
+SQL["asof_launch"] = with_views(V_SLICE, f"""
+v_best AS (
+  SELECT k.trace_id, k.id AS kernel_id, l.host_thread AS thread, arg_max(l.id, l.ts_ns) AS launch_id, max(l.ts_ns) AS launch_ts
+  FROM v_device k JOIN v_runtime l ON k.trace_id = l.trace_id AND k.correlation = l.correlation AND l.ts_ns <= k.ts_ns GROUP BY ALL)""", f"""
+SELECT b.*, {GRAPHISH.format(n='l.name')} AS is_graph FROM v_best b JOIN v_runtime l ON b.trace_id = l.trace_id AND b.launch_id = l.id""")
+
+SQL["attribution_tiers"] = with_views(*ATTRIBUTED, "SELECT * FROM v_attr")
+SQL["symbol_sites"] = with_views(*ATTRIBUTED, "SELECT * FROM v_sites")
+SQL["symbol_links"] = with_views(*ATTRIBUTED, "SELECT * FROM v_symbol")
+SQL["cross_trace_sources"] = with_views(*ATTRIBUTED, V_ATTACH, "SELECT * FROM v_attached")
+SQL["source_summary"] = with_views(*ATTRIBUTED, V_ATTACH, """
+SELECT trace_id, source_status, count(*) AS symbol_count, round(sum(total_duration_us), 3) AS total_duration_us FROM v_attached GROUP BY ALL""")
+SQL["graph_evidence"] = with_views(V_SLICE, V_CLASS, V_MAP, f"""
+SELECT l.trace_id, l.name, count(*) AS launch_count FROM v_ml l WHERE {GRAPHISH.format(n='l.name')}
+  AND EXISTS (SELECT 1 FROM v_mk k WHERE k.trace_id = l.trace_id AND k.correlation = l.correlation) GROUP BY ALL""")
+SQL["normalized_symbols"] = with_views(V_SLICE, """
+v_name AS (
+  SELECT name FROM v_slice UNION SELECT CASE WHEN p_partkey % 2 = 0 THEN 'void ' ELSE '' END || replace(p_name, ' ', '_') || '<' || p_size || '>' || '(' || p_type || '(' || p_brand || ')' || ') ' FROM part)""",
+    V_NORM, "SELECT name, normalized FROM v_norm")
+SQL["config_diff"] = """
+WITH lines AS (
+  SELECT l_orderkey AS trace_id, 'line' || l_linenumber AS field, max(CAST(trunc(l_quantity) AS INT)) AS q, min(l_suppkey) AS s FROM lineitem GROUP BY ALL),
+a AS (SELECT trace_id, field, CAST(q AS VARCHAR) AS mapping FROM lines WHERE NOT ends_with(CAST(q AS VARCHAR), '3')),
+b AS (SELECT trace_id, field, CAST(q + CASE WHEN s % 5 = 0 THEN 1 ELSE 0 END AS VARCHAR) AS formal FROM lines
+      WHERE NOT ends_with(CAST(q + CASE WHEN s % 5 = 0 THEN 1 ELSE 0 END AS VARCHAR), '7'))
+SELECT trace_id, field, mapping, formal FROM a FULL JOIN b USING (trace_id, field) WHERE mapping IS DISTINCT FROM formal"""
