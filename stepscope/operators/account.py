@@ -31,7 +31,7 @@ def kernel_aggregate(events: DataFrame, windows: DataFrame) -> DataFrame:
 
 def classified(totals: DataFrame, rules: RuleSet, *attributes: str) -> DataFrame:
     """Attach classification attributes to per-name totals."""
-    return with_detail(totals, rules, attributes or None)
+    return with_detail(totals, rules, attributes or None, count="call_count" if "call_count" in totals.columns else "record_count")
 
 
 def category_columns(category: str, count: str, duration: str) -> list[Column]:

@@ -38,11 +38,13 @@ def _attribute(rule: Rule, pattern: str | None, attribute: str):
 
 
 def with_detail(df: DataFrame, rules: RuleSet, attributes: Sequence[str] | None = None,
-                name: str = "name", target: str = "detail") -> DataFrame:
-    """Attach the classification of a name column as a struct (all attributes, or those named).
+                name: str = "name", count: str = "record_count") -> DataFrame:
+    """Attach the classification of aggregated names as a struct (all attributes, or those named).
 
     The match number is computed once per row; each attribute is a lookup in a constant list.
-    Unmatched names get the fallback; a NULL category marks runtime and profiler markers.
+    Unmatched names get the fallback; a NULL category marks runtime and profiler markers. The match
+    depends on the rows' ``count`` as well, which keeps filters on the classification above the
+    aggregation: pushed below it, every event would be classified instead of every name.
     """
     matches = [(r, p) for r in rules.kernel_rules for p in r.patterns] + [(rules.fallback, None)]
     fields = []
@@ -54,8 +56,8 @@ def with_detail(df: DataFrame, rules: RuleSet, attributes: Sequence[str] | None
         else:
             items = ", ".join(sql_text(v) for v in values)
             fields.append(f"'{attribute}', element_at(CAST(array({items}) AS array<string>), _match)")
-    numbered = df.selectExpr("*", f"{_first_match(name, rules.kernel_rules, len(matches))} AS _match")
-    return numbered.selectExpr(*[f"`{c}`" for c in df.columns], f"named_struct({', '.join(fields)}) AS {target}")
+    numbered = df.selectExpr("*", f"IF({count} >= 0, {_first_match(name, rules.kernel_rules, len(matches))}, NULL) AS _match")
+    return numbered.selectExpr(*[f"`{c}`" for c in df.columns], f"named_struct({', '.join(fields)}) AS detail")
 
 
 def host_rule(rules: RuleSet, name: str = "name") -> Column:
@@ -68,8 +70,9 @@ def host_rule(rules: RuleSet, name: str = "name") -> Column:
 
 
 def classify_names(names: DataFrame, rules: RuleSet, attributes: Sequence[str] | None = None) -> DataFrame:
-    """Distinct names with their classification ``detail``."""
-    return with_detail(names.select("name").distinct(), rules, attributes)
+    """Distinct names with their number of rows and classification ``detail``."""
+    counted = names.groupBy("name").agg(F.count(F.lit(1)).alias("record_count"))
+    return with_detail(counted, rules, attributes)
 
 
 def excluded_label(name: Column) -> Column:

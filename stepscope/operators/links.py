@@ -64,17 +64,20 @@ def event_links(device: DataFrame, runtimes: DataFrame, flows: DataFrame) -> Dat
     return link_profile(device, runtimes, flows, {"launch_ts": ("max", "ts_ns")})
 
 
-def scope_runtimes(scopes: DataFrame, runtimes: DataFrame) -> DataFrame:
-    """Runtime calls each host scope encloses: same thread, start inside, end not past the scope's."""
+def scope_runtimes(scopes: DataFrame, runtimes: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Runtime calls each host scope encloses: same thread, start inside, end not past the scope's.
+
+    ``carry`` names scope columns to keep.
+    """
     calls = runtimes.filter("host_thread IS NOT NULL").selectExpr(
         "trace_id", "host_thread", "id AS runtime_id", "ts_ns AS rt_ts", "ts_ns + dur_ns AS rt_end",
         "correlation AS rt_correlation", "track_id AS rt_track")
     spans = scopes.filter("host_thread IS NOT NULL").selectExpr(
         "trace_id", "host_thread", "id AS scope_id", "ts_ns AS scope_start", "ts_ns + dur_ns AS scope_end",
-        "track_id AS scope_track")
+        "track_id AS scope_track", *carry)
     inside = enclosure_join(calls, spans, ["trace_id", "host_thread"], "rt_ts", "scope_start", "scope_end")
     return inside.filter("rt_end <= scope_end").selectExpr(
-        "trace_id", "scope_id", "runtime_id", "rt_ts", "rt_correlation", "rt_track = scope_track AS on_track")
+        "trace_id", "scope_id", "runtime_id", "rt_ts", "rt_correlation", "rt_track = scope_track AS on_track", *carry)
 
 
 def _group_touch(scope_rt: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import account, attribution, events, links, steps, windows
+from ..operators import account, attribution, context, events, links, steps, windows
 from ..session import materialize
 from ..sources.rules import RuleSet, load_rules
 from . import driver_views as views
@@ -280,3 +280,85 @@ def config_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = lines.selectExpr(*setting, "CAST(quantity AS STRING) AS value").filter("NOT endswith(value, '3')")
     right = lines.selectExpr(*setting, "CAST(quantity + IF(supplier % 5 = 0, 1, 0) AS STRING) AS value").filter("NOT endswith(value, '7')")
     return attribution.config_diff(left, right)
+
+
+class Context(Trace):
+    """Stored flow edges and the profiles context roles are read from."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        super().__init__(spark, sf_dir)
+        self.edges = self.stored_flows
+
+    @property
+    def experts(self) -> DataFrame:
+        return context.expert_profile(self.device, self.runtimes, self.edges,
+                                      context.expert_launches(self.slices, self.runtimes, rules()))
+
+    @property
+    def roles(self) -> DataFrame:
+        return context.gdn_profile(self.slices, self.device, self.runtimes, self.edges)
+
+    @property
+    def parts(self) -> DataFrame:
+        return context.context_parts(self.slices, self.device, self.runtimes, self.edges, self.windows, rules())
+
+    @property
+    def anchored_windows(self) -> DataFrame:
+        anchors = self.steps.selectExpr("trace_id", f"(ts_ns - {views.ORIGIN_NS}) DIV {views.SLOT_NS} AS window_id", "name AS anchor")
+        return self.windows.join(anchors, ["trace_id", "window_id"], "left")
+
+
+@query
+def expert_launches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = Trace(spark, sf_dir)
+    return context.expert_launches(t.slices, t.runtimes, rules())
+
+
+@query
+def expert_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Context(spark, sf_dir).experts.selectExpr(
+        "trace_id", "id AS event_id", "basis", "expert_basis", "expert_rule", "touches_expert")
+
+
+@query
+def moe_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = Context(spark, sf_dir)
+    return context.moe_split(materialize(c.experts), c.windows, rules())
+
+
+@query
+def launch_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = Context(spark, sf_dir)
+    return context.launch_conflicts(materialize(c.experts), c.runtimes, c.edges)
+
+
+@query
+def gdn_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Context(spark, sf_dir).roles.selectExpr("trace_id", "id AS event_id", "basis", "role", "replayable")
+
+
+@query
+def gdn_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = Context(spark, sf_dir)
+    return context.gdn_split(materialize(c.roles), c.windows, c.slices, rules())
+
+
+@query
+def context_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context.parts_summary(Context(spark, sf_dir).parts)
+
+
+@query
+def downgraded_gemm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context.downgraded_gemm(Context(spark, sf_dir).parts)
+
+
+@query
+def gdn_stage_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = Context(spark, sf_dir)
+    return context.gdn_stage_summary(c.parts, c.anchored_windows)
+
+
+@query
+def gdn_operators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context.gdn_operators(Context(spark, sf_dir).parts)

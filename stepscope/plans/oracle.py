@@ -1,8 +1,8 @@
 """DuckDB statements equivalent to the registered queries."""
 from __future__ import annotations
 
-from ..fixed_values import (BUBBLE_LABEL, CATEGORY_ORDER, DENSE_CATEGORIES, TIME_ROWS, TOTAL_LABEL,
-                            UNINFORMATIVE_FRAMES)
+from ..fixed_values import (BUBBLE_LABEL, CATEGORY_ORDER, DENSE_CATEGORIES, GDN_COMPARISON_GROUPS, GDN_DECODE_GROUP,
+                            GDN_OPERATOR_GROUPS, GDN_UNALIGNED_GROUP, TIME_ROWS, TOTAL_LABEL, UNINFORMATIVE_FRAMES)
 from ..sources.rules import load_rules
 from .driver_views import MAPPING_END_NS
 from .oracle_views import V_FLOW, V_FORWARD, V_SLICE, V_STEP, V_WINDOW, V_SLOT, text, text_list
@@ -447,3 +447,133 @@ a AS (SELECT trace_id, field, CAST(q AS VARCHAR) AS mapping FROM lines WHERE NOT
 b AS (SELECT trace_id, field, CAST(q + CASE WHEN s % 5 = 0 THEN 1 ELSE 0 END AS VARCHAR) AS formal FROM lines
       WHERE NOT ends_with(CAST(q + CASE WHEN s % 5 = 0 THEN 1 ELSE 0 END AS VARCHAR), '7'))
 SELECT trace_id, field, mapping, formal FROM a FULL JOIN b USING (trace_id, field) WHERE mapping IS DISTINCT FROM formal"""
+
+# Expert and delta-network context.
+V_EXPERT = """
+v_ex AS (
+  SELECT r.trace_id, r.id AS runtime_id, arg_max(s.id, (s.ts_ns, s.id)) AS scope_id, arg_max(s.name, (s.ts_ns, s.id)) AS host_op
+  FROM v_runtime r JOIN v_slice s ON s.category = 'cpu_op' AND regexp_matches(s.name, '(^|::)group_gemm_v2$', 'i')
+    AND r.trace_id = s.trace_id AND r.host_thread = s.host_thread AND s.ts_ns <= r.ts_ns AND r.ts_ns < s.ts_ns + s.dur_ns
+    AND r.ts_ns + r.dur_ns <= s.ts_ns + s.dur_ns
+  GROUP BY ALL)"""
+V_EXEV = """
+v_poss AS (
+  SELECT l.trace_id, l.id, count(*) AS n, count(e.scope_id) AS n_exp, min(e.scope_id) AS lo, max(e.scope_id) AS hi,
+    max(r.ts_ns) AS last_ts, min(r.dur_ns) AS least_dur,
+    count_if(list_contains(l.cand, r.id)) AS n_cand, count_if(list_contains(l.cand, r.id) AND e.scope_id IS NOT NULL) AS n_cand_exp
+  FROM (SELECT *, unnest(poss) AS rid FROM v_link) l JOIN v_runtime r ON l.trace_id = r.trace_id AND l.rid = r.id
+  LEFT JOIN v_ex e ON e.trace_id = r.trace_id AND e.runtime_id = r.id GROUP BY ALL),
+v_exev AS (
+  SELECT l.*, CASE WHEN p.n_cand > 0 AND p.n_cand_exp = p.n_cand THEN l.basis
+    WHEN l.basis = 'conflicting-flow-correlation' AND p.n_exp = p.n AND p.lo = p.hi AND l.dur_ns >= 0 AND p.least_dur >= 0 AND p.last_ts <= l.ts_ns
+    THEN 'conflicting-links-same-expert-scope' END AS expert_basis, coalesce(p.n_exp, 0) > 0 AS touches_expert
+  FROM v_link l LEFT JOIN (SELECT trace_id, id, sum(n) n, sum(n_exp) n_exp, min(lo) lo, max(hi) hi, max(last_ts) last_ts, min(least_dur) least_dur,
+    sum(n_cand) n_cand, sum(n_cand_exp) n_cand_exp FROM v_poss GROUP BY ALL) p USING (trace_id, id))"""
+V_MOE = """
+v_mg AS (
+  SELECT w.trace_id, w.window_id, e.name, c.rule_id AS base_rule, count(*) AS n, CAST(sum(e.dur_ns) AS BIGINT) AS ns, count(e.expert_basis) AS nx,
+    CAST(coalesce(sum(e.dur_ns) FILTER (e.expert_basis IS NOT NULL), 0) AS BIGINT) AS nsx, count_if(e.expert_basis IS NULL AND e.touches_expert) AS na,
+    count_if(e.expert_basis = 'conflicting-links-same-expert-scope') AS nc
+  FROM v_exev e JOIN v_window w ON e.trace_id = w.trace_id AND e.ts_ns >= w.start_ns AND e.ts_ns < w.end_ns
+  JOIN v_class c ON c.name = e.name AND c.category = 'gemm' GROUP BY ALL HAVING nx > 0 OR na > 0),
+v_moe AS (
+  SELECT trace_id, window_id, name, n AS observed_count, na AS ambiguous_count, nc AS resolved_conflict_count, 'expert' AS part, nx AS record_count,
+    nsx AS duration_ns, 'group gemm' AS category, 'moe.teco.host_group_gemm' AS rule_id, 'high' AS confidence,
+    CASE WHEN nc > 0 THEN 'ambiguous' ELSE 'confirmed-within-recorded-links' END AS launch_confidence FROM v_mg WHERE nx > 0
+  UNION ALL
+  SELECT trace_id, window_id, name, n, na, nc, 'residual', n - nx, ns - nsx, 'gemm', base_rule, 'unknown', NULL FROM v_mg WHERE nx < n)"""
+V_GDN = """
+v_core AS (
+  SELECT DISTINCT r.trace_id, r.id FROM v_runtime r JOIN v_slice s ON s.category = 'cpu_op' AND s.name = 'vllm::qwen_gdn_attention_core'
+    AND r.trace_id = s.trace_id AND r.host_thread = s.host_thread AND s.ts_ns <= r.ts_ns AND r.ts_ns < s.ts_ns + s.dur_ns AND r.ts_ns + r.dur_ns <= s.ts_ns + s.dur_ns),
+v_conv AS (
+  SELECT DISTINCT r.trace_id, r.id FROM v_runtime r JOIN v_core USING (trace_id, id) JOIN v_slice s ON s.category = 'cpu_op' AND ends_with(s.name, '::custom_causal_conv1d_update')
+    AND r.trace_id = s.trace_id AND r.host_thread = s.host_thread AND s.ts_ns <= r.ts_ns AND r.ts_ns < s.ts_ns + s.dur_ns AND r.ts_ns + r.dur_ns <= s.ts_ns + s.dur_ns),
+v_cand AS (
+  SELECT l.trace_id, l.id, bool_and(c.id IS NOT NULL) AS core, bool_and(v.id IS NOT NULL) AS conv, bool_or(contains(lower(r.name), 'graphlaunch')) AS graph
+  FROM (SELECT trace_id, id, unnest(cand) AS rid FROM v_link) l JOIN v_runtime r ON l.trace_id = r.trace_id AND l.rid = r.id
+  LEFT JOIN v_core c ON c.trace_id = r.trace_id AND c.id = r.id LEFT JOIN v_conv v ON v.trace_id = r.trace_id AND v.id = r.id GROUP BY ALL),
+v_pg AS (
+  SELECT l.trace_id, l.id, bool_or(contains(lower(r.name), 'graphlaunch')) AS graph
+  FROM (SELECT trace_id, id, unnest(poss) AS rid FROM v_link) l JOIN v_runtime r ON l.trace_id = r.trace_id AND l.rid = r.id GROUP BY ALL),
+v_role AS (
+  SELECT l.*, CASE WHEN c.id IS NULL OR c.graph OR NOT c.core THEN NULL WHEN c.conv THEN 'gdn_conv_update' WHEN contains(lower(l.name), 'fusednormargs') THEN NULL
+    WHEN contains(lower(l.name), 'causal_conv1d') THEN 'gdn_conv_shared' WHEN l.category IN ('gpu_memcpy', 'gpu_memset') THEN 'gdn_memory' ELSE 'gdn_aux' END AS role,
+    coalesce(p.graph, FALSE) AND (contains(lower(l.name), 'causal_conv1d') OR contains(lower(l.name), 'fusednormargs')) AS replayable
+  FROM v_link l LEFT JOIN v_cand c USING (trace_id, id) LEFT JOIN v_pg p USING (trace_id, id)),
+v_gp AS (
+  SELECT w.trace_id, w.window_id, e.name, c.category AS base_category, e.role, count(*) AS record_count, CAST(sum(e.dur_ns) AS BIGINT) AS duration_ns
+  FROM v_role e JOIN v_window w ON e.trace_id = w.trace_id AND e.ts_ns >= w.start_ns AND e.ts_ns < w.end_ns
+  JOIN v_class c ON c.name = e.name AND c.category IN ('其他elementwise', 'Triton', 'memcpy/memset')
+  WHERE EXISTS (SELECT 1 FROM v_slice s WHERE s.trace_id = e.trace_id AND s.name = 'vllm::qwen_gdn_attention_core') GROUP BY ALL),
+v_gdn AS (
+  SELECT g.trace_id, g.window_id, g.name, g.role, g.record_count, g.duration_ns, CASE WHEN g.role IS NULL THEN g.base_category ELSE 'GDN' END AS category,
+    0 AS replay_count, 0 AS replay_ns
+  FROM v_gp g WHERE EXISTS (SELECT 1 FROM v_gp h WHERE h.trace_id = g.trace_id AND h.window_id = g.window_id AND h.name = g.name AND h.role IS NOT NULL))"""
+V_PARTS = """
+v_parts AS (
+  SELECT d.trace_id, d.window_id, d.name, d.record_count, d.duration_ns, d.category, d.semantic_type, d.confidence, FALSE AS ctx FROM v_detail d
+  WHERE NOT EXISTS (SELECT 1 FROM v_moe m WHERE m.trace_id = d.trace_id AND m.window_id = d.window_id AND m.name = d.name)
+    AND NOT EXISTS (SELECT 1 FROM v_gdn g WHERE g.trace_id = d.trace_id AND g.window_id = d.window_id AND g.name = d.name)
+  UNION ALL
+  SELECT m.trace_id, m.window_id, m.name, m.record_count, m.duration_ns, m.category,
+    CASE WHEN m.part = 'expert' THEN 'moe_expert_group_gemm' ELSE c.semantic_type END, m.confidence, TRUE FROM v_moe m JOIN v_class c USING (name)
+  UNION ALL
+  SELECT g.trace_id, g.window_id, g.name, g.record_count, g.duration_ns, g.category, coalesce(g.role, c.semantic_type),
+    CASE WHEN g.role IS NULL THEN c.confidence ELSE 'high' END, FALSE FROM v_gdn g JOIN v_class c USING (name))"""
+CONTEXT = [V_SLICE, V_FLOW, V_LINK, V_WINDOW, V_CLASS, V_TOTALS, V_EXPERT, V_EXEV, V_MOE, V_GDN, V_PARTS]
+
+SQL["expert_launches"] = with_views(V_SLICE, V_EXPERT, """
+SELECT trace_id, runtime_id, scope_id, host_op, 'moe.teco.host_group_gemm' AS expert_rule FROM v_ex""")
+SQL["expert_events"] = with_views(*LINKED, V_EXPERT, V_EXEV, """
+SELECT trace_id, id AS event_id, basis, expert_basis, CASE WHEN expert_basis IS NOT NULL THEN 'moe.teco.host_group_gemm' END AS expert_rule, touches_expert FROM v_exev""")
+SQL["moe_split"] = with_views(*LINKED, V_WINDOW, V_CLASS, V_EXPERT, V_EXEV, V_MOE, "SELECT * FROM v_moe")
+SQL["launch_conflicts"] = with_views(*LINKED, V_EXPERT, V_EXEV, """
+SELECT l.trace_id, l.id AS event_id, l.correlation, 'moe.teco.host_group_gemm' AS expert_rule, r.id AS launch_id, r.correlation AS launch_correlation, r.ts_ns AS launch_ts
+FROM (SELECT *, unnest(poss) AS rid FROM v_exev WHERE expert_basis = 'conflicting-links-same-expert-scope') l JOIN v_runtime r ON l.trace_id = r.trace_id AND l.rid = r.id""")
+SQL["gdn_roles"] = with_views(*LINKED, V_WINDOW, V_CLASS, V_GDN, "SELECT trace_id, id AS event_id, basis, role, replayable FROM v_role")
+SQL["gdn_split"] = with_views(*LINKED, V_WINDOW, V_CLASS, V_GDN, "SELECT * FROM v_gdn")
+SQL["context_summary"] = with_views(*CONTEXT, V_CATEGORY, """
+v_win AS (
+  SELECT p.trace_id, p.window_id, w.end_ns - w.start_ns AS window_ns, CAST(sum(CASE WHEN category IS NULL THEN 0 ELSE duration_ns END) AS BIGINT) AS busy_ns,
+         bool_or(starts_with(semantic_type, 'moe_') OR ctx) AS moe
+  FROM v_parts p JOIN v_window w USING (trace_id, window_id) GROUP BY ALL),
+v_cat AS (
+  SELECT trace_id, window_id, category, count(DISTINCT name) AS kinds, CAST(sum(record_count) AS BIGINT) AS n, CAST(sum(duration_ns) AS BIGINT) AS d
+  FROM v_parts WHERE category IS NOT NULL GROUP BY ALL)""", f"""
+SELECT w.trace_id, w.window_id, k.category_ord, k.category, coalesce(c.kinds, 0) AS kernel_kinds, coalesce(c.n, 0) AS record_count,
+  coalesce(c.d, 0) / 1000.0::DOUBLE AS total_duration_us,
+  CAST(coalesce(c.d, 0) AS DOUBLE) / nullif(CAST(w.busy_ns AS DOUBLE), 0) * 100.0::DOUBLE AS kernel_relative_pct,
+  CAST(coalesce(c.d, 0) AS DOUBLE) / CAST(w.window_ns AS DOUBLE) * 100.0::DOUBLE AS window_absolute_pct
+FROM v_win w CROSS JOIN v_category k LEFT JOIN v_cat c USING (trace_id, window_id, category)
+WHERE k.category IN {DENSE} OR c.n > 0 OR (k.category = 'group gemm' AND w.moe)""")
+SQL["downgraded_gemm"] = with_views(*CONTEXT, """
+v_flag AS (SELECT trace_id, window_id FROM v_parts GROUP BY ALL
+  HAVING bool_or(starts_with(semantic_type, 'moe_') OR ctx) AND NOT coalesce(bool_or(category = 'group gemm'), FALSE))""", """
+SELECT trace_id, window_id, name, record_count, confidence AS name_rule_confidence, 'unknown' AS confidence, ['gemm', 'group gemm'] AS category_candidates
+FROM v_parts JOIN v_flag USING (trace_id, window_id) WHERE category = 'gemm'""")
+
+
+def _groups(groups: dict[str, list[str]], otherwise: str) -> str:
+    return "CASE " + " ".join(f"WHEN semantic_type IN ({', '.join(text(t) for t in ts)}) THEN {text(g)}" for g, ts in groups.items()) + f" ELSE {otherwise} END"
+
+
+_G = GDN_COMPARISON_GROUPS
+_MERGED = {k: v for k, v in _G.items() if k not in ("卷积后准备", "递推主计算")} | {GDN_DECODE_GROUP: _G["卷积后准备"] + _G["递推主计算"]}
+_PRE = ", ".join(text(t) for t in ["gdn_conv", "gdn_gating_qk_fused", *_G["Chunk 主计算"]])
+_DEC = ", ".join(text(t) for t in ["gdn_conv_update", *_G["递推主计算"]])
+SQL["gdn_stage_summary"] = with_views(*CONTEXT, f"""
+v_scope AS (
+  SELECT p.trace_id, p.window_id, CASE WHEN p.window_id % 11 = 5 OR (pre AND dec) OR (w.stage = 'prefill' AND dec) OR (w.stage = 'decode' AND pre)
+    THEN 'mixed-or-stage-mismatch' ELSE w.stage END AS scope
+  FROM (SELECT trace_id, window_id, bool_or(semantic_type IN ({_PRE})) AS pre, bool_or(semantic_type IN ({_DEC})) AS dec FROM v_parts WHERE category = 'GDN' GROUP BY ALL) p
+  JOIN v_window w USING (trace_id, window_id)),
+v_rows AS (
+  SELECT p.*, s.scope, CASE WHEN s.scope = 'decode' THEN {_groups(_MERGED, text(GDN_UNALIGNED_GROUP))} ELSE {_groups(_G, text(GDN_UNALIGNED_GROUP))} END AS grp
+  FROM v_parts p JOIN v_scope s USING (trace_id, window_id) WHERE category = 'GDN')""", """
+SELECT trace_id, window_id, scope, grp AS "group", CAST(sum(record_count) AS BIGINT) AS record_count, CAST(sum(duration_ns) AS BIGINT) / 1000.0::DOUBLE AS total_duration_us,
+  count(DISTINCT name) AS kernel_kinds, list_sort(list(DISTINCT semantic_type)) AS semantic_types FROM v_rows GROUP BY 1, 2, 3, 4""")
+SQL["gdn_operators"] = with_views(*CONTEXT, f"""
+SELECT trace_id, window_id, {_groups(GDN_OPERATOR_GROUPS, 'semantic_type')} AS label, CAST(sum(record_count) AS BIGINT) AS calls,
+  CAST(sum(duration_ns) AS BIGINT) / 1000.0::DOUBLE AS total_duration_us, count(DISTINCT name) AS kernel_kinds
+FROM v_parts WHERE category = 'GDN' GROUP BY 1, 2, 3""")
