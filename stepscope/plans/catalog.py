@@ -7,7 +7,8 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import account, attribution, context, events, links, steps, windows
+from ..operators import (account, annotations, attribution, audit, classify, compare, context, events, gemm, keyword, links,
+                         occupancy, phases, steps, windows)
 from ..session import materialize
 from ..sources.rules import RuleSet, load_rules
 from . import driver_views as views
@@ -362,3 +363,214 @@ def gdn_stage_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def gdn_operators(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.gdn_operators(Context(spark, sf_dir).parts)
+
+
+PHASE_GAP_NS = 10 * 24 * views.HOUR_NS
+
+
+@query
+def step_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    forwards = phases.forward_slices(views.forwards(spark, sf_dir))
+    return phases.step_labels(forwards, PHASE_GAP_NS, 2 * 24 * views.HOUR_NS)
+
+
+@query
+def phase_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    forwards = phases.forward_slices_or_stages(views.forwards(spark, sf_dir))
+    return phases.phase_windows(forwards, windows.trace_bounds(forwards), PHASE_GAP_NS)
+
+
+@query
+def phase_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole events inside each window, host operators named like device work included."""
+    t = Trace(spark, sf_dir)
+    chosen = t.slices.filter(events.phase_event(F.col("category"), F.col("name"))).filter("dur_ns > 0")
+    totals = account.kernel_totals(windows.contained_in(chosen, t.windows))
+    return account.kernel_detail_table(totals, rules()).select(
+        "trace_id", "window_id", "kernel_name", "category", "call_count", "total_duration_us", "relative_pct", "absolute_pct")
+
+
+@query
+def keyword_operators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keyword.operator_stats(Trace(spark, sf_dir).slices)
+
+
+@query
+def keyword_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keyword.category_stats(Trace(spark, sf_dir).slices)
+
+
+@query
+def advice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keyword.advice(keyword.category_stats(Trace(spark, sf_dir).slices))
+
+
+@query
+def top_kernels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keyword.top_operators(keyword.operator_stats(Trace(spark, sf_dir).slices), ["trace_id"], 10)
+
+
+@query
+def event_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keyword.event_categories(Trace(spark, sf_dir).slices)
+
+
+@query
+def active_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return account.category_summary(Trace(spark, sf_dir).totals, rules()).select("trace_id", "window_id", "category_ord", "category")
+
+
+@query
+def classified_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify.classify_names(Trace(spark, sf_dir).slices, rules()).select(
+        "name", "record_count", "detail.category", "detail.reason", "detail.rule_id", "detail.semantic_type", "detail.confidence")
+
+
+def _audited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = views.kernel_table(spark, sf_dir).selectExpr("name", "record_count", "CAST(cents AS DOUBLE) AS duration_us")
+    return audit.audit([audit.trace_names(Trace(spark, sf_dir).slices), table], rules())
+
+
+@query
+def audit_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.rollup(_audited(spark, sf_dir)).withColumn("duration_us", F.round("duration_us", 3))
+
+
+@query
+def audit_unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.unknown(_audited(spark, sf_dir)).select("name", "record_count", F.round("duration_us", 3).alias("duration_us"), "rule_id")
+
+
+@query
+def reclassify_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.kernel_table(spark, sf_dir).selectExpr(
+        "table_id", "name", "record_count", "CAST(cents AS DOUBLE) AS total_duration_us",
+        "IF(table_id = 'R', NULL, CAST(record_count AS DOUBLE)) AS window_absolute_pct")
+    return account.reclassified_table(rows, rules(), ["table_id"])
+
+
+def _sides(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Even ranks against the next odd rank, window by window."""
+    rank = F.substring("trace_id", 9, 1).cast("bigint")
+    keyed = df.withColumn("pair_id", F.concat(F.floor(rank / 2).cast("string"), F.lit("/"), F.col("window_id").cast("string"))) \
+        .withColumn("_rank", rank)
+    return keyed.filter("_rank % 2 = 0"), keyed.filter("_rank % 2 = 1")
+
+
+def _descriptors(c: Context) -> DataFrame:
+    anchors = c.steps.withColumn("window_id", F.expr(f"(ts_ns - {views.ORIGIN_NS}) DIV {views.SLOT_NS}"))
+    keys = anchors.select("trace_id", "id", "window_id")
+    parsed = steps.annotation_work(anchors).join(keys, ["trace_id", "id"])
+    return parsed.selectExpr(
+        "trace_id", "window_id", "IF(window_id % 5 = 0, 'prefill', 'decode') AS stage", "mixed",
+        "IF(window_id % 7 = 0, substring(trace_id, 9, 1), '0') AS rank", f"'{rules().sha256}' AS rules_sha256",
+        "IF(window_id % 5 = 0, prefill_tokens, NULL) AS prefill_tokens", "CAST(NULL AS BIGINT) AS mixed_count",
+        "CAST(NULL AS BIGINT) AS mixed_generation_tokens",
+        "IF(window_id % 5 = 0, NULL, decode_count + IF(window_id % 9 = 0, CAST(substring(trace_id, 9, 1) AS BIGINT), 0L)) AS decode_count",
+        "IF(window_id % 5 = 0, NULL, decode_tokens) AS decode_tokens")
+
+
+@query
+def compare_blockers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare.blockers(*_sides(_descriptors(Context(spark, sf_dir))), verified=True)
+
+
+@query
+def report_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = Context(spark, sf_dir)
+    blocked = compare.blockers(*_sides(_descriptors(c)), verified=True)
+    return compare.compare_categories(*_sides(account.category_summary(c.totals, rules())), blocked)
+
+
+@query
+def time_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = Context(spark, sf_dir)
+    blocked = compare.blockers(*_sides(_descriptors(c)), verified=True)
+    return compare.compare_time(*_sides(materialize(account.time_account(c.device, c.windows, rules()))), blocked)
+
+
+@query
+def gdn_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = Context(spark, sf_dir)
+    blocked = compare.blockers(*_sides(_descriptors(c)), verified=True)
+    staged = materialize(context.gdn_stage_summary(c.parts, c.anchored_windows).join(
+        c.windows.select("trace_id", "window_id", "stage"), ["trace_id", "window_id"]))
+    return compare.compare_gdn(*_sides(staged), blocked, ("left", "right"))
+
+
+@query
+def rank_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = Trace(spark, sf_dir)
+    files = t.slices.select("trace_id").distinct().withColumn("file_name", F.concat(F.lit("/data/"), "trace_id", F.lit(".json.gz")))
+    return compare.rank_blocks(account.category_summary(t.totals, rules()), files).select(
+        "trace_id", "window_id", "category", "record_count", "rank", "error_code")
+
+
+@query
+def gemm_params(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gemm.rocblas_cases(views.gemm_lines(spark, sf_dir))
+
+
+@query
+def gemm_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gemm.log_results(views.gemm_logs(spark, sf_dir))
+
+
+def _compared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gemm.compare(gemm.rocblas_cases(views.gemm_lines(spark, sf_dir)), gemm.log_results(views.gemm_logs(spark, sf_dir)))
+
+
+@query
+def gemm_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _compared(spark, sf_dir).select(
+        "line", "m", "n", "k", "transA", "case_group", "baseline_kernel", "baseline_gflops", "baseline_us", "optimized_kernel",
+        "optimized_gflops", "optimized_us", "gflops_pct", "us_pct")
+
+
+@query
+def gemm_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gemm.statistics(_compared(spark, sf_dir), ["case_group"])
+
+
+def _occupancy(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    cards, processes = occupancy.csv_records(views.monitor_lines(spark, sf_dir))
+    return cards, occupancy.owners(processes, views.pid_lookup(spark, sf_dir))
+
+
+@query
+def card_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _occupancy(spark, sf_dir)[1]
+
+
+@query
+def card_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return occupancy.card_state(*_occupancy(spark, sf_dir))
+
+
+@query
+def idle_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return occupancy.idle_cards(_occupancy(spark, sf_dir)[0]).select("node", "card", "bus")
+
+
+@query
+def phase_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return annotations.phase_fields(views.phase_scopes(spark, sf_dir)).drop("pid", "tid", "ts_ns", "dur_ns")
+
+
+@query
+def launch_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return annotations.launch_counts(views.phase_scopes(spark, sf_dir), annotations.graph_launches(views.launch_rows(spark, sf_dir)))
+
+
+def _dumps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return annotations.distinct_dumps(views.dumps(spark, sf_dir), 900_000_000_000_000_000, 950_000_000_000_000_000)
+
+
+@query
+def dump_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dumps(spark, sf_dir)
+
+
+@query
+def dump_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return annotations.dump_counts(_dumps(spark, sf_dir))

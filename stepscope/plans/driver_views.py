@@ -139,3 +139,92 @@ def forwards(spark: SparkSession, sf_dir: str) -> DataFrame:
         "concat('run_rank', o_custkey % 16) AS trace_id", "o_orderkey AS id",
         "IF(o_orderkey % 2 = 0, 'model_forward', 'ModelForward') AS name",
         f"{epoch_ns('o_orderdate')} AS ts_ns", f"{6 * HOUR_NS} AS dur_ns")
+
+
+def _kernel_name(index: str) -> str:
+    return _pick(DEVICE_NAMES, f"({index}) % 32")
+
+
+def kernel_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Aggregated kernel table from ``lineitem`` and ``part``: integer cents of price as time."""
+    lines = table(spark, sf_dir, "lineitem").selectExpr(
+        "l_returnflag AS table_id", "l_partkey", "CAST(floor(l_extendedprice * 100D + 0.5D) AS BIGINT) AS cents", "l_linenumber")
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    return lines.join(parts, lines["l_partkey"] == parts["p_partkey"]).selectExpr(
+        "table_id", f"{_kernel_name('p_partkey + p_size')} AS name", "cents", "l_linenumber").groupBy("table_id", "name").agg(
+        F.expr("count(1) AS record_count"), F.expr("sum(cents) AS cents"), F.expr("max(l_linenumber) AS top_line"))
+
+
+def gemm_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark commands from ``part``; every seventh is a comment, every fifth lacks the leading count."""
+    return table(spark, sf_dir, "part").selectExpr(
+        "p_partkey AS line", "concat(CASE WHEN p_partkey % 7 = 3 THEN '# ' WHEN p_partkey % 5 = 0 THEN '' ELSE concat(p_size, ' ') END, "
+        "'./rocblas-bench -f gemm_ex --transposeA ', IF(p_partkey % 3 = 0, 'T', 'N'), ' --transposeB N -m ', p_size * 128, ' -n ', "
+        "p_partkey % 4 + 1, ' -k ', p_size * 64, ' --alpha 1 --a_type bf16_r --lda ', p_size * 128, "
+        "' --b_type bf16_r --beta 0 --c_type bf16_r --d_type bf16_r --compute_type f32_r --algo 0') AS text")
+
+
+def gemm_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark logs from ``lineitem``: three lines per part and line status."""
+    sums = table(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_linestatus").agg(
+        F.expr("sum(CAST(floor(l_extendedprice * 100D + 0.5D) AS BIGINT)) AS us"),
+        F.expr("sum(CAST(l_quantity AS BIGINT)) * 1000 AS gflops"), F.expr("max(l_linenumber) AS top"))
+    entry = "named_struct('line_no', {n}, 'text', {t})"
+    rows = [entry.format(n=1, t="'[0]:transA,transB,m,n,hipblaslt-Gflops,us'"),
+            entry.format(n=2, t="concat(IF(top % 2 = 0, '    ', ''), 'T,N,0,1,128,', gflops, ', ', us)"),
+            entry.format(n=3, t="CASE WHEN top = 7 THEN '--Solution index: 1' WHEN top % 2 = 0 THEN "
+                                "concat('    --kernel name:    Cijk_Alik_Bljk_MT', top, 'x16') ELSE "
+                                "concat('run Cijk_first Solution::Alik_', top, ' end') END")]
+    return sums.selectExpr("l_partkey AS line", "IF(l_linestatus = 'F', 'baseline', 'optimized') AS variant",
+                           f"inline(array({', '.join(rows)}))")
+
+
+def monitor_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Monitor snapshots in CSV form: a card per part, a node per part size, processes from urgent orders."""
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    cards = parts.selectExpr(
+        "p_size AS node", "p_partkey AS line_no", "concat(p_partkey, ', GPU-', p_partkey, ', 0000:', p_partkey, ', ', "
+        "IF(p_partkey % 2 = 0, 0, p_size * 10), ', 32768, ', p_partkey % 3 * 40) AS text")
+    urgent = table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'").select("o_orderkey", "o_custkey", "o_orderstatus")
+    running = urgent.join(parts, urgent["o_custkey"] == parts["p_partkey"]).selectExpr(
+        "p_size AS node", "inline(array(named_struct('line_no', 1000000000000 + 1 + o_orderkey, 'text', "
+        "concat(o_orderkey, ', ', IF(o_orderkey % 9 = 0, '[Not Supported]', concat('worker_', o_orderstatus)))), "
+        "named_struct('line_no', 2000000000000 + 1 + o_orderkey, 'text', concat('GPU-', p_partkey, ', ', o_orderkey, ', ', o_orderkey % 512))))")
+    marks = parts.select("p_size").distinct().selectExpr(
+        "p_size AS node", "inline(array(named_struct('line_no', 1000000000000, 'text', '===NAMES==='), "
+        "named_struct('line_no', 2000000000000, 'text', '===APPS===')))")
+    return cards.unionByName(running).unionByName(marks)
+
+
+def pid_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Process owners from ``orders``; expensive ones stay unknown."""
+    orders = table(spark, sf_dir, "orders").filter("o_totalprice < 400000")
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    return orders.join(parts, orders["o_custkey"] == parts["p_partkey"]).selectExpr(
+        "p_size AS node", "o_orderkey AS pid", "CASE o_orderstatus WHEN 'F' THEN 'MAP' WHEN 'O' THEN 'HOST' ELSE 'GONE' END AS tag",
+        "concat('serve_', o_orderkey % 5) AS container")
+
+
+def phase_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phase annotations from ``orders``: five days each, on seven threads of four traces."""
+    return table(spark, sf_dir, "orders").selectExpr(
+        "concat('run_rank', o_custkey % 4) AS trace_id", "o_orderkey AS id",
+        "concat('PHASE_GRAPH step=', o_orderkey, IF(o_orderkey % 13 = 0, '', concat(' phase=', lower(o_orderstatus))), ' tokens=', o_custkey, "
+        "IF(o_orderkey % 2 = 0, concat(' padded=', o_custkey + 1), ''), ' mode=', substring(o_orderpriority, 3), "
+        "' computed=[', o_custkey, ',', o_orderkey, '] prompt=[', o_orderkey, ']') AS name",
+        f"{epoch_ns('o_orderdate')} AS ts_ns", f"{120 * HOUR_NS} AS dur_ns", "'1' AS pid", "CAST(o_custkey % 7 AS STRING) AS tid")
+
+
+def launch_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runtime calls from ``lineitem`` for the phase annotations."""
+    return table(spark, sf_dir, "lineitem").selectExpr(
+        "concat('run_rank', l_partkey % 4) AS trace_id", "l_orderkey * 8 + l_linenumber AS id",
+        "element_at(array('cudaGraphLaunch', 'sdaaGraphLaunch_v2', 'cudaLaunchKernel', 'hipGraphLaunch', 'cudaGraphLaunchExt'), "
+        "CAST(l_suppkey % 5 + 1 AS INT)) AS name", f"{epoch_ns('l_shipdate')} AS ts_ns", "'1' AS pid", "CAST(l_orderkey % 7 AS STRING) AS tid")
+
+
+def dumps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator dump cases from ``lineitem``: parameters repeat across rows."""
+    return table(spark, sf_dir, "lineitem").selectExpr(
+        "concat(l_returnflag, l_linestatus) AS operator", "l_orderkey * 8 + l_linenumber AS dump_id", f"{epoch_ns('l_shipdate')} AS ts_ns",
+        "concat(CAST(l_quantity AS INT), '/', CAST(round(l_discount * 100) AS INT), '/', CAST(round(l_tax * 100) AS INT)) AS content")

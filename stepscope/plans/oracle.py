@@ -1,10 +1,12 @@
 """DuckDB statements equivalent to the registered queries."""
 from __future__ import annotations
 
-from ..fixed_values import (BUBBLE_LABEL, CATEGORY_ORDER, DENSE_CATEGORIES, GDN_COMPARISON_GROUPS, GDN_DECODE_GROUP,
-                            GDN_OPERATOR_GROUPS, GDN_UNALIGNED_GROUP, TIME_ROWS, TOTAL_LABEL, UNINFORMATIVE_FRAMES)
+from ..fixed_values import (ADVICE_THRESHOLDS, BLOCKER_MIXED, BLOCKER_RANK, BLOCKER_WORK, BUBBLE_LABEL, CATEGORY_ORDER,
+                            DENSE_CATEGORIES, GDN_COMPARISON_GROUPS, GDN_COMPARISON_OPERATORS, GDN_CORE_STAGES,
+                            GDN_DECODE_GROUP, GDN_OPERATOR_GROUPS, GDN_UNALIGNED_GROUP, KEYWORD_CATEGORIES,
+                            KEYWORD_KERNEL_FALLBACK, PHASE_KEYWORDS, TIME_ROWS, TOTAL_LABEL, UNINFORMATIVE_FRAMES)
 from ..sources.rules import load_rules
-from .driver_views import MAPPING_END_NS
+from .driver_views import DEVICE_NAMES, HOUR_NS, MAPPING_END_NS
 from .oracle_views import V_FLOW, V_FORWARD, V_SLICE, V_STEP, V_WINDOW, V_SLOT, text, text_list
 
 SQL: dict[str, str] = {}
@@ -473,7 +475,7 @@ V_MOE = """
 v_mg AS (
   SELECT w.trace_id, w.window_id, e.name, c.rule_id AS base_rule, count(*) AS n, CAST(sum(e.dur_ns) AS BIGINT) AS ns, count(e.expert_basis) AS nx,
     CAST(coalesce(sum(e.dur_ns) FILTER (e.expert_basis IS NOT NULL), 0) AS BIGINT) AS nsx, count_if(e.expert_basis IS NULL AND e.touches_expert) AS na,
-    count_if(e.expert_basis = 'conflicting-links-same-expert-scope') AS nc
+    coalesce(count_if(e.expert_basis = 'conflicting-links-same-expert-scope'), 0) AS nc
   FROM v_exev e JOIN v_window w ON e.trace_id = w.trace_id AND e.ts_ns >= w.start_ns AND e.ts_ns < w.end_ns
   JOIN v_class c ON c.name = e.name AND c.category = 'gemm' GROUP BY ALL HAVING nx > 0 OR na > 0),
 v_moe AS (
@@ -577,3 +579,204 @@ SQL["gdn_operators"] = with_views(*CONTEXT, f"""
 SELECT trace_id, window_id, {_groups(GDN_OPERATOR_GROUPS, 'semantic_type')} AS label, CAST(sum(record_count) AS BIGINT) AS calls,
   CAST(sum(duration_ns) AS BIGINT) / 1000.0::DOUBLE AS total_duration_us, count(DISTINCT name) AS kernel_kinds
 FROM v_parts WHERE category = 'GDN' GROUP BY 1, 2, 3""")
+
+# Phases, keyword analysis and audit.
+_GAP = 10 * 24 * HOUR_NS
+V_STEPS = f"""
+v_idx AS (
+  SELECT trace_id, id, ts_ns, dur_ns, row_number() OVER p - 1 AS idx, count(*) OVER (PARTITION BY trace_id) AS n,
+    lead(ts_ns) OVER p - (ts_ns + dur_ns) AS gap_after_ns, ts_ns - lag(ts_ns + dur_ns) OVER p AS gap_before_ns
+  FROM v_forward WINDOW p AS (PARTITION BY trace_id ORDER BY ts_ns, id)),
+v_gap AS (SELECT *, max(CASE WHEN gap_after_ns > {_GAP} THEN idx END) OVER (PARTITION BY trace_id) AS split FROM v_idx)"""
+SQL["step_gaps"] = with_views(V_FORWARD, V_STEPS, f"""
+SELECT trace_id, id, idx AS step, CASE WHEN split IS NULL AND idx = 0 THEN 'prefill' WHEN split IS NULL THEN 'decode-' || idx
+  WHEN idx <= split THEN 'slow-' || idx ELSE 'fast-' || (idx - split - 1) END AS label, dur_ns, gap_after_ns,
+  CASE WHEN gap_before_ns > {48 * HOUR_NS} THEN gap_before_ns / 1000000.0::DOUBLE END AS shown_gap_ms FROM v_gap""")
+SQL["phase_split"] = with_views(V_FORWARD, V_STEPS, """
+v_t AS (
+  SELECT trace_id, any_value(split) AS split, any_value(n) AS n, any_value(n) - coalesce(any_value(split), -1) - 1 AS fast, min(ts_ns) AS t0,
+    min(ts_ns) FILTER (idx = coalesce(split, -1) + 1) AS ff, min(ts_ns + dur_ns) FILTER (idx = 0) AS e0,
+    min(ts_ns) FILTER (idx = coalesce(split, -1) + 3) AS nt, min(ts_ns + dur_ns) FILTER (idx = coalesce(split, -1) + 3) AS ne,
+    min(ts_ns) FILTER (idx = coalesce(split, -1) + 4) AS a, min(ts_ns) FILTER (idx = n - 1) AS lt, min(ts_ns + dur_ns) FILTER (idx = n - 1) AS le
+  FROM v_gap GROUP BY trace_id),
+v_p AS (
+  SELECT trace_id, n, split, fast, 'prefill' AS stage, t0 AS s, CASE WHEN split IS NULL THEN e0 ELSE ff END AS e FROM v_t
+  UNION ALL SELECT trace_id, n, split, fast, 'decode', CASE WHEN split IS NULL THEN CASE WHEN n > 2 THEN nt ELSE lt END WHEN 2 < fast - 1 THEN nt ELSE lt END,
+    CASE WHEN split IS NULL THEN CASE WHEN n > 2 THEN ne ELSE le END WHEN 2 < fast - 1 THEN a ELSE le END FROM v_t)""", """
+SELECT trace_id, n AS step_count, CASE WHEN split IS NOT NULL THEN fast END AS fast_count, stage AS window_id, stage, s AS start_ns, e AS end_ns,
+  CAST(NULL AS VARCHAR) AS error_code FROM v_p""")
+SQL["phase_detail"] = with_views(V_SLICE, V_WINDOW, V_CLASS, f"""
+v_tot AS (
+  SELECT w.trace_id, w.window_id, s.name, count(*) AS n, CAST(sum(s.dur_ns) AS BIGINT) AS ns, min(w.end_ns - w.start_ns) AS window_ns
+  FROM v_slice s JOIN v_window w ON s.trace_id = w.trace_id AND s.ts_ns >= w.start_ns AND s.ts_ns + s.dur_ns <= w.end_ns
+  WHERE s.dur_ns > 0 AND (s.category IN ('kernel','gpu_memcpy','gpu_memset')
+    OR (s.category = 'cpu_op' AND ({" OR ".join(f"contains(s.name, {text(k)})" for k in PHASE_KEYWORDS)}))) GROUP BY ALL)""", """
+SELECT trace_id, window_id, name AS kernel_name, category, n AS call_count, ns / 1000.0::DOUBLE AS total_duration_us,
+  CAST(ns AS DOUBLE) / CAST(sum(ns) OVER (PARTITION BY trace_id, window_id) AS DOUBLE) * 100.0::DOUBLE AS relative_pct,
+  CAST(ns AS DOUBLE) / CAST(window_ns AS DOUBLE) * 100.0::DOUBLE AS absolute_pct
+FROM v_tot JOIN v_class USING (name) WHERE category IS NOT NULL""")
+
+
+def _any(words: list[str]) -> str:
+    return "(" + " OR ".join(f"contains(lower(name), {text(w.lower())})" for w in words) + ")"
+
+
+_KEYWORD = "CASE WHEN starts_with(lower(name), 'triton_') THEN 'triton' " + " ".join(
+    f"WHEN {_any(ws)} THEN {text(c)}" for c, ws in KEYWORD_CATEGORIES.items()) + " " + " ".join(
+    f"WHEN contains(lower(name), 'kernel') AND {_any(ws)} THEN {text(c)}" for c, ws in KEYWORD_KERNEL_FALLBACK.items()) + " ELSE 'at::native' END"
+V_KEY = f"""
+v_kn AS (
+  SELECT trace_id, name, count(*) AS n, CAST(sum(dur_ns) AS BIGINT) AS ns, min(ts_ns) AS lo, max(ts_ns + dur_ns) AS hi FROM v_device WHERE dur_ns <> 0 GROUP BY ALL),
+v_kw AS (SELECT *, {_KEYWORD} AS category FROM v_kn),
+v_kt AS (SELECT trace_id, CAST(sum(ns) AS BIGINT) AS kernel_ns, CAST(greatest(max(hi) - min(lo) - sum(ns), 0) AS BIGINT) AS idle_ns, count(*) AS kinds, CAST(sum(n) AS BIGINT) AS calls FROM v_kw GROUP BY ALL),
+v_ks AS (
+  SELECT trace_id, category, count(*) AS operator_types, CAST(sum(n) AS BIGINT) AS call_count, CAST(sum(ns) AS BIGINT) AS ns FROM v_kw GROUP BY ALL
+  UNION ALL SELECT trace_id, {text(BUBBLE_LABEL)}, 0, 0, idle_ns FROM v_kt WHERE idle_ns > 0
+  UNION ALL SELECT trace_id, 'TOTAL', kinds, calls, kernel_ns + idle_ns FROM v_kt),
+v_kr AS (
+  SELECT trace_id, category, operator_types, call_count, ns / 1000.0::DOUBLE AS total_duration_us,
+    CASE WHEN category = 'TOTAL' THEN 100.0::DOUBLE WHEN category <> {text(BUBBLE_LABEL)} THEN CAST(ns AS DOUBLE) / CAST(kernel_ns AS DOUBLE) * 100.0::DOUBLE END AS relative_pct,
+    CASE WHEN category = 'TOTAL' THEN 100.0::DOUBLE ELSE CAST(ns AS DOUBLE) / CAST(kernel_ns + idle_ns AS DOUBLE) * 100.0::DOUBLE END AS absolute_pct
+  FROM v_ks JOIN v_kt USING (trace_id)),
+v_ko AS (
+  SELECT trace_id, name, category, n AS call_count, ns / 1000.0::DOUBLE AS total_duration_us, CAST(ns AS DOUBLE) / n / 1000.0::DOUBLE AS avg_duration_us,
+    CAST(ns AS DOUBLE) / CAST(kernel_ns AS DOUBLE) * 100.0::DOUBLE AS relative_pct FROM v_kw JOIN v_kt USING (trace_id))"""
+SQL["keyword_operators"] = with_views(V_SLICE, V_KEY, "SELECT *, relative_pct AS absolute_pct FROM v_ko")
+SQL["keyword_summary"] = with_views(V_SLICE, V_KEY, "SELECT * FROM v_kr")
+_LIMIT = "CASE category " + " ".join(f"WHEN {text(c)} THEN {t}::DOUBLE" for c, t in ADVICE_THRESHOLDS.items()) + " END"
+SQL["advice"] = with_views(V_SLICE, V_KEY, f"v_adv AS (SELECT trace_id, category, relative_pct, {_LIMIT} AS threshold_pct FROM v_kr WHERE relative_pct > {_LIMIT})", """
+SELECT * FROM v_adv UNION ALL SELECT DISTINCT trace_id, 'balanced', NULL, NULL FROM v_kr WHERE trace_id NOT IN (SELECT trace_id FROM v_adv)""")
+SQL["top_kernels"] = with_views(V_SLICE, V_KEY, """
+SELECT trace_id, position, name, CASE WHEN length(name) > 50 THEN substr(name, 1, 50) || '...' ELSE name END AS display_name, call_count, total_duration_us
+FROM (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY total_duration_us DESC, name) AS position FROM v_ko) WHERE position <= 10""")
+SQL["event_categories"] = with_views(V_SLICE, "SELECT trace_id, category, count(*) AS event_count FROM v_slice GROUP BY ALL")
+SQL["active_categories"] = f"SELECT trace_id, window_id, category_ord, category FROM ({SQL['category_summary']})"
+SQL["classified_names"] = with_views(V_SLICE, V_CLASS, """
+SELECT name, n AS record_count, category, reason, rule_id, semantic_type, confidence
+FROM (SELECT name, count(*) AS n FROM v_slice GROUP BY name) JOIN v_class USING (name)""")
+V_TABLE = f"""
+v_table AS (
+  SELECT l_returnflag AS table_id, ({text_list(DEVICE_NAMES)})[(p_partkey + p_size) % 32 + 1] AS name, count(*) AS record_count,
+    CAST(sum(CAST(floor(l_extendedprice * 100.0::DOUBLE + 0.5::DOUBLE) AS BIGINT)) AS BIGINT) AS cents
+  FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)"""
+V_AUDIT = V_TABLE + f""",
+v_in AS (
+  SELECT name, count(*) AS n, CAST(sum(dur_ns) AS BIGINT) / 1000.0::DOUBLE AS us FROM v_device GROUP BY name
+  UNION ALL SELECT name, record_count, CAST(cents AS DOUBLE) FROM v_table),
+v_audit AS (
+  SELECT name, CAST(sum(n) AS BIGINT) AS record_count, sum(us) AS duration_us, {rule_case('name', 'category')} AS category, {rule_case('name', 'reason')} AS reason,
+    {rule_case('name', 'rule_id')} AS rule_id, {rule_case('name', 'confidence')} AS confidence FROM v_in GROUP BY name)"""
+SQL["audit_rollup"] = with_views(V_SLICE, V_AUDIT, """
+SELECT category, reason, CAST(sum(record_count) AS BIGINT) AS record_count, round(sum(duration_us), 3) AS duration_us FROM v_audit GROUP BY ALL""")
+SQL["audit_unknown"] = with_views(V_SLICE, V_AUDIT, """
+SELECT name, record_count, round(duration_us, 3) AS duration_us, rule_id FROM v_audit WHERE rule_id = 'fallback' OR confidence = 'unknown'""")
+SQL["reclassify_table"] = with_views(V_TABLE, f"""
+v_rc AS (
+  SELECT table_id, coalesce({rule_case('name', 'category')}, '非计算/排除') AS category, count(*) AS kinds, CAST(sum(record_count) AS BIGINT) AS n, CAST(sum(cents) AS BIGINT) AS c
+  FROM v_table GROUP BY 1, 2)""", """
+SELECT table_id, category, kinds AS kernel_kinds, n AS record_count, CAST(c AS DOUBLE) AS total_duration_us,
+  CASE WHEN category <> '非计算/排除' THEN CAST(c AS DOUBLE) / CAST(sum(c) FILTER (category <> '非计算/排除') OVER (PARTITION BY table_id) AS DOUBLE) * 100.0::DOUBLE END AS kernel_relative_pct,
+  CASE WHEN table_id <> 'R' THEN CAST(n AS DOUBLE) END AS window_absolute_pct FROM v_rc""")
+
+# Comparison of even and odd ranks.
+_PAIR = "CAST(CAST(substr(trace_id, 9, 1) AS BIGINT) // 2 AS VARCHAR) || '/' || window_id AS pair_id, CAST(substr(trace_id, 9, 1) AS BIGINT) AS rk"
+V_BLOCK = f"""
+v_desc AS (
+  SELECT {_PAIR}, trace_id, window_id, stage, window_id % 11 = 5 AS mixed, CASE WHEN window_id % 7 = 0 THEN substr(trace_id, 9, 1) ELSE '0' END AS rank,
+    CASE WHEN window_id % 5 <> 0 THEN CASE WHEN window_id % 11 = 5 THEN 3 ELSE 1 END + CASE WHEN window_id % 9 = 0 THEN CAST(substr(trace_id, 9, 1) AS BIGINT) ELSE 0 END END AS decode_count
+  FROM v_window),
+v_block AS (
+  SELECT l.pair_id, list_filter([CASE WHEN l.mixed OR r.mixed THEN {text(BLOCKER_MIXED)} END, CASE WHEN l.rank <> r.rank THEN {text(BLOCKER_RANK)} END,
+    CASE WHEN l.decode_count <> r.decode_count THEN {text(BLOCKER_WORK)} END], lambda x: x IS NOT NULL) AS blockers
+  FROM (SELECT * FROM v_desc WHERE rk % 2 = 0) l JOIN (SELECT * FROM v_desc WHERE rk % 2 = 1) r USING (pair_id))"""
+_RATIO = "CASE WHEN left_us > 0 AND right_us > 0 THEN left_us / right_us END AS time_ratio, CASE WHEN {ok} THEN CASE WHEN right_us > 0 AND left_us > 0 THEN right_us / left_us END END AS observed_performance"
+SQL["compare_blockers"] = with_views(V_SLICE, V_WINDOW, V_BLOCK, "SELECT * FROM v_block")
+SQL["report_compare"] = with_views(V_SLICE, V_WINDOW, V_BLOCK, V_CATEGORY, f"v_sum AS (SELECT *, {_PAIR} FROM ({SQL['category_summary']}))", """
+v_both AS (
+  SELECT pair_id, category, coalesce(l.total_duration_us, 0) AS left_us, coalesce(r.total_duration_us, 0) AS right_us
+  FROM (SELECT * FROM v_sum WHERE rk % 2 = 0) l FULL JOIN (SELECT * FROM v_sum WHERE rk % 2 = 1) r USING (pair_id, category))""",
+    f"SELECT pair_id, category_ord, category, left_us, right_us, {_RATIO.format(ok='len(blockers) = 0')} FROM v_both JOIN v_block USING (pair_id) JOIN v_category USING (category)")
+SQL["time_compare"] = with_views(V_SLICE, V_WINDOW, V_BLOCK, f"v_sum AS (SELECT *, {_PAIR} FROM ({SQL['time_account']}))", """
+v_both AS (
+  SELECT pair_id, row_ord, l.item, l.total_us AS left_us, r.total_us AS right_us
+  FROM (SELECT * FROM v_sum WHERE rk % 2 = 0) l FULL JOIN (SELECT * FROM v_sum WHERE rk % 2 = 1) r USING (pair_id, row_ord))""",
+    f"SELECT pair_id, row_ord, item, left_us, right_us, {_RATIO.format(ok='len(blockers) = 0 AND row_ord IN (0, 6)')} FROM v_both JOIN v_block USING (pair_id)")
+_OPS = "CASE t " + " ".join(f"WHEN {text(t)} THEN {text(o)}" for t, o in GDN_COMPARISON_OPERATORS.items()) + " END"
+_LABEL = (f"nullif(CASE WHEN grp = 'Chunk 主计算' THEN CASE WHEN list_contains(semantic_types, 'gdn_chunk_prefill') THEN 'FlashInfer chunk_gated_delta_rule' ELSE 'chunk_gated_delta_rule_fwd' END "
+          f"ELSE array_to_string(list_distinct(list_filter(list_transform(semantic_types, lambda t: {_OPS}), lambda o: o IS NOT NULL)), '、') END, '') AS ops")
+SQL["gdn_compare"] = with_views(V_SLICE, V_WINDOW, V_BLOCK, f"""
+v_sum AS (SELECT s.*, s."group" AS grp, w.stage FROM ({SQL['gdn_stage_summary']}) s JOIN v_window w USING (trace_id, window_id))""", f"""
+v_lab AS (SELECT {_PAIR}, grp, total_duration_us, scope = stage AS aligned, {_LABEL} FROM v_sum)""", """
+v_both AS (
+  SELECT pair_id, grp, l.total_duration_us AS left_us, r.total_duration_us AS right_us, l.ops AS lo, r.ops AS ro, coalesce(l.aligned AND r.aligned, FALSE) AS aligned
+  FROM (SELECT * FROM v_lab WHERE rk % 2 = 0) l FULL JOIN (SELECT * FROM v_lab WHERE rk % 2 = 1) r USING (pair_id, grp))""", f"""
+SELECT pair_id, grp AS "group", CASE WHEN grp = 'Chunk 主计算' THEN '分块主计算' ELSE grp END || coalesce('（' || CASE WHEN lo <> ro THEN 'left: ' || lo || chr(10) || 'right: ' || ro ELSE coalesce(lo, ro) END || '）', '') AS label,
+  left_us, right_us, {_RATIO.format(ok=f"len(blockers) = 0 AND aligned AND grp IN ({', '.join(text(c) for c in GDN_CORE_STAGES)})")}
+FROM v_both JOIN v_block USING (pair_id)""")
+SQL["rank_blocks"] = f"""
+SELECT trace_id, window_id, category, record_count, CAST(NULL AS VARCHAR) AS error_code,
+  CASE WHEN regexp_matches(trace_id || '.json.gz', '_rank(\\d+)[._]') THEN CAST(substr(trace_id, 9, 1) AS INT) END AS rank
+FROM ({SQL['category_summary']})"""
+
+# Benchmark logs and occupancy.
+V_GEMM = """
+v_cmd AS (
+  SELECT p_partkey AS line, p_size, p_partkey % 3 = 0 AS t, p_partkey % 4 + 1 AS n FROM part WHERE p_partkey % 7 <> 3),
+v_case AS (
+  SELECT line, CAST(p_size * 128 AS VARCHAR) AS m, CAST(n AS VARCHAR) AS n, CAST(p_size * 64 AS VARCHAR) AS k, CASE WHEN t THEN 'T' ELSE 'N' END AS transA FROM v_cmd),
+v_res AS (
+  SELECT l_partkey AS line, CASE WHEN l_linestatus = 'F' THEN 'baseline' ELSE 'optimized' END AS variant, max(l_linenumber) AS top,
+    CAST(sum(CAST(floor(l_extendedprice * 100.0::DOUBLE + 0.5::DOUBLE) AS BIGINT)) AS DOUBLE) AS us, CAST(sum(CAST(trunc(l_quantity) AS BIGINT)) * 1000 AS DOUBLE) AS gflops
+  FROM lineitem GROUP BY 1, 2),
+v_kern AS (SELECT line, variant, CASE WHEN top = 7 THEN NULL WHEN top % 2 = 0 THEN 'Cijk_Alik_Bljk_MT' || top || 'x16' ELSE 'Alik_' || top END AS kernel, gflops, us FROM v_res),
+v_gc AS (
+  SELECT c.*, CASE WHEN transA = 'T' THEN 'TransA=T, TransB=N' ELSE 'TransA=N, TransB=N, n=' || n END AS case_group,
+    b.kernel AS baseline_kernel, b.gflops AS baseline_gflops, b.us AS baseline_us, o.kernel AS optimized_kernel, o.gflops AS optimized_gflops, o.us AS optimized_us,
+    floor(o.gflops / nullif(b.gflops, 0) * 100.0::DOUBLE * 100.0::DOUBLE + 0.5::DOUBLE) / 100.0::DOUBLE AS gflops_pct,
+    floor(b.us / nullif(o.us, 0) * 100.0::DOUBLE * 100.0::DOUBLE + 0.5::DOUBLE) / 100.0::DOUBLE AS us_pct
+  FROM v_case c LEFT JOIN v_kern b ON b.line = c.line AND b.variant = 'baseline' LEFT JOIN v_kern o ON o.line = c.line AND o.variant = 'optimized')"""
+SQL["gemm_params"] = with_views(V_GEMM, """
+SELECT c.line, m, c.n, k, transA, 'N' AS transB, '1' AS alpha, '0' AS beta, m AS lda, NULL AS ldb, NULL AS ldc, NULL AS ldd,
+  'bf16_r' AS a_type, 'bf16_r' AS b_type, 'bf16_r' AS c_type, 'bf16_r' AS d_type, 'f32_r' AS compute_type FROM v_case c""")
+SQL["gemm_results"] = with_views(V_GEMM, "SELECT line, variant, kernel, gflops, us FROM v_kern")
+SQL["gemm_compare"] = with_views(V_GEMM, "SELECT * FROM v_gc")
+SQL["gemm_stats"] = with_views(V_GEMM, """
+SELECT case_group, count(*) AS case_count, CAST(sum(CAST(round(gflops_pct * 100) AS BIGINT)) AS DOUBLE) / count(*) / 100.0::DOUBLE AS mean_pct, max(gflops_pct) AS max_pct,
+  min(gflops_pct) AS min_pct, count_if(gflops_pct > 100) AS improved, count_if(gflops_pct < 100) AS regressed, count_if(gflops_pct = 100) AS unchanged
+FROM v_gc WHERE gflops_pct IS NOT NULL GROUP BY case_group""")
+V_OCC = """
+v_card AS (
+  SELECT p_size AS node, p_partkey AS card, '0000:' || p_partkey AS bus, CASE WHEN p_partkey % 2 = 0 THEN 0 ELSE p_size * 10 END AS used, p_partkey % 3 * 40 AS load FROM part),
+v_own AS (
+  SELECT p_size AS node, p_partkey AS card, o_orderkey AS pid, CASE WHEN o_orderkey % 9 = 0 THEN '-' ELSE 'worker_' || o_orderstatus END AS process,
+    CAST(o_orderkey % 512 AS VARCHAR) AS process_mem, CASE WHEN o_totalprice >= 400000 THEN '?' WHEN o_orderstatus = 'F' THEN 'serve_' || (o_orderkey % 5)
+    WHEN o_orderstatus = 'O' THEN '宿主机进程' ELSE '（进程已退出）' END AS owner
+  FROM orders JOIN part ON o_custkey = p_partkey WHERE o_orderpriority = '1-URGENT')"""
+SQL["card_owners"] = with_views(V_OCC, "SELECT * FROM v_own")
+SQL["card_state"] = with_views(V_OCC, """
+SELECT c.node, c.card, c.bus, c.used || 'MB' AS mem_used, '32768MB' AS mem_total, c.load || '%' AS util, count(DISTINCT o.pid) AS process_count,
+  string_agg(DISTINCT o.owner, '、' ORDER BY o.owner) AS owners, CASE WHEN count(o.pid) > 0 THEN 'busy' WHEN c.used > 0 THEN 'stuck' ELSE 'idle' END AS state
+FROM v_card c LEFT JOIN v_own o USING (node, card) GROUP BY c.node, c.card, c.bus, c.used, c.load""")
+SQL["idle_cards"] = with_views(V_OCC, "SELECT node, card, bus FROM v_card WHERE used = 0 AND load = 0")
+
+# Phase annotations and dump cases.
+SQL["phase_fields"] = """
+SELECT 'run_rank' || (o_custkey % 4) AS trace_id, o_orderkey AS id,
+  'PHASE_GRAPH step=' || o_orderkey || CASE WHEN o_orderkey % 13 = 0 THEN '' ELSE ' phase=' || lower(o_orderstatus) END || ' tokens=' || o_custkey ||
+  CASE WHEN o_orderkey % 2 = 0 THEN ' padded=' || (o_custkey + 1) ELSE '' END || ' mode=' || substr(o_orderpriority, 3) || ' computed=[' || o_custkey || ',' || o_orderkey || '] prompt=[' || o_orderkey || ']' AS name,
+  o_orderkey AS step, CASE WHEN o_orderkey % 13 <> 0 THEN lower(o_orderstatus) END AS phase, o_custkey AS tokens,
+  string_split(substr(o_orderpriority, 3), ' ')[1] AS mode, CASE WHEN o_orderkey % 2 = 0 THEN o_custkey + 1 END AS padded,
+  [o_custkey, o_orderkey] AS computed, [o_orderkey] AS prompt, CASE WHEN o_orderkey % 13 = 0 THEN 'missing_fields' END AS error_code
+FROM orders"""
+SQL["launch_counts"] = f"""
+WITH s AS (SELECT 'run_rank' || (o_custkey % 4) AS trace_id, o_orderkey AS scope_id, epoch_us(o_orderdate) * 1000 AS t, o_custkey % 7 AS tid FROM orders),
+l AS (SELECT 'run_rank' || (l_partkey % 4) AS trace_id, epoch_us(l_shipdate) * 1000 AS t, l_orderkey % 7 AS tid FROM lineitem WHERE l_suppkey % 5 IN (0, 1, 3))
+SELECT s.trace_id, s.scope_id, count(l.t) AS graph_launches
+FROM s LEFT JOIN l ON s.trace_id = l.trace_id AND s.tid = l.tid AND l.t >= s.t AND l.t < s.t + {120 * HOUR_NS} GROUP BY ALL"""
+V_DUMP = """
+v_dump AS (
+  SELECT l_returnflag || l_linestatus AS operator, sha256(CAST(trunc(l_quantity) AS INT) || '/' || CAST(round(l_discount * 100) AS INT) || '/' || CAST(round(l_tax * 100) AS INT)) AS content_hash,
+    min(l_orderkey * 8 + l_linenumber) AS representative, count(*) AS copies
+  FROM lineitem WHERE epoch_us(l_shipdate) * 1000 BETWEEN 900000000000000000 AND 950000000000000000 GROUP BY 1, 2)"""
+SQL["dump_dedup"] = with_views(V_DUMP, "SELECT * FROM v_dump")
+SQL["dump_counts"] = with_views(V_DUMP, "SELECT operator, CAST(sum(copies) AS BIGINT) AS before_count, count(*) AS after_count FROM v_dump GROUP BY operator")
