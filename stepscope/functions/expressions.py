@@ -1,6 +1,8 @@
 """Scalar expressions: exact time, attribute lookup, symbol normalisation and text."""
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -69,11 +71,8 @@ def is_graph_launch(name: Column) -> Column:
 
 
 def contains_any(text: Column, words: list[str]) -> Column:
-    """True when any of the words occurs in the text."""
-    hit = text.contains(words[0])
-    for word in words[1:]:
-        hit = hit | text.contains(word)
-    return hit
+    """True when any of the words occurs in the text; the text is evaluated once."""
+    return text.rlike("|".join(re.escape(w) for w in words))
 
 
 def normalized_symbol(name: Column) -> Column:
