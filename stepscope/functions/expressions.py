@@ -45,10 +45,13 @@ def normal_key(key: Column) -> Column:
 
 
 def attribute(args: Column, *names: str) -> Column:
-    """First non-null attribute among several spellings, compared by normalised key."""
-    keyed = F.transform_keys(args, lambda k, _: normal_key(k))
-    spellings = ["".join(ch for ch in n.lower() if ch.isalnum()) for n in names]
-    return F.coalesce(*[F.try_element_at(keyed, F.lit(s)) for s in spellings])
+    """First non-null attribute among several spellings, compared by normalised key; the last equal key wins."""
+    entries = F.map_entries(args)
+
+    def lookup(spelling: str) -> Column:
+        return F.try_element_at(F.filter(entries, lambda e: normal_key(e["key"]) == spelling), F.lit(-1))["value"]
+
+    return F.coalesce(*[lookup("".join(ch for ch in n.lower() if ch.isalnum())) for n in names])
 
 
 def external_id(args: Column) -> Column:

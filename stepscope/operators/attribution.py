@@ -98,6 +98,7 @@ def attribution(slices: DataFrame, kernels: DataFrame) -> DataFrame:
     per launch, tier 1: the launch's external id; tier 2: the innermost CPU operator around the launch;
     tier 3: the launch alone. Graph launches are no evidence of the original operator.
     """
+    kernels = materialize(kernels.select("trace_id", "id", "name", "correlation", "external_id", "ts_ns"))
     finished = complete(slices)
     cpu_ops = finished.filter("category = 'cpu_op'")
     wanted = kernels.select("trace_id", "correlation").filter("correlation IS NOT NULL").distinct()
@@ -116,18 +117,18 @@ def attribution(slices: DataFrame, kernels: DataFrame) -> DataFrame:
     asked = direct.filter("kernel_ext IS NOT NULL").selectExpr("trace_id", "thread", "kernel_ext AS ext", "launch_id",
                                                                "launch_ts AS at").distinct()
     named = _labelled_ops(asked, cpu_ops).select("trace_id", "launch_id", F.col("ext").alias("kernel_ext"), "op_id")
-    tier0 = direct.join(named, ["trace_id", "launch_id", "kernel_ext"]).selectExpr(
-        "trace_id", "kernel_id", "op_id AS host_id", "op_id", "'external-id' AS basis").distinct()
+    tier0 = materialize(direct.join(named, ["trace_id", "launch_id", "kernel_ext"]).selectExpr(
+        "trace_id", "kernel_id", "op_id AS host_id", "op_id", "'external-id' AS basis").distinct())
 
     # Tiers 1 to 3, per distinct launch.
     calls = materialize(direct.select("trace_id", "thread", "launch_id", "launch_name", "launch_ts", "launch_dur", "launch_ext",
                                       "pid", "tid").distinct())
-    tier1 = _labelled_ops(calls.filter("launch_ext IS NOT NULL").selectExpr(
+    tier1 = materialize(_labelled_ops(calls.filter("launch_ext IS NOT NULL").selectExpr(
         "trace_id", "thread", "launch_ext AS ext", "launch_id", "launch_ts AS at"), cpu_ops).selectExpr(
-        "trace_id", "launch_id", "op_id", "'correlation+launch-external-id' AS basis")
+        "trace_id", "launch_id", "op_id", "'correlation+launch-external-id' AS basis"))
     rest = calls.join(tier1, ["trace_id", "launch_id"], "left_anti")
-    tier2 = innermost_ops(rest.selectExpr("trace_id", "pid", "tid", "launch_id AS id", "launch_ts AS ts_ns"), cpu_ops).selectExpr(
-        "trace_id", "host_id AS launch_id", "op_id", "'correlation+host-thread-enclosure' AS basis")
+    tier2 = materialize(innermost_ops(rest.selectExpr("trace_id", "pid", "tid", "launch_id AS id", "launch_ts AS ts_ns"), cpu_ops).selectExpr(
+        "trace_id", "host_id AS launch_id", "op_id", "'correlation+host-thread-enclosure' AS basis"))
     tier3 = rest.join(tier2, ["trace_id", "launch_id"], "left_anti").selectExpr(
         "trace_id", "launch_id", "CAST(NULL AS BIGINT) AS op_id", "'correlation+python-frame' AS basis")
     by_launch = tier1.unionByName(tier2).unionByName(tier3)
@@ -139,10 +140,10 @@ def attribution(slices: DataFrame, kernels: DataFrame) -> DataFrame:
     op_rows = cpu_ops.filter(f"NOT {GRAPH_LAUNCH.format(n='name')}")
     unlinked = subjects.filter("n_launch = 0 AND kernel_ext IS NOT NULL")
     asked_ext = unlinked.selectExpr("trace_id", "kernel_ext AS external_id").distinct()
-    site_hosts = op_rows.join(asked_ext, ["trace_id", "external_id"], "left_semi").select("trace_id", "pid", "tid", "id", "ts_ns", "dur_ns") \
+    site_hosts = materialize(op_rows.join(asked_ext, ["trace_id", "external_id"], "left_semi").select("trace_id", "pid", "tid", "id", "ts_ns", "dur_ns") \
         .unionByName(op_rows.join(tier0.select("trace_id", F.col("op_id").alias("id")), ["trace_id", "id"], "left_semi")
                      .select("trace_id", "pid", "tid", "id", "ts_ns", "dur_ns")) \
-        .unionByName(calls.selectExpr("trace_id", "pid", "tid", "launch_id AS id", "launch_ts AS ts_ns", "launch_dur AS dur_ns")).distinct()
+        .unionByName(calls.selectExpr("trace_id", "pid", "tid", "launch_id AS id", "launch_ts AS ts_ns", "launch_dur AS dur_ns")).distinct())
     located = materialize(site_hosts.selectExpr("trace_id", "id AS host_id", "pid", "tid").join(
         host_frames(site_hosts, frames), ["trace_id", "host_id"], "left"))
     names = op_rows.selectExpr("trace_id", "id AS op_id", "name AS cpu_op", _call_stack(slices))

@@ -3,10 +3,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import account, attribution, context, events, phases, steps, windows
+from ..operators.classify import with_detail
 from ..sources.rules import RuleSet
 
 
@@ -78,5 +79,20 @@ def pair_report(mapping: DataFrame, formal: DataFrame, rules: RuleSet, configs:
             "formal_graphs": attribution.graph_evidence(formal, timed_events), "devices": events.device_identities(timed_events), **tables}
 
 
+def report_pair(spark: SparkSession, left: str, right: str) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+    """Summary, time-account and stage tables of two stored reports; a report is not compared with itself."""
+    if left.rstrip("/") == right.rstrip("/"):
+        raise ValueError("comparison needs two distinct reports")
+    names = ("summary", "time_account", "gdn_stages", "metadata", "provenance")
+    return tuple({n: spark.read.parquet(f"{folder.rstrip('/')}/{n}") for n in names} for folder in (left, right))
+
+
+def table_report(rows: DataFrame, rules: RuleSet) -> dict[str, DataFrame]:
+    """Category report of aggregated kernel tables; invalid rows are kept apart with their error."""
+    valid = rows.filter("error_code IS NULL")
+    return {"summary": account.reclassified_table(valid, rules, ["table_id"]), "rejected": rows.filter("error_code IS NOT NULL"),
+            "kernels": with_detail(valid, rules)}
+
+
 def _quoted(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
