@@ -124,8 +124,10 @@ def uncertain_events(links: DataFrame, owned: DataFrame, scope_rt: DataFrame, fl
              .join(links.select("trace_id", "id", "correlation", "ts_ns", "basis"), ["trace_id", "id"]))
     flow_only = pairs.filter("basis = 'flow'").join(owned, ["trace_id", "id", "scope_id"], "left_anti")
     stray = pairs.filter("basis <> 'flow'").join(touch, ["trace_id", "correlation", "scope_id"], "left_anti")
-    extra = flow_only.select("trace_id", "scope_id", "ts_ns").unionByName(stray.select("trace_id", "scope_id", "ts_ns")) \
-        .groupBy("trace_id", "scope_id").agg(F.expr("count(1) AS n_extra"), F.expr("min(ts_ns) AS extra_ts"))
+    # Scopes that flow edges touch stay in the result without an uncertain event, too.
+    reached = pairs.selectExpr("trace_id", "scope_id", "CAST(NULL AS BIGINT) AS ts_ns")
+    extra = flow_only.select(*reached.columns).unionByName(stray.select(*reached.columns)).unionByName(reached) \
+        .groupBy("trace_id", "scope_id").agg(F.expr("count(ts_ns) AS n_extra"), F.expr("min(ts_ns) AS extra_ts"))
     mine = owned.filter("basis <> 'flow'").groupBy("trace_id", "scope_id").agg(F.expr("count(1) AS n_mine"))
     joined = touched.join(extra, ["trace_id", "scope_id"], "full").join(mine, ["trace_id", "scope_id"], "left")
     return joined.selectExpr(

@@ -144,7 +144,7 @@ FROM v_detail WHERE v_detail.category IS NULL GROUP BY 1, 2, 3""")
 
 SQL["window_metadata"] = with_views(V_SLICE, V_WINDOW, V_STARTED, """
 SELECT w.trace_id, w.window_id, w.stage, w.start_ns, w.end_ns, (w.end_ns - w.start_ns) / 1000.0::DOUBLE AS window_duration_us,
-  count(s.id) AS selected_event_count, count_if(s.ts_ns + s.dur_ns > w.end_ns) AS events_crossing_end,
+  count(s.id) AS selected_event_count, coalesce(count_if(s.ts_ns + s.dur_ns > w.end_ns), 0) AS events_crossing_end,
   count(DISTINCT s.track_id) AS track_count, CAST(coalesce(sum(s.dur_ns), 0) AS BIGINT) / 1000.0::DOUBLE AS selected_total_duration_us,
   CASE WHEN count(s.id) = 0 THEN 'no_device_events' END AS error_code
 FROM v_window w LEFT JOIN v_started s USING (trace_id, window_id)
