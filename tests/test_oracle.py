@@ -2,17 +2,18 @@
 import oracle_compare
 import pytest
 
-from __spark_entry__ import oracle_sql, queries
+from stepscope.plans.catalog import QUERIES
+from stepscope.plans.oracle import SQL
 
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_statement(spark, name):
-    assert name in oracle_sql()
-    assert oracle_compare.difference(queries()[name](spark, SF), oracle_compare.connect(SF), oracle_sql()[name]) is None
+    assert name in SQL
+    assert oracle_compare.difference(QUERIES[name](spark, SF), oracle_compare.connect(SF), SQL[name]) is None
 
 
 @pytest.mark.parametrize("name", ["window_coverage", "step_windows", "attribution_tiers", "phase_split", "launch_counts", "scope_runtimes"])
 def test_bins_do_not_change_results(spark, small_bins, name):
-    assert oracle_compare.difference(queries()[name](spark, SF), oracle_compare.connect(SF), oracle_sql()[name]) is None
+    assert oracle_compare.difference(QUERIES[name](spark, SF), oracle_compare.connect(SF), SQL[name]) is None
