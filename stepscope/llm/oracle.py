@@ -1,6 +1,8 @@
 """DuckDB statements of the queries that SQL can state."""
 from __future__ import annotations
 
+from .secret_rules import RULES
+
 SQL = {}
 
 SQL["op2_mixing"] = r"""
@@ -38,3 +40,33 @@ placed AS (
 SELECT doc_id, size, source_size, target, CAST(whole * size + greatest(0, least(size, remaining)) AS BIGINT) AS taken,
        CAST(whole AS BIGINT) AS whole, CAST(greatest(0, least(size, remaining)) AS BIGINT) AS part
 FROM placed"""
+
+
+
+def _spans(kind: str, order: int, pattern: str, group: int, least: int) -> str:
+    """List of (start, rule, stop) of one rule: lengths of the pieces between matches and of the matches, added up."""
+    quoted = pattern.replace("'", "''")
+    return f"""list_transform(list_filter(list_transform(range(1, len(regexp_extract_all(body, '{quoted}')) + 1), lambda i: struct_pack(
+      start := CAST(list_sum(list_transform(regexp_split_to_array(body, '{quoted}')[1:i], lambda x: length(x)))
+             + coalesce(list_sum(list_transform(regexp_extract_all(body, '{quoted}')[1:i - 1], lambda x: length(x))), 0) AS BIGINT),
+      rule := {order}, kind := '{kind}', n := length(regexp_extract_all(body, '{quoted}')[i]),
+      part := length(regexp_extract_all(body, '{quoted}', {group})[i]))), lambda s: s.part >= {least}),
+      lambda s: struct_pack(start := s.start, rule := s.rule, span := s.kind || ':' || s.start || ':' || (s.start + s.n)))"""
+
+
+def _secrets() -> str:
+    lists = ",\n    ".join(f"{_spans(r.kind, i, r.pattern, r.group, r.least)} AS s{i}" for i, r in enumerate(RULES))
+    every = "list_concat(" * (len(RULES) - 1) + "s0" + "".join(f", s{i})" for i in range(1, len(RULES)))
+    return f"""
+WITH found AS (
+  SELECT doc_id, {lists}
+  FROM (SELECT doc_id, coalesce(text, '') AS body FROM documents)),
+listed AS (
+  SELECT *, list_sort(list_concat(list_concat(s0, s1), s2)) AS base, list_sort({every}) AS every FROM found)
+SELECT doc_id, CAST(len(s0) AS BIGINT) AS n_assign, CAST(len(s1) AS BIGINT) AS n_access, CAST(len(s2) AS BIGINT) AS n_hex,
+       sha256(array_to_string(list_transform(base, lambda s: s.span), ',')) AS base_sha256,
+       array_to_string(list_transform(every, lambda s: s.span), ',') AS spans
+FROM listed"""
+
+
+SQL["op8_secrets"] = _secrets()
