@@ -43,24 +43,26 @@ FROM placed"""
 
 
 
-def _spans(kind: str, order: int, pattern: str, group: int, least: int) -> str:
-    """List of (start, rule, stop) of one rule: lengths of the pieces between matches and of the matches, added up."""
-    quoted = pattern.replace("'", "''")
-    return f"""list_transform(list_filter(list_transform(range(1, len(regexp_extract_all(body, '{quoted}')) + 1), lambda i: struct_pack(
-      start := CAST(list_sum(list_transform(regexp_split_to_array(body, '{quoted}')[1:i], lambda x: length(x)))
-             + coalesce(list_sum(list_transform(regexp_extract_all(body, '{quoted}')[1:i - 1], lambda x: length(x))), 0) AS BIGINT),
-      rule := {order}, kind := '{kind}', n := length(regexp_extract_all(body, '{quoted}')[i]),
-      part := length(regexp_extract_all(body, '{quoted}', {group})[i]))), lambda s: s.part >= {least}),
-      lambda s: struct_pack(start := s.start, rule := s.rule, span := s.kind || ':' || s.start || ':' || (s.start + s.n)))"""
-
-
 def _secrets() -> str:
-    lists = ",\n    ".join(f"{_spans(r.kind, i, r.pattern, r.group, r.least)} AS s{i}" for i, r in enumerate(RULES))
+    """Spans of each rule from the lengths of its matches and of the pieces between them."""
+    def pattern(rule) -> str:  # a run of one class can be asked for its least length at once
+        return (rule.pattern[:-1] + f"{{{rule.least},}}" if rule.kind == "hex" else rule.pattern).replace("'", "''")
+
+    pieces = ",\n    ".join(
+        f"regexp_extract_all(body, '{pattern(r)}') AS m{i}, regexp_extract_all(body, '{pattern(r)}', {r.group}) AS p{i}, "
+        f"regexp_split_to_array(body, '{pattern(r)}') AS g{i}" for i, r in enumerate(RULES))
+    lists = ",\n    ".join(f"""list_transform(list_filter(list_transform(range(1, len(m{i}) + 1), lambda i: struct_pack(
+      start := CAST(list_sum(list_transform(g{i}[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m{i}[1:i - 1], lambda x: length(x))), 0) AS BIGINT),
+      n := length(m{i}[i]), part := length(p{i}[i]))), lambda s: s.part >= {r.least}),
+      lambda s: struct_pack(start := s.start, rule := {i}, span := '{r.kind}:' || s.start || ':' || (s.start + s.n))) AS s{i}""" for i, r in enumerate(RULES))
     every = "list_concat(" * (len(RULES) - 1) + "s0" + "".join(f", s{i})" for i in range(1, len(RULES)))
     return f"""
-WITH found AS (
-  SELECT doc_id, {lists}
+WITH pieces AS (
+  SELECT doc_id, {pieces}
   FROM (SELECT doc_id, coalesce(text, '') AS body FROM documents)),
+found AS (
+  SELECT doc_id, {lists}
+  FROM pieces),
 listed AS (
   SELECT *, list_sort(list_concat(list_concat(s0, s1), s2)) AS base, list_sort({every}) AS every FROM found)
 SELECT doc_id, CAST(len(s0) AS BIGINT) AS n_assign, CAST(len(s1) AS BIGINT) AS n_access, CAST(len(s2) AS BIGINT) AS n_hex,
