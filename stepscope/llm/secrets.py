@@ -120,6 +120,6 @@ def digest(scanned: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         kinds = F.array(*[F.lit(r.kind) for r in rules])
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(kinds, s["rule"] + 1), s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
-    counts = [F.size(F.filter("spans", lambda s, i=i: s["rule"] == i)).cast("long").alias(f"n_{r.kind}") for i, r in enumerate(rules[:BASE])]
+    counts = [F.expr(f"CAST(size(filter(spans, s -> s.rule = {i})) AS BIGINT)").alias(f"n_{r.kind}") for i, r in enumerate(rules[:BASE])]
     base = F.filter("spans", lambda s: s["rule"] < BASE)
     return scanned.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
