@@ -31,6 +31,9 @@ RULES = (
 BASE = 3
 # Alternative strings that one stretch of a pattern may stand for before the stretch is cut.
 MOST_STRINGS = 64
+# Trigrams asked for of each string: those with the rarest letters. Fewer trigrams give a weaker condition, never a wrong one.
+GRAMS_PER_STRING = 2
+COMMON_FIRST = " etaoinsrhldcumfpgwybvkxjqz"
 
 Query = tuple  # ("all",) | ("gram", g) | ("and" | "or", [queries])
 ALL: Query = ("all",)
@@ -48,7 +51,11 @@ def either(parts: list[Query]) -> Query:
 def of_strings(strings: set[str]) -> Query:
     """Some of the strings occurs in the text. A string that holds another one adds nothing."""
     strings = {s for s in strings if not any(o != s and o in s for o in strings)}
-    return either([both([("gram", g) for g in sorted({s[i:i + 3] for i in range(len(s) - 2)})]) for s in sorted(strings)])
+    return either([both([("gram", g) for g in rarest({s[i:i + 3] for i in range(len(s) - 2)})]) for s in sorted(strings)])
+
+
+def rarest(found: set[str]) -> list[str]:
+    return sorted(found, key=lambda g: (-sum(COMMON_FIRST.find(c) % 40 for c in g), g))[:GRAMS_PER_STRING]
 
 
 def characters(items: list) -> set[str] | None:

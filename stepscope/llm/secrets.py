@@ -40,9 +40,9 @@ def whole_text(docs: DataFrame) -> Column:
 
 def postings(docs: DataFrame, wanted: list[str]) -> DataFrame:
     """Inverted index: ``gram`` (number of the trigram in ``wanted``), ``key`` (text)."""
-    low = F.lower(whole_text(docs))
-    held = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(g)), F.lit(i)) for i, g in enumerate(wanted)]))
-    return docs.select(text_key(whole_text(docs)).alias("key"), held.alias("held")).select("key", F.explode("held").alias("gram"))
+    texts = docs.select(text_key(whole_text(docs)).alias("key"), F.lower(whole_text(docs)).cast("binary").alias("low"))  # folded once, not for each trigram
+    held = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(g.encode())), F.lit(i)) for i, g in enumerate(wanted)]))
+    return texts.select("key", F.explode_outer(held).alias("gram")).filter("gram IS NOT NULL")
 
 
 def holds(query: Query, bit: dict[str, Column]) -> Column:
