@@ -4,8 +4,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing, secrets
+from . import mixing, quality, secrets, toxicity
+from .labelled import fold
 from .oracle import SQL  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,3 +33,22 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secret spans of each document."""
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def _classified(spark: SparkSession, sf_dir: str, module, folds: int, held_out: int) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = module.fit(docs, table(spark, sf_dir, "labels"), fold(F.col("doc_id"), folds) != held_out)
+    scored = module.predict(module.score(docs, model))
+    return scored.select("doc_id", (fold(F.col("doc_id"), folds) == held_out).alias("held_out"), "score", "predicted")
+
+
+@query
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probability that a document is toxic."""
+    return _classified(spark, sf_dir, toxicity, 5, 0)
+
+
+@query
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probability that a document is of good quality."""
+    return _classified(spark, sf_dir, quality, 4, 2)
