@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality, secrets, toxicity
+from . import mixing, packing, quality, secrets, toxicity
 from .labelled import fold
 from .oracle import SQL  # noqa: F401
 
@@ -52,3 +52,9 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Probability that a document is of good quality."""
     return _classified(spark, sf_dir, quality, 4, 2)
+
+
+@query
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents and where they lie in the packed sequences."""
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
