@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality, secrets, toxicity
+from . import lempel_ziv, mixing, packing, quality, secrets, toxicity
 from .labelled import fold
 from .oracle import SQL  # noqa: F401
 
@@ -58,3 +58,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents and where they lie in the packed sequences."""
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op4_lempel_ziv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document left without passages of earlier documents."""
+    parsed = lempel_ziv.parse(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return parsed.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), F.size("factors").alias("n_factors"))

@@ -21,12 +21,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .secret_rules import ALL, BASE, RULES, Query, Rule, check, grams, trigram_query
-from .store import stored
+from .store import PRUNE, stored
 
 BITS = 60  # trigram bits per column
-PRUNE = {"spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
-         "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "1MB",
-         "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1GB"}
 SPANS = "array<struct<start:int,rule:int,stop:int>>"
 
 
@@ -93,7 +90,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     texts = docs.select(text_key(whole_text(docs)).alias("key"), whole_text(docs).alias("body"))
     verified = texts.join(found, "key").select("key", F.concat(*[
         F.when(F.expr(f"(rules & {1 << i}) <> 0"), matches(F.col("body"), rules[i], i)).otherwise(F.array().cast(SPANS)) for i in indexed]).alias("verified"))
-    verified = stored(verified.filter(F.size("verified") > 0).groupBy("key").agg(F.max("verified").alias("verified")), **{k: v for k, v in PRUNE.items()})
+    verified = stored(verified.filter(F.size("verified") > 0).groupBy("key").agg(F.max("verified").alias("verified")), **PRUNE)
     scanned = docs.withColumns({"_key": text_key(whole_text(docs)),
                                 "_full": F.concat(*[matches(whole_text(docs), rules[i], i) for i in full]) if full else F.array().cast(SPANS)})
     joined = scanned.join(verified.withColumnRenamed("key", "_key"), "_key", "left")

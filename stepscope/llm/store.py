@@ -10,6 +10,11 @@ from ..session import materialize
 
 CLEANUP = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 
+# Inner joins of texts with few of them: Spark's own Bloom filter (at most 8 MB, whatever the sizes) prunes texts before they are shuffled.
+PRUNE = {"spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+         "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "1MB",
+         "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1GB"}
+
 
 @contextmanager
 def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
