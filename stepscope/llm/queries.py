@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lempel_ziv, mixing, packing, quality, secrets, toxicity
+from . import lempel_ziv, mixing, multi_index, packing, quality, secrets, toxicity
 from .labelled import fold
 from .oracle import SQL  # noqa: F401
 
@@ -65,3 +65,9 @@ def op4_lempel_ziv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each document left without passages of earlier documents."""
     parsed = lempel_ziv.parse(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return parsed.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), F.size("factors").alias("n_factors"))
+
+
+@query
+def op1_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten nearest vectors of every hundredth one."""
+    return multi_index.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 100 == 0)
