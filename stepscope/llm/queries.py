@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lempel_ziv, mixing, multi_index, packing, quality, secrets, toxicity
+from . import cover_tree, lempel_ziv, mixing, multi_index, packing, quality, secrets, toxicity
 from .labelled import fold
 from .oracle import SQL  # noqa: F401
 
@@ -71,3 +71,9 @@ def op4_lempel_ziv(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten nearest vectors of every hundredth one."""
     return multi_index.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 100 == 0)
+
+
+@query
+def op3_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near-duplicate vectors."""
+    return cover_tree.dedup(table(spark, sf_dir, "embeddings"))
