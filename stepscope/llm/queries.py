@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cover_tree, lempel_ziv, mixing, multi_index, packing, quality, secrets, toxicity
+from . import cover_tree, lempel_ziv, mixing, multi_index, packing, prefix_join, quality, secrets, toxicity
 from .labelled import fold
 from .oracle import SQL  # noqa: F401
 
@@ -77,3 +77,9 @@ def op1_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of near-duplicate vectors."""
     return cover_tree.dedup(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op6_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents linked by shared shingles."""
+    return prefix_join.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
