@@ -20,8 +20,8 @@ Sets that are equal are one node, so exact copies cost nothing. Links are verifi
 contraction in Spark.
 
 Defined cases: null and blank texts have an empty set and link with nothing; a text with fewer words than a shingle has its whole
-word sequence as its one shingle; rows with one doc_id are one node; a row without doc_id takes no part and has no component; an
-empty table gives no rows; further columns are not read. Equality is that of 64-bit hashes.
+word sequence as its one shingle; rows with one doc_id are one node,
+compared by the text whose set has the smallest hash; a row without doc_id takes no part and has no component; an empty table gives no rows; further columns are not read. Equality is that of 64-bit hashes.
 """
 from __future__ import annotations
 
@@ -259,6 +259,10 @@ def join(docs: DataFrame, n: int = SHINGLE, similarity: Fraction = SIMILARITY) -
 
 
 def keep_first(docs: DataFrame, n: int = SHINGLE, similarity: Fraction = SIMILARITY) -> DataFrame:
-    """The documents without later members of their groups; columns stay as they were. Rows without doc_id are kept."""
+    """The documents without later members of their groups, and one row per doc_id; columns stay as they were. Rows without doc_id
+    are kept."""
     gone = join(docs, n, similarity).filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    if docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return kept
+    return kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id IS NULL"))
