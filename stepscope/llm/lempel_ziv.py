@@ -112,8 +112,11 @@ def boundary_windows(docs: DataFrame, pending: DataFrame, window: int) -> DataFr
 
 
 def earlier(rows: DataFrame, key: str, kept: list[str]) -> DataFrame:
-    """Attach ``source``, the smallest document with the same key."""
-    return rows.join(rows.groupBy(key).agg(F.min("doc_id").alias("source")), key).select(*kept, "source")
+    """Attach ``source``, the smallest document with the same key.
+
+    The smallest documents are stored first: an aggregate inside the join would tie all rows of a hot key to one task."""
+    first = stored(rows.groupBy(key).agg(F.min("doc_id").alias("source")))
+    return rows.join(first, key).select(*kept, "source")
 
 
 def copied(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -123,7 +126,7 @@ def copied(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     candidates = stored(index.join(shared, "anchor"))
     found = stored(earlier(candidates, "block", ["anchor", "block", "doc_id", "at"]))
     whole = found.filter("source < doc_id").select("doc_id", "at", "source")
-    varied = candidates.groupBy("anchor").agg(F.min("block").alias("lo"), F.max("block").alias("hi")).filter("lo <> hi").select("anchor")
+    varied = stored(candidates.groupBy("anchor").agg(F.min("block").alias("lo"), F.max("block").alias("hi")).filter("lo <> hi").select("anchor"))
     pending = stored(found.filter("source = doc_id").join(varied, "anchor").select("doc_id", "at"))
     single = stored(boundary_windows(docs, pending, window), **PRUNE)
     return whole.unionByName(earlier(single, "window", ["doc_id", "at"]).filter("source < doc_id"))
