@@ -31,4 +31,5 @@ def components(edges: DataFrame) -> DataFrame:
     for later in maps[1:]:
         labels = labels.join(later.withColumnRenamed("a", "label"), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
     labels = stored(labels)
-    return labels.join(labels.groupBy("label").agg(F.min("node").alias("component")), "label").select("node", "component")
+    smallest = stored(labels.groupBy("label").agg(F.min("node").alias("component")))  # stored, so that a join on a large component can be split
+    return labels.join(smallest, "label").select("node", "component")

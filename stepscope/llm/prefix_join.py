@@ -236,7 +236,7 @@ def join(docs: DataFrame, n: int = SHINGLE, similarity: Fraction = SIMILARITY) -
                .filter("n >= asked").select("a", "b"))
 
     hot = index.filter(f"df > {HOT} AND pos < base").withColumn("bare", F.col("asked") == 0)
-    centres = hot.filter("bare").groupBy("token").agg(F.min(F.struct("node", "size")).alias("centre"))
+    centres = stored(hot.filter("bare").groupBy("token").agg(F.min(F.struct("node", "size")).alias("centre")))
     spokes = (hot.join(centres, "token").select("node", "size", F.col("centre.node").alias("c"), F.col("centre.size").alias("size_c"))
               .filter((F.col("node") != F.col("c")) & like_sizes("size", "size_c", similarity)).groupBy("node", "c").count())
     star = spokes.groupBy("node").agg(F.max_by("c", F.struct("count", -F.col("c"))).alias("c")).select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b"))
