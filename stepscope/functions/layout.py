@@ -16,6 +16,8 @@ from ..session import rows_per_bin
 
 # One bin for everything: start of the only bin is 0 for any nonnegative time below this width.
 WHOLE_AXIS = 1 << 62
+# Widths are kept by a hash of the key with so many values.
+WIDTH_SLOTS = 1024
 # Interval width classes are powers of 2**CLASS_STEP.
 CLASS_STEP = 3
 MIN_CLASS_BITS = 9
@@ -27,18 +29,25 @@ def bin_start(at: Column, width: Column) -> Column:
 
 
 def bin_width(df: DataFrame, at: str, keys: Sequence[str] = ("trace_id",), target: int | None = None) -> Column:
-    """Scalar subquery: bin width at which the densest hot key holds about ``target`` rows a bin.
+    """Bin width of a row's key, at which a hot key holds about ``target`` rows a bin.
 
-    The statistics are one partially aggregated row per key. Without a key above the target there is
-    one bin, so small traces pay no extra cuts.
+    The statistics are one partially aggregated row per key. They are folded into a scalar subquery of
+    ``WIDTH_SLOTS`` widths, found by a hash of the key, so a dense key does not cut the others finer.
+    Keys below the target have one bin, and so have keys whose rows share one instant: cuts cannot part them.
     """
     rows = target or rows_per_bin(df.sparkSession)
     per_key = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.min(at).alias("lo"), F.max(at).alias("hi"))
-    hot = per_key.filter(F.col("n") > rows).select(
-        (((F.col("hi") - F.col("lo") + 1) / F.col("n")) * F.lit(float(rows))).cast("bigint").alias("w"))
-    width = hot.agg(F.min("w").alias("w")).scalar()
-    return F.greatest(F.coalesce(width, F.lit(WHOLE_AXIS)), F.lit(1).cast("bigint"))
+    hot = per_key.filter((F.col("n") > rows) & (F.col("hi") > F.col("lo"))).select(
+        _slot(keys).alias("slot"), (((F.col("hi") - F.col("lo") + 1) / F.col("n")) * F.lit(float(rows))).cast("bigint").alias("w"))
+    slots = hot.groupBy("slot").agg(F.min("w").alias("w"))
+    widths = slots.agg(F.map_from_entries(F.collect_list(F.struct("slot", "w"))).alias("m")).select(
+        F.transform(F.sequence(F.lit(0), F.lit(WIDTH_SLOTS - 1)), lambda i: F.try_element_at("m", i)).alias("w")).scalar()
+    return F.greatest(F.coalesce(F.get(widths, _slot(keys)), F.lit(WHOLE_AXIS)), F.lit(1).cast("bigint"))
+
+
+def _slot(keys: Sequence[str]) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(WIDTH_SLOTS)).cast("int")
 
 
 def with_totals(df: DataFrame, keys: Sequence[str], **totals: Column) -> DataFrame:

@@ -49,8 +49,11 @@ def nth_step(pairs: DataFrame, step: int = 2) -> DataFrame:
     return pairs.filter(F.col("step") == step)
 
 
-def step_windows(pairs: DataFrame, device: DataFrame, runtimes: DataFrame, flows: DataFrame) -> DataFrame:
-    """Device window of each step: first owned event of the step to that of its successor."""
+def step_windows(pairs: DataFrame, device: DataFrame, runtimes: DataFrame, flows: DataFrame, explicit_scope: bool = False) -> DataFrame:
+    """Device window of each step: first owned event of the step to that of its successor.
+
+    ``explicit_scope``: the caller has named the device or its tracks, so events without a device are no doubt.
+    """
     successor = pairs.selectExpr("trace_id", "next_id AS id", "next_name AS name", "next_ts_ns AS ts_ns") \
         .filter("id IS NOT NULL")
     scopes = pairs.select("trace_id", "id", "name", "ts_ns", "dur_ns", "track_id", "host_thread")
@@ -61,7 +64,7 @@ def step_windows(pairs: DataFrame, device: DataFrame, runtimes: DataFrame, flows
     links = materialize(event_links(device, runtimes, flows))
     scope_rt = materialize(scope_runtimes(all_scopes, runtimes))
     owned = materialize(owned_events(links, scope_rt, runtimes, flows))
-    bounds = materialize(boundaries_from(all_scopes, links, scope_rt, owned, flows))
+    bounds = materialize(boundaries_from(all_scopes, links, scope_rt, owned, flows, explicit_scope))
     a = bounds.selectExpr("trace_id", "scope_id AS id", "first_ts_ns AS start_ns", "device AS d1", "error_code AS e1")
     b = bounds.selectExpr("trace_id", "scope_id AS next_id", "first_ts_ns AS end_ns", "device AS d2", "error_code AS e2")
     spans = pairs.join(a, ["trace_id", "id"], "left").join(b, ["trace_id", "next_id"], "left").selectExpr(

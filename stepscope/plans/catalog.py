@@ -211,6 +211,14 @@ class Pair(Trace):
         return attribution.attach_sources(self.formal_rows, attribution.symbol_sites(found), attribution.symbol_links(found))
 
 
+class Whole(Pair):
+    """Attribution inside one trace: every event of it is mapped."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        super().__init__(spark, sf_dir)
+        self.mapping = self.slices
+
+
 @query
 def innermost_op(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Trace(spark, sf_dir)
@@ -232,18 +240,18 @@ def asof_launch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def attribution_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = Pair(spark, sf_dir).attributed
+    found = Whole(spark, sf_dir).attributed
     return found.select("trace_id", "kernel_id", "symbol", *attribution.SITE, "basis", "reason").distinct()
 
 
 @query
 def symbol_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return attribution.symbol_sites(Pair(spark, sf_dir).attributed).drop("python_stack")
+    return attribution.symbol_sites(Whole(spark, sf_dir).attributed).drop("python_stack")
 
 
 @query
 def symbol_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return attribution.symbol_links(Pair(spark, sf_dir).attributed)
+    return attribution.symbol_links(Whole(spark, sf_dir).attributed)
 
 
 @query
@@ -259,7 +267,7 @@ def source_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def graph_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = Pair(spark, sf_dir)
+    p = Whole(spark, sf_dir)
     return attribution.graph_evidence(p.mapping, p.mapping_kernels)
 
 

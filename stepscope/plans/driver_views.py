@@ -180,13 +180,13 @@ def gemm_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def monitor_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Monitor snapshots in CSV form: a card per part, a node per part size, processes from urgent orders."""
+    """Monitor snapshots in CSV form: a card per part, a node per part size, a process per order."""
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_size")
     cards = parts.selectExpr(
         "p_size AS node", "p_partkey AS line_no", "concat(p_partkey, ', GPU-', p_partkey, ', 0000:', p_partkey, ', ', "
         "IF(p_partkey % 2 = 0, 0, p_size * 10), ', 32768, ', p_partkey % 3 * 40) AS text")
-    urgent = table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'").select("o_orderkey", "o_custkey", "o_orderstatus")
-    running = urgent.join(parts, urgent["o_custkey"] == parts["p_partkey"]).selectExpr(
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    running = orders.join(parts, orders["o_custkey"] == parts["p_partkey"]).selectExpr(
         "p_size AS node", "inline(array(named_struct('line_no', 1000000000000 + 1 + o_orderkey, 'text', "
         "concat(o_orderkey, ', ', IF(o_orderkey % 9 = 0, '[Not Supported]', concat('worker_', o_orderstatus)))), "
         "named_struct('line_no', 2000000000000 + 1 + o_orderkey, 'text', concat('GPU-', p_partkey, ', ', o_orderkey, ', ', o_orderkey % 512))))")
@@ -197,11 +197,11 @@ def monitor_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pid_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Process owners from ``orders``; expensive ones stay unknown."""
-    orders = table(spark, sf_dir, "orders").filter("o_totalprice < 400000")
+    """Process owners from ``orders``; expensive ones carry no process id and stay unknown."""
+    orders = table(spark, sf_dir, "orders")
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_size")
     return orders.join(parts, orders["o_custkey"] == parts["p_partkey"]).selectExpr(
-        "p_size AS node", "o_orderkey AS pid", "CASE o_orderstatus WHEN 'F' THEN 'MAP' WHEN 'O' THEN 'HOST' ELSE 'GONE' END AS tag",
+        "p_size AS node", "IF(o_totalprice < 400000, o_orderkey, NULL) AS pid", "CASE o_orderstatus WHEN 'F' THEN 'MAP' WHEN 'O' THEN 'HOST' ELSE 'GONE' END AS tag",
         "concat('serve_', o_orderkey % 5) AS container")
 
 

@@ -429,13 +429,15 @@ v_best AS (
   FROM v_device k JOIN v_runtime l ON k.trace_id = l.trace_id AND k.correlation = l.correlation AND l.ts_ns <= k.ts_ns GROUP BY ALL)""", f"""
 SELECT b.*, {GRAPHISH.format(n='l.name')} AS is_graph FROM v_best b JOIN v_runtime l ON b.trace_id = l.trace_id AND b.launch_id = l.id""")
 
-SQL["attribution_tiers"] = with_views(*ATTRIBUTED, "SELECT * FROM v_attr")
-SQL["symbol_sites"] = with_views(*ATTRIBUTED, "SELECT * FROM v_sites")
-SQL["symbol_links"] = with_views(*ATTRIBUTED, "SELECT * FROM v_symbol")
+V_MAP_WHOLE = V_MAP.replace(f"ts_ns < {MAPPING_END_NS} AND ", "")
+ATTRIBUTED_WHOLE = tuple(V_MAP_WHOLE if view is V_MAP else view for view in ATTRIBUTED)
+SQL["attribution_tiers"] = with_views(*ATTRIBUTED_WHOLE, "SELECT * FROM v_attr")
+SQL["symbol_sites"] = with_views(*ATTRIBUTED_WHOLE, "SELECT * FROM v_sites")
+SQL["symbol_links"] = with_views(*ATTRIBUTED_WHOLE, "SELECT * FROM v_symbol")
 SQL["cross_trace_sources"] = with_views(*ATTRIBUTED, V_ATTACH, "SELECT * FROM v_attached")
 SQL["source_summary"] = with_views(*ATTRIBUTED, V_ATTACH, """
 SELECT trace_id, source_status, count(*) AS symbol_count, round(sum(total_duration_us), 3) AS total_duration_us FROM v_attached GROUP BY ALL""")
-SQL["graph_evidence"] = with_views(V_SLICE, V_CLASS, V_MAP, f"""
+SQL["graph_evidence"] = with_views(V_SLICE, V_CLASS, V_MAP_WHOLE, f"""
 SELECT l.trace_id, l.name, count(*) AS launch_count FROM v_ml l WHERE {GRAPHISH.format(n='l.name')}
   AND EXISTS (SELECT 1 FROM v_mk k WHERE k.trace_id = l.trace_id AND k.correlation = l.correlation) GROUP BY ALL""")
 SQL["normalized_symbols"] = with_views(V_SLICE, """
@@ -751,7 +753,7 @@ v_own AS (
   SELECT p_size AS node, p_partkey AS card, o_orderkey AS pid, CASE WHEN o_orderkey % 9 = 0 THEN '-' ELSE 'worker_' || o_orderstatus END AS process,
     CAST(o_orderkey % 512 AS VARCHAR) AS process_mem, CASE WHEN o_totalprice >= 400000 THEN '?' WHEN o_orderstatus = 'F' THEN 'serve_' || (o_orderkey % 5)
     WHEN o_orderstatus = 'O' THEN '宿主机进程' ELSE '（进程已退出）' END AS owner
-  FROM orders JOIN part ON o_custkey = p_partkey WHERE o_orderpriority = '1-URGENT')"""
+  FROM orders JOIN part ON o_custkey = p_partkey)"""
 SQL["card_owners"] = with_views(V_OCC, "SELECT * FROM v_own")
 SQL["card_state"] = with_views(V_OCC, """
 SELECT c.node, c.card, c.bus, c.used || 'MB' AS mem_used, '32768MB' AS mem_total, c.load || '%' AS util, count(DISTINCT o.pid) AS process_count,

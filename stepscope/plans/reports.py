@@ -31,15 +31,20 @@ def window_report(slices: DataFrame, flows: DataFrame, chosen: DataFrame, rules:
 
 
 def step_report(slices: DataFrame, flows: DataFrame, rules: RuleSet, stage: str = "decode", step: int = 2, pattern: str | None = None,
-                categories: Sequence[str] = (), device_id: str | None = None) -> dict[str, DataFrame]:
-    """Report of one step per trace; traces whose step has no valid window stay in ``steps`` with their error."""
-    device = events.window_events(slices, categories, device_id)
+                categories: Sequence[str] = (), device_id: str | None = None, track_ids: Sequence[int] = (), host: str | None = None,
+                annotation_pairs: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Report of one step per trace; traces whose step has no valid window stay in ``steps`` with their error.
+
+    ``host`` keeps the annotations of one host thread; ``annotation_pairs`` (trace_id, id, next_id) names the annotations instead.
+    """
+    device = events.window_events(slices, categories, device_id, track_ids)
     runtimes = events.runtimes(slices)
-    pairs = steps.nth_step(steps.step_pairs(slices, stage, pattern), step)
-    spans = steps.step_windows(pairs, device, runtimes, flows)
+    marks = slices if host is None else slices.filter(F.col("host_thread") == host)
+    pairs = steps.nth_step(steps.step_pairs(marks, stage, pattern), step) if annotation_pairs is None else steps.chosen_pairs(marks, annotation_pairs)
+    spans = steps.step_windows(pairs, device, runtimes, flows, explicit_scope=device_id is not None or bool(track_ids))
     chosen = spans.filter("error_code IS NULL").select(
         "trace_id", F.col("scope_id").alias("window_id"), F.lit(stage).alias("stage"), "start_ns", "end_ns", F.col("annotation").alias("anchor"))
-    return {"steps": spans, **window_report(slices, flows, chosen, rules, categories, device_id)}
+    return {"steps": spans, **window_report(slices, flows, chosen, rules, categories, device_id, track_ids)}
 
 
 def phase_report(slices: DataFrame, rules: RuleSet, decode_index: int = 2, host_operators: bool = True) -> dict[str, DataFrame]:

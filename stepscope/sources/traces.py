@@ -130,10 +130,10 @@ def flows(events: DataFrame, slice_df: DataFrame) -> DataFrame:
     """``flow`` edges between the slices that flow events bind to, along each flow id.
 
     Starts, steps and finishes marked ``bp=e`` bind to the innermost slice around them; other finishes
-    bind to the next slice of their thread.
+    bind to the next slice of their thread. Flow events without an id belong to no chain.
     """
     keys = ["trace_id", "host_thread"]
-    points = events.filter("ph IN ('s', 't', 'f')").selectExpr(
+    points = events.filter("ph IN ('s', 't', 'f') AND flow_id IS NOT NULL").selectExpr(
         "trace_id", "concat_ws('/', coalesce(pid, 'None'), coalesce(tid, 'None')) AS host_thread", "cat", "name", "flow_id", "ord",
         "CAST(ts_us * 1000 AS BIGINT) AS at", "ph = 'f' AND coalesce(bp, '') <> 'e' AS forward")
     spans = slice_df.selectExpr(*keys, "id AS slice_id", "ts_ns AS start", "ts_ns + greatest(dur_ns, 1L) AS end", "dur_ns")
@@ -143,7 +143,7 @@ def flows(events: DataFrame, slice_df: DataFrame) -> DataFrame:
         points.filter("forward").selectExpr("*", "-at AS back"), spans.selectExpr(*keys, "-start AS back", "slice_id"), keys, "back",
         F.col("slice_id"), -F.col("slice_id"), "slice_id").select("trace_id", "cat", "name", "flow_id", "ord", "at", "slice_id")
     bound = around.unionByName(following).filter("slice_id IS NOT NULL")
-    chain = ordered_index(bound.fillna("", ["cat", "name", "flow_id"]), ["trace_id", "cat", "name", "flow_id"], "at", ["ord"], ["slice_id"])
+    chain = ordered_index(bound.fillna("", ["cat", "name"]), ["trace_id", "cat", "name", "flow_id"], "at", ["ord"], ["slice_id"])
     return chain.filter("next_row IS NOT NULL").selectExpr("trace_id", "slice_id AS slice_out", "next_row.slice_id AS slice_in")
 
 
