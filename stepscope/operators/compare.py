@@ -15,11 +15,11 @@ def blockers(left: DataFrame, right: DataFrame, verified: bool) -> DataFrame:
     """Reasons why a pair's performance must not be compared.
 
     Sides hold ``pair_id, stage, mixed, rank, rules_sha256`` and the work counts; a count on one side
-    only does not block.
+    only does not block. A pair without one of its sides keeps its row and is blocked.
     """
     columns = ["stage", "mixed", "rank", "rules_sha256", *WORK]
     both = left.select("pair_id", *[F.col(c).alias(f"l_{c}") for c in columns]).join(
-        right.select("pair_id", *[F.col(c).alias(f"r_{c}") for c in columns]), "pair_id")
+        right.select("pair_id", *[F.col(c).alias(f"r_{c}") for c in columns]), "pair_id", "full")
     work = " OR ".join(f"coalesce(l_{c} <> r_{c}, FALSE)" for c in WORK)
     checks = [
         ("NOT coalesce(l_stage = r_stage AND l_stage IN ('prefill', 'decode'), FALSE)", BLOCKER_STAGE),
@@ -38,13 +38,43 @@ def _ratios(allowed: str) -> list[str]:
             f"IF({allowed}, {ratio.format(a='right_us', b='left_us')}, NULL) AS observed_performance"]
 
 
-def compare_categories(left: DataFrame, right: DataFrame, blocked: DataFrame) -> DataFrame:
-    """Category times of both sides ``(pair_id, category, total_duration_us)``; a category absent on a side is 0."""
+def mixed_by_scope(windows: DataFrame, stages: DataFrame) -> DataFrame:
+    """Window descriptors whose ``mixed`` is also true where the delta-network stages do not fit the window's stage."""
+    scopes = stages.groupBy("trace_id", "window_id").agg(F.expr("bool_or(scope = 'mixed-or-stage-mismatch') AS _odd"))
+    odd = F.coalesce(F.col("mixed"), F.lit(False)) | F.coalesce(F.col("_odd"), F.lit(False))
+    return windows.join(scopes, ["trace_id", "window_id"], "left").withColumn("mixed", odd).drop("_odd")
+
+
+def gdn_comparable(left: DataFrame, right: DataFrame) -> DataFrame:
+    """``pair_id, gdn_comparable``: both sides are wholly aligned in the left side's stage and have the same core stages.
+
+    Sides hold ``pair_id, stage, scope, group`` and may hold ``graph_candidates``, the replay candidates left open.
+    """
+    core = ", ".join(sql_text(c) for c in GDN_CORE_STAGES)
+
+    def side(df: DataFrame, tag: str) -> DataFrame:
+        open_ends = F.max("graph_candidates") if "graph_candidates" in df.columns else F.lit(0)
+        return df.groupBy("pair_id").agg(F.collect_set("group").alias(f"{tag}_groups"), F.min("scope").alias(f"{tag}_scope"),
+                                         F.min("stage").alias(f"{tag}_stage"), F.coalesce(open_ends, F.lit(0)).alias(f"{tag}_open"))
+
+    unaligned = sql_text(GDN_UNALIGNED_GROUP)
+    return side(left, "l").join(side(right, "r"), "pair_id").selectExpr(
+        "pair_id", f"coalesce(l_scope = l_stage AND r_scope = l_stage AND l_open = 0 AND r_open = 0 AND NOT array_contains(l_groups, {unaligned}) "
+        f"AND NOT array_contains(r_groups, {unaligned}) AND forall(array({core}), c -> array_contains(l_groups, c) = array_contains(r_groups, c)), FALSE) "
+        "AS gdn_comparable")
+
+
+def compare_categories(left: DataFrame, right: DataFrame, blocked: DataFrame, gdn: DataFrame) -> DataFrame:
+    """Category times of both sides ``(pair_id, category, total_duration_us)``; a category absent on a side is 0.
+
+    ``gdn`` as from :func:`gdn_comparable`; pairs it does not confirm show no performance for that category.
+    """
     both = left.selectExpr("pair_id", "category", "total_duration_us AS l").join(
         right.selectExpr("pair_id", "category", "total_duration_us AS r"), ["pair_id", "category"], "full").selectExpr(
         "pair_id", "category", "coalesce(l, 0D) AS left_us", "coalesce(r, 0D) AS right_us")
-    return both.join(blocked, "pair_id").withColumn("category_ord", category_rank("category")).selectExpr(
-        "pair_id", "category_ord", "category", "left_us", "right_us", *_ratios("size(blockers) = 0"))
+    return both.join(blocked, "pair_id").join(gdn, "pair_id", "left").withColumn("category_ord", category_rank("category")).selectExpr(
+        "pair_id", "category_ord", "category", "left_us", "right_us",
+        *_ratios("size(blockers) = 0 AND (category <> 'GDN' OR coalesce(gdn_comparable, FALSE))"))
 
 
 def compare_time(left: DataFrame, right: DataFrame, blocked: DataFrame) -> DataFrame:

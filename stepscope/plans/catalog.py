@@ -465,11 +465,17 @@ def _sides(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return keyed.filter("_rank % 2 = 0"), keyed.filter("_rank % 2 = 1")
 
 
-def _descriptors(c: Context) -> DataFrame:
+def _stages(c: Context) -> DataFrame:
+    """Delta-network stages of each window with the window's own stage."""
+    return materialize(context.gdn_stage_summary(c.parts, c.anchored_windows).join(
+        c.windows.select("trace_id", "window_id", "stage"), ["trace_id", "window_id"]))
+
+
+def _descriptors(c: Context, stages: DataFrame) -> DataFrame:
     anchors = c.steps.withColumn("window_id", F.expr(f"(ts_ns - {views.ORIGIN_NS}) DIV {views.SLOT_NS}"))
     keys = anchors.select("trace_id", "id", "window_id")
     parsed = steps.annotation_work(anchors).join(keys, ["trace_id", "id"])
-    return parsed.selectExpr(
+    return compare.mixed_by_scope(parsed, stages).selectExpr(
         "trace_id", "window_id", "IF(window_id % 5 = 0, 'prefill', 'decode') AS stage", "mixed",
         "IF(window_id % 7 = 0, substring(trace_id, 9, 1), '0') AS rank", f"'{rules().sha256}' AS rules_sha256",
         "IF(window_id % 5 = 0, prefill_tokens, NULL) AS prefill_tokens", "CAST(NULL AS BIGINT) AS mixed_count",
@@ -480,30 +486,31 @@ def _descriptors(c: Context) -> DataFrame:
 
 @query
 def compare_blockers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compare.blockers(*_sides(_descriptors(Context(spark, sf_dir))), verified=True)
+    c = Context(spark, sf_dir)
+    return compare.blockers(*_sides(_descriptors(c, _stages(c))), verified=True)
 
 
 @query
 def report_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = Context(spark, sf_dir)
-    blocked = compare.blockers(*_sides(_descriptors(c)), verified=True)
-    return compare.compare_categories(*_sides(account.category_summary(c.totals, rules())), blocked)
+    stages = _stages(c)
+    blocked = compare.blockers(*_sides(_descriptors(c, stages)), verified=True)
+    return compare.compare_categories(*_sides(account.category_summary(c.totals, rules())), blocked, compare.gdn_comparable(*_sides(stages)))
 
 
 @query
 def time_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = Context(spark, sf_dir)
-    blocked = compare.blockers(*_sides(_descriptors(c)), verified=True)
+    blocked = compare.blockers(*_sides(_descriptors(c, _stages(c))), verified=True)
     return compare.compare_time(*_sides(materialize(account.time_account(c.device, c.windows, rules()))), blocked)
 
 
 @query
 def gdn_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = Context(spark, sf_dir)
-    blocked = compare.blockers(*_sides(_descriptors(c)), verified=True)
-    staged = materialize(context.gdn_stage_summary(c.parts, c.anchored_windows).join(
-        c.windows.select("trace_id", "window_id", "stage"), ["trace_id", "window_id"]))
-    return compare.compare_gdn(*_sides(staged), blocked, ("left", "right"))
+    stages = _stages(c)
+    blocked = compare.blockers(*_sides(_descriptors(c, stages)), verified=True)
+    return compare.compare_gdn(*_sides(stages), blocked, ("left", "right"))
 
 
 @query

@@ -1,7 +1,7 @@
 """DuckDB statements equivalent to the registered queries."""
 from __future__ import annotations
 
-from ..fixed_values import (ADVICE_THRESHOLDS, BLOCKER_MIXED, BLOCKER_RANK, BLOCKER_WORK, BUBBLE_LABEL, CATEGORY_ORDER,
+from ..fixed_values import (ADVICE_THRESHOLDS, BLOCKER_MIXED, BLOCKER_RANK, BLOCKER_RULES, BLOCKER_STAGE, BLOCKER_WORK, BUBBLE_LABEL, CATEGORY_ORDER,
                             DENSE_CATEGORIES, GDN_COMPARISON_GROUPS, GDN_COMPARISON_OPERATORS, GDN_CORE_STAGES,
                             GDN_DECODE_GROUP, GDN_OPERATOR_GROUPS, GDN_UNALIGNED_GROUP, KEYWORD_CATEGORIES,
                             KEYWORD_KERNEL_FALLBACK, PHASE_KEYWORDS, TIME_ROWS, TOTAL_LABEL, UNINFORMATIVE_FRAMES)
@@ -683,21 +683,31 @@ SELECT table_id, category, kinds AS kernel_kinds, n AS record_count, CAST(c AS D
 # Comparison of even and odd ranks.
 _PAIR = "CAST(CAST(substr(trace_id, 9, 1) AS BIGINT) // 2 AS VARCHAR) || '/' || window_id AS pair_id, CAST(substr(trace_id, 9, 1) AS BIGINT) AS rk"
 V_BLOCK = f"""
+v_gst AS (SELECT s.*, s."group" AS grp, w.stage FROM ({SQL['gdn_stage_summary']}) s JOIN v_window w USING (trace_id, window_id)),
+v_odd AS (SELECT DISTINCT trace_id, window_id FROM v_gst WHERE scope = 'mixed-or-stage-mismatch'),
 v_desc AS (
-  SELECT {_PAIR}, trace_id, window_id, stage, window_id % 11 = 5 AS mixed, CASE WHEN window_id % 7 = 0 THEN substr(trace_id, 9, 1) ELSE '0' END AS rank,
+  SELECT {_PAIR}, trace_id, window_id, stage, window_id % 11 = 5 OR (trace_id, window_id) IN (SELECT (trace_id, window_id) FROM v_odd) AS mixed, CASE WHEN window_id % 7 = 0 THEN substr(trace_id, 9, 1) ELSE '0' END AS rank,
     CASE WHEN window_id % 5 <> 0 THEN CASE WHEN window_id % 11 = 5 THEN 3 ELSE 1 END + CASE WHEN window_id % 9 = 0 THEN CAST(substr(trace_id, 9, 1) AS BIGINT) ELSE 0 END END AS decode_count
   FROM v_window),
 v_block AS (
-  SELECT l.pair_id, list_filter([CASE WHEN l.mixed OR r.mixed THEN {text(BLOCKER_MIXED)} END, CASE WHEN l.rank <> r.rank THEN {text(BLOCKER_RANK)} END,
+  SELECT pair_id, list_filter([CASE WHEN NOT coalesce(l.stage = r.stage, FALSE) THEN {text(BLOCKER_STAGE)} END, CASE WHEN l.mixed OR r.mixed THEN {text(BLOCKER_MIXED)} END, CASE WHEN l.rank <> r.rank THEN {text(BLOCKER_RANK)} END,
+    CASE WHEN l.trace_id IS NULL OR r.trace_id IS NULL THEN {text(BLOCKER_RULES)} END,
     CASE WHEN l.decode_count <> r.decode_count THEN {text(BLOCKER_WORK)} END], lambda x: x IS NOT NULL) AS blockers
-  FROM (SELECT * FROM v_desc WHERE rk % 2 = 0) l JOIN (SELECT * FROM v_desc WHERE rk % 2 = 1) r USING (pair_id))"""
+  FROM (SELECT * FROM v_desc WHERE rk % 2 = 0) l FULL JOIN (SELECT * FROM v_desc WHERE rk % 2 = 1) r USING (pair_id))"""
+_GATE = ", ".join(text(c) for c in GDN_CORE_STAGES)
+V_GATE = f"""
+v_side AS (SELECT {_PAIR}, min(scope) AS scope, min(stage) AS stage, list(DISTINCT grp) AS g FROM v_gst GROUP BY ALL),
+v_gate AS (
+  SELECT pair_id, coalesce(l.scope = l.stage AND r.scope = l.stage AND NOT list_contains(l.g, {text(GDN_UNALIGNED_GROUP)}) AND NOT list_contains(r.g, {text(GDN_UNALIGNED_GROUP)})
+    AND len(list_filter([{_GATE}], lambda c: list_contains(l.g, c) <> list_contains(r.g, c))) = 0, FALSE) AS ok
+  FROM (SELECT * FROM v_side WHERE rk % 2 = 0) l JOIN (SELECT * FROM v_side WHERE rk % 2 = 1) r USING (pair_id))"""
 _RATIO = "CASE WHEN left_us > 0 AND right_us > 0 THEN left_us / right_us END AS time_ratio, CASE WHEN {ok} THEN CASE WHEN right_us > 0 AND left_us > 0 THEN right_us / left_us END END AS observed_performance"
 SQL["compare_blockers"] = with_views(V_SLICE, V_WINDOW, V_BLOCK, "SELECT * FROM v_block")
-SQL["report_compare"] = with_views(V_SLICE, V_WINDOW, V_BLOCK, V_CATEGORY, f"v_sum AS (SELECT *, {_PAIR} FROM ({SQL['category_summary']}))", """
+SQL["report_compare"] = with_views(V_SLICE, V_WINDOW, V_BLOCK, V_GATE, V_CATEGORY, f"v_sum AS (SELECT *, {_PAIR} FROM ({SQL['category_summary']}))", """
 v_both AS (
   SELECT pair_id, category, coalesce(l.total_duration_us, 0) AS left_us, coalesce(r.total_duration_us, 0) AS right_us
   FROM (SELECT * FROM v_sum WHERE rk % 2 = 0) l FULL JOIN (SELECT * FROM v_sum WHERE rk % 2 = 1) r USING (pair_id, category))""",
-    f"SELECT pair_id, category_ord, category, left_us, right_us, {_RATIO.format(ok='len(blockers) = 0')} FROM v_both JOIN v_block USING (pair_id) JOIN v_category USING (category)")
+    f"SELECT pair_id, category_ord, category, left_us, right_us, {_RATIO.format(ok="len(blockers) = 0 AND (category <> 'GDN' OR coalesce(ok, FALSE))")} FROM v_both JOIN v_block USING (pair_id) LEFT JOIN v_gate USING (pair_id) JOIN v_category USING (category)")
 SQL["time_compare"] = with_views(V_SLICE, V_WINDOW, V_BLOCK, f"v_sum AS (SELECT *, {_PAIR} FROM ({SQL['time_account']}))", """
 v_both AS (
   SELECT pair_id, row_ord, l.item, l.total_us AS left_us, r.total_us AS right_us
@@ -707,8 +717,7 @@ _OPS = "CASE t " + " ".join(f"WHEN {text(t)} THEN {text(o)}" for t, o in GDN_COM
 _LABEL = (f"nullif(CASE WHEN grp = 'Chunk 主计算' THEN CASE WHEN list_contains(semantic_types, 'gdn_chunk_prefill') THEN 'FlashInfer chunk_gated_delta_rule' ELSE 'chunk_gated_delta_rule_fwd' END "
           f"ELSE array_to_string(list_distinct(list_filter(list_transform(semantic_types, lambda t: {_OPS}), lambda o: o IS NOT NULL)), '、') END, '') AS ops")
 SQL["gdn_compare"] = with_views(V_SLICE, V_WINDOW, V_BLOCK, f"""
-v_sum AS (SELECT s.*, s."group" AS grp, w.stage FROM ({SQL['gdn_stage_summary']}) s JOIN v_window w USING (trace_id, window_id))""", f"""
-v_lab AS (SELECT {_PAIR}, grp, total_duration_us, scope = stage AS aligned, {_LABEL} FROM v_sum)""", """
+v_lab AS (SELECT {_PAIR}, grp, total_duration_us, scope = stage AS aligned, {_LABEL} FROM v_gst)""", """
 v_both AS (
   SELECT pair_id, grp, l.total_duration_us AS left_us, r.total_duration_us AS right_us, l.ops AS lo, r.ops AS ro, coalesce(l.aligned AND r.aligned, FALSE) AS aligned
   FROM (SELECT * FROM v_lab WHERE rk % 2 = 0) l FULL JOIN (SELECT * FROM v_lab WHERE rk % 2 = 1) r USING (pair_id, grp))""", f"""
