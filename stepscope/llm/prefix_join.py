@@ -125,14 +125,14 @@ def plans(live: DataFrame, similarity: Fraction) -> DataFrame:
     room = F.least(F.col("size"), F.col("base") + F.greatest(F.lit(EXTRA + 1), F.floor(F.col("base") / 3))) - F.col("base")
     per_node = (live.groupBy("node", "size").agg(F.array_sort(F.collect_list(F.struct("pos", "df"))).alias("tokens"))  # a set's own prefix
                 .withColumn("base", base).withColumn("room", room))
-    choices = []
-    for extra in range(EXTRA + 1):
-        longer = f"aggregate(filter(tokens, t -> t.df > {HOT}), CAST({extra} AS BIGINT), (e, t) -> IF(t.pos < base + e, e + 1, e))"
-        cost = f"aggregate(tokens, 0D, (s, t) -> s + IF(t.df <= {HOT} AND t.pos < base + {longer}, t.df - 1, 0)) / {extra + 1}"
-        choices.append(f"IF({longer} <= room, struct({cost} AS cost, base + {longer} AS length, {extra + 1} AS asked), NULL)")
-    best = F.expr(f"array_min(array_compact(array({', '.join(choices)})))")
-    return per_node.select("node", "base", best.alias("best")).select(
-        "node", F.coalesce("best.length", "base").alias("length"), F.coalesce("best.asked", F.lit(0)).alias("asked"), "base")
+    # A column for each number of extra matches: an expression inside the cost would be walked again for each shingle.
+    lengths = {f"length_{k}": F.expr(f"base + aggregate(filter(tokens, t -> t.df > {HOT}), CAST({k} AS BIGINT), (e, t) -> IF(t.pos < base + e, e + 1, e))")
+               for k in range(EXTRA + 1)}
+    cost = "aggregate(tokens, 0D, (s, t) -> s + IF(t.df <= {hot} AND t.pos < length_{k}, t.df - 1, 0)) / {asked}"
+    choices = ", ".join(f"IF(length_{k} <= base + room, struct({cost.format(hot=HOT, k=k, asked=k + 1)} AS cost, length_{k} AS length, {k + 1} AS asked), NULL)"
+                        for k in range(EXTRA + 1))
+    best = per_node.withColumns(lengths).select("node", "base", F.expr(f"array_min(array_compact(array({choices})))").alias("best"))
+    return best.select("node", F.coalesce("best.length", "base").alias("length"), F.coalesce("best.asked", F.lit(0)).alias("asked"), "base")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: Fraction) -> DataFrame:
