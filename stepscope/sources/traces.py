@@ -1,11 +1,12 @@
 """Trace documents to stored event, slice, flow and bounds tables."""
 from __future__ import annotations
 
-import gzip
+import io
 import json
 from collections.abc import Iterator
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +20,8 @@ EVENT_COLUMNS = ["ph", "cat", "name", "pid", "tid", "ts", "dur", "id", "bp", "ar
 def read_traces(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """``trace_event`` rows of JSON documents, plain or gzip, one trace per file.
 
-    One schema covers the object, list and single-event roots; unknown fields are skipped while parsing.
+    One schema covers the object, list and single-event roots; unknown fields are skipped while parsing. A document that cannot be
+    parsed leaves one event without fields, see :func:`trace_errors`.
     """
     raw = spark.read.schema(DOCUMENT).option("multiLine", True).json(paths).select(
         F.col("_metadata.file_path").alias("trace_id"), F.monotonically_increasing_id().alias("_row"), "*")
@@ -30,22 +32,33 @@ def read_traces(spark: SparkSession, paths: str | list[str]) -> DataFrame:
         "e.tid AS tid", "e.ts AS ts_us", "e.dur AS dur_us", "e.id AS flow_id", "e.bp AS bp", "e.args AS args")
 
 
-def read_large_traces(spark: SparkSession, paths: list[str]) -> DataFrame:
+def read_large_traces(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """``trace_event`` rows of documents too large for one parsed row; each file streams through one task.
 
-    Meant for one pass into stored tables. Paths must be readable from the executors.
+    Meant for one pass into stored tables. Names, roots, times and defects come out as in :func:`read_traces`, but events before
+    a cut are kept. Files are opened through Arrow's file systems, so local, object-store and HDFS paths work alike.
     """
-    files = spark.createDataFrame([(p,) for p in paths], "path STRING").repartition(len(paths), "path")
-    return files.mapInPandas(_split_files, TRACE_EVENT)
+    files = spark.read.format("binaryFile").load(paths).select(F.col("_metadata.file_path").alias("path"))
+    return files.repartition(max(1, files.count()), "path").mapInPandas(_split_files, TRACE_EVENT)
+
+
+def trace_errors(events: DataFrame) -> DataFrame:
+    """``trace_id, error_code`` of documents that could not be read, or not to their end.
+
+    Both readers leave one event without any field for such a document. Spark lists no empty files, so these are no documents.
+    """
+    empty = " AND ".join(f"{c} IS NULL" for c in ("ph", "cat", "name", "pid", "tid", "ts_us", "dur_us", "flow_id", "bp", "args"))
+    return (events.groupBy("trace_id").agg(F.expr(f"count_if({empty}) AS bad"), F.expr("count(1) AS n")).filter("bad > 0")
+            .selectExpr("trace_id", "IF(bad = n, 'unreadable_document', 'truncated_document') AS error_code"))
 
 
 def _split_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for path in batch["path"]:
-            opener = gzip.open if path.endswith(".gz") else open
-            with opener(path, "rt", encoding="utf-8") as stream:
+            system, inner = fs.FileSystem.from_uri(path if "://" in path else path.replace("file:", "file://", 1))
+            with io.TextIOWrapper(system.open_input_stream(inner), encoding="utf-8", errors="replace") as stream:
                 rows: list[tuple] = []
-                for ord_, event in enumerate(_array_items(stream)):
+                for ord_, event in enumerate(_events(stream)):
                     rows.append(_event_row(path, ord_, event))
                     if len(rows) == 20_000:
                         yield _frame(rows)
@@ -54,35 +67,73 @@ def _split_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     yield _frame(rows)
 
 
-def _array_items(stream, chunk: int = 1 << 20) -> Iterator[dict]:
-    """Objects of the ``traceEvents`` array, decoded one at a time from a sliding buffer."""
-    decoder = json.JSONDecoder(parse_float=str)
-    buffer, started = "", False
-    while True:
-        data = stream.read(chunk)
-        buffer += data
-        if not started:
-            key = buffer.find('"traceEvents"')
-            opening = buffer.find("[", key) if key >= 0 else -1
-            if opening < 0:
-                if not data:
-                    return
-                continue
-            buffer, started = buffer[opening + 1:], True
-        at = 0
+class _Sliding:
+    """Text of a stream from a place on; values are decoded from it one at a time."""
+
+    def __init__(self, stream, chunk: int = 1 << 20):
+        self.stream, self.chunk, self.text, self.at, self.ended = stream, chunk, "", 0, False
+        self.decode = json.JSONDecoder(parse_float=str).raw_decode
+
+    def more(self) -> None:
+        data = self.stream.read(self.chunk)
+        self.ended = not data
+        self.text, self.at = self.text[self.at:] + data, 0
+
+    def sign(self, skip: str = " \t\r\n,") -> str:
+        """Next character that is not to be skipped; empty at the end."""
+        while True:
+            while self.at < len(self.text) and self.text[self.at] in skip:
+                self.at += 1
+            if self.at < len(self.text) or self.ended:
+                return self.text[self.at:self.at + 1]
+            self.more()
+
+    def value(self):
+        """The value that begins here; the text grows until it is whole."""
         while True:
-            while at < len(buffer) and buffer[at] in " \t\r\n,":
-                at += 1
-            if buffer.startswith("]", at):
-                return
             try:
-                event, at = decoder.raw_decode(buffer, at)
+                found, end = self.decode(self.text, self.at)
+                if end < len(self.text) or self.ended:  # else a number could go on
+                    self.at = end
+                    return found
             except json.JSONDecodeError:
-                break
-            yield event
-        buffer = buffer[at:]
-        if not data:
-            return
+                if self.ended:
+                    raise
+            self.more()
+
+
+def _events(stream) -> Iterator[dict]:
+    """Events of a document: those of a list, of ``traceEvents`` or ``events`` of an object, or the object itself.
+
+    An empty event stands for a defect, after the events before it.
+    """
+    text = _Sliding(stream)
+    try:
+        if text.sign() == "[":
+            text.at += 1
+            yield from _items(text)
+        elif text.sign() == "{":
+            text.at += 1
+            own: dict = {}
+            while text.sign() != "}":
+                key = text.value()
+                if text.sign(" \t\r\n:") == "[" and key in ("traceEvents", "events"):
+                    text.at += 1
+                    yield from _items(text)
+                    return
+                own[key] = text.value()
+            yield own
+        else:
+            yield {}
+    except (json.JSONDecodeError, OSError, EOFError):
+        yield {}
+
+
+def _items(text: _Sliding) -> Iterator[dict]:
+    while text.sign() != "]":
+        item = text.value()
+        if isinstance(item, dict):
+            yield item
 
 
 def _event_row(path: str, ord_: int, e: dict) -> tuple:
@@ -96,10 +147,10 @@ def _event_row(path: str, ord_: int, e: dict) -> tuple:
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
-    from decimal import Decimal
+    from decimal import ROUND_HALF_UP, Decimal
     frame = pd.DataFrame(rows, columns=["trace_id", "ord", "ph", "cat", "name", "pid", "tid", "ts_us", "dur_us", "flow_id", "bp", "args"])
     for column in ("ts_us", "dur_us"):
-        frame[column] = frame[column].map(lambda v: None if v is None else Decimal(v).quantize(Decimal("0.001")))
+        frame[column] = frame[column].map(lambda v: None if v is None else Decimal(v).quantize(Decimal("0.001"), ROUND_HALF_UP))
     return frame
 
 

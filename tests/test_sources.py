@@ -53,6 +53,24 @@ def test_streaming_splitter_and_store(spark, trace_dir, tmp_path):
         traces.store(whole, str(tmp_path / "bronze"))
 
 
+def test_readers_agree_on_roots_and_defects(spark, tmp_path):
+    event = {"ph": "X", "name": "k", "ts": 1.0005, "dur": 2, "pid": 1, "tid": 2, "args": {"correlation": 7}}
+    texts = {"list": json.dumps([event, event]), "events": json.dumps({"meta": {"events": [1]}, "events": [event]}), "single": json.dumps(event),
+             "object": json.dumps({"schemaVersion": 1, "traceEvents": [event]}), "broken": "not json", "cut": json.dumps([event, event])[:-25]}
+    for name, text in texts.items():
+        (tmp_path / f"{name}.json").write_text(text)
+    with gzip.open(tmp_path / "zipped.json.gz", "wt") as file:
+        file.write(texts["object"])
+    whole, large = traces.read_traces(spark, str(tmp_path)), traces.read_large_traces(spark, str(tmp_path))
+    sound = lambda df: sorted((r.trace_id.split("/")[-1], r.name, str(r.ts_us)) for r in df.collect() if r.name and "cut" not in r.trace_id)
+    assert sound(whole) == sound(large) and ("zipped.json.gz", "k", "1.001") in sound(large) and len(sound(large)) == 6
+    errors = lambda df: {r.trace_id.split("/")[-1]: r.error_code for r in traces.trace_errors(df).collect()}
+    assert errors(large) == {"broken.json": "unreadable_document", "cut.json": "truncated_document"}
+    assert set(errors(whole)) >= {"broken.json", "cut.json"}
+    ids = {r.trace_id for r in whole.select("trace_id").distinct().collect()}
+    assert {r.trace_id for r in large.select("trace_id").distinct().collect()} == ids
+
+
 def test_rules_contract(tmp_path, spark):
     good = json.loads((__import__("importlib").resources.files("stepscope") / "rules" / "kernel_rules.json").read_text())
     path = tmp_path / "rules.json"
