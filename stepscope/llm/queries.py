@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cover_tree, lempel_ziv, mixing, multi_index, packing, prefix_join, quality, secrets, toxicity
+from . import cover_tree, lempel_ziv, mixing, multi_index, packing, prefix_join, quality, secrets, token_matrix, toxicity
 from .labelled import fold
 from .oracle import SQL  # noqa: F401
 
@@ -83,3 +83,11 @@ def op3_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents linked by shared shingles."""
     return prefix_join.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op7_token_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the token matrix with digests of their ids and the segments they hold."""
+    rows = token_matrix.matrices(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("sequence_id", "doc_ids", "starts", "cu_seqlens", "position_resets", F.element_at("cu_seqlens", -1).alias("n_tokens"),
+                       F.crc32("ids").alias("ids_crc32"))

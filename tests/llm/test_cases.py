@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stepscope.llm import (components, cover_tree, labelled, lempel_ziv, mixing, multi_index, packing, prefix_join, quality, secret_rules,
-                           secrets, toxicity, words)
+                           secrets, token_matrix, toxicity, words)
 
 LONG = " ".join(f"w{i % 977}x{i % 1013}" for i in range(40_000))
 TEXTS = [(1, "a b c d e f g h i j k l m n o p", "s"), (2, None, None), (3, "", "s"), (4, " \t\n", "t"), (5, LONG, "t"), (6, LONG, "t"),
@@ -198,3 +198,35 @@ def test_classifier_cases(spark, docs, module, label):
 def test_sample_is_bounded(spark, docs):
     labels = spark.createDataFrame([(i, i % 2) for i in range(1, 12)], "doc_id bigint, toxic int")
     assert labelled.sample(docs, labels, "toxic", F.lit(True), 3).select("doc_id").distinct().count() <= 3
+
+
+def test_token_matrix_round_trip(spark, docs):
+    rows = docs.select("doc_id", "text").filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    expected = {r.doc_id: packing.token_ids(r.text, "byte_bpe_50k").tolist() for r in rows.collect()}
+    parts, sequences = {}, set()
+    for r in token_matrix.matrices(rows).collect():
+        ids = np.frombuffer(r.ids, "<u2")
+        assert len(ids) == token_matrix.ROW and r.cu_seqlens[0] == 0 and r.position_resets == r.cu_seqlens[:-1] and not ids[r.cu_seqlens[-1]:].any()
+        positions = token_matrix.position_ids(np.array(r.cu_seqlens))
+        for doc, start, a, b in zip(r.doc_ids, r.starts, r.cu_seqlens[:-1], r.cu_seqlens[1:]):
+            parts.setdefault(doc, []).append((start, ids[a:b].tolist()))
+            assert positions[a] == 0 and positions[b - 1] == b - a - 1
+        sequences.add(r.sequence_id)
+    assert {doc: [i for _, ids in sorted(p) for i in ids] for doc, p in parts.items()} == expected
+    assert len(sequences) == token_matrix.matrices(rows).count() and token_matrix.matrices(docs.limit(0)).collect() == []
+    assert sum(len(r.doc_ids) for r in token_matrix.matrices(docs).collect()) == sum(-(-len(packing.token_ids(t[1], "byte_bpe_50k")) // token_matrix.ROW) for t in TEXTS)
+
+
+def test_best_fit_equals_a_plain_search():
+    rng = np.random.default_rng(4)
+    lengths = rng.integers(1, 101, 400).tolist()
+    rooms = []
+    for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
+        fitting = [room for room in rooms if room >= lengths[i]]
+        if not fitting:
+            rooms.append(100)
+        k = rooms.index(min(fitting)) if fitting else len(rooms) - 1
+        rooms[k] -= lengths[i]
+    rows = token_matrix.best_fit(lengths, 100)
+    assert sorted(100 - sum(lengths[i] for i in r) for r in rows) == sorted(rooms) and sorted(i for r in rows for i in r) == list(range(400))
+    assert token_matrix.best_fit([], 10) == [] and token_matrix.best_fit([10, 10, 1], 10) == [[0], [1], [2]]
