@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
+from .mixing import ordinals
 from .store import stored
 from .vectors import bounded_sample, matrix, usable
 
@@ -247,11 +248,8 @@ def linked(points: DataFrame, cosine: float) -> DataFrame:
         placed = stored(own.select("point", "n", "embedding").mapInArrow(nearest, f"point bigint, n bigint, embedding {own.schema['embedding'].dataType.simpleString()}, cell int"))
         sizes = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("subs"))  # at most CENTRES rows
         dealt = placed.join(F.broadcast(sizes), "cell").withColumn("sub", F.pmod(F.xxhash64("point"), F.col("subs")).cast("int"))
-        blocks = stored(packed_blocks(dealt))
-        keys = blocks.select("cell", "sub").orderBy("cell", "sub").collect()  # a row per block
-        numbers = spark.createDataFrame([(c, s, i) for i, (c, s) in enumerate(keys)], "cell int, sub int, number int")
-        numbered = stored(blocks.join(numbers, ["cell", "sub"]).drop("cell", "sub"))
-        pairs = block_pairs(numbered, len(keys), cosine)
+        numbered = stored(ordinals(packed_blocks(dealt), F.struct("cell", "sub"), "number").withColumn("number", F.col("number").cast("int")))
+        pairs = block_pairs(numbered, numbered.count(), cosine)
 
         def side(name: str, numbered=numbered) -> DataFrame:
             return numbered.select(F.col("number").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("ids", "n", "values", "nodes", "radii")])
