@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import (account, annotations, attribution, audit, classify, compare, context, events, gemm, keyword, links,
                          occupancy, phases, steps, windows)
 from ..session import materialize
+from ..sources import traces
 from ..sources.rules import RuleSet, load_rules
 from . import driver_views as views
 
@@ -521,6 +522,13 @@ def rank_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
         "trace_id", "window_id", "category", "record_count", "rank", "error_code")
 
 
+@query
+def trace_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slices of raw trace events: complete events in nanoseconds, attributes by normalised key."""
+    return traces.slices(views.trace_events(spark, sf_dir)).select(
+        "trace_id", "id", "name", "category", "ts_ns", "dur_ns", "host_thread", "correlation", "external_id", "device", "stream")
+
+
 @query
 def gemm_params(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gemm.rocblas_cases(views.gemm_lines(spark, sf_dir))

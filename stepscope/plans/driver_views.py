@@ -70,6 +70,20 @@ def _pick(names: list[str], index: str) -> str:
     return f"element_at(array({', '.join(sql_text(n) for n in names)}), CAST({index} + 1 AS INT))"
 
 
+def trace_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``trace_event`` rows from ``events``: complete events, counters and flow marks, with attributes in several spellings."""
+    number = "regexp_extract(props, '([0-9]+)', 1)"
+    return table(spark, sf_dir, "events").selectExpr(
+        "concat('run_rank', user_id % 5, '.json') AS trace_id", "event_id AS ord",
+        "CASE WHEN event_id % 11 = 0 THEN 'C' WHEN event_id % 13 = 0 THEN 's' WHEN event_id % 17 = 0 THEN NULL ELSE 'X' END AS ph",
+        "IF(event_type = 'signup', 'cuda_runtime', event_type) AS cat", "concat(event_type, '<', user_id, '>') AS name",
+        "CAST(user_id % 3 AS STRING) AS pid", "IF(user_id % 7 = 0, NULL, CAST(user_id % 7 AS STRING)) AS tid",
+        "CAST(timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts) AS DECIMAL(22,3)) AS ts_us", "IF(event_id % 5 = 0, NULL, CAST(value AS DECIMAL(22,3))) AS dur_us",
+        "IF(event_id % 13 = 0, CAST(user_id AS STRING), NULL) AS flow_id", "CAST(NULL AS STRING) AS bp",
+        f"map(IF(event_id % 2 = 0, 'Correlation', 'correlation_id'), {number}, IF(event_id % 3 = 0, 'External id', 'external_id'), CAST(user_id AS STRING), "
+        "IF(event_id % 2 = 0, 'Device ID', 'device'), CAST(user_id % 4 AS STRING), 'stream', event_type) AS args")
+
+
 def slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``slice`` table from ``events``."""
     device = "category IN ('kernel', 'gpu_memcpy', 'gpu_memset')"

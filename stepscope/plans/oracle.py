@@ -791,3 +791,12 @@ v_dump AS (
   FROM lineitem WHERE epoch_us(l_shipdate) * 1000 BETWEEN 900000000000000000 AND 950000000000000000 GROUP BY 1, 2)"""
 SQL["dump_dedup"] = with_views(V_DUMP, "SELECT * FROM v_dump")
 SQL["dump_counts"] = with_views(V_DUMP, "SELECT operator, CAST(sum(copies) AS BIGINT) AS before_count, count(*) AS after_count FROM v_dump GROUP BY operator")
+
+# Ingest.
+SQL["trace_slices"] = """
+SELECT 'run_rank' || (user_id % 5) || '.json' AS trace_id, event_id AS id, event_type || '<' || user_id || '>' AS name,
+  CASE WHEN event_type = 'signup' THEN 'cuda_runtime' ELSE event_type END AS category, epoch_us(ts) * 1000 AS ts_ns,
+  CASE WHEN event_id % 5 = 0 THEN 0 ELSE CAST(CAST(value AS DECIMAL(22,3)) * 1000 AS BIGINT) END AS dur_ns,
+  (user_id % 3) || '/' || CASE WHEN user_id % 7 = 0 THEN 'None' ELSE CAST(user_id % 7 AS VARCHAR) END AS host_thread,
+  regexp_extract(props, '([0-9]+)', 1) AS correlation, CAST(user_id AS VARCHAR) AS external_id, CAST(user_id % 4 AS VARCHAR) AS device, event_type AS stream
+FROM events WHERE event_id % 11 <> 0 AND event_id % 13 <> 0"""
