@@ -7,8 +7,10 @@ share a shingle within their first ``size - ceil(t * size) + 1``: their base pre
 * A shingle is hot if more than ``HOT`` different sets have it in their reserve. A set whose lengthened prefix holds h <= e hot
   shingles must share at least 1 + e - h that are not hot. Such a set ("extended") is indexed only under these; among the feasible
   lengths it takes the one with the lowest estimated cost, the candidates its lists hold over the matches it asks for.
-* A set for which no length within the reserve suffices (most of its shingles are hot: a member of a large group of near copies)
-  keeps the base prefix and asks for one match; it is also met through its hot shingles.
+* A set for which no length within the reserve suffices (most of its shingles are hot: a member of a large group of near copies) is
+  "bare". It is indexed under all shingles of its reserve that are not hot, which is enough to meet extended sets whose e is no
+  larger than its own reserve: these ask for what they would ask of each other. Bare sets, and extended sets with a larger e than
+  the reserve of some set they could link to, form a crowd that is also met through hot shingles.
 
 Lists of shingles that are not hot have at most ``HOT`` entries and are joined; pairs with too few matches or unlike sizes go
 unverified. Long lists are never paired: each member is verified against one star centre of its lists. What that leaves in
@@ -100,8 +102,8 @@ def prefixes(docs: DataFrame, n: int, similarity: Fraction) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, size bigint, mark bigint, prefix array<bigint>")
 
 
-def full_sets(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
-    """``node, shingles`` of the wanted nodes; of several texts with one doc_id the one with the smallest mark."""
+def full_sets(docs: DataFrame, nodes: DataFrame, n: int, repeated: bool) -> DataFrame:
+    """``node, shingles`` of the wanted nodes; of several texts with one doc_id (``repeated``) the one with the smallest mark."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch, "text"):
@@ -109,8 +111,8 @@ def full_sets(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
                 yield pa.record_batch({"node": piece.column("node"), "mark": set_marks(value, first), "shingles": pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(value.view(np.int64)))})
 
     texts = docs.select("doc_id", "text").join(nodes.select(F.col("node").alias("doc_id"), "node"), "doc_id")
-    return (texts.mapInArrow(run, "node bigint, mark bigint, shingles array<bigint>").filter(F.size("shingles") > 0)
-            .groupBy("node").agg(F.min_by("shingles", "mark").alias("shingles")))
+    sets = texts.mapInArrow(run, "node bigint, mark bigint, shingles array<bigint>").filter(F.size("shingles") > 0)
+    return sets.groupBy("node").agg(F.min_by("shingles", "mark").alias("shingles")) if repeated else sets.select("node", "shingles")
 
 
 def like_sizes(a: str, b: str, similarity: Fraction) -> Column:
@@ -118,21 +120,25 @@ def like_sizes(a: str, b: str, similarity: Fraction) -> Column:
     return F.expr(f"{q} * least({a}, {b}) >= {p} * greatest({a}, {b})")
 
 
+def base_and_room(size: str, similarity: Fraction) -> tuple[str, str]:
+    """SQL for the base prefix of a set and for the rest of its reserve."""
+    base = f"({size} + 1 - CAST(ceil({similarity.numerator} * {size} / {similarity.denominator}D) AS BIGINT))"
+    return base, f"(least({size}, {base} + greatest({EXTRA + 1}, {base} DIV 3)) - {base})"
+
+
 def plans(live: DataFrame, similarity: Fraction) -> DataFrame:
-    """``node, length, asked``: the prefix each set is indexed by and the matches it asks for; ``asked`` 0 for base prefixes."""
-    p, q = similarity.numerator, similarity.denominator
-    base = F.expr(f"size + 1 - CAST(ceil({p} * size / {q}D) AS BIGINT)")
-    room = F.least(F.col("size"), F.col("base") + F.greatest(F.lit(EXTRA + 1), F.floor(F.col("base") / 3))) - F.col("base")
+    """``node, length, asked, base``: the prefix each set is indexed by and the matches it asks for; ``asked`` 0 for bare sets."""
+    base, room = base_and_room("size", similarity)
     per_node = (live.groupBy("node", "size").agg(F.array_sort(F.collect_list(F.struct("pos", "df"))).alias("tokens"))  # a set's own prefix
-                .withColumn("base", base).withColumn("room", room))
+                .withColumn("base", F.expr(base)).withColumn("room", F.expr(room)))
     # A column for each number of extra matches: an expression inside the cost would be walked again for each shingle.
     lengths = {f"length_{k}": F.expr(f"base + aggregate(filter(tokens, t -> t.df > {HOT}), CAST({k} AS BIGINT), (e, t) -> IF(t.pos < base + e, e + 1, e))")
                for k in range(EXTRA + 1)}
     cost = "aggregate(tokens, 0D, (s, t) -> s + IF(t.df <= {hot} AND t.pos < length_{k}, t.df - 1, 0)) / {asked}"
     choices = ", ".join(f"IF(length_{k} <= base + room, struct({cost.format(hot=HOT, k=k, asked=k + 1)} AS cost, length_{k} AS length, {k + 1} AS asked), NULL)"
                         for k in range(EXTRA + 1))
-    best = per_node.withColumns(lengths).select("node", "base", F.expr(f"array_min(array_compact(array({choices})))").alias("best"))
-    return best.select("node", F.coalesce("best.length", "base").alias("length"), F.coalesce("best.asked", F.lit(0)).alias("asked"), "base")
+    best = per_node.withColumns(lengths).select("node", "base", "room", F.expr(f"array_min(array_compact(array({choices})))").alias("best"))
+    return best.select("node", F.coalesce("best.length", F.col("base") + F.col("room")).alias("length"), F.coalesce("best.asked", F.lit(0)).alias("asked"), "base")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: Fraction) -> DataFrame:
@@ -170,7 +176,7 @@ def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
 def block_links(members: DataFrame, similarity: Fraction) -> DataFrame:
     """Links ``a, b`` between components of sets that meet through hot shingles.
 
-    ``members``: ``node, component, bare`` (kept its base prefix), ``shingles``. A band is a range of sizes within the similarity;
+    ``members``: ``node, component, bare``, ``shingles``; at least one set of a pair is bare. A band is a range of sizes within the similarity;
     sets in bands further apart than one cannot link. A component that fills blocks of a band by itself has blocks of its own.
     """
     p, q = similarity.numerator, similarity.denominator
@@ -221,7 +227,8 @@ def join(docs: DataFrame, n: int = SHINGLE, similarity: Fraction = SIMILARITY) -
     usable = every.filter("size > 0 AND doc_id IS NOT NULL")
     nodes = stored(usable.groupBy("mark", "size").agg(F.min("doc_id").alias("node"), F.first("prefix").alias("prefix")))
     indexed = nodes
-    if not nodes.groupBy("node").count().filter("count > 1").isEmpty():  # a doc_id with several texts
+    several = not nodes.groupBy("node").count().filter("count > 1").isEmpty()  # a doc_id with several texts
+    if several:
         indexed = stored(nodes.groupBy("node").agg(F.min_by(F.struct("size", "prefix"), "mark").alias("s")).select("node", "s.*"))
     tokens = indexed.select("node", "size", F.posexplode("prefix").alias("pos", "token"))
     live = stored(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"))
@@ -229,13 +236,16 @@ def join(docs: DataFrame, n: int = SHINGLE, similarity: Fraction = SIMILARITY) -
     planned = stored(plans(listed, similarity))
     index = stored(listed.join(planned, "node").filter(f"pos < base OR pos < length AND df <= {HOT}"))
 
-    short = index.filter(f"df <= {HOT}").select("token", "node", "size", "asked")
+    # A bare set asks for what the extended one asks for; two bare sets meet in the crowd.
+    short = index.filter(f"df <= {HOT} AND pos < length").select("token", "node", "size", F.expr("IF(asked = 0, 2147483647, asked)").alias("asked"))
     other = short.select("token", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("asked").alias("asked_b"))
     matched = (short.join(other, (short["token"] == other["token"]) & (F.col("node") < F.col("b")) & like_sizes("size", "size_b", similarity))
                .groupBy(F.col("node").alias("a"), "b").agg(F.count(F.lit(1)).alias("n"), F.min(F.least("asked", "asked_b")).alias("asked"))
                .filter("n >= asked").select("a", "b"))
 
-    hot = index.filter(f"df > {HOT} AND pos < base").withColumn("bare", F.col("asked") == 0)
+    smallest = f"CAST(ceil({similarity.numerator} * size / {similarity.denominator}D) AS BIGINT)"  # of the sets this one could link to; so is their reserve
+    hot = stored(index.filter(f"df > {HOT} AND pos < base").withColumn("bare", F.col("asked") == 0)
+                 .filter(f"bare OR length - base > {base_and_room(smallest, similarity)[1]}"))
     centres = stored(hot.filter("bare").groupBy("token").agg(F.min(F.struct("node", "size")).alias("centre")))
     spokes = (hot.join(centres, "token").select("node", "size", F.col("centre.node").alias("c"), F.col("centre.size").alias("size_c"))
               .filter((F.col("node") != F.col("c")) & like_sizes("size", "size_c", similarity)).groupBy("node", "c").count())
@@ -247,7 +257,9 @@ def join(docs: DataFrame, n: int = SHINGLE, similarity: Fraction = SIMILARITY) -
     crowd = hot.withColumn("band", band).join(around, ["token", "band"], "left_semi").select("node", "bare").distinct()
     crowd = stored(crowd)
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(crowd.select("node")).distinct()
-    sets = stored(full_sets(docs, stored(wanted), n), **PRUNE)
+    # Exact repetitions of a row, too, would give a node several times.
+    repeated = several or not usable.groupBy("doc_id").count().filter("count > 1").isEmpty()
+    sets = stored(full_sets(docs, stored(wanted), n, repeated), **PRUNE)
     links = stored(verified(pairs, sets, similarity))
     joined = stored(components(links))
     members = crowd.join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "bare").join(sets, "node")
