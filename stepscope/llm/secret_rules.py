@@ -134,6 +134,14 @@ def grams(query: Query) -> set[str]:
     return set().union(*(grams(q) for q in query[1])) if query[0] in ("and", "or") else set()
 
 
+def asked(rule: Rule) -> str:
+    """Pattern that a text with a kept match holds. Only a pattern that is one run of a class can be asked for its least length at once."""
+    parsed = list(parser.parse(rule.pattern))
+    if rule.group == 0 and rule.least > 1 and rule.pattern.endswith("]+") and len(parsed) == 1 and [kind for kind, _ in parsed[0][1][2]] == [op.IN]:
+        return rule.pattern[:-1] + f"{{{rule.least},}}"
+    return rule.pattern
+
+
 def check(rules: tuple[Rule, ...]) -> None:
     """Patterns must compile and not match the empty text."""
     for rule in rules:

@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .secret_rules import ALL, BASE, RULES, Query, Rule, check, grams, trigram_query
+from .secret_rules import ALL, BASE, RULES, Query, Rule, asked, check, grams, trigram_query
 from .store import PRUNE, stored
 
 BITS = 60  # trigram bits per column
@@ -77,8 +77,7 @@ def matches(text: Column, rule: Rule, number: int) -> Column:
         F.when(s["group"] >= rule.least, F.concat(a["spans"], F.array(F.struct(
             (a["at"] + s["gap"]).alias("start"), F.lit(number).alias("rule"), (a["at"] + s["gap"] + s["n"]).alias("stop")))))
         .otherwise(a["spans"]).alias("spans")))
-    short = rule.pattern[:-1] + f"{{{rule.least},}}" if rule.group == 0 and rule.pattern.endswith("+") and rule.least > 1 else rule.pattern
-    return F.when(F.rlike(text, F.lit(short)), walked["spans"]).otherwise(F.array().cast(SPANS))
+    return F.when(F.rlike(text, F.lit(asked(rule))), walked["spans"]).otherwise(F.array().cast(SPANS))
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:

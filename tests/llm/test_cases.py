@@ -184,6 +184,19 @@ def test_secret_cases(spark):
     assert secrets.scan(docs.limit(0)).collect() == []
 
 
+def test_secrets_of_the_least_length(spark):
+    """A match of exactly the least length is kept, whatever else the text holds; one character less is not."""
+    least = {"assign": "token=" + "z" * 8, "access": "AKIA" + "B" * 12, "hex": "a" * 32, "private_key": "-----BEGIN PRIVATE KEY-----", "code_host_token": "ghp_" + "Z" * 36,
+             "chat_token": "xoxb-" + "Z" * 10, "map_key": "AIza" + "Z" * 35, "payment_key": "sk_live_" + "Z" * 16, "web_token": "eyJ" + "Z" * 12 + "." + "Z" * 12 + ".Z"}
+    assert list(least) == [r.kind for r in secret_rules.RULES]
+    shorter = {kind: match.replace("Z", "", 1) if "Z" in match else match[:-1] for kind, match in least.items()}
+    rows = [(i, f"é {match} ,") for i, match in enumerate(least.values())] + [(100 + i, f"é {match} ,") for i, match in enumerate(shorter.values())]
+    got = {r.doc_id: r for r in secrets.digest(secrets.scan(spark.createDataFrame(rows, "doc_id bigint, text string"))).collect()}
+    assert {i: r.spans for i, r in got.items()} == {i: f"{kind}:2:{2 + len(match)}" for i, (kind, match) in enumerate(least.items())} | {100 + i: "" for i in range(len(least))}
+    assert [(r.n_assign, r.n_access, r.n_hex) for r in (got[0], got[1], got[2])] == [(1, 0, 0), (0, 1, 0), (0, 0, 1)]
+    assert secret_rules.asked(secret_rules.RULES[2]) == "[0-9a-f]{32,}" and all(secret_rules.asked(r) == r.pattern for r in secret_rules.RULES if r.kind != "hex")
+
+
 @pytest.mark.parametrize("module, label", [(toxicity, "toxic"), (quality, "quality")])
 def test_classifier_cases(spark, docs, module, label):
     labels = spark.createDataFrame([(1, 1), (1, 1), (5, 0), (7, None), (8, 3), (None, 1), (99, 1)], f"doc_id bigint, {label} int")
