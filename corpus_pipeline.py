@@ -4,7 +4,7 @@
 2. near duplicates: of every group linked by shared shingles, the document with the smallest doc_id stays.
 3. secrets: every secret span becomes a mark; all documents stay.
 4. mixing: documents are repeated, cut or left out so that sources meet their target weights.
-5. packing: pieces of the remaining documents and their places in sequences.
+5. packing: pieces of the remaining documents with their ids, and their places in sequences.
 
 All stages but the last return the columns of documents. Cases such as null texts are defined in each operator.
 """
@@ -35,7 +35,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs)
+    return packing.pack(docs).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "ids")
 
 
 STAGES = [("toxicity", clean), ("near_duplicates", distinct), ("secrets", redacted), ("mixing", mixed), ("packing", packed)]

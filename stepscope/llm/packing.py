@@ -9,7 +9,7 @@ counts allow. Each repetition uses up a length, so there are at most about as ma
 A pattern whose slack would exceed ``most_slack`` is not used; the rests of its longest length are laid end to end instead and
 cut at window borders, the last partial window being cut into sequences of powers of two. Rests are matched with places by
 their rank among rests of the same length: a running rank within a task plus an offset from one small row per task and length.
-Nothing but these counts is shuffled, however many rests have the same length.
+The ids are stored once and meet these rows in one join by task and length, however many rests have the same length.
 
 Defined cases: a null text is an empty one (its only id is the closing one); repeated rows and doc_ids are packed each on
 their own; texts of any length are cut; an empty table gives no rows; columns other than doc_id and text are not read.
@@ -17,7 +17,6 @@ their own; texts of any length are cut; an empty table gives no rows; columns ot
 from __future__ import annotations
 
 import base64
-import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -26,7 +25,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import stored
@@ -35,6 +34,7 @@ from .words import slices
 WINDOW = 2048
 CLOSING = 1
 MOST_SLACK = 2
+OUTPUT = 4 << 20  # bytes of ids returned at a time
 
 
 @lru_cache(maxsize=2)
@@ -77,10 +77,10 @@ def token_ids(text: str | None, vocabulary: str) -> np.ndarray:
 
 
 def cut_documents(docs: DataFrame, vocabulary: str, window: int) -> DataFrame:
-    """Whole windows' checksums and the rest's ids of each document, with its place among those of its task.
+    """Ids of each document, with its place among those of its task.
 
-    ``task, doc_id, doc_tokens, crcs, first_full`` (whole windows before it in the task), ``rest`` (ids, in two bytes each if
-    the vocabulary allows), ``rest_crc``, ``rest_length`` and ``rest_rank`` (rests of that length before it in the task).
+    ``task, doc_id, ids`` (in two bytes each if the vocabulary allows), ``whole`` (whole windows), ``first_full`` (whole windows
+    before it in the task), ``rest_length`` (ids after the whole windows) and ``rest_rank`` (rests of that length before it in the task).
     """
     width = id_width(vocabulary)
 
@@ -88,28 +88,26 @@ def cut_documents(docs: DataFrame, vocabulary: str, window: int) -> DataFrame:
         task, full, seen = TaskContext.get().partitionId(), 0, np.zeros(window, np.int64)
         for batch in batches:
             for piece in slices(batch, "text", 2 << 20):
-                out: dict[str, list] = {c: [] for c in ("doc_tokens", "crcs", "first_full", "rest", "rest_crc", "rest_length", "rest_rank")}
+                out: dict[str, list] = {c: [] for c in ("ids", "whole", "first_full", "rest_length", "rest_rank")}
                 for text in piece.column("text").to_pylist():
                     ids = token_ids(text, vocabulary)
                     whole, rest = divmod(len(ids), window)
-                    out["doc_tokens"].append(len(ids))
-                    out["crcs"].append([zlib.crc32(ids[k * window:(k + 1) * window].tobytes()) for k in range(whole)])
+                    out["ids"].append(ids.astype(width).tobytes())
+                    out["whole"].append(whole)
                     out["first_full"].append(full)
-                    out["rest"].append(ids[whole * window:].astype(width).tobytes())
-                    out["rest_crc"].append(zlib.crc32(ids[whole * window:].tobytes()))
                     out["rest_length"].append(rest)
                     out["rest_rank"].append(int(seen[rest]))
                     full += whole
                     seen[rest] += 1
                 n = piece.num_rows
                 yield pa.record_batch({"task": pa.array([task] * n, pa.int32()), "doc_id": piece.column("doc_id"),
-                                       "doc_tokens": pa.array(out["doc_tokens"], pa.int64()), "crcs": pa.array(out["crcs"], pa.list_(pa.int64())),
-                                       "first_full": pa.array(out["first_full"], pa.int64()), "rest": pa.array(out["rest"], pa.binary()), "rest_crc": pa.array(out["rest_crc"], pa.int64()),
+                                       "ids": pa.array(out["ids"], pa.binary()), "whole": pa.array(out["whole"], pa.int64()),
+                                       "first_full": pa.array(out["first_full"], pa.int64()),
                                        "rest_length": pa.array(out["rest_length"], pa.int32()), "rest_rank": pa.array(out["rest_rank"], pa.int64())})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(
-        run, f"task int, doc_id {kind}, doc_tokens bigint, crcs array<bigint>, first_full bigint, rest binary, rest_crc bigint, rest_length int, rest_rank bigint")
+        run, f"task int, doc_id {kind}, ids binary, whole bigint, first_full bigint, rest_length int, rest_rank bigint")
 
 
 def fill(counts: dict[int, int], capacity: int) -> dict[int, int]:
@@ -209,9 +207,12 @@ def stream_sequence(total: int, at: int, window: int) -> tuple[int, int, int]:
 
 
 def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k", window: int = WINDOW, most_slack: int = MOST_SLACK) -> DataFrame:
-    """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``."""
+    """One row per piece: ``doc_id, start, length, ids, doc_tokens, sequence_id, offset``.
+
+    ``ids`` are the piece's ids as little-endian unsigned 32-bit integers. The pieces of a sequence, by offset, are its content.
+    """
     cut = stored(cut_documents(docs, vocabulary, window))
-    counted = stored(cut.groupBy("task", "rest_length").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("crcs")).alias("full")))
+    counted = stored(cut.groupBy("task", "rest_length").agg(F.count(F.lit(1)).alias("n"), F.sum("whole").alias("full")))
     plan = plan_rests({r[0]: r[1] for r in counted.groupBy("rest_length").agg(F.sum("n")).collect()}, window, most_slack)
     earlier = Window.partitionBy("rest_length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     ranks = counted.select("task", "rest_length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("rank_base"))
@@ -220,31 +221,35 @@ def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k", window: int = WINDOW
     held = docs.sparkSession.sparkContext.broadcast(plan)
     after = plan.sequences + plan.stream_length // window + window.bit_length()
     width, kind = id_width(vocabulary), docs.schema["doc_id"].dataType.simpleString()
+    columns = ("start", "length", "doc_tokens", "sequence_id", "offset")
+
+    def made(batch: pa.RecordBatch, doc: list[int], rows: list[tuple], ids: list[bytes]) -> pa.RecordBatch:
+        values = dict(zip(columns, np.array(rows, np.int64).reshape(-1, len(columns)).T))
+        return pa.record_batch({"doc_id": batch.column("doc_id").take(pa.array(doc, pa.int64())), "start": pa.array(values["start"]), "length": pa.array(values["length"]),
+                                "ids": pa.array(ids, pa.binary()), **{c: pa.array(values[c]) for c in columns[2:]}})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan = held.value
         for batch in batches:
-            doc, rows = [], []
-            for i, (tokens, crcs, full, rest, whole, length, rank) in enumerate(zip(*[batch.column(c).to_pylist() for c in (
-                    "doc_tokens", "crcs", "full", "rest", "rest_crc", "rest_length", "rank")])):
-                rows += [(k * window, window, crc, tokens, after + full + k, 0) for k, crc in enumerate(crcs)]
+            doc, rows, ids, size = [], [], [], 0
+            for i, (whole, full, length, rank) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("whole", "full", "rest_length", "rank")])):
+                tokens = np.frombuffer(batch.column("ids")[i].as_buffer(), width)
+                pieces = [(k * window, window, after + full + k, 0) for k in range(whole)]
                 if length:
-                    pieces = pieces_of(plan, length, rank, window)
-                    ids = np.frombuffer(rest, width).astype("<u4") if len(pieces) > 1 else None
-                    rows += [(len(crcs) * window + a, n, whole if ids is None else zlib.crc32(ids[a:a + n].tobytes()), tokens, sequence, offset)
-                             for a, n, sequence, offset in pieces]
-                doc += [i] * (len(rows) - len(doc))
-            values = np.array(rows, np.int64).reshape(-1, 6)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(doc, pa.int64())), *[pa.array(values[:, k]) for k in range(6)]],
-                                             ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
-
-    def placed(rows: DataFrame, rest: Column) -> DataFrame:
-        """Pieces of some documents; the ids of their rests are read and moved only where a rest can be cut."""
-        numbered = (rows.withColumn("rest", rest).join(ranks, ["task", "rest_length"]).join(fulls, "task")
-                    .select("doc_id", "doc_tokens", "crcs", (F.col("full_base") + F.col("first_full")).alias("full"), "rest", "rest_crc",
-                            "rest_length", (F.col("rank_base") + F.col("rest_rank")).alias("rank")))
-        return numbered.mapInArrow(run, f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")
-
-    in_stream = F.col("rest_length").isin(sorted(plan.stream))
-    whole = placed(cut.filter(~in_stream), F.lit(None).cast("binary"))
-    return whole.unionByName(placed(cut.filter(in_stream), F.col("rest"))) if plan.stream else whole
+                    pieces += [(whole * window + a, n, sequence, offset) for a, n, sequence, offset in pieces_of(plan, length, rank, window)]
+                for start, n, sequence, offset in pieces:
+                    doc.append(i)
+                    rows.append((start, n, len(tokens), sequence, offset))
+                    ids.append(tokens[start:start + n].astype("<u4").tobytes())
+                    size += 4 * n
+                    if size >= OUTPUT:
+                        yield made(batch, doc, rows, ids)
+                        doc, rows, ids, size = [], [], [], 0
+            if rows:
+                yield made(batch, doc, rows, ids)
+
+    # both tables of counts meet first, so that the ids are moved once
+    numbered = (cut.join(ranks.join(fulls, "task"), ["task", "rest_length"])
+                .select("doc_id", "ids", "whole", (F.col("full_base") + F.col("first_full")).alias("full"),
+                        "rest_length", (F.col("rank_base") + F.col("rest_rank")).alias("rank")))
+    return numbered.mapInArrow(run, f"doc_id {kind}, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint")

@@ -130,6 +130,19 @@ def test_packing_cases(docs):
     assert packing.pack(docs.limit(0)).collect() == []
 
 
+def test_packing_returns_the_ids(docs):
+    """Sequences can be put together, and every document with them, from what the operator returns."""
+    parts, sequences = {}, {}
+    for p in packing.pack(docs.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])).collect():
+        ids = np.frombuffer(p.ids, "<u4").tolist()
+        assert len(ids) == p.length
+        parts.setdefault(p.doc_id, []).append((p.start, ids))
+        sequences.setdefault(p.sequence_id, []).append((p.offset, ids))
+    assert {doc: [i for _, ids in sorted(p) for i in ids] for doc, p in parts.items()} == {
+        doc: packing.token_ids(text, "byte_bpe_50k").tolist() for doc, text, _ in TEXTS if doc is not None}
+    assert all(at == sum(len(ids) for _, ids in sorted(s)[:k]) for s in sequences.values() for k, (at, _) in enumerate(sorted(s)))
+
+
 def test_long_texts_encode_in_pieces():
     text = "Ab. c\n d  e'll 12 xé " * 40_000
     whole = packing.encoder("byte_bpe_50k").encode_ordinary(text)

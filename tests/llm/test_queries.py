@@ -136,3 +136,19 @@ def test_pipeline_stages(spark):
 
 def test_pipeline_run_ends_in_pieces(spark):
     assert corpus_pipeline.run(spark, TINY).columns[:4] == ["doc_id", "start", "length", "ids_crc32"]
+
+
+def test_pipeline_returns_the_packed_ids(spark):
+    """The redacted texts can be read from the last stage's result, with digests of the same ids."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    docs = spark.createDataFrame([(1, "x AKIA" + "B" * 12 + " y", 20), (2, "plain", 5)], "doc_id bigint, text string, n_chars bigint")
+    stages = dict(corpus_pipeline.STAGES)
+    pieces = stages["packing"](spark, stages["secrets"](spark, docs, TINY), TINY).collect()
+    assert all(len(p.ids) == 4 * p.length and p.ids_crc32 == zlib.crc32(p.ids) for p in pieces)
+    found = {}
+    for p in sorted(pieces, key=lambda p: (p.doc_id, p.start)):
+        found.setdefault(p.doc_id, []).extend(np.frombuffer(p.ids, "<u4").tolist())
+    assert {doc: tokenizer.decode(ids[:-1]) for doc, ids in found.items()} == {1: "x [secret] y", 2: "plain"}
