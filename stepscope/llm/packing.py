@@ -17,6 +17,9 @@ their own; texts of any length are cut; an empty table gives no rows; columns ot
 from __future__ import annotations
 
 import base64
+import json
+import os
+import re
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -39,8 +42,8 @@ OUTPUT = 4 << 20  # bytes of ids returned at a time
 
 @lru_cache(maxsize=2)
 def encoder(vocabulary: str):
-    """Byte-level BPE over the named public vocabulary. It gives the ids of the ``tokenizers`` file of the same name, several
-    times as fast; tests compare the two."""
+    """Byte-level BPE over the named public vocabulary. Between added tokens it gives the ids of the ``tokenizers`` file of the
+    same name, several times as fast; tests compare the two."""
     import public_tokenizers
     import tiktoken
 
@@ -49,8 +52,29 @@ def encoder(vocabulary: str):
     return tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+@lru_cache(maxsize=2)
+def added_tokens(vocabulary: str) -> dict[str, int]:
+    """Tokens that the vocabulary's ``tokenizers`` file matches as they stand in a text; none without such a file."""
+    import public_tokenizers
+
+    path = public_tokenizers.path(f"{vocabulary}.json")
+    if not os.path.exists(path):
+        return {}
+    with open(path, encoding="utf-8") as file:
+        tokens = json.load(file)["added_tokens"]
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in tokens):
+        raise ValueError(f"added tokens of {vocabulary} that depend on their neighbours are not supported")
+    return {t["content"]: t["id"] for t in tokens}
+
+
+@lru_cache(maxsize=2)
+def added_pattern(vocabulary: str) -> re.Pattern | None:
+    tokens = sorted(added_tokens(vocabulary), key=len, reverse=True)
+    return re.compile(f"({'|'.join(map(re.escape, tokens))})") if tokens else None
+
+
 def id_width(vocabulary: str) -> str:
-    return "<u2" if encoder(vocabulary).n_vocab <= 1 << 16 else "<u4"
+    return "<u2" if max(encoder(vocabulary).n_vocab, *[i + 1 for i in added_tokens(vocabulary).values()], 0) <= 1 << 16 else "<u4"
 
 
 PIECE = 200_000  # characters encoded at a time; cut where the pre-tokeniser cuts, too
@@ -59,20 +83,24 @@ PIECE = 200_000  # characters encoded at a time; cut where the pre-tokeniser cut
 def token_ids(text: str | None, vocabulary: str) -> np.ndarray:
     """Ids of a text as unsigned 32-bit integers, with the closing id.
 
-    Long texts are encoded in pieces. A piece ends before a single space between two letters, where the vocabulary's pattern
-    always starts a new token, so the ids are those of the whole text.
+    Added tokens have their own ids; the text between two of them is encoded on its own. Long stretches are encoded in pieces. A
+    piece ends before a single space between two letters, where the vocabulary's pattern always starts a new token, so the ids
+    are those of the whole stretch.
     """
-    text = text or ""
+    text, marks = text or "", added_pattern(vocabulary)
     encode = encoder(vocabulary).encode_ordinary
-    if len(text) <= PIECE:
-        return np.array([*encode(text), CLOSING], dtype="<u4")
-    parts, at = [], 0
-    while at < len(text):
-        stop = min(at + PIECE, len(text))
-        while stop < len(text) and not (text[stop] == " " and text[stop - 1].isalpha() and text[stop + 1:stop + 2].isalpha()):
-            stop += 1
-        parts.append(np.array(encode(text[at:stop]), dtype="<u4"))
-        at = stop
+    parts = []
+    for k, stretch in enumerate(marks.split(text) if marks else [text]):  # every second one is an added token
+        if k % 2:
+            parts.append(np.array([added_tokens(vocabulary)[stretch]], dtype="<u4"))
+            continue
+        at = 0
+        while at < len(stretch):
+            stop = min(at + PIECE, len(stretch))
+            while stop < len(stretch) and not (stretch[stop] == " " and stretch[stop - 1].isalpha() and stretch[stop + 1:stop + 2].isalpha()):
+                stop += 1
+            parts.append(np.array(encode(stretch[at:stop]), dtype="<u4"))
+            at = stop
     return np.concatenate([*parts, np.array([CLOSING], dtype="<u4")])
 
 

@@ -149,6 +149,25 @@ def test_long_texts_encode_in_pieces():
     assert packing.token_ids(text, "byte_bpe_50k").tolist() == [*whole, packing.CLOSING]
 
 
+def test_added_tokens_have_their_own_ids(spark):
+    """The ids are those of the tokenizers file, also where a text quotes one of its added tokens."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer, mark = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), "<|endoftext|>"
+    texts = [f"a{mark}b", mark, mark + mark, f"a  {mark}  b \n{mark}\n\n c", f"x<|{mark}|>", mark[:-1], mark.upper(), f"é{mark}'s", f"{'one two ' * 30_000}{mark}{' three' * 40_000}", ""]
+    expected = {i: [*tokenizer.encode(t, add_special_tokens=False).ids, packing.CLOSING] for i, t in enumerate(texts)}
+    assert expected[0] == [64, 50256, 65, 1] and {i: packing.token_ids(t, "byte_bpe_50k").tolist() for i, t in enumerate(texts)} == expected
+    docs, packed, matrix = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), {}, {}
+    for p in packing.pack(docs).collect():
+        packed.setdefault(p.doc_id, []).append((p.start, np.frombuffer(p.ids, "<u4").tolist()))
+    for r in token_matrix.matrices(docs).collect():
+        for doc, start, a, b in zip(r.doc_ids, r.starts, r.cu_seqlens[:-1], r.cu_seqlens[1:]):
+            matrix.setdefault(doc, []).append((start, np.frombuffer(r.ids, "<u2")[a:b].tolist()))
+    for parts in (packed, matrix):
+        assert {doc: [i for _, ids in sorted(p) for i in ids] for doc, p in parts.items()} == expected
+
+
 @pytest.mark.parametrize("histogram", [{1500: 999}, {2047: 10, 1: 3}, {1024: 7, 3: 100}, {n: 3 for n in range(1, 2048, 7)}, {}])
 def test_plan_places_every_rest(histogram):
     plan, seen = packing.plan_rests(histogram), {}
