@@ -72,3 +72,25 @@ FROM listed"""
 
 
 SQL["op8_secrets"] = _secrets()
+
+# crc32 over the hexadecimal digits of a byte string; its table comes from the polynomial.
+CRC_TABLE = """(SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t)"""
+
+
+def crc32_sql(text: str, table: str = "t") -> str:
+    digits = f"list_transform(regexp_extract_all(hex({text}), '..'), lambda d: CAST('0x' || d AS BIGINT))"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {digits}), lambda c, b: xor(c >> 8, {table}[1 + (xor(c, b) & 255)])), 4294967295)"
+
+
+SQL["op11_rendezvous"] = f"""
+WITH claims AS (
+  SELECT doc_id, text, list_transform(range(9), lambda i: {{'claim': -ln((CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || i), 1, 13)
+         AS BIGINT) + 0.5::DOUBLE) / 4503599627370496), 'shard': i}}) AS c
+  FROM documents),
+placed AS (
+  SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) + 1 AS BIGINT) AS size, {crc32_sql("coalesce(text, '')")} AS text_crc32,
+         CAST(list_min(c[1:8]).shard AS INT) AS shard, CAST(list_min(c).shard AS INT) AS grown_shard
+  FROM claims, {CRC_TABLE})
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, grown_shard
+FROM placed"""

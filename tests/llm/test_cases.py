@@ -1,4 +1,6 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
+import zlib
+
 import brute
 import numpy as np
 import pyarrow as pa
@@ -6,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stepscope.llm import (components, cover_tree, labelled, lempel_ziv, mixing, multi_index, packing, prefix_join, quality, secret_rules,
-                           secrets, token_matrix, toxicity, words)
+                           secrets, sharding, token_matrix, toxicity, words)
 
 LONG = " ".join(f"w{i % 977}x{i % 1013}" for i in range(40_000))
 TEXTS = [(1, "a b c d e f g h i j k l m n o p", "s"), (2, None, None), (3, "", "s"), (4, " \t\n", "t"), (5, LONG, "t"), (6, LONG, "t"),
@@ -275,3 +277,51 @@ def test_best_fit_equals_a_plain_search():
     rows = token_matrix.best_fit(lengths, 100)
     assert sorted(100 - sum(lengths[i] for i in r) for r in rows) == sorted(rooms) and sorted(i for r in rows for i in r) == list(range(400))
     assert token_matrix.best_fit([], 10) == [] and token_matrix.best_fit([10, 10, 1], 10) == [[0], [1], [2]]
+
+
+def test_rendezvous_cases(docs, spark):
+    got = sharding.places(docs, [1.0] * 8, one_more=1.0).collect()
+    assert len(got) == len(TEXTS)
+    sized = {(r.doc_id, r.size, r.text_crc32) for r in got}
+    assert sized == {(d, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for d, t, _ in TEXTS}
+    for shard in range(8):
+        own = sorted((r.slot, r.doc_id is not None, r.doc_id or 0, r.size, r.text_crc32) for r in got if r.shard == shard)
+        assert [o[0] for o in own] == list(range(len(own))) and [o[1:] for o in own] == sorted(o[1:] for o in own)
+    assert all(len({r.shard for r in got if r.doc_id == d}) == 1 for d, *_ in TEXTS) and all(r.grown_shard in (r.shard, 8) for r in got)
+    assert sharding.places(docs.limit(0), [1.0, 2.0]).collect() == []
+    clashing = docs.withColumn("shard", F.lit("mine"))
+    assigned = sharding.assign(clashing, [1.0, 0.0, 3.0])
+    assert assigned.columns == [*clashing.columns, "shard_"] and plain(assigned.drop("shard_").collect()) == plain(clashing.collect())
+    assert {r.shard_ for r in assigned.collect()} <= {0, 2}
+    with pytest.raises(ValueError):
+        sharding.assign(docs, [0.0])
+
+
+def test_rendezvous_weights_and_moves(spark):
+    """Keys follow the weights; a shard that comes or goes moves only its own keys."""
+    keys = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    weights = [1.0, 2.0, 5.0, 0.5, 1.5]
+    before = {r.doc_id: r.shard for r in sharding.assign(keys, weights).collect()}
+    for i, w in enumerate(weights):
+        assert abs(sum(s == i for s in before.values()) / 20_000 - w / 10) < 0.015
+    grown = {r.doc_id: r.shard for r in sharding.assign(keys, [*weights, 2.0]).collect()}
+    moved = {k for k in before if before[k] != grown[k]}
+    assert {grown[k] for k in moved} == {5} and abs(len(moved) / 20_000 - 2 / 12) < 0.02
+    without = {r.doc_id: r.shard for r in sharding.assign(keys, [1.0, 2.0, 0.0, 0.5, 1.5]).collect()}
+    assert all(without[k] == s for k, s in before.items() if s != 2)
+
+
+def test_rendezvous_numbers_one_hot_key(spark):
+    """One key and one text hold most rows; places stay gapless over several ranges."""
+    rows = spark.range(3000).select(F.when(F.col("id") % 3 > 0, 7).otherwise(F.col("id")).alias("doc_id"), F.lit("same").alias("text"))
+    got = sharding.places(rows, [1.0, 1.0]).collect()
+    for shard in (0, 1):
+        assert sorted(r.slot for r in got if r.shard == shard) == list(range(sum(r.shard == shard for r in got)))
+
+
+def test_shards_are_written_once(docs, spark, tmp_path):
+    sharding.write(docs, str(tmp_path / "shards"), [1.0] * 3)
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    assert plain(back.select(*docs.columns).collect()) == plain(docs.collect())
+    with pytest.raises(Exception):
+        sharding.write(docs, str(tmp_path / "shards"), [1.0] * 3)
