@@ -94,3 +94,34 @@ placed AS (
   FROM claims, {CRC_TABLE})
 SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, grown_shard
 FROM placed"""
+
+SQL["op13_setm"] = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS piece, words
+  FROM (SELECT lang, list_transform(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+               '[.,;:!?\x0A-\x0D]'), lambda p: regexp_extract_all(p, '[^\x20\x09]+')) AS lists FROM documents),
+       unnest(lists) AS u(words)),
+spots AS (SELECT lang, piece, unnest(words) AS w, generate_subscripts(words, 1) AS spot FROM pieces),
+following AS (
+  SELECT lang, w, lead(w, 1) OVER places AS w2, lead(w, 2) OVER places AS w3 FROM spots WINDOW places AS (PARTITION BY piece ORDER BY spot)),
+phrases AS (
+  SELECT lang, [w] AS words, 1 AS k, count(*) AS f FROM following GROUP BY lang, w
+  UNION ALL SELECT lang, [w, w2], 2, count(*) FROM following WHERE w2 IS NOT NULL GROUP BY lang, w, w2
+  UNION ALL SELECT lang, [w, w2, w3], 3, count(*) FROM following WHERE w3 IS NOT NULL GROUP BY lang, w, w2, w3),
+totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM phrases WHERE k = 1 GROUP BY lang),
+candidates AS (SELECT * FROM phrases WHERE k > 1 AND f >= 10),
+absorbed AS (
+  SELECT lang, words, max(f) AS around FROM (
+    SELECT lang, words[1:2] AS words, f FROM candidates WHERE k = 3 UNION ALL SELECT lang, words[2:3], f FROM candidates WHERE k = 3)
+  GROUP BY lang, words),
+cuts AS (
+  SELECT c.lang, c.words, c.f AS a, cut, h.f AS l, t.f AS r,
+         CAST(CAST(c.f AS HUGEINT) * c.f * 1000000 // (CAST(h.f AS HUGEINT) * t.f) AS BIGINT) AS score
+  FROM candidates c, (VALUES (1), (2)) AS points(cut), phrases h, phrases t
+  WHERE cut < c.k AND h.lang = c.lang AND h.words = c.words[1:cut] AND t.lang = c.lang AND t.words = c.words[cut + 1:]),
+lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, words ORDER BY score, cut) = 1),
+ranked AS (
+  SELECT c.lang, array_to_string(c.words, ' ') AS phrase, a, l, r, score
+  FROM lowest c LEFT JOIN absorbed b ON b.lang = c.lang AND b.words = c.words WHERE around IS NULL OR 100 * around < 50 * a)
+SELECT lang, row_number() OVER best AS rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang)
+WINDOW best AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) QUALIFY rank <= 2000"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cover_tree, lempel_ziv, mixing, multi_index, packing, prefix_join, quality, secrets, sharding, token_matrix, toxicity
+from . import collocations, cover_tree, lempel_ziv, mixing, multi_index, packing, prefix_join, quality, secrets, sharding, token_matrix, toxicity
 from .labelled import fold
 from .oracle import SQL  # noqa: F401
 
@@ -99,3 +99,9 @@ def op11_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard and place of each document, and its shard once there is one more."""
     placed = sharding.places(table(spark, sf_dir, "documents").select("doc_id", "text"), [1.0] * 8, one_more=1.0)
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+@query
+def op13_setm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best collocations of each language."""
+    return collocations.top(table(spark, sf_dir, "documents").select("lang", "text"))
