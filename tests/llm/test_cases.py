@@ -1,4 +1,5 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
+import re
 import zlib
 
 import brute
@@ -7,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from stepscope.llm import (components, cover_tree, labelled, lempel_ziv, mixing, multi_index, packing, prefix_join, quality, secret_rules,
+from stepscope.llm import (collocations, components, cover_tree, labelled, lempel_ziv, mixing, multi_index, packing, prefix_join, quality, secret_rules,
                            secrets, sharding, token_matrix, toxicity, words)
 
 LONG = " ".join(f"w{i % 977}x{i % 1013}" for i in range(40_000))
@@ -325,3 +326,70 @@ def test_shards_are_written_once(docs, spark, tmp_path):
     assert plain(back.select(*docs.columns).collect()) == plain(docs.collect())
     with pytest.raises(Exception):
         sharding.write(docs, str(tmp_path / "shards"), [1.0] * 3)
+
+
+def brute_collocations(rows, most_words=3, least=10, absorbed=50, most=2000):
+    counts, n = {}, {}
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        folded = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", folded):
+            own = re.findall(r"[^\x20\x09]+", piece)
+            n[lang] = n.get(lang, 0) + len(own)
+            for k in range(1, most_words + 1):
+                for i in range(len(own) - k + 1):
+                    key = (lang, *own[i:i + k])
+                    counts[key] = counts.get(key, 0) + 1
+    found = {k: a for k, a in counts.items() if len(k) > 2 and a >= least}
+    gone = {(k[0], *k[i:j]) for k, a in found.items() for i in range(1, len(k)) for j in range(i + 2, len(k) + 1)
+            if j - i < len(k) - 1 and 100 * a >= absorbed * counts[(k[0], *k[i:j])]}
+    best = {}
+    for key, a in found.items():
+        if key not in gone:
+            cuts = [(counts[key[:j]], counts[(key[0], *key[j:])]) for j in range(2, len(key))]
+            score, _, left, right = min((1_000_000 * a * a // (l * r), j, l, r) for j, (l, r) in enumerate(cuts))
+            best.setdefault(key[0], []).append((-score, -a, " ".join(key[1:]).encode(), left, right))
+    return {(lang, i + 1, p.decode(), -a, left, right, n[lang], -s) for lang, own in best.items()
+            for i, (s, a, p, left, right) in enumerate(sorted(own)[:most])}
+
+
+def collocation_rows():
+    rng = np.random.default_rng(5)
+    rows = [(["en", "fr", None][i % 3], " ".join(str(w) + ("." if rng.random() < 0.08 else "") for w in rng.choice(list("abcdefgh"), 60))) for i in range(40)]
+    rows += [("en", "New york City, new York\tcity\nnew york"), ("en", None), ("de", ""), ("und", "a b c " * 30), ("en", LONG), ("en", "w " * 5000)] * 3
+    return rows + [("en", "é\x85ü Ä\x1cx y\x00z " * 12)]
+
+
+@pytest.mark.parametrize("block, words", [(1 << 21, 3), (7, 3), (50, 4), (3, 2)])
+def test_collocations_equal_brute_force(spark, monkeypatch, block, words):
+    """Also with blocks of a few places, which cut documents anywhere."""
+    monkeypatch.setattr(collocations, "BLOCK", block)
+    found = collocation_rows() if block > 1000 else [r for r in collocation_rows() if len(r[1] or "") < 1000]
+    frame = spark.createDataFrame([(*r, 1, "x") for r in found], "lang string, text string, n int, phrase string")
+    columns = ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
+    got = {tuple(r[c] for c in columns) for r in collocations.top(frame, most_words=words).collect()}
+    assert got == brute_collocations(found, words) and got
+    assert collocations.top(frame.limit(0)).collect() == []
+
+
+def test_groups_that_span_batches(spark):
+    """Groups are counted while streaming, wherever a batch ends."""
+    rows = [(b, p, f"k{g}", g % 3) for g in range(60) for b in range(g % 17 + 1) for p in [g]]
+    frame = spark.createDataFrame(rows, "block bigint, place int, key string, n bigint")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        got = collocations.frequent(frame.withColumnRenamed("key", "word"), ["word"], 10).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    total = {f"k{g}": (g % 3) * (g % 17 + 1) for g in range(60)}
+    assert {r.word: r.f for r in got if r.f} == {k: f for k, f in total.items() if f >= 10}
+    assert sorted((r.block, r.place) for r in got if r.block is not None) == sorted((b, p) for b, p, k, _ in rows if total[k] >= 10)
+    assert len({r.id for r in got}) == len({r.word for r in got if r.f})
+
+
+def test_scores_beyond_64_bits(spark):
+    frame = spark.createDataFrame([("en", "x y z", 9 * 10 ** 13, [10 ** 14, 2 * 10 ** 14], [3 * 10 ** 14, 10 ** 14])],
+                                  "lang string, phrase string, f bigint, heads array<bigint>, tails array<bigint>")
+    a = 9 * 10 ** 13
+    assert [(r.l, r.r, r.score) for r in collocations.scored(frame).collect()] == [
+        (2 * 10 ** 14, 3 * 10 ** 14, a * a * 10 ** 6 // (6 * 10 ** 28))]
