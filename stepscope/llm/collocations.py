@@ -1,7 +1,7 @@
 """Phrase collocations by set-oriented mining (SETM): occurrence relations, adjacent joins, group counts and semi-joins.
 
 Texts are folded (A-Z), split into pieces at punctuation and line ends, and into words at spaces and tabs. The occurrences are a stored
-relation, sorted by place: a block holds about two million places of consecutive documents, a gap parts two pieces, and a place holds the
+relation, sorted by place: a block holds about a million places of consecutive documents, a gap parts two pieces, and a place holds the
 number of the group (language and word) that occurs there. One round per phrase length then
 
 * joins the relation with itself at adjacent places: both sides are in order, so each block merges them by shifting one against the other;
@@ -25,6 +25,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
@@ -35,8 +36,8 @@ from .store import stored
 from .words import STEP, U, mixed, slices, words_of
 
 PLACE_BITS = 22
-BLOCK = 1 << 21  # below 2**PLACE_BITS, with the overlap
-TEXT = 12 << 20  # bytes of text gathered for a block
+BLOCK = 1 << 20  # below 2**PLACE_BITS, with the overlap
+TEXT = 4 << 20  # bytes of text gathered for a block
 BREAKS = np.zeros(256, dtype=bool)
 BREAKS[[*b".,;:!?", *range(10, 14)]] = True
 GAPS = BREAKS.copy()
@@ -50,7 +51,7 @@ OCCURRENCES = "block bigint, place int, lang string, word string, first bigint,
 def places_of(texts: pa.Array, langs: pa.Array):
     """Words of some documents with, for each, its place (a gap parts two pieces) and a hash of language and word."""
     words = words_of(texts, lower=True, gaps=GAPS)
-    breaks = np.concatenate([[0], np.cumsum(BREAKS[words.data], dtype=np.int64)])
+    breaks = np.concatenate([np.zeros(1, np.int32), np.cumsum(BREAKS[words.data], dtype=np.int32)])
     row = words.row
     fresh = np.ones(len(row), bool)
     fresh[1:] = (row[1:] != row[:-1]) | (breaks[words.start[1:]] > breaks[words.end[:-1]])
@@ -67,7 +68,8 @@ def word_rows(docs: DataFrame, overlap: int) -> DataFrame:
         for a in range(0, len(key), BLOCK):
             own = min(a + BLOCK, len(key)) - a
             b = min(a + BLOCK + overlap, len(key))
-            _, at, item = np.unique(key[a:b], return_index=True, return_inverse=True)
+            item = pd.factorize(key[a:b])[0]
+            at = np.flatnonzero(np.diff(np.maximum.accumulate(item), prepend=-1))  # words are numbered as they first appear
             items = np.full(place[b - 1] - place[a] + 1, NONE, np.int32)
             items[place[a:b] - place[a]] = item
             ends = np.array([place[a + own - 1] - place[a] + 1], np.int64).tobytes()  # phrases that start later belong to the next block
@@ -110,10 +112,9 @@ def adjacent(items: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     """Merge a block's relation with itself at the next place: places of the pairs, both numbers, the groups, and how many places are its own."""
     own, ids = int(np.frombuffer(items, np.int64, 1)[0]), np.frombuffer(items, np.int64, -1, 8)
     at = np.flatnonzero((ids[:-1] != NONE) & (ids[1:] != NONE))
-    _, left = np.unique(ids[at], return_inverse=True)
-    _, right = np.unique(ids[at + 1], return_inverse=True)
-    _, seen, group = np.unique((left << 32) | right, return_index=True, return_inverse=True)
-    return at, ids[at[seen]], ids[at[seen] + 1], group, own
+    code, known = pd.factorize(ids)
+    group, pairs = pd.factorize((code[at] << 32) | code[at + 1])
+    return at, known[pairs >> 32], known[pairs & 0xFFFFFFFF], group, own
 
 
 def pair_rows(relation: DataFrame) -> DataFrame:
@@ -182,8 +183,8 @@ def frequent(found: DataFrame, keys: Sequence[str], least: int) -> DataFrame:
         return pa.record_batch(arrays)
 
     # A group has at most one row per block, whatever its share of the words.
-    sorted_rows = found.select("block", "place", *keys, "n").repartition(*keys).sortWithinPartitions(*keys, "block", "place")
-    return sorted_rows.mapInArrow(run, schema)
+    dealt = found.select("block", "place", *keys, "n").repartition(*keys)
+    return dealt.sortWithinPartitions(F.xxhash64(*keys), *keys).mapInArrow(run, schema)
 
 
 def relation_of(before: DataFrame, found: DataFrame, width: type, group_of) -> DataFrame:
