@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collocations, cover_tree, lempel_ziv, mixing, multi_index, packing, prefix_join, quality, secrets, sharding, token_matrix, toxicity
+from . import collocations, conversations, cover_tree, lempel_ziv, mixing, multi_index, packing, prefix_join, quality, secrets, sharding, token_matrix, toxicity
 from .labelled import fold
 from .oracle import SQL  # noqa: F401
 
@@ -105,3 +105,10 @@ def op11_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_setm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best collocations of each language."""
     return collocations.top(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+@query
+def op12_dawg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of damaged conversations and their cheapest repair."""
+    told = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return conversations.report(conversations.damaged(told), told)
