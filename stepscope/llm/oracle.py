@@ -125,3 +125,71 @@ ranked AS (
   FROM lowest c LEFT JOIN absorbed b ON b.lang = c.lang AND b.words = c.words WHERE around IS NULL OR 100 * around < 50 * a)
 SELECT lang, row_number() OVER best AS rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang)
 WINDOW best AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) QUALIFY rank <= 2000"""
+
+# Cheapest repairs: from the last row on, a list of cost and audit by state (nothing yet, after s, after u, after ua) is carried along.
+
+
+def _repairs() -> str:
+    def edit(cost: str, letter: str, state: int) -> str:
+        return f"{{'cost': v[{state}].cost + {cost}, 'audit': '{letter}' || v[{state}].audit}}"
+
+    steps = {1: {"s": 2, "u": 3}, 2: {"u": 3}, 3: {"a": 4}, 4: {"u": 3}}
+    reached = {1: 3, 2: 3, 3: 4, 4: 3}  # by the role other than system that may come next
+    ways = ", ".join("list_min([" + ", ".join(
+        [edit("2", "D", s), edit("1 + extra", "R", reached[s])] + [edit(f"extra + CASE WHEN initial = '{r}' THEN 0 ELSE 1000000000 END", "K", t)
+                                                                                       for r, t in steps[s].items()]) + "])" for s in steps)
+    more = ", ".join(f"list_min([v[{s}], {edit('5', 'I', reached[s])}])" for s in steps)
+
+    def insertions(source: str, kept: str) -> str:
+        for _ in range(3):
+            source = f"(SELECT {kept}, [{more}] AS v FROM {source})"
+        return source
+
+    return f"""
+WITH RECURSIVE keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         {crc32_sql("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS kind
+  FROM conversations, {CRC_TABLE}),
+hurt AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE kind WHEN 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM keyed WHERE kind <> 0),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i FROM hurt),
+faults AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+                 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+                 WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' END AS fault,
+         lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) || role[1] AS pair
+  FROM placed),
+facts AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+         count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM faults GROUP BY conv_id),
+signs AS (
+  SELECT conv_id, i, role[1] AS initial, CASE fault WHEN 'truncated' THEN 5 WHEN 'blank' THEN 1000000000 WHEN 'duplicate' THEN 1000000000 ELSE 0 END AS extra
+  FROM faults),
+togo(conv_id, left_rows, v) AS (
+  SELECT conv_id, left_rows, v FROM {insertions("(SELECT conv_id, n AS left_rows, [{'cost': 0, 'audit': ''}, {'cost': 1000000000, 'audit': ''}, {'cost': 1000000000, 'audit': ''}, {'cost': 0, 'audit': ''}] AS v FROM facts)", "conv_id, left_rows")}
+  UNION ALL
+  SELECT conv_id, left_rows, v FROM {insertions(f"(SELECT t.conv_id, left_rows - 1 AS left_rows, [{ways}] AS v FROM togo t JOIN signs s ON s.conv_id IS NOT DISTINCT FROM t.conv_id AND s.i = t.left_rows)", "conv_id, left_rows")}),
+best AS (SELECT conv_id, CAST(v[1].cost AS BIGINT) AS cost, v[1].audit AS audit FROM togo WHERE left_rows = 0),
+walk(conv_id, audit, k, i, state, line) AS (
+  SELECT conv_id, audit, 0, 0::BIGINT, 1, NULL::VARCHAR FROM best
+  UNION ALL
+  SELECT w.conv_id, audit, k + 1, CASE WHEN edit = 'I' THEN w.i ELSE w.i + 1 END,
+         CASE WHEN edit = 'D' THEN state WHEN edit = 'K' AND f.role[1] = 's' THEN 2 WHEN state = 3 THEN 4 ELSE 3 END,
+         CASE edit WHEN 'D' THEN NULL WHEN 'K' THEN f.role || ':' || f.text
+              ELSE CASE state WHEN 3 THEN 'assistant:' ELSE 'user:' END || CASE edit WHEN 'R' THEN f.text ELSE '' END END
+  FROM (SELECT *, audit[k + 1] AS edit FROM walk WHERE k < length(audit)) w
+  LEFT JOIN faults f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i + 1),
+texts AS (SELECT conv_id, string_agg(line, chr(10) ORDER BY k) AS body FROM walk GROUP BY conv_id)
+SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(body, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) e LEFT JOIN facts f ON f.conv_id IS NOT DISTINCT FROM e.conv_id
+LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM e.conv_id LEFT JOIN texts t ON t.conv_id IS NOT DISTINCT FROM e.conv_id"""
+
+
+SQL["op12_dawg"] = _repairs()
