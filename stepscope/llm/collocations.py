@@ -29,9 +29,10 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .numbering import numbered
 from .store import stored
 from .words import STEP, U, mixed, slices, words_of
 
@@ -268,9 +269,8 @@ def scored(level: DataFrame) -> DataFrame:
 def top(docs: DataFrame, most: int = 2000, most_words: int = 3, least: int = 10, absorbed: int = 50) -> DataFrame:
     """The best ``most`` collocations of each language: ``lang, rank, phrase, a, l, r, n, score``.
 
-    Each task keeps its own best before rows are gathered by language."""
+    Candidates are numbered over ranges of (language, score, ...), so a language that holds most of them spreads over tasks."""
     candidates, n = mine(docs, most_words, least, absorbed)
-    order = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), F.col("phrase"))
-    best = stored(candidates.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most),
-                  **{"spark.sql.optimizer.windowGroupLimitThreshold": str(most)})
-    return best.join(n, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+    ordered = stored(candidates.withColumn("_score", -F.col("score")).withColumn("_a", -F.col("a")))
+    best = numbered(ordered, ["lang"], ["_score", "_a", "phrase"], "_rank").filter(F.col("_rank") < most)
+    return best.join(n, "lang").select("lang", (F.col("_rank") + 1).alias("rank"), "phrase", "a", "l", "r", "n", "score")
