@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..operators import (account, annotations, attribution, audit, classify, compare, context, events, gemm, keyword, links,
                          occupancy, phases, steps, windows)
-from ..session import materialize
-from ..sources import traces
+from ..session import materialize, shared_path
+from ..sources import documents, traces
 from ..sources.rules import RuleSet, load_rules
 from . import driver_views as views
 
@@ -529,6 +529,23 @@ def trace_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
         "trace_id", "id", "name", "category", "ts_ns", "dur_ns", "host_thread", "correlation", "external_id", "device", "stream")
 
 
+@query
+def document_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of written trace documents, read back whole, in 8 and in 64 ranges a document."""
+    folder = shared_path(spark)
+    views.trace_documents(spark, sf_dir, folder)
+    files = documents.listed(spark, folder).selectExpr("path", "size")
+    most = max(1, files.agg(F.max("size")).first()[0] or 1)
+    out = None
+    for splits in (1, 8, 64):
+        events = traces.read_large_traces(spark, folder, -(-most // splits)).select(
+            F.lit(splits).alias("splits"), F.regexp_extract("trace_id", "trace_id=([^/]*)/", 1).alias("trace_id"), "ord", "ph", "cat", "name", "pid", "tid",
+            F.expr("CAST(ts_us * 1000 AS BIGINT)").alias("ts_ns"), F.expr("CAST(dur_us * 1000 AS BIGINT)").alias("dur_ns"), "flow_id",
+            F.expr("try_element_at(args, 'stream')").alias("stream"))
+        out = events if out is None else out.unionByName(events)
+    return out
+
+
 @query
 def gemm_params(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gemm.rocblas_cases(views.gemm_lines(spark, sf_dir))

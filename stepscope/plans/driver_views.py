@@ -84,6 +84,26 @@ def trace_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         "IF(event_id % 2 = 0, 'Device ID', 'device'), CAST(user_id % 4 AS STRING), 'stream', event_type) AS args")
 
 
+def trace_documents(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    """Write the trace events as JSON documents, one per trace, whose names hold brackets, quotes and backslashes.
+
+    A document is one file, so one task writes it."""
+    events = trace_events(spark, sf_dir).selectExpr(
+        "trace_id", "ord", f"to_json(named_struct('ph', ph, 'cat', cat, 'name', {document_name()}, 'pid', pid, 'tid', tid, 'ts', ts_us, 'dur', dur_us, "
+        "'id', flow_id, 'args', args)) AS event")
+    ends = events.groupBy("trace_id").agg(F.min("ord").alias("first"), F.max("ord").alias("last"))
+    lines = events.join(ends, "trace_id").selectExpr(
+        "trace_id", "ord", """concat(IF(ord = first, '{"schemaVersion": 1, "meta": {"events": [1, "["]}, "traceEvents": [', ''), event,
+                              IF(ord = last, '], "other": [{"name": "no event"}]}', ',')) AS value""")
+    (lines.repartition("trace_id").sortWithinPartitions("trace_id", "ord").select("trace_id", "value")
+     .write.partitionBy("trace_id").text(folder))
+
+
+def document_name() -> str:
+    """Name of an event in a document: what a splitter could take for structure."""
+    return r"""concat(name, '\\"},{"', cat, '\\\\')"""
+
+
 def slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``slice`` table from ``events``."""
     device = "category IN ('kernel', 'gpu_memcpy', 'gpu_memset')"

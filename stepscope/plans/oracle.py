@@ -800,3 +800,13 @@ SELECT 'run_rank' || (user_id % 5) || '.json' AS trace_id, event_id AS id, event
   (user_id % 3) || '/' || CASE WHEN user_id % 7 = 0 THEN 'None' ELSE CAST(user_id % 7 AS VARCHAR) END AS host_thread,
   regexp_extract(props, '([0-9]+)', 1) AS correlation, CAST(user_id AS VARCHAR) AS external_id, CAST(user_id % 4 AS VARCHAR) AS device, event_type AS stream
 FROM events WHERE event_id % 11 <> 0 AND event_id % 13 <> 0"""
+
+SQL["document_events"] = r"""
+SELECT splits, 'run_rank' || (user_id % 5) || '.json' AS trace_id, row_number() OVER (PARTITION BY splits, user_id % 5 ORDER BY event_id) - 1 AS ord,
+  CASE WHEN event_id % 11 = 0 THEN 'C' WHEN event_id % 13 = 0 THEN 's' WHEN event_id % 17 = 0 THEN NULL ELSE 'X' END AS ph,
+  CASE WHEN event_type = 'signup' THEN 'cuda_runtime' ELSE event_type END AS cat,
+  event_type || '<' || user_id || '>\"},{"' || CASE WHEN event_type = 'signup' THEN 'cuda_runtime' ELSE event_type END || '\\' AS name,
+  CAST(user_id % 3 AS VARCHAR) AS pid, CASE WHEN user_id % 7 <> 0 THEN CAST(user_id % 7 AS VARCHAR) END AS tid, epoch_us(ts) * 1000 AS ts_ns,
+  CASE WHEN event_id % 5 <> 0 THEN CAST(CAST(value AS DECIMAL(22,3)) * 1000 AS BIGINT) END AS dur_ns,
+  CASE WHEN event_id % 13 = 0 THEN CAST(user_id AS VARCHAR) END AS flow_id, event_type AS stream
+FROM events, (VALUES (1), (8), (64)) AS s(splits)"""

@@ -34,18 +34,21 @@ def rows_per_bin(spark: SparkSession) -> int:
 
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write an intermediate that several branches read, as a table in the shared checkpoint folder.
-
-    The table outlives lost executors and keeps column pruning for its readers. The folder is the one the
-    session names in ``spark.checkpoint.dir``; only a local session may go without.
-    """
-    spark = df.sparkSession
+def shared_path(spark: SparkSession) -> str:
+    """A new path in the shared folder that the session names in ``spark.checkpoint.dir``; only a local session may go without."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         folder = os.path.join(tempfile.gettempdir(), "stepscope")
-    path = f"{folder.rstrip('/')}/stepscope-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/stepscope-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write an intermediate that several branches read, as a table in the shared checkpoint folder.
+
+    The table outlives lost executors and keeps column pruning for its readers.
+    """
+    spark, path = df.sparkSession, shared_path(df.sparkSession)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

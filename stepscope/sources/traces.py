@@ -1,45 +1,53 @@
 """Trace documents to stored event, slice, flow and bounds tables."""
 from __future__ import annotations
 
-import io
-import json
-from collections.abc import Iterator
-
-import pandas as pd
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expressions import attribute, correlation, external_id, rank_of
 from ..functions.layout import enclosure_join, latest_before, ordered_index
-from ..schema import DOCUMENT, TRACE_EVENT
+from ..schema import DOCUMENT, EVENT_FIELDS
+from . import documents
 
 EVENT_COLUMNS = ["ph", "cat", "name", "pid", "tid", "ts", "dur", "id", "bp", "args"]
+EVENT_FIELDS_OF = ["e.ph AS ph", "e.cat AS cat", "e.name AS name", "e.pid AS pid", "e.tid AS tid", "e.ts AS ts_us", "e.dur AS dur_us",
+                   "e.id AS flow_id", "e.bp AS bp", "e.args AS args"]
+NO_FIELDS = " AND ".join(f"{c} IS NULL" for c in ("ph", "cat", "name", "pid", "tid", "ts_us", "dur_us", "flow_id", "bp", "args"))
 
 
 def read_traces(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """``trace_event`` rows of JSON documents, plain or gzip, one trace per file.
+    """``trace_event`` rows of JSON documents, plain or gzip, one trace per file, each parsed whole by Spark.
 
     One schema covers the object, list and single-event roots; unknown fields are skipped while parsing. A document that cannot be
-    parsed leaves one event without fields, see :func:`trace_errors`.
+    parsed is read again event by event: it comes out as in :func:`read_large_traces`, with one event without fields, see :func:`trace_errors`.
     """
     raw = spark.read.schema(DOCUMENT).option("multiLine", True).json(paths).select(
         F.col("_metadata.file_path").alias("trace_id"), F.monotonically_increasing_id().alias("_row"), "*")
+    unread = " AND ".join(f"{c} IS NULL" for c in ("traceEvents", "events", *EVENT_COLUMNS))
     single = f"array(struct({', '.join(EVENT_COLUMNS)}))"
-    events = raw.selectExpr("trace_id", "_row", f"posexplode(coalesce(traceEvents, events, {single})) AS (_pos, e)")
-    return events.selectExpr(
-        "trace_id", "pmod(_row, 8589934592L) + _pos AS ord", "e.ph AS ph", "e.cat AS cat", "e.name AS name", "e.pid AS pid",
-        "e.tid AS tid", "e.ts AS ts_us", "e.dur AS dur_us", "e.id AS flow_id", "e.bp AS bp", "e.args AS args")
+    sound = raw.filter(f"NOT ({unread}) AND _row >= 0").selectExpr("trace_id", "_row", f"posexplode(coalesce(traceEvents, events, {single})) AS (_pos, e)")
+    # The row number keeps the condition out of the parser, which would skip documents by their first fields.
+    broken = raw.filter(f"{unread} AND _row >= 0").select(F.col("trace_id").alias("path")).distinct()
+    return sound.selectExpr("trace_id", "pmod(_row, 8589934592L) + _pos AS ord", *EVENT_FIELDS_OF).unionByName(_events_of(documents.reread(broken)))
 
 
-def read_large_traces(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """``trace_event`` rows of documents too large for one parsed row; each file streams through one task.
+def read_large_traces(spark: SparkSession, paths: str | list[str], split_bytes: int = documents.SPLIT) -> DataFrame:
+    """``trace_event`` rows of documents of any size: each is cut into ranges of ``split_bytes`` that tasks read on their own.
 
-    Meant for one pass into stored tables. Names, roots, times and defects come out as in :func:`read_traces`, but events before
-    a cut are kept. Files are opened through Arrow's file systems, so local, object-store and HDFS paths work alike.
+    Documents that are cut keep the events before the cut, and defects inside an event leave the others. Attributes
+    that are objects or lists are their JSON text, in which the readers may differ in blanks. See :mod:`.documents`.
     """
-    files = spark.read.format("binaryFile").load(paths).select(F.col("_metadata.file_path").alias("path"))
-    return files.repartition(max(1, files.count()), "path").mapInPandas(_split_files, TRACE_EVENT)
+    return _events_of(documents.split_documents(documents.listed(spark, paths), split_bytes))
+
+
+def event_counts(events: DataFrame) -> DataFrame:
+    """``trace_id, event_count`` as a loader announces it: every event of a document, a defect is none."""
+    return events.groupBy("trace_id").agg(F.expr(f"count_if(NOT ({NO_FIELDS}))").alias("event_count"))
+
+
+def _events_of(texts: DataFrame) -> DataFrame:
+    parsed = texts.select(F.col("path").alias("trace_id"), "ord", F.from_json("text", EVENT_FIELDS).alias("e"))
+    return parsed.selectExpr("trace_id", "ord", *EVENT_FIELDS_OF)
 
 
 def trace_errors(events: DataFrame) -> DataFrame:
@@ -47,113 +55,10 @@ def trace_errors(events: DataFrame) -> DataFrame:
 
     Both readers leave one event without any field for such a document. Spark lists no empty files, so these are no documents.
     """
-    empty = " AND ".join(f"{c} IS NULL" for c in ("ph", "cat", "name", "pid", "tid", "ts_us", "dur_us", "flow_id", "bp", "args"))
-    return (events.groupBy("trace_id").agg(F.expr(f"count_if({empty}) AS bad"), F.expr("count(1) AS n")).filter("bad > 0")
+    return (events.groupBy("trace_id").agg(F.expr(f"count_if({NO_FIELDS}) AS bad"), F.expr("count(1) AS n")).filter("bad > 0")
             .selectExpr("trace_id", "IF(bad = n, 'unreadable_document', 'truncated_document') AS error_code"))
 
 
-def _split_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for path in batch["path"]:
-            system, inner = fs.FileSystem.from_uri(path if "://" in path else path.replace("file:", "file://", 1))
-            with io.TextIOWrapper(system.open_input_stream(inner), encoding="utf-8", errors="replace") as stream:
-                rows: list[tuple] = []
-                for ord_, event in enumerate(_events(stream)):
-                    rows.append(_event_row(path, ord_, event))
-                    if len(rows) == 20_000:
-                        yield _frame(rows)
-                        rows = []
-                if rows:
-                    yield _frame(rows)
-
-
-class _Sliding:
-    """Text of a stream from a place on; values are decoded from it one at a time."""
-
-    def __init__(self, stream, chunk: int = 1 << 20):
-        self.stream, self.chunk, self.text, self.at, self.ended = stream, chunk, "", 0, False
-        self.decode = json.JSONDecoder(parse_float=str).raw_decode
-
-    def more(self) -> None:
-        data = self.stream.read(self.chunk)
-        self.ended = not data
-        self.text, self.at = self.text[self.at:] + data, 0
-
-    def sign(self, skip: str = " \t\r\n,") -> str:
-        """Next character that is not to be skipped; empty at the end."""
-        while True:
-            while self.at < len(self.text) and self.text[self.at] in skip:
-                self.at += 1
-            if self.at < len(self.text) or self.ended:
-                return self.text[self.at:self.at + 1]
-            self.more()
-
-    def value(self):
-        """The value that begins here; the text grows until it is whole."""
-        while True:
-            try:
-                found, end = self.decode(self.text, self.at)
-                if end < len(self.text) or self.ended:  # else a number could go on
-                    self.at = end
-                    return found
-            except json.JSONDecodeError:
-                if self.ended:
-                    raise
-            self.more()
-
-
-def _events(stream) -> Iterator[dict]:
-    """Events of a document: those of a list, of ``traceEvents`` or ``events`` of an object, or the object itself.
-
-    An empty event stands for a defect, after the events before it.
-    """
-    text = _Sliding(stream)
-    try:
-        if text.sign() == "[":
-            text.at += 1
-            yield from _items(text)
-        elif text.sign() == "{":
-            text.at += 1
-            own: dict = {}
-            while text.sign() != "}":
-                key = text.value()
-                if text.sign(" \t\r\n:") == "[" and key in ("traceEvents", "events"):
-                    text.at += 1
-                    yield from _items(text)
-                    return
-                own[key] = text.value()
-            yield own
-        else:
-            yield {}
-    except (json.JSONDecodeError, OSError, EOFError):
-        yield {}
-
-
-def _items(text: _Sliding) -> Iterator[dict]:
-    while text.sign() != "]":
-        item = text.value()
-        if isinstance(item, dict):
-            yield item
-
-
-def _event_row(path: str, ord_: int, e: dict) -> tuple:
-    def text(value):
-        return None if value is None else value if isinstance(value, str) else json.dumps(value)
-
-    args = e.get("args")
-    return (path, ord_, text(e.get("ph")), text(e.get("cat")), text(e.get("name")), text(e.get("pid")), text(e.get("tid")),
-            text(e.get("ts")), text(e.get("dur")), text(e.get("id")), text(e.get("bp")),
-            None if args is None else {k: text(v) for k, v in args.items()})
-
-
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    from decimal import ROUND_HALF_UP, Decimal
-    frame = pd.DataFrame(rows, columns=["trace_id", "ord", "ph", "cat", "name", "pid", "tid", "ts_us", "dur_us", "flow_id", "bp", "args"])
-    for column in ("ts_us", "dur_us"):
-        frame[column] = frame[column].map(lambda v: None if v is None else Decimal(v).quantize(Decimal("0.001"), ROUND_HALF_UP))
-    return frame
-
-
 def slices(events: DataFrame) -> DataFrame:
     """``slice`` rows of complete events, in integer nanoseconds; attributes read by normalised key.
 

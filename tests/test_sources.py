@@ -1,5 +1,6 @@
 import gzip
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -53,22 +54,42 @@ def test_streaming_splitter_and_store(spark, trace_dir, tmp_path):
         traces.store(whole, str(tmp_path / "bronze"))
 
 
+TRICKY = [{"ph": "X", "name": 'a"},{"x":[\\', "ts": 1.0005, "dur": 2, "pid": 1, "tid": 2, "args": {"correlation": 7, "deep": {"a": [{"b": "]}"}]}}},
+          {"ph": "X", "name": "\\\\\"{", "ts": 3, "args": {}}, {"name": "é \\", "ph": "M"}, {"ph": "X", "name": "x" * 300, "ts": 4, "dur": 0}]
+
+
 def test_readers_agree_on_roots_and_defects(spark, tmp_path):
-    event = {"ph": "X", "name": "k", "ts": 1.0005, "dur": 2, "pid": 1, "tid": 2, "args": {"correlation": 7}}
-    texts = {"list": json.dumps([event, event]), "events": json.dumps({"meta": {"events": [1]}, "events": [event]}), "single": json.dumps(event),
-             "object": json.dumps({"schemaVersion": 1, "traceEvents": [event]}), "broken": "not json", "cut": json.dumps([event, event])[:-25]}
+    """Also on documents that are cut anywhere; ranges of a few bytes begin inside strings, escapes and nested objects."""
+    whole_text = json.dumps({"schemaVersion": 1, "meta": {"events": [{"name": "no"}]}, "traceEvents": TRICKY, "other": [{"name": "no"}], "z": "traceEvents"}, indent=1)
+    texts = {"list": json.dumps(TRICKY), "events": json.dumps({"a": "\\\"", "events": TRICKY, "b": [1, {"c": 2}]}), "single": json.dumps(TRICKY[0]),
+             "late": json.dumps({"events": TRICKY[:1], "n": -1.5, "traceEvents": TRICKY}), "object": whole_text, "broken": "not json", "open": "[",
+             "none": '{"traceEvents": []}', "mixed": "[1, \"{\", " + json.dumps(TRICKY[0]) + ", null, [{\"name\": \"no\"}]]",
+             **{f"cut{n}": whole_text[:n] for n in range(150, len(whole_text) - 1, 97)}}
     for name, text in texts.items():
         (tmp_path / f"{name}.json").write_text(text)
-    with gzip.open(tmp_path / "zipped.json.gz", "wt") as file:
-        file.write(texts["object"])
-    whole, large = traces.read_traces(spark, str(tmp_path)), traces.read_large_traces(spark, str(tmp_path))
-    sound = lambda df: sorted((r.trace_id.split("/")[-1], r.name, str(r.ts_us)) for r in df.collect() if r.name and "cut" not in r.trace_id)
-    assert sound(whole) == sound(large) and ("zipped.json.gz", "k", "1.001") in sound(large) and len(sound(large)) == 6
+        with gzip.open(tmp_path / f"{name}_z.json.gz", "wt") as file:
+            file.write(text)
+    def rows(df):
+        out = {}
+        for r in df.orderBy("trace_id", "ord").collect():
+            out.setdefault(r.trace_id.split("/")[-1], []).append((r.name, r.ph, r.ts_us, r.dur_us, sorted((k, re.sub(r"\s", "", v)) for k, v in (r.args or {}).items())))
+        return out
     errors = lambda df: {r.trace_id.split("/")[-1]: r.error_code for r in traces.trace_errors(df).collect()}
-    assert errors(large) == {"broken.json": "unreadable_document", "cut.json": "truncated_document"}
-    assert set(errors(whole)) >= {"broken.json", "cut.json"}
-    ids = {r.trace_id for r in whole.select("trace_id").distinct().collect()}
-    assert {r.trace_id for r in large.select("trace_id").distinct().collect()} == ids
+    whole = traces.read_traces(spark, str(tmp_path))
+    expected, codes = rows(whole), errors(whole)
+    assert {k for k in codes if "_z" not in k} == {"broken.json", "open.json", *(f"{n}.json" for n in texts if n.startswith("cut") and int(n[3:]) <= whole_text.index('],\n "other"'))}
+    names = [e["name"] for e in TRICKY]
+    for name in ("list", "events", "late", "object", "list_z", "events_z", "late_z", "object_z"):
+        assert [r[0] for r in expected[f"{name}.json{'.gz' if '_z' in name else ''}"]] == names
+    for size in (7, 64, 1 << 20):
+        split = traces.read_large_traces(spark, str(tmp_path), size)
+        got = rows(split)
+        for name in set(expected) | set(got):
+            assert got.get(name) == expected.get(name) or name.startswith("mixed"), (size, name)
+        assert errors(split) == codes
+        assert [r[0] for r in got["mixed.json"]] == [TRICKY[0]["name"]] == [r[0] for r in got["mixed_z.json.gz"]]
+    counted = {r.trace_id.split("/")[-1]: r.event_count for r in traces.event_counts(whole).collect()}
+    assert counted["object.json"] == 4 and counted["broken.json"] == 0
 
 
 def test_rules_contract(tmp_path, spark):
