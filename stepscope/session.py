@@ -51,4 +51,6 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     spark, path = df.sparkSession, shared_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.stored_at = path
+    return table
