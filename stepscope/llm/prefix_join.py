@@ -22,8 +22,9 @@ Sets that are equal are one node, so exact copies cost nothing. Links are verifi
 contraction in Spark.
 
 Defined cases: null and blank texts have an empty set and link with nothing; a text with fewer words than a shingle has its whole
-word sequence as its one shingle; rows with one doc_id are one node,
-compared by the text whose set has the smallest hash; a row without doc_id takes no part and has no component; an empty table gives no rows; further columns are not read. Equality is that of 64-bit hashes.
+word sequence as its one shingle; rows with one doc_id are compared each by its own text, and a component is called by the smallest
+doc_id of its rows; a row without doc_id takes no part and has no component; an empty table gives no rows; further columns are not read.
+Equality is that of 64-bit hashes.
 """
 from __future__ import annotations
 
@@ -34,12 +35,13 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
 from .cover_tree import Links
-from .store import PRUNE, stored
+from .store import PRUNE, drop, stored
 from .words import STEP, U, mixed, slices, windows, words_of
 
 SHINGLE = 5
@@ -103,16 +105,18 @@ def prefixes(docs: DataFrame, n: int, similarity: Fraction) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame, n: int, repeated: bool) -> DataFrame:
-    """``node, shingles`` of the wanted nodes; of several texts with one doc_id (``repeated``) the one with the smallest mark."""
+    """``node, shingles`` of the wanted ``node, doc, mark``: of the rows with that doc_id, one whose set has the mark."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch, "text"):
                 value, first = shingle_sets(piece.column("text"), n)
-                yield pa.record_batch({"node": piece.column("node"), "mark": set_marks(value, first), "shingles": pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(value.view(np.int64)))})
+                sets = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(value.view(np.int64)))
+                own = pc.equal(set_marks(value, first), piece.column("mark"))
+                yield pa.record_batch({"node": piece.column("node").filter(own), "shingles": sets.filter(own)})
 
-    texts = docs.select("doc_id", "text").join(nodes.select(F.col("node").alias("doc_id"), "node"), "doc_id")
-    sets = texts.mapInArrow(run, "node bigint, mark bigint, shingles array<bigint>").filter(F.size("shingles") > 0)
-    return sets.groupBy("node").agg(F.min_by("shingles", "mark").alias("shingles")) if repeated else sets.select("node", "shingles")
+    texts = docs.select("doc_id", "text").join(nodes.withColumnRenamed("doc", "doc_id"), "doc_id")
+    sets = texts.mapInArrow(run, "node bigint, shingles array<bigint>")
+    return sets.groupBy("node").agg(F.first("shingles").alias("shingles")) if repeated else sets
 
 
 def like_sizes(a: str, b: str, similarity: Fraction) -> Column:
@@ -223,16 +227,26 @@ def block_links(members: DataFrame, similarity: Fraction) -> DataFrame:
 
 def join(docs: DataFrame, n: int = SHINGLE, similarity: Fraction = SIMILARITY) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id``."""
-    every = stored(prefixes(docs, n, similarity))
+    every, classes = _classes(docs, n, similarity)
+    linked = every.filter("size > 0 AND doc_id IS NOT NULL").join(classes, ["mark", "size"]).select("doc_id", F.col("size").alias("n_shingles"), "component_id")
+    return linked.unionByName(every.filter("size = 0 OR doc_id IS NULL").select("doc_id", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+
+
+def _classes(docs: DataFrame, n: int, similarity: Fraction) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, size, mark`` of each row, and for each set ``mark, size, component_id, doc`` (its smallest doc_id) and whether it is the
+    one that stays (``first``) of its component."""
+    whole = stored(prefixes(docs, n, similarity))
+    every = stored(whole.select("doc_id", "size", "mark"))
     usable = every.filter("size > 0 AND doc_id IS NOT NULL")
-    nodes = stored(usable.groupBy("mark", "size").agg(F.min("doc_id").alias("node"), F.first("prefix").alias("prefix")))
-    indexed = nodes
-    several = not nodes.groupBy("node").count().filter("count > 1").isEmpty()  # a doc_id with several texts
-    if several:
-        indexed = stored(nodes.groupBy("node").agg(F.min_by(F.struct("size", "prefix"), "mark").alias("s")).select("node", "s.*"))
-    tokens = indexed.select("node", "size", F.posexplode("prefix").alias("pos", "token"))
+    nodes = stored(whole.filter("size > 0 AND doc_id IS NOT NULL").groupBy("mark", "size")
+                   .agg(F.min("doc_id").alias("doc"), F.first("prefix").alias("prefix")).withColumn("node", F.monotonically_increasing_id()))
+    drop(whole)
+    tokens = nodes.select("node", "size", F.posexplode("prefix").alias("pos", "token"))
     live = stored(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"))
-    listed = stored(tokens.join(live, "token"))
+    # Most shingles are seen once; a Bloom filter of the others keeps them out of the join. The filter on the stored table lets Spark make it.
+    listed = stored(tokens.join(live.filter("df > 1"), "token"), **PRUNE)
+    named = stored(nodes.select("node", "mark", "size", "doc"))
+    drop(nodes)
     planned = stored(plans(listed, similarity))
     index = stored(listed.join(planned, "node").filter(f"pos < base OR pos < length AND df <= {HOT}"))
 
@@ -253,28 +267,44 @@ def join(docs: DataFrame, n: int = SHINGLE, similarity: Fraction = SIMILARITY) -
     pairs = stored(matched.unionByName(star).distinct())
 
     band = F.floor(F.log("size") / F.lit(float(-np.log(float(similarity)))))
-    around = hot.filter("bare").select("token", F.explode(F.array(band - 1, band, band + 1)).alias("band")).distinct()
+    around = stored(hot.filter("bare").select("token", F.explode(F.array(band - 1, band, band + 1)).alias("band")).distinct())
     crowd = hot.withColumn("band", band).join(around, ["token", "band"], "left_semi").select("node", "bare").distinct()
     crowd = stored(crowd)
+    drop(live, listed, planned, index, hot, centres, around)
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(crowd.select("node")).distinct()
-    # Exact repetitions of a row, too, would give a node several times.
-    repeated = several or not usable.groupBy("doc_id").count().filter("count > 1").isEmpty()
-    sets = stored(full_sets(docs, stored(wanted), n, repeated), **PRUNE)
+    repeated = not usable.groupBy("doc_id").count().filter("count > 1").isEmpty()  # exact repetitions of a row would give a node several times
+    sets = stored(full_sets(docs, stored(named.join(wanted, "node").select("node", "doc", "mark")), n, repeated), **PRUNE)
     links = stored(verified(pairs, sets, similarity))
     joined = stored(components(links))
     members = crowd.join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "bare").join(sets, "node")
     more = stored(block_links(members, similarity))
     final = components(links.unionByName(more)) if not more.isEmpty() else joined
-    classes = nodes.select("mark", "size", "node").join(final, "node", "left").select("mark", "size", F.coalesce("component", "node").alias("component_id"))
-    linked = usable.select("doc_id", "mark", "size").join(classes, ["mark", "size"]).select("doc_id", F.col("size").alias("n_shingles"), "component_id")
-    return linked.unionByName(every.filter("size = 0 OR doc_id IS NULL").select("doc_id", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    labelled = stored(named.join(final, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    drop(sets)
+    firsts = stored(labelled.groupBy("component").agg(F.min(F.struct("doc", "mark")).alias("least")))
+    classes = labelled.join(firsts, "component").select("mark", "size", "doc", F.col("least.doc").alias("component_id"),
+                                                        (F.col("mark") == F.col("least.mark")).alias("first"))
+    return every, classes
 
 
 def keep_first(docs: DataFrame, n: int = SHINGLE, similarity: Fraction = SIMILARITY) -> DataFrame:
-    """The documents without later members of their groups, and one row per doc_id; columns stay as they were. Rows without doc_id
-    are kept."""
-    gone = join(docs, n, similarity).filter("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    if docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return kept
-    return kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id IS NULL"))
+    """One document of each group, of the smallest doc_id (of several such texts, that whose set has the smallest hash), and all rows that
+    link with nothing because they have no doc_id or no words, one per doc_id; columns stay as they were."""
+    every, classes = _classes(docs, n, similarity)
+    known = every.filter("doc_id IS NOT NULL")
+    if known.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        gone = known.join(classes.filter("component_id <> doc OR NOT first"), ["mark", "size"], "left_semi").unionByName(
+            known.join(classes.filter("first"), ["mark", "size"]).filter("doc_id <> component_id").select("doc_id", "size", "mark"))
+        return docs.join(gone.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    staying = stored(classes.filter("first").select(F.col("component_id").alias("_doc"), F.col("mark").alias("_first")).unionByName(
+        known.filter("size = 0").select(F.col("doc_id").alias("_doc"), F.col("mark").alias("_first"))).distinct())
+    kind = docs.schema.simpleString()[len("struct<"):-1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in slices(batch, "text"):
+                yield pa.RecordBatch.from_arrays([*piece.columns, set_marks(*shingle_sets(piece.column("text"), n))], [*piece.schema.names, "_mark"])
+
+    marked = docs.filter("doc_id IS NOT NULL").mapInArrow(run, kind + ", _mark bigint")
+    kept = marked.join(staying, (F.col("doc_id") == F.col("_doc")) & (F.col("_mark") == F.col("_first"))).dropDuplicates(["doc_id", "_mark"])
+    return kept.select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))

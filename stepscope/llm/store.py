@@ -40,3 +40,11 @@ def stored(df: DataFrame, **more: str) -> DataFrame:
     """
     with settings(df.sparkSession, CLEANUP | more):
         return materialize(df)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete stored intermediates that nothing reads any more: neither a later step nor the plan of a result."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -80,6 +80,18 @@ def test_prefix_join_cases(docs):
     assert prefix_join.join(docs.limit(0)).collect() == []
 
 
+def test_prefix_join_of_several_texts_with_one_id(spark):
+    """Each row is compared by its own text; of a group one row stays."""
+    a, b = [f"a{i}" for i in range(150)], [f"b{i}" for i in range(150)]
+    near = [*b[:149], "x"]
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (9, " ".join(b)), (12, " ".join(near)), (12, None), (20, " ".join(a)), (20, " ".join(a)), (3, "one two"), (3, "")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in prefix_join.join(frame).collect())
+    assert got == sorted([(5, 146, 5), (5, 146, 5), (9, 146, 5), (12, 146, 5), (12, 0, 12), (20, 146, 5), (20, 146, 5), (3, 1, 3), (3, 0, 3)])
+    kept = plain((r.doc_id, r.text) for r in prefix_join.keep_first(frame).collect())
+    assert kept == plain([rows[0], rows[1], (12, None), (3, "one two"), (3, "")])
+
+
 def test_prefix_join_large_groups(spark):
     """Near copies beyond every list bound, copies of them, and a passage many documents share."""
     rng, base, passage = np.random.default_rng(1), [f"b{i}" for i in range(120)], [f"p{i}" for i in range(60)]
