@@ -66,6 +66,9 @@ def blocks(words: Words, window: int) -> tuple[np.ndarray, ...]:
     return best[a], mixed(whole[a] + STEP * whole[b] + count.astype(np.uint64)), row, a - words.first[row], count
 
 
+MOST_WINDOWS = 15  # of a block, in 4 bits
+
+
 def packed(mark: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
     """Mark, first window (28 bits) and number of windows (4 bits) in one number."""
     return (mark << 32) | (start << 4) | count
@@ -121,6 +124,8 @@ def earlier(rows: DataFrame, key: str, kept: list[str]) -> DataFrame:
 
 def copied(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``doc_id, at, source``: runs of windows that start in the earlier document ``source``, too."""
+    if not ANCHOR <= window < ANCHOR + MOST_WINDOWS:
+        raise ValueError(f"a window has {ANCHOR} to {ANCHOR + MOST_WINDOWS - 1} words")
     index = block_index(docs, window)
     shared = stored(index.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("anchor"))
     candidates = stored(index.join(shared, "anchor"))

@@ -10,7 +10,8 @@ No source is gathered in one task: sizes are partial aggregates, hash order is c
 documents a source, and only the bucket in which the fractional repetition ends is put in order.
 
 Defined cases: null text has size 0; a null source is a source of its own; a source of size 0 has target 0; repeated
-doc_ids are separate rows; an empty table gives no rows. Other columns are neither read nor needed.
+doc_ids are separate rows; an empty table gives no rows. Other columns, whatever their names, are kept by :func:`mixed_documents`
+and not read by :func:`mix`.
 """
 from __future__ import annotations
 
@@ -121,10 +122,11 @@ def first_words(text: Column, n: Column) -> Column:
 def mixed_documents(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), max_epochs: int = 3, seed: int = 17) -> DataFrame:
     """The mix itself: each document as often as it is taken, with the columns it came with. The text is not shuffled."""
     per_source = stored(plan(stored(sized(docs, seed)), weights, max_epochs))
-    rows = docs.withColumn("size", word_count(F.col("text"))).withColumn("_place", hash_place(F.col("doc_id"), seed))
+    rows = docs.select(F.struct("*").alias("_doc"), "doc_id", "source", word_count(F.col("text")).alias("size"), hash_place(F.col("doc_id"), seed).alias("_place"))
     taken = apply_plan(rows, per_source)
     copies = taken.withColumn("_copies", F.col("_whole") + F.when(F.col("_part") > 0, 1).otherwise(0)).filter("_copies > 0")
     each = copies.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
     cut = (F.col("_copy") > F.col("_whole")) & (F.col("_part") < F.col("size"))
-    text = F.when(cut, first_words(F.col("text"), F.col("_part"))).otherwise(F.col("text"))
-    return each.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    text = F.when(cut, first_words(F.col("_doc.text"), F.col("_part"))).otherwise(F.col("_doc.text"))
+    changed = {"text": text.alias("text"), "n_chars": F.length(text).cast("long").alias("n_chars")}
+    return each.select(*[changed.get(c, F.col("_doc").getField(c).alias(c)) for c in docs.columns])

@@ -31,6 +31,7 @@ from .words import U, mixed, slices, words_of
 BITS, SIZE = 16, 24
 PLACES = 1 << BITS
 BLOCK = 1024  # places a row of the added tables holds
+FAN, LEVELS = 64, 4  # tables of at most FAN tasks are added at once; enough for FAN ** LEVELS tasks
 REACH = 2
 MOST = 16_000
 STRETCH = 1 << 16
@@ -79,17 +80,19 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
         used = [b for b in range(0, PLACES, BLOCK) if table[b:b + BLOCK].any()]
         if used:
             yield pa.record_batch({"block": pa.array([b // BLOCK for b in used], pa.int32()),
-                                   "share": pa.array([TaskContext.get().partitionId() // 64] * len(used), pa.int32()),
+                                   "task": pa.array([TaskContext.get().partitionId()] * len(used), pa.int32()),
                                    "total": pa.array([table[b:b + BLOCK].tobytes() for b in used], pa.binary())})
 
     def added(rows: pd.DataFrame) -> pd.DataFrame:
         total = np.sum([np.frombuffer(x, np.float32) for x in rows["total"]], axis=0, dtype=np.float64)
-        return pd.DataFrame({"block": rows["block"][:1], "total": [total.astype(np.float32).tobytes()]})
+        return pd.DataFrame({"block": rows["block"][:1], "task": rows["task"][:1] // FAN, "total": [total.astype(np.float32).tobytes()]})
 
-    parts = docs.select("text").mapInArrow(gather, "block int, share int, total binary")
-    once = parts.groupBy("block", "share").applyInPandas(added, "block int, total binary")
+    schema = "block int, task int, total binary"
+    parts = docs.select("text").mapInArrow(gather, schema)
+    for _ in range(LEVELS):
+        parts = parts.groupBy("block", F.floor(F.col("task") / FAN).cast("int").alias("_share")).applyInPandas(added, schema)
     table = np.zeros((PLACES, SIZE), np.float32)
-    for block, total in stored(once.groupBy("block").applyInPandas(added, "block int, total binary")).collect():
+    for block, _, total in stored(parts).collect():  # PLACES rows of the table in all
         table[block * BLOCK:(block + 1) * BLOCK] = np.frombuffer(total, np.float32).reshape(-1, SIZE)
     return table / np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-6)
 

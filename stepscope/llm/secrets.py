@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .secret_rules import ALL, BASE, RULES, Query, Rule, asked, check, grams, trigram_query
+from .numbering import free_name
 from .store import PRUNE, stored
 
 BITS = 60  # trigram bits per column
@@ -81,7 +82,8 @@ def matches(text: Column, rule: Rule, number: int) -> Column:
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The documents' columns and ``spans``: array of (start, rule number, stop), by start, then rule."""
+    """The documents' columns and ``spans``: array of (start, rule number, stop), by start, then rule. If a column has that name, the new
+    one gets underscores at its end."""
     check(rules)
     found = stored(candidates(docs, rules))
     indexed = [i for i, r in enumerate(rules) if trigram_query(r.pattern) != ALL]
@@ -90,24 +92,25 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     verified = texts.join(found, "key").select("key", F.concat(*[
         F.when(F.expr(f"(rules & {1 << i}) <> 0"), matches(F.col("body"), rules[i], i)).otherwise(F.array().cast(SPANS)) for i in indexed]).alias("verified"))
     verified = stored(verified.filter(F.size("verified") > 0).groupBy("key").agg(F.max("verified").alias("verified")), **PRUNE)
-    scanned = docs.withColumns({"_key": text_key(whole_text(docs)),
-                                "_full": F.concat(*[matches(whole_text(docs), rules[i], i) for i in full]) if full else F.array().cast(SPANS)})
+    scanned = docs.select(F.struct("*").alias("_doc"), text_key(whole_text(docs)).alias("_key"),
+                          (F.concat(*[matches(whole_text(docs), rules[i], i) for i in full]) if full else F.array().cast(SPANS)).alias("_full"))
     joined = scanned.join(verified.withColumnRenamed("key", "_key"), "_key", "left")
     spans = F.array_sort(F.concat("_full", F.coalesce("verified", F.array().cast(SPANS))))
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], spans.alias("spans"))
+    return joined.select(*[F.col("_doc").getField(c).alias(c) for c in docs.columns], spans.alias(free_name(docs, "spans")))
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[secret]") -> DataFrame:
     """The documents with every span replaced by a mark; overlapping spans become one mark. Columns stay as they were."""
     first = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("kept"))
-    text = F.col("text")
-    walked = F.aggregate("spans", first, lambda a, s: F.struct(
+    text, spans = F.col("text"), F.col(free_name(docs, "spans"))
+    walked = F.aggregate(spans, first, lambda a, s: F.struct(
         F.greatest(a["at"], s["stop"]).alias("at"),
         F.when(s["start"] >= a["at"], F.concat(a["kept"], F.array(F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit(mark))))
         .otherwise(a["kept"]).alias("kept")))
     rest = F.substring(text, walked["at"] + 1, F.length(text))
-    new = F.when(F.size("spans") > 0, F.concat(F.array_join(walked["kept"], ""), rest)).otherwise(text)
-    return scan(docs, rules).withColumn("text", new).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    new = F.when(F.size(spans) > 0, F.concat(F.array_join(walked["kept"], ""), rest)).otherwise(text)
+    changed = {"text": new.alias("text"), "n_chars": F.length(new).cast("long").alias("n_chars")}
+    return scan(docs, rules).select(*[changed.get(c, F.col(f"`{c}`")) for c in docs.columns])
 
 
 def digest(scanned: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:

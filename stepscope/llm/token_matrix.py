@@ -93,7 +93,7 @@ def matrices(docs: DataFrame, vocabulary: str = "byte_bpe_50k", row: int = ROW)
     """``sequence_id, ids, cu_seqlens, position_resets, doc_ids, starts``: one line per matrix row."""
     width, kind = id_width(vocabulary), docs.schema["doc_id"].dataType.simpleString()
 
-    def lines(segments: list[tuple], number: int) -> pa.RecordBatch:
+    def lines(segments: list[tuple], number: int, ids_type: pa.DataType) -> pa.RecordBatch:
         out: dict[str, list] = {c: [] for c in ("sequence_id", "ids", "cu_seqlens", "position_resets", "doc_ids", "starts")}
         for k, items in enumerate(best_fit([len(s[2]) for s in segments], row)):
             ends = np.cumsum([len(segments[i][2]) for i in items]).tolist()
@@ -102,12 +102,13 @@ def matrices(docs: DataFrame, vocabulary: str = "byte_bpe_50k", row: int = ROW)
             for name, value in (("sequence_id", number + k), ("ids", ids.tobytes()), ("cu_seqlens", [0, *ends]), ("position_resets", [0, *ends[:-1]]),
                                 ("doc_ids", [segments[i][0] for i in items]), ("starts", [segments[i][1] for i in items])):
                 out[name].append(value)
-        types = (pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()))
+        types = (pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(ids_type), pa.list_(pa.int64()))
         return pa.record_batch({name: pa.array(values, of) for (name, values), of in zip(out.items(), types)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, whole, parts = TaskContext.get().partitionId() << 33, [], []
+        number, whole, parts, ids_type = TaskContext.get().partitionId() << 33, [], [], pa.int64()
         for batch in batches:
+            ids_type = batch.schema.field("doc_id").type
             for piece in slices(batch, "text", 2 << 20):
                 for doc, text in zip(piece.column("doc_id").to_pylist(), piece.column("text").to_pylist()):
                     ids = token_ids(text, vocabulary).astype(width)
@@ -115,13 +116,13 @@ def matrices(docs: DataFrame, vocabulary: str = "byte_bpe_50k", row: int = ROW)
                         (whole if len(ids) - start >= row else parts).append((doc, start, ids[start:start + row]))
                     for group, least in ((whole, 256), (parts, BLOCK)):
                         if len(group) >= least:
-                            made = lines(group, number)
+                            made = lines(group, number, ids_type)
                             number += made.num_rows
                             group.clear()
                             yield made
         for group in (whole, parts):
             if group:
-                made = lines(group, number)
+                made = lines(group, number, ids_type)
                 number += made.num_rows
                 yield made
 

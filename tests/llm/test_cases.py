@@ -405,3 +405,50 @@ def test_scores_beyond_64_bits(spark):
     a = 9 * 10 ** 13
     assert [(r.l, r.r, r.score) for r in collocations.scored(frame).collect()] == [
         (2 * 10 ** 14, 3 * 10 ** 14, a * a * 10 ** 6 // (6 * 10 ** 28))]
+
+
+def test_columns_with_the_operators_names_keep_their_values(spark):
+    names = ["target", "weight", "cap", "n_docs", "source_size", "size", "spans", "_key", "_doc", "_full", "whole", "_whole", "rules", "verified"]
+    rows = [(1, "token=secret123 b c d", "s", 0), (2, None, "t", 0), (3, "", None, 0), (4, "x y z", "t", 0)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, n_chars bigint").select(
+        "*", *[(F.col("doc_id") * 100 + i).alias(c) for i, c in enumerate(names)])
+    for made in (mixing.mixed_documents(docs), secrets.redact(docs), prefix_join.keep_first(docs)):
+        assert made.columns == docs.columns
+        got = made.collect()
+        assert got and all(r[c] == r.doc_id * 100 + i for r in got for i, c in enumerate(names))
+        assert made.schema["text"].dataType == docs.schema["text"].dataType
+    assert {r.text for r in secrets.redact(docs).collect()} == {"[secret] b c d", None, "", "x y z"}
+    scanned = secrets.scan(docs)
+    assert scanned.columns == [*docs.columns, "spans_"]
+    for made in (mixing.mixed_documents(docs.limit(0)), secrets.redact(docs.limit(0))):
+        assert made.collect() == [] and made.columns == docs.columns
+
+
+def test_sample_is_bounded_by_rows(spark):
+    docs = spark.createDataFrame([(7, f"text {i}") for i in range(50)] + [(8, None), (9, "c")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(7, 1), (8, 0), (9, 1), (9, 0)], "doc_id bigint, toxic int")
+    got = labelled.sample(docs, labels, "toxic", F.lit(True), 3).collect()
+    assert sorted((r.doc_id, r.text, r.label) for r in got) == [(7, "text 0", 1), (8, None, 0), (9, "c", 0)]
+    assert len(labelled.sample(docs, labels, "toxic", F.lit(True), 1).collect()) == 1
+
+
+def test_windows_have_the_words_a_block_can_hold(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, text), (2, text + " more")], "doc_id bigint, text string")
+    longest = lempel_ziv.ANCHOR + lempel_ziv.MOST_WINDOWS - 1
+    assert {r.doc_id: r.n_removed for r in lempel_ziv.parse(docs, longest).collect()} == {1: 0, 2: 60}
+    for window in (lempel_ziv.ANCHOR - 1, longest + 1):
+        with pytest.raises(ValueError):
+            lempel_ziv.parse(docs, window)
+
+
+def test_token_matrices_are_written_with_any_id(spark, tmp_path):
+    docs = spark.createDataFrame([("a", "one two"), ("b", None), (None, "three")], "doc_id string, text string")
+    token_matrix.write(docs, str(tmp_path / "rows"))
+    back = spark.read.parquet(str(tmp_path / "rows")).collect()
+    assert {d for r in back for d in r.doc_ids} == {"a", "b", None}
+    ids = np.frombuffer(back[0].ids, "<u2")
+    at = back[0].doc_ids.index("a")
+    assert ids[back[0].cu_seqlens[at]:back[0].cu_seqlens[at + 1]].tolist() == packing.token_ids("one two", "byte_bpe_50k").tolist()
+    with pytest.raises(Exception):
+        token_matrix.write(docs, str(tmp_path / "rows"))

@@ -76,7 +76,6 @@ def test_packing_is_lossless_and_tight(spark):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     rows = rows_of(spark, SMALL, "documents", "doc_id", "text")
     ids = {doc: np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 1], "<u4") for doc, text in rows}
     pieces = QUERIES["op5_packing"](spark, SMALL).collect()
@@ -152,3 +151,18 @@ def test_pipeline_returns_the_packed_ids(spark):
     for p in sorted(pieces, key=lambda p: (p.doc_id, p.start)):
         found.setdefault(p.doc_id, []).extend(np.frombuffer(p.ids, "<u4").tolist())
     assert {doc: tokenizer.decode(ids[:-1]) for doc, ids in found.items()} == {1: "x [secret] y", 2: "plain"}
+
+
+def test_token_matrix_query_holds_every_document(spark):
+    """Segments of the query's rows lie side by side and cover each document once, with the ids of the tokenizer."""
+    rows = rows_of(spark, TINY, "documents", "doc_id", "text")
+    lengths = {doc: len(packing.token_ids(text, "byte_bpe_50k")) for doc, text in rows}
+    got, covered = QUERIES["op7_token_matrix"](spark, TINY).collect(), {}
+    for r in got:
+        assert r.cu_seqlens[0] == 0 and r.n_tokens == r.cu_seqlens[-1] <= 2048 and r.position_resets == r.cu_seqlens[:-1]
+        for doc, start, a, b in zip(r.doc_ids, r.starts, r.cu_seqlens, r.cu_seqlens[1:]):
+            covered.setdefault(doc, []).append((start, start + b - a))
+    for doc, spans in covered.items():
+        spans.sort()
+        assert [s for s, _ in spans] == [0, *[e for _, e in spans[:-1]]] and spans[-1][1] == lengths[doc]
+    assert set(covered) == set(lengths) and len({r.sequence_id for r in got}) == len(got)
