@@ -1,9 +1,13 @@
-"""Time-binned forms of ordered scans, as-of lookups, enclosure joins and interval unions.
+"""Distributed forms of ordered scans, as-of lookups, enclosure joins and interval unions.
 
-A plain window over one trace, or an enclosure join keyed by one host thread, puts the whole of a hot
-trace into one task. Each helper here cuts the time axis into bins whose width follows the densest
-trace, works inside the bins, and stitches bins together from one summary row per bin. Results do not
-depend on the width.
+A plain window over one trace, or an enclosure join keyed by one host thread, puts the whole of a hot trace into one task.
+
+Ordered scans, as-of lookups and unions deal rows by ranges of (keys, time, ties, row): Spark samples the edges, so ranges hold like
+numbers of rows whatever the bursts of a trace, and rows of one instant are parted by their order. They work inside the ranges and
+stitch them together from one summary row per key and range. Ranges are stored before they are read twice, so both readers see the
+same edges. Results do not depend on them.
+
+Enclosure joins cut the time axis into bins whose width follows the length of intervals, limited by the density of a trace.
 """
 from __future__ import annotations
 
@@ -12,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import rows_per_bin
+from ..session import materialize, rows_per_bin
 
 # One bin for everything: start of the only bin is 0 for any nonnegative time below this width.
 WHOLE_AXIS = 1 << 62
@@ -56,15 +60,19 @@ def with_totals(df: DataFrame, keys: Sequence[str], **totals: Column) -> DataFra
     return df.join(sums, list(keys))
 
 
-def ordered_index(df: DataFrame, keys: Sequence[str], at: str, ties: Sequence[str] = (),
-                  carry: Sequence[str] = (), width: Column | None = None) -> DataFrame:
+def ordered_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
+    """The rows, stored, with ``_bin``: ranges in the order of keys and ``order``; and ``_tie``, which parts rows that are equal in it."""
+    dealt = df.withColumn("_tie", F.monotonically_increasing_id())
+    return materialize(dealt.repartitionByRange(*keys, *order, "_tie").withColumn("_bin", F.spark_partition_id()))
+
+
+def ordered_index(df: DataFrame, keys: Sequence[str], at: str, ties: Sequence[str] = (), carry: Sequence[str] = ()) -> DataFrame:
     """Number rows of each key by time (``idx`` from 0, ``idx_count`` rows in all) and attach the
     neighbouring rows' ``carry`` columns as structs ``prev_row`` and ``next_row``."""
-    width = bin_width(df, at, keys[:1]) if width is None else width
-    binned = df.withColumn("_bin", bin_start(F.col(at), width))
+    binned = ordered_ranges(df, keys, [at, *ties])
     payload = F.struct(*[F.col(c) for c in (carry or (at,))])
-    order = F.struct(F.col(at), *[F.col(c) for c in ties])
-    inside = Window.partitionBy(*keys, "_bin").orderBy(at, *ties)
+    order = F.struct(F.col(at), *[F.col(c) for c in ties], F.col("_tie"))
+    inside = Window.partitionBy(*keys, "_bin").orderBy(at, *ties, "_tie")
     local = (binned.withColumn("_rn", F.row_number().over(inside) - 1)
              .withColumn("_prev", F.lag(payload).over(inside))
              .withColumn("_next", F.lead(payload).over(inside)))
@@ -88,24 +96,22 @@ def ordered_index(df: DataFrame, keys: Sequence[str], at: str, ties: Sequence[st
 
 
 def latest_before(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, value: Column,
-                  prefer: Column, name: str = "latest", width: Column | None = None) -> DataFrame:
+                  prefer: Column, name: str = "latest") -> DataFrame:
     """As-of lookup: for each left row the right ``value`` with the greatest time not after it.
 
     Right rows at one instant are ranked by ``prefer``; the greatest wins. Left rows without a match
     keep NULL. ``at`` names the time column on both sides.
     """
-    width = bin_width(left.select(*keys, at).unionByName(right.select(*keys, at)), at, keys[:1]) \
-        if width is None else width
     probe = left.select(*[F.col(k) for k in keys], F.col(at).alias("_at"),
                         F.struct(*[F.col(c) for c in left.columns]).alias("_left"))
     source = right.select(*[F.col(k) for k in keys], F.col(at).alias("_at"),
                           F.struct(F.col(at).alias("at"), prefer.alias("rank"), value.alias("value")).alias("_right"))
     both = (probe.select(*keys, "_at", F.lit(1).alias("_side"), "_left", F.lit(None).cast(source.schema["_right"].dataType).alias("_right"))
             .unionByName(source.select(*keys, "_at", F.lit(0).alias("_side"),
-                                       F.lit(None).cast(probe.schema["_left"].dataType).alias("_left"), "_right"))
-            .withColumn("_bin", bin_start(F.col("_at"), width)))
-    inside = (Window.partitionBy(*keys, "_bin").orderBy("_at", "_side", F.col("_right.rank"))
-              .rowsBetween(Window.unboundedPreceding, 0))
+                                       F.lit(None).cast(probe.schema["_left"].dataType).alias("_left"), "_right")))
+    order = ["_at", "_side", F.col("_right.rank")]
+    both = ordered_ranges(both, keys, order)
+    inside = Window.partitionBy(*keys, "_bin").orderBy(*order, "_tie").rowsBetween(Window.unboundedPreceding, 0)
     local = both.withColumn("_seen", F.last("_right", ignorenulls=True).over(inside)).filter("_side = 1")
     summary = both.groupBy(*keys, "_bin").agg(
         F.max("_right").alias("_last"), F.max("_side").alias("_probed"))
@@ -147,23 +153,19 @@ def _quoted(df: DataFrame) -> list[str]:
     return [f"`{c}`" for c in df.columns]
 
 
-def union_length(intervals: DataFrame, keys: Sequence[str], start: str, end: str, flag: str,
-                 width: Column | None = None) -> DataFrame:
-    """Length of the union of intervals per key: all of them (``union_all``) and those with a true
-    flag (``union_flagged``).
+def union_length(intervals: DataFrame, keys: Sequence[str], start: str, end: str, flag: str) -> DataFrame:
+    """Length of the union of intervals per key: all of them (``union_all``) and those with a true flag (``union_flagged``).
 
-    Intervals are cut at bin edges; bins are disjoint, so bin unions add up exactly.
+    In the order of starts, an interval adds what lies past the greatest end before it; ends of earlier ranges are carried over.
     """
-    solid = intervals.filter(F.col(end) > F.col(start))
-    width = bin_width(solid, start, keys[:1]) if width is None else width
-    edges = solid.select(*keys, F.col(start).alias("_s"), F.col(end).alias("_e"), F.col(flag).alias("_f"),
-                         width.alias("_w"))
-    pieces = edges.selectExpr(
-        "*", "explode(sequence(_s - pmod(_s, _w), _e - 1 - pmod(_e - 1, _w), _w)) AS _bin",
-    ).selectExpr(*keys, "_bin", "_f", "greatest(_s, _bin) AS _s", "least(_e, _bin + _w) AS _e")
-    before = (f"OVER (PARTITION BY {', '.join(keys)}, _bin ORDER BY _s, _e "
-              "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
-    gains = pieces.selectExpr(
-        *keys, f"greatest(_e - greatest(_s, coalesce(max(_e) {before}, _s)), 0L) AS _all",
-        f"IF(_f, greatest(_e - greatest(_s, coalesce(max(IF(_f, _e, NULL)) {before}, _s)), 0L), 0L) AS _sel")
+    solid = intervals.filter(F.col(end) > F.col(start)).select(
+        *keys, F.col(start).alias("_s"), F.col(end).alias("_e"), F.expr(f"IF({flag}, {end}, NULL)").alias("_fe"))
+    binned = ordered_ranges(solid, keys, ["_s", "_e"])
+    inside = Window.partitionBy(*keys, "_bin").orderBy("_s", "_e", "_tie").rowsBetween(Window.unboundedPreceding, -1)
+    local = binned.withColumn("_m", F.max("_e").over(inside)).withColumn("_fm", F.max("_fe").over(inside))
+    earlier = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    carried = (binned.groupBy(*keys, "_bin").agg(F.max("_e").alias("_last"), F.max("_fe").alias("_flast"))
+               .select(*keys, "_bin", F.max("_last").over(earlier).alias("_c"), F.max("_flast").over(earlier).alias("_fc")))
+    gains = local.join(carried, [*keys, "_bin"]).selectExpr(
+        *keys, "greatest(_e - greatest(_s, _m, _c), 0L) AS _all", "IF(_fe IS NULL, 0L, greatest(_fe - greatest(_s, _fm, _fc), 0L)) AS _sel")
     return gains.groupBy(*keys).agg(F.sum("_all").alias("union_all"), F.sum("_sel").alias("union_flagged"))

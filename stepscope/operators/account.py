@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..fixed_values import (BUBBLE_LABEL, CATEGORY_ORDER, DENSE_CATEGORIES, EXCLUDED_LABEL, TIME_ROWS, TOTAL_LABEL)
 from ..functions.expressions import ns_to_us, percent, round2
 from ..functions.layout import bin_width, union_length, with_totals
+from ..session import materialize
 from ..sources.rules import RuleSet
 from .classify import excluded_label, sql_text, with_detail
 from .windows import WINDOW_KEYS, carried_in, started_in
@@ -118,17 +119,23 @@ def category_report(totals: DataFrame, rules: RuleSet) -> DataFrame:
         F.when(total, F.lit(100.0)).otherwise(percent(F.col("duration_ns"), F.col("window_ns"))).alias("absolute_pct"))
 
 
-def coverage_ns(events: DataFrame, windows: DataFrame) -> DataFrame:
-    """Integer coverage figures per window: summed, covered with and without carry-in."""
+def touching_events(events: DataFrame, windows: DataFrame) -> DataFrame:
+    """Stored events of each window, those that start in it (``selected``) and those carried into it: the one window join behind totals,
+    coverage and idle time."""
     width = bin_width(events, "ts_ns")
-    touching = _touching(started_in(events, windows, width), True).unionByName(
-        _touching(carried_in(events, windows, width), False))
+    columns = [*WINDOW_KEYS, "start_ns", "end_ns", "ts_ns", "dur_ns", "name"]
+    return materialize(started_in(events, windows, width).selectExpr(*columns, "true AS selected").unionByName(
+        carried_in(events, windows, width).selectExpr(*columns, "false AS selected")))
+
+
+def coverage_ns(touching: DataFrame, windows: DataFrame) -> DataFrame:
+    """Integer coverage figures per window: summed, covered with and without carry-in."""
     sums = touching.groupBy(*WINDOW_KEYS).agg(
         F.expr("sum(IF(selected, dur_ns, 0L)) AS selected_sum_ns"), F.expr("count_if(selected) AS selected_event_count"),
         F.expr("count_if(NOT selected) AS carry_in_event_count"), F.expr("count_if(dur_ns < 0) AS unfinished_events"))
     clipped = touching.selectExpr(
         *WINDOW_KEYS, "greatest(ts_ns, start_ns) AS s", "least(ts_ns + dur_ns, end_ns) AS e", "selected")
-    unions = union_length(clipped, WINDOW_KEYS, "s", "e", "selected", width)
+    unions = union_length(clipped, WINDOW_KEYS, "s", "e", "selected")
     joined = windows.join(sums, WINDOW_KEYS, "left").join(unions, WINDOW_KEYS, "left")
     return joined.selectExpr(
         *WINDOW_KEYS, "end_ns - start_ns AS window_ns",
@@ -137,13 +144,9 @@ def coverage_ns(events: DataFrame, windows: DataFrame) -> DataFrame:
         "coalesce(union_flagged, 0L) AS selected_covered_ns", "coalesce(union_all, 0L) AS covered_ns")
 
 
-def _touching(events: DataFrame, selected: bool) -> DataFrame:
-    return events.selectExpr(*WINDOW_KEYS, "start_ns", "end_ns", "ts_ns", "dur_ns", f"{selected} AS selected")
-
-
 def window_coverage(events: DataFrame, windows: DataFrame) -> DataFrame:
     """Wall-time coverage per window: union of device intervals clipped to it, carry-in included."""
-    c = coverage_ns(events, windows)
+    c = coverage_ns(touching_events(events, windows), windows)
     return c.select(
         *WINDOW_KEYS, ns_to_us(F.col("window_ns")).alias("window_total_us"),
         ns_to_us(F.col("selected_sum_ns")).alias("selected_duration_sum_us"),
@@ -166,10 +169,10 @@ def window_sums(totals: DataFrame, rules: RuleSet) -> DataFrame:
         F.sum(F.when(marker, F.col("duration_ns")).otherwise(0)).alias("excluded_ns"))
 
 
-def _account_base(events: DataFrame, windows: DataFrame, rules: RuleSet) -> DataFrame:
-    sums = window_sums(kernel_totals(started_in(events, windows, bin_width(events, "ts_ns"))), rules)
+def _account_base(touching: DataFrame, windows: DataFrame, rules: RuleSet) -> DataFrame:
+    sums = window_sums(kernel_totals(touching.filter("selected")), rules)
     zero = F.lit(0).cast("bigint")
-    return coverage_ns(events, windows).join(sums, WINDOW_KEYS, "left").withColumns(
+    return coverage_ns(touching, windows).join(sums, WINDOW_KEYS, "left").withColumns(
         {c: F.coalesce(c, zero) for c in ("busy_ns", "excluded_ns")})
 
 
@@ -180,17 +183,17 @@ def time_account(events: DataFrame, windows: DataFrame, rules: RuleSet) -> DataF
               F.col("window_ns") - F.col("covered_ns"), F.col("window_ns")]
     rows = F.array(*[F.struct(F.lit(n).alias("row_ord"), F.lit(label).alias("item"), v.alias("ns"))
                      for n, (label, v) in enumerate(zip(TIME_ROWS, values))])
-    flat = _account_base(events, windows, rules).select(*WINDOW_KEYS, "window_ns", F.inline(rows))
+    flat = _account_base(touching_events(events, windows), windows, rules).select(*WINDOW_KEYS, "window_ns", F.inline(rows))
     return flat.select(*WINDOW_KEYS, "row_ord", "item", ns_to_us(F.col("ns")).alias("total_us"),
                        percent(F.col("ns"), F.col("window_ns")).alias("window_pct"))
 
 
 def bubble_variants(events: DataFrame, windows: DataFrame, rules: RuleSet) -> DataFrame:
     """Idle time by three definitions: window less classified time, span less summed time, and exact."""
-    started = started_in(events, windows)
-    spans = started.filter("dur_ns > 0").groupBy(*WINDOW_KEYS).agg(
+    touching = touching_events(events, windows)
+    spans = touching.filter("selected AND dur_ns > 0").groupBy(*WINDOW_KEYS).agg(
         (F.max(F.col("ts_ns") + F.col("dur_ns")) - F.min("ts_ns") - F.sum("dur_ns")).alias("gap_ns"))
-    base = _account_base(events, windows, rules).join(spans, WINDOW_KEYS, "left")
+    base = _account_base(touching, windows, rules).join(spans, WINDOW_KEYS, "left")
     zero = F.lit(0).cast("bigint")
     return base.select(
         *WINDOW_KEYS, ns_to_us(F.greatest(F.col("window_ns") - F.col("busy_ns"), zero)).alias("window_minus_sum_us"),
@@ -200,7 +203,7 @@ def bubble_variants(events: DataFrame, windows: DataFrame, rules: RuleSet) -> Da
 
 def conservation_checks(events: DataFrame, windows: DataFrame, rules: RuleSet) -> DataFrame:
     """Identities of the time account as rows: both sides in nanoseconds and whether they agree."""
-    base = _account_base(events, windows, rules)
+    base = _account_base(touching_events(events, windows), windows, rules)
     raw = F.col("busy_ns") + F.col("excluded_ns")
     checks = [
         ("raw_equals_busy_plus_excluded", F.col("selected_sum_ns"), raw, F.col("selected_sum_ns") == raw),

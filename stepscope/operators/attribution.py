@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..fixed_values import UNINFORMATIVE_FRAMES
 from ..functions.expressions import is_runtime, normalized_symbol
-from ..functions.layout import bin_width, enclosure_join, latest_before
+from ..functions.layout import enclosure_join, latest_before
 from ..session import materialize
 from ..sources.rules import RuleSet
 from .classify import classify_names, sql_text
@@ -74,8 +74,7 @@ def latest_launches(kernels: DataFrame, launches: DataFrame) -> DataFrame:
         "trace_id", "correlation", "ts_ns", "id AS kernel_id", "name AS symbol", "external_id AS kernel_ext").join(
         threads, ["trace_id", "correlation"])
     value = F.struct("id", "name", "ts_ns", "dur_ns", "external_id", "pid", "tid")
-    found = latest_before(probes, calls, ["trace_id", "correlation", "thread"], "ts_ns", value, -F.col("id"), "launch",
-                          bin_width(kernels, "ts_ns"))
+    found = latest_before(probes, calls, ["trace_id", "correlation", "thread"], "ts_ns", value, -F.col("id"), "launch")
     return found.filter("launch IS NOT NULL").selectExpr(
         "trace_id", "kernel_id", "symbol", "kernel_ext", "ts_ns AS kernel_ts", "thread", "launch.id AS launch_id",
         "launch.name AS launch_name", "launch.ts_ns AS launch_ts", "launch.dur_ns AS launch_dur",

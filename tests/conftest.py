@@ -21,7 +21,11 @@ def spark(tmp_path_factory):
 
 @pytest.fixture
 def small_bins(spark):
-    """Cut time into bins of very few rows, so that every stitched path runs."""
-    spark.conf.set(ROWS_PER_BIN_KEY, "3")
+    """Cut time into bins and ranges of very few rows, so that every stitched path runs."""
+    finer = {ROWS_PER_BIN_KEY: "3", "spark.sql.shuffle.partitions": "13", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {key: spark.conf.get(key, None) for key in finer}
+    for key, value in finer.items():
+        spark.conf.set(key, value)
     yield
-    spark.conf.unset(ROWS_PER_BIN_KEY)
+    for key, value in before.items():
+        spark.conf.unset(key) if value is None else spark.conf.set(key, value)
