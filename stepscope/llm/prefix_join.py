@@ -50,6 +50,7 @@ HOT = 16
 EXTRA = 3  # most matches asked for beyond the least number
 BLOCK = 512
 COLUMNS = 8192
+FILTER_BITS = 26  # 8 MB, broadcast as a million words
 
 
 def shingle_sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -198,7 +199,7 @@ def block_links(members: DataFrame, similarity: Fraction) -> DataFrame:
                              "nodes": [part["node"].to_numpy(np.int64).tobytes()], "components": [part["component"].to_numpy(np.int64).tobytes()],
                              "lengths": [np.array([len(s) for s in sets], np.int64).tobytes()], "values": [np.concatenate(sets).astype(np.int64).tobytes()]})
 
-    blocks = stored(dealt.groupBy("band", "bare", "own", "part").applyInPandas(
+    blocks = stored(dealt.repartition("band", "bare", "own", "part").groupBy("band", "bare", "own", "part").applyInPandas(
         pack, "band int, bare boolean, own bigint, nodes binary, components binary, lengths binary, values binary").withColumn("id", F.expr("uuid()")))
     keys = blocks.select("band", "bare", "own", "id")
     left = keys.filter("bare").withColumn("met", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
@@ -232,6 +233,18 @@ def join(docs: DataFrame, n: int = SHINGLE, similarity: Fraction = SIMILARITY) -
     return linked.unionByName(every.filter("size = 0 OR doc_id IS NULL").select("doc_id", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
+def perhaps_live(tokens: DataFrame, live: DataFrame) -> DataFrame:
+    """Rows whose token may be live: most shingles are seen once and need not be shuffled again. A filter of ``FILTER_BITS`` bits, whatever the
+    number of tokens, is met inside the scan; it keeps every live token and a few others."""
+    place = F.pmod(F.xxhash64("token"), F.lit(1 << FILTER_BITS))
+    bit = F.expr("shiftleft(1L, CAST(_place % 64 AS INT))")
+    word = F.floor(F.col("_place") / 64)
+    held = live.withColumn("_place", place).groupBy(word.alias("id")).agg(F.bit_or(bit).alias("_bits"))
+    words = stored(live.sparkSession.range(1 << (FILTER_BITS - 6)).join(held, "id", "left").select(F.col("id").alias("_word"), F.coalesce("_bits", F.lit(0).cast("long")).alias("_bits")))
+    met = tokens.withColumn("_place", place).withColumn("_word", word).join(F.broadcast(words), "_word")
+    return met.filter(F.col("_bits").bitwiseAND(bit) != 0).select(*tokens.columns)
+
+
 def _classes(docs: DataFrame, n: int, similarity: Fraction) -> tuple[DataFrame, DataFrame]:
     """``doc_id, size, mark`` of each row, and for each set ``mark, size, component_id, doc`` (its smallest doc_id) and whether it is the
     one that stays (``first``) of its component."""
@@ -243,8 +256,7 @@ def _classes(docs: DataFrame, n: int, similarity: Fraction) -> tuple[DataFrame,
     drop(whole)
     tokens = nodes.select("node", "size", F.posexplode("prefix").alias("pos", "token"))
     live = stored(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"))
-    # Most shingles are seen once; a Bloom filter of the others keeps them out of the join. The filter on the stored table lets Spark make it.
-    listed = stored(tokens.join(live.filter("df > 1"), "token"), **PRUNE)
+    listed = stored(perhaps_live(tokens, live).join(live, "token"))
     named = stored(nodes.select("node", "mark", "size", "doc"))
     drop(nodes)
     planned = stored(plans(listed, similarity))
