@@ -173,6 +173,10 @@ BLOCKER_RANK = "rank 不同"
 BLOCKER_RULES = "分类规则校验值未确认一致"
 BLOCKER_WORK = "实际窗口工作量不同"
 BLOCKER_UNVERIFIED = "工作量尚未核实"
+GDN_CONFIRMED_SUBSET = "GDN（已确认子集）"
+# The delta-network group that is named after its kernel, and the kernels, first match first: (kind of match, text, label).
+GDN_METADATA_GROUP = "元数据准备"
+GDN_METADATA_KERNELS = [("contains", "gdn_prepare_cudagraph_impl", "gdn_prepare_cudagraph_impl"), ("startswith", "Memcpy HtoD", "Memcpy HtoD")]
 
 # Occupancy labels.
 OWNER_GONE = "（进程已退出）"
@@ -186,3 +190,41 @@ PREFILL_ANNOTATION = r"^execute_context_[1-9]\d*\("
 CONTEXT_ANNOTATION = r"^execute_context_(\d+)\((\d+)\)_generation_(\d+)\((\d+)\)"
 GRAPH_LAUNCH_API = r"^(sdaa|cuda|hip)GraphLaunch(_.*)?$"
 RANK_IN_FILE_NAME = r"_rank(\d+)[._]"
+
+# Sample kernel names of the driver views.
+DEVICE_NAMES = [
+    "void slave_gemm_m8n256k128_fp16<1536u, false, false>(GemmM8N256K128Args)",
+    "tecoblas::ual::slave::teco_slave_gemm_NN_Afp16_Bfp16_Cfp16_N256_NOPAD(GemmWrapArgs)",
+    "void slave_mm_dequantize_v3<1536u>(void const*, void const*, void*, int, int, int)",
+    "void tccl_move_data_list<8192ul>(tcclMove)",
+    "tecoblas::ual::slave::teco_slave_gemm_NT_Afp16_Bfp16_Cfp16_allReduce(GemmWrapArgs)",
+    "tecocustom::ual::kernel::teco_slave_flash_attention_forward_8_4_64_false_general_hd256(Args)",
+    "void tecolmk_slave_fused_block_attention_decode_v2<256u, 32u>(BlockAttentionLayerArgs)",
+    "void tecolmk_slave_fused_norm<2, 1>(FusedNormArgs)",
+    "void tecolmk_slave_compute_v_new_last_state<1>(ChunkGatedDeltaRuleArgs)",
+    "tecodnn::ual::slave::teco_slave_broadcast_add(tecodnn::ual::ops::BroadcastArgs)",
+    "tecodnn::ual::slave::teco_slave_no_broadcast_mul(tecodnn::ual::ops::NoBroadcastArgs)",
+    "tecolmk_slave_prefill_cache(BlockAttentionLayerArgs)",
+    "_Z42tecolmk_slave_fused_qk_gemma_norm_mrope_kernel_impl(Args)",
+    "tecodnn::ual::slave::teco_slave_copy_stride_dma_2D<unsigned short>(CopyStrideArgs)",
+    "sdaart::sdaaMemcpyAsyncH2D",
+    "WAIT",
+    "nvjet_sm90_tst_192x8_64x8_4x1_v_bz_TNT",
+    "void cublasLt::splitKreduce_kernel<32, 16>(Params)",
+    "void cutlass::device_kernel<flash::FlashAttnFwdSm90<...>>(Params)",
+    "void cutlass::device_kernel<flat::kernel::FlatKernelTmaWarpSpecializedDeltaRule<...>>(Params)",
+    "void ncclKernel_AllReduce_RING_LL()",
+    "triton_poi_fused_add_mul_0",
+    "Cijk_Alik_Bljk_F8BS_MT16x16x64",
+    "void CKFmhaFwdKernel<...>()",
+    "rcclAllReduceRingKernel",
+    "hipMemcpyAsync",
+    "SET",
+    "fused_moe_kernel",
+    "void tecolmk_slave_gemm_grouped_batched_v2_weight_half<3, 64>(GemmGroupBatchArgsV2<64>)",
+    "teco_slave_causal_conv1d_perf(Args)",
+    "fused_gdn_gating_kernel",
+    "opaque_zeta",
+    "fused_recurrent_gated_delta_rule_packed_decode_kernel",
+    "gdn_prepare_cudagraph_impl",
+]

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..fixed_values import (GDN_COMPARISON_GROUPS, GDN_CORE_OPS, GDN_CORE_SUBSCOPES, GDN_DECODE_GROUP, GDN_NORM_OP,
+from ..fixed_values import (GDN_COMPARISON_GROUPS, GDN_CORE_OPS, GDN_CORE_SUBSCOPES, GDN_DECODE_GROUP, GDN_METADATA_KERNELS, GDN_NORM_OP,
                             GDN_OPERATOR_GROUPS, GDN_OUTPUT_SYMBOLS, GDN_PYTHON_SCOPES, GDN_SHARED_CATEGORIES,
                             GDN_UNALIGNED_GROUP, CONTEXT_ANNOTATION)
 from ..functions.expressions import ns_to_us
@@ -20,6 +20,9 @@ from .classify import classify_names, host_rule, sql_text
 from .links import link_profile, scope_runtimes
 from .windows import WINDOW_KEYS, started_in
 
+# Host operators of the convolution, as patterns.
+CONV_UPDATE = r"%::%causal\_conv1d\_update"
+CONV_FORWARD = r"%::%causal\_conv1d\_fn"
 SCOPE_BITS = {name: 1 << n for n, name in enumerate((
     "core", "output", "metadata", "rearrange", "gating", "qk_norm", "chunk_fwd", "recurrent", "recurrent_fused",
     "recurrent_packed", "conv_update", "conv_forward", "output_norm"))}
@@ -116,8 +119,8 @@ def gdn_scopes(slices: DataFrame) -> DataFrame:
     """Host intervals that delimit gated-delta-network work, with their scope bits."""
     ops = ", ".join(sql_text(n) for n in [*GDN_CORE_OPS, GDN_NORM_OP, *[n for n in GDN_CORE_SUBSCOPES if n.startswith("_C_sdaa::")]])
     frames = " OR ".join(f"name ILIKE {sql_text(p)}" for p in (q.replace("_", r"\_") for q in GDN_PYTHON_SCOPES))
-    named = (f"(category = 'cpu_op' AND (name IN ({ops}) OR name ILIKE {sql_text('%::%causal' + chr(92) + '_conv1d' + chr(92) + '_update')} "
-             f"OR name ILIKE {sql_text('%::%causal' + chr(92) + '_conv1d' + chr(92) + '_fn')})) OR (category = 'python_function' AND ({frames}))")
+    named = (f"(category = 'cpu_op' AND (name IN ({ops}) OR name ILIKE {sql_text(CONV_UPDATE)} "
+             f"OR name ILIKE {sql_text(CONV_FORWARD)})) OR (category = 'python_function' AND ({frames}))")
     return slices.filter("dur_ns >= 0").filter(named).withColumn("bits", F.expr(_scope_bits()))
 
 
@@ -174,7 +177,8 @@ def gdn_split(profile: DataFrame, windows: DataFrame, slices: DataFrame, rules:
 
 
 def kernel_parts(selected: DataFrame, moe: DataFrame, gdn: DataFrame, rules: RuleSet) -> DataFrame:
-    """Contributions of every kernel: context parts where a name was split or moved, else the whole row."""
+    """Contributions of every kernel: context parts where a name was split or moved, else the whole row. A part carries the calls and time
+    of its replay candidates, which stay open: they count in the part's own category."""
     whole = classified(kernel_totals(selected), rules, "category", "semantic_type", "rule_id", "confidence")
     base = whole.selectExpr(*WINDOW_KEYS, "name", "record_count", "duration_ns", "start_ns", "end_ns", "detail.category AS category",
                             "detail.semantic_type AS semantic_type", "detail.rule_id AS rule_id", "detail.confidence AS confidence")
@@ -183,13 +187,14 @@ def kernel_parts(selected: DataFrame, moe: DataFrame, gdn: DataFrame, rules: Rul
                         F.col("confidence").alias("base_confidence"))
     from_moe = moe.join(spans, keys).selectExpr(
         *keys, "record_count", "duration_ns", "start_ns", "end_ns", "category",
-        "IF(part = 'expert', 'moe_expert_group_gemm', base_type) AS semantic_type", "rule_id", "confidence", "TRUE AS from_context")
+        "IF(part = 'expert', 'moe_expert_group_gemm', base_type) AS semantic_type", "rule_id", "confidence", "TRUE AS from_context", "0L AS replay_count", "0L AS replay_ns")
     from_gdn = gdn.join(spans, keys).selectExpr(
         *keys, "record_count", "duration_ns", "start_ns", "end_ns", "category", "coalesce(role, base_type) AS semantic_type",
         "IF(role IS NULL, base_rule, concat('gdn.context.', role)) AS rule_id",
-        "IF(role IS NULL, base_confidence, 'high') AS confidence", "FALSE AS from_context")
+        "IF(role IS NULL, base_confidence, 'high') AS confidence", "FALSE AS from_context", "replay_count", "replay_ns")
     split = from_moe.unionByName(from_gdn)
-    return base.withColumn("from_context", F.lit(False)).join(split.select(*keys).distinct(), keys, "left_anti").unionByName(split)
+    plain = base.selectExpr("*", "FALSE AS from_context", "0L AS replay_count", "0L AS replay_ns")
+    return plain.join(split.select(*keys).distinct(), keys, "left_anti").unionByName(split)
 
 
 def parts_summary(parts: DataFrame) -> DataFrame:
@@ -226,7 +231,8 @@ def _group_case(groups: dict[str, list[str]], otherwise: str) -> str:
 def gdn_stage_summary(parts: DataFrame, windows: DataFrame) -> DataFrame:
     """Gated-delta-network rows per comparison group; decode windows merge preparation and recurrence.
 
-    ``windows`` may carry the step ``anchor`` whose counts reveal a mixed window.
+    ``windows`` may carry the step ``anchor`` whose counts reveal a mixed window. ``graph_candidates`` is the number of kernel names of the
+    window with open replay candidates; ``metadata_operator`` names the kernel that prepared metadata.
     """
     g = GDN_COMPARISON_GROUPS
     prefill = ", ".join(sql_text(t) for t in ["gdn_conv", "gdn_gating_qk_fused", *g["Chunk 主计算"]])
@@ -244,7 +250,10 @@ def gdn_stage_summary(parts: DataFrame, windows: DataFrame) -> DataFrame:
     merged = {k: v for k, v in g.items() if k not in ("卷积后准备", "递推主计算")} | {GDN_DECODE_GROUP: g["卷积后准备"] + g["递推主计算"]}
     group = f"IF(scope = 'decode', {_group_case(merged, sql_text(GDN_UNALIGNED_GROUP))}, {_group_case(g, sql_text(GDN_UNALIGNED_GROUP))})"
     rows = mine.join(scoped, WINDOW_KEYS).withColumn("group", F.expr(group))
-    return rows.groupBy(*WINDOW_KEYS, "scope", "group").agg(
+    known = [f"IF(semantic_type = 'gdn_metadata' AND {match}(name, {sql_text(word)}), {sql_text(label)}, NULL)" for match, word, label in GDN_METADATA_KERNELS]
+    candidates = parts.groupBy(*WINDOW_KEYS).agg(F.expr("count(DISTINCT IF(replay_count > 0, name, NULL)) AS graph_candidates"))
+    return rows.join(candidates, WINDOW_KEYS).groupBy(*WINDOW_KEYS, "scope", "group", "graph_candidates").agg(
+        F.expr(f"coalesce({', '.join(f'max({k})' for k in known)}) AS metadata_operator"),
         F.expr("sum(record_count) AS record_count"), F.expr("sum(duration_ns) / 1000D AS total_duration_us"),
         F.expr("count(DISTINCT name) AS kernel_kinds"), F.expr("array_sort(collect_set(semantic_type)) AS semantic_types"))
 

@@ -18,8 +18,11 @@ HIPBLASLT_FLAGS = [("m", "-m"), ("n", "-n"), ("k", "-k"), ("transA", "--transA")
 DEFAULTS = {"batch_count": "1", "activation_type": "none", "scaleA": "0", "scaleB": "0"}
 
 
+# Fixed value: a flag of a benchmark command and the word after it.
+FLAG_VALUE = r"(?:^|\s)%s\s+(\S+)"
+
 def _flag(column: str, flag: str) -> str:
-    value = f"nullif(regexp_extract(command, {sql_text('(?:^|' + chr(92) + 's)' + flag + chr(92) + 's+(' + chr(92) + 'S+)')}, 1), '')"
+    value = f"nullif(regexp_extract(command, {sql_text(FLAG_VALUE % flag)}, 1), '')"
     return f"coalesce({value}, '{DEFAULTS[column]}') AS {column}" if column in DEFAULTS else f"{value} AS {column}"
 
 

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from ..operators import (account, annotations, attribution, audit, classify, compare, context, events, gemm, keyword, links,
                          occupancy, phases, steps, windows)
 from ..session import materialize, shared_path
-from ..sources import documents, traces
+from ..sources import documents, sinks, traces
 from ..sources.rules import RuleSet, load_rules
 from . import driver_views as views
+from . import reports
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -496,7 +497,7 @@ def report_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = Context(spark, sf_dir)
     stages = _stages(c)
     blocked = compare.blockers(*_sides(_descriptors(c, stages)), verified=True)
-    return compare.compare_categories(*_sides(account.category_summary(c.totals, rules())), blocked, compare.gdn_comparable(*_sides(stages)))
+    return compare.compare_categories(*_sides(context.parts_summary(materialize(c.parts))), blocked, compare.gdn_comparable(*_sides(stages)))
 
 
 @query
@@ -514,6 +515,35 @@ def gdn_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.compare_gdn(*_sides(stages), blocked, ("left", "right"))
 
 
+def _stored_comparison(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Reports of the even and of the odd ranks, written, read back and compared window by window."""
+    c = Context(spark, sf_dir)
+    parts, chosen = c.parts, c.anchored_windows.withColumn("rank", F.expr("IF(window_id % 7 = 0, substring(trace_id, 9, 1), '0')"))
+    stages = materialize(context.gdn_stage_summary(parts, chosen))
+    tables = {"summary": context.parts_summary(parts), "kernels": account.kernel_aggregate(c.device, c.windows), "excluded": account.excluded_markers(c.totals, rules()),
+              "coverage": account.window_coverage(c.device, c.windows), "time_account": account.time_account(c.device, c.windows, rules()),
+              "gdn_stages": stages, "manifest": reports.manifest(chosen, stages, rules())}
+    folders = [shared_path(spark), shared_path(spark)]
+    for odd, folder in enumerate(folders):
+        sinks.write_report({n: t.filter(f"CAST(substring(trace_id, 9, 1) AS BIGINT) % 2 = {odd}") for n, t in tables.items()}, folder)
+    left, right = _sides(c.windows)
+    pairs = left.selectExpr("pair_id", "trace_id AS left_trace", "window_id AS left_window").join(
+        right.selectExpr("pair_id", "trace_id AS right_trace", "window_id AS right_window"), "pair_id", "full")
+    return reports.compare_reports(spark, *folders, pairs, verified=True)
+
+
+@query
+def compare_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identities of two stored reports."""
+    return _stored_comparison(spark, sf_dir)["checks"].selectExpr("side", "trace_id", "window_id", "check_name", "round(lhs, 3) AS lhs", "round(rhs, 3) AS rhs", "ok")
+
+
+@query
+def context_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Context tokens per second of prefill windows of two stored reports."""
+    return _stored_comparison(spark, sf_dir)["rates"]
+
+
 @query
 def rank_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Trace(spark, sf_dir)

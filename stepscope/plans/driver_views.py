@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..fixed_values import DEVICE_NAMES
 from ..functions.layout import latest_before
 from ..operators.classify import sql_text
 
@@ -17,40 +18,6 @@ ORIGIN_NS = 1_704_067_200_000_000_000  # 2024-01-01
 MAPPING_END_NS = 1_705_363_200_000_000_000  # 2024-01-16
 STEP_ID_BASE = 1_000_000_000_000
 
-DEVICE_NAMES = [
-    "void slave_gemm_m8n256k128_fp16<1536u, false, false>(GemmM8N256K128Args)",
-    "tecoblas::ual::slave::teco_slave_gemm_NN_Afp16_Bfp16_Cfp16_N256_NOPAD(GemmWrapArgs)",
-    "void slave_mm_dequantize_v3<1536u>(void const*, void const*, void*, int, int, int)",
-    "void tccl_move_data_list<8192ul>(tcclMove)",
-    "tecoblas::ual::slave::teco_slave_gemm_NT_Afp16_Bfp16_Cfp16_allReduce(GemmWrapArgs)",
-    "tecocustom::ual::kernel::teco_slave_flash_attention_forward_8_4_64_false_general_hd256(Args)",
-    "void tecolmk_slave_fused_block_attention_decode_v2<256u, 32u>(BlockAttentionLayerArgs)",
-    "void tecolmk_slave_fused_norm<2, 1>(FusedNormArgs)",
-    "void tecolmk_slave_compute_v_new_last_state<1>(ChunkGatedDeltaRuleArgs)",
-    "tecodnn::ual::slave::teco_slave_broadcast_add(tecodnn::ual::ops::BroadcastArgs)",
-    "tecodnn::ual::slave::teco_slave_no_broadcast_mul(tecodnn::ual::ops::NoBroadcastArgs)",
-    "tecolmk_slave_prefill_cache(BlockAttentionLayerArgs)",
-    "_Z42tecolmk_slave_fused_qk_gemma_norm_mrope_kernel_impl(Args)",
-    "tecodnn::ual::slave::teco_slave_copy_stride_dma_2D<unsigned short>(CopyStrideArgs)",
-    "sdaart::sdaaMemcpyAsyncH2D",
-    "WAIT",
-    "nvjet_sm90_tst_192x8_64x8_4x1_v_bz_TNT",
-    "void cublasLt::splitKreduce_kernel<32, 16>(Params)",
-    "void cutlass::device_kernel<flash::FlashAttnFwdSm90<...>>(Params)",
-    "void cutlass::device_kernel<flat::kernel::FlatKernelTmaWarpSpecializedDeltaRule<...>>(Params)",
-    "void ncclKernel_AllReduce_RING_LL()",
-    "triton_poi_fused_add_mul_0",
-    "Cijk_Alik_Bljk_F8BS_MT16x16x64",
-    "void CKFmhaFwdKernel<...>()",
-    "rcclAllReduceRingKernel",
-    "hipMemcpyAsync",
-    "SET",
-    "fused_moe_kernel",
-    "void tecolmk_slave_gemm_grouped_batched_v2_weight_half<3, 64>(GemmGroupBatchArgsV2<64>)",
-    "teco_slave_causal_conv1d_perf(Args)",
-    "fused_gdn_gating_kernel",
-    "opaque_zeta",
-]
 RUNTIME_NAMES = ["sdaaLaunchKernel", "cudaLaunchKernel", "sdaaGraphLaunch", "hipMemcpyAsync"]
 CPU_OP_NAMES = ["aten::mm", "_C_sdaa::group_gemm_v2", "vllm::qwen_gdn_attention_core",
                 "_C_sdaa::custom_causal_conv1d_update", "aten::linear"]
@@ -114,7 +81,7 @@ def slices(spark: SparkSession, sf_dir: str) -> DataFrame:
         "WHEN 'signup' THEN 'cuda_runtime' ELSE IF(event_id % 2 = 0, 'cpu_op', 'python_function') END AS category",
     ).selectExpr(
         "concat('run_rank', user_id % 4) AS trace_id", "id",
-        f"CASE WHEN {device} THEN {_pick(DEVICE_NAMES, '(id * 7 + CAST(correlation AS BIGINT)) % 32')} "
+        f"CASE WHEN {device} THEN {_pick(DEVICE_NAMES, f'(id * 7 + CAST(correlation AS BIGINT)) % {len(DEVICE_NAMES)}')} "
         f"WHEN category = 'cuda_runtime' THEN {_pick(RUNTIME_NAMES, 'id % 4')} "
         f"WHEN category = 'cpu_op' THEN {_pick(CPU_OP_NAMES, 'id % 5')} "
         f"ELSE {_pick(FRAME_NAMES, 'id % 3')} END AS name",
@@ -176,7 +143,7 @@ def forwards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _kernel_name(index: str) -> str:
-    return _pick(DEVICE_NAMES, f"({index}) % 32")
+    return _pick(DEVICE_NAMES, f"({index}) % {len(DEVICE_NAMES)}")
 
 
 def kernel_table(spark: SparkSession, sf_dir: str) -> DataFrame:

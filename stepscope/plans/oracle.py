@@ -2,11 +2,11 @@
 from __future__ import annotations
 
 from ..fixed_values import (ADVICE_THRESHOLDS, BLOCKER_MIXED, BLOCKER_RANK, BLOCKER_RULES, BLOCKER_STAGE, BLOCKER_WORK, BUBBLE_LABEL, CATEGORY_ORDER,
-                            DENSE_CATEGORIES, GDN_COMPARISON_GROUPS, GDN_COMPARISON_OPERATORS, GDN_CORE_STAGES,
+                            DENSE_CATEGORIES, DEVICE_NAMES, GDN_COMPARISON_GROUPS, GDN_COMPARISON_OPERATORS, GDN_CONFIRMED_SUBSET, GDN_CORE_STAGES, GDN_METADATA_GROUP,
                             GDN_DECODE_GROUP, GDN_OPERATOR_GROUPS, GDN_UNALIGNED_GROUP, KEYWORD_CATEGORIES,
                             KEYWORD_KERNEL_FALLBACK, PHASE_KEYWORDS, TIME_ROWS, TOTAL_LABEL, UNINFORMATIVE_FRAMES)
 from ..sources.rules import load_rules
-from .driver_views import DEVICE_NAMES, HOUR_NS, MAPPING_END_NS
+from .driver_views import HOUR_NS, MAPPING_END_NS
 from .oracle_views import V_FLOW, V_FORWARD, V_SLICE, V_STEP, V_WINDOW, V_SLOT, text, text_list
 
 SQL: dict[str, str] = {}
@@ -505,26 +505,33 @@ v_role AS (
     WHEN contains(lower(l.name), 'causal_conv1d') THEN 'gdn_conv_shared' WHEN l.category IN ('gpu_memcpy', 'gpu_memset') THEN 'gdn_memory' ELSE 'gdn_aux' END AS role,
     coalesce(p.graph, FALSE) AND (contains(lower(l.name), 'causal_conv1d') OR contains(lower(l.name), 'fusednormargs')) AS replayable
   FROM v_link l LEFT JOIN v_cand c USING (trace_id, id) LEFT JOIN v_pg p USING (trace_id, id)),
+v_rec AS (
+  SELECT DISTINCT w.trace_id, w.window_id FROM v_role e JOIN v_window w ON e.trace_id = w.trace_id AND e.ts_ns >= w.start_ns AND e.ts_ns < w.end_ns
+  JOIN v_class c ON c.name = e.name AND c.category = 'GDN' AND starts_with(c.semantic_type, 'gdn_recurrent')),
 v_gp AS (
-  SELECT w.trace_id, w.window_id, e.name, c.category AS base_category, e.role, count(*) AS record_count, CAST(sum(e.dur_ns) AS BIGINT) AS duration_ns
+  SELECT w.trace_id, w.window_id, e.name, c.category AS base_category, e.role, count(*) AS record_count, CAST(sum(e.dur_ns) AS BIGINT) AS duration_ns,
+    count(*) FILTER (e.role IS NULL AND e.replayable AND r.trace_id IS NOT NULL) AS replay_count,
+    CAST(coalesce(sum(e.dur_ns) FILTER (e.role IS NULL AND e.replayable AND r.trace_id IS NOT NULL), 0) AS BIGINT) AS replay_ns
   FROM v_role e JOIN v_window w ON e.trace_id = w.trace_id AND e.ts_ns >= w.start_ns AND e.ts_ns < w.end_ns
   JOIN v_class c ON c.name = e.name AND c.category IN ('其他elementwise', 'Triton', 'memcpy/memset')
-  WHERE EXISTS (SELECT 1 FROM v_slice s WHERE s.trace_id = e.trace_id AND s.name = 'vllm::qwen_gdn_attention_core') GROUP BY ALL),
+  LEFT JOIN v_rec r ON r.trace_id = w.trace_id AND r.window_id = w.window_id
+  WHERE r.trace_id IS NOT NULL OR EXISTS (SELECT 1 FROM v_slice s WHERE s.trace_id = e.trace_id AND s.name = 'vllm::qwen_gdn_attention_core')
+  GROUP BY w.trace_id, w.window_id, e.name, c.category, e.role),
 v_gdn AS (
   SELECT g.trace_id, g.window_id, g.name, g.role, g.record_count, g.duration_ns, CASE WHEN g.role IS NULL THEN g.base_category ELSE 'GDN' END AS category,
-    0 AS replay_count, 0 AS replay_ns
-  FROM v_gp g WHERE EXISTS (SELECT 1 FROM v_gp h WHERE h.trace_id = g.trace_id AND h.window_id = g.window_id AND h.name = g.name AND h.role IS NOT NULL))"""
+    replay_count, replay_ns
+  FROM v_gp g WHERE EXISTS (SELECT 1 FROM v_gp h WHERE h.trace_id = g.trace_id AND h.window_id = g.window_id AND h.name = g.name AND (h.role IS NOT NULL OR h.replay_count > 0)))"""
 V_PARTS = """
 v_parts AS (
-  SELECT d.trace_id, d.window_id, d.name, d.record_count, d.duration_ns, d.category, d.semantic_type, d.confidence, FALSE AS ctx FROM v_detail d
+  SELECT d.trace_id, d.window_id, d.name, d.record_count, d.duration_ns, d.category, d.semantic_type, d.confidence, FALSE AS ctx, 0 AS replay_count FROM v_detail d
   WHERE NOT EXISTS (SELECT 1 FROM v_moe m WHERE m.trace_id = d.trace_id AND m.window_id = d.window_id AND m.name = d.name)
     AND NOT EXISTS (SELECT 1 FROM v_gdn g WHERE g.trace_id = d.trace_id AND g.window_id = d.window_id AND g.name = d.name)
   UNION ALL
   SELECT m.trace_id, m.window_id, m.name, m.record_count, m.duration_ns, m.category,
-    CASE WHEN m.part = 'expert' THEN 'moe_expert_group_gemm' ELSE c.semantic_type END, m.confidence, TRUE FROM v_moe m JOIN v_class c USING (name)
+    CASE WHEN m.part = 'expert' THEN 'moe_expert_group_gemm' ELSE c.semantic_type END, m.confidence, TRUE, 0 FROM v_moe m JOIN v_class c USING (name)
   UNION ALL
   SELECT g.trace_id, g.window_id, g.name, g.record_count, g.duration_ns, g.category, coalesce(g.role, c.semantic_type),
-    CASE WHEN g.role IS NULL THEN c.confidence ELSE 'high' END, FALSE FROM v_gdn g JOIN v_class c USING (name))"""
+    CASE WHEN g.role IS NULL THEN c.confidence ELSE 'high' END, FALSE, g.replay_count FROM v_gdn g JOIN v_class c USING (name))"""
 CONTEXT = [V_SLICE, V_FLOW, V_LINK, V_WINDOW, V_CLASS, V_TOTALS, V_EXPERT, V_EXEV, V_MOE, V_GDN, V_PARTS]
 
 SQL["expert_launches"] = with_views(V_SLICE, V_EXPERT, """
@@ -574,9 +581,13 @@ v_scope AS (
   JOIN v_window w USING (trace_id, window_id)),
 v_rows AS (
   SELECT p.*, s.scope, CASE WHEN s.scope = 'decode' THEN {_groups(_MERGED, text(GDN_UNALIGNED_GROUP))} ELSE {_groups(_G, text(GDN_UNALIGNED_GROUP))} END AS grp
-  FROM v_parts p JOIN v_scope s USING (trace_id, window_id) WHERE category = 'GDN')""", """
-SELECT trace_id, window_id, scope, grp AS "group", CAST(sum(record_count) AS BIGINT) AS record_count, CAST(sum(duration_ns) AS BIGINT) / 1000.0::DOUBLE AS total_duration_us,
-  count(DISTINCT name) AS kernel_kinds, list_sort(list(DISTINCT semantic_type)) AS semantic_types FROM v_rows GROUP BY 1, 2, 3, 4""")
+  FROM v_parts p JOIN v_scope s USING (trace_id, window_id) WHERE category = 'GDN'),
+v_open AS (SELECT trace_id, window_id, count(DISTINCT name) FILTER (replay_count > 0) AS graph_candidates FROM v_parts GROUP BY ALL)""", """
+SELECT trace_id, window_id, scope, grp AS "group", graph_candidates,
+  max(CASE WHEN semantic_type = 'gdn_metadata' AND contains(name, 'gdn_prepare_cudagraph_impl') THEN 'gdn_prepare_cudagraph_impl'
+           WHEN semantic_type = 'gdn_metadata' AND starts_with(name, 'Memcpy HtoD') THEN 'Memcpy HtoD' END) AS metadata_operator, CAST(sum(record_count) AS BIGINT) AS record_count, CAST(sum(duration_ns) AS BIGINT) / 1000.0::DOUBLE AS total_duration_us,
+  count(DISTINCT name) AS kernel_kinds, list_sort(list(DISTINCT semantic_type)) AS semantic_types
+FROM v_rows JOIN v_open USING (trace_id, window_id) GROUP BY 1, 2, 3, 4, 5""")
 SQL["gdn_operators"] = with_views(*CONTEXT, f"""
 SELECT trace_id, window_id, {_groups(GDN_OPERATOR_GROUPS, 'semantic_type')} AS label, CAST(sum(record_count) AS BIGINT) AS calls,
   CAST(sum(duration_ns) AS BIGINT) / 1000.0::DOUBLE AS total_duration_us, count(DISTINCT name) AS kernel_kinds
@@ -658,7 +669,7 @@ SELECT name, n AS record_count, category, reason, rule_id, semantic_type, confid
 FROM (SELECT name, count(*) AS n FROM v_slice GROUP BY name) JOIN v_class USING (name)""")
 V_TABLE = f"""
 v_table AS (
-  SELECT l_returnflag AS table_id, ({text_list(DEVICE_NAMES)})[(p_partkey + p_size) % 32 + 1] AS name, count(*) AS record_count,
+  SELECT l_returnflag AS table_id, ({text_list(DEVICE_NAMES)})[(p_partkey + p_size) % {len(DEVICE_NAMES)} + 1] AS name, count(*) AS record_count,
     CAST(sum(CAST(floor(l_extendedprice * 100.0::DOUBLE + 0.5::DOUBLE) AS BIGINT)) AS BIGINT) AS cents
   FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)"""
 V_AUDIT = V_TABLE + f""",
@@ -696,26 +707,28 @@ v_block AS (
   FROM (SELECT * FROM v_desc WHERE rk % 2 = 0) l FULL JOIN (SELECT * FROM v_desc WHERE rk % 2 = 1) r USING (pair_id))"""
 _GATE = ", ".join(text(c) for c in GDN_CORE_STAGES)
 V_GATE = f"""
-v_side AS (SELECT {_PAIR}, min(scope) AS scope, min(stage) AS stage, list(DISTINCT grp) AS g FROM v_gst GROUP BY ALL),
+v_side AS (SELECT {_PAIR}, min(scope) AS scope, min(stage) AS stage, list(DISTINCT grp) AS g, max(graph_candidates) AS open FROM v_gst GROUP BY ALL),
 v_gate AS (
-  SELECT pair_id, coalesce(l.scope = l.stage AND r.scope = l.stage AND NOT list_contains(l.g, {text(GDN_UNALIGNED_GROUP)}) AND NOT list_contains(r.g, {text(GDN_UNALIGNED_GROUP)})
-    AND len(list_filter([{_GATE}], lambda c: list_contains(l.g, c) <> list_contains(r.g, c))) = 0, FALSE) AS ok
-  FROM (SELECT * FROM v_side WHERE rk % 2 = 0) l JOIN (SELECT * FROM v_side WHERE rk % 2 = 1) r USING (pair_id))"""
+  SELECT pair_id, coalesce(l.open, 0) = 0 AND coalesce(r.open, 0) = 0 AND NOT list_contains(coalesce(l.g, []), {text(GDN_UNALIGNED_GROUP)})
+    AND NOT list_contains(coalesce(r.g, []), {text(GDN_UNALIGNED_GROUP)})
+    AND len(list_filter([{_GATE}], lambda c: list_contains(coalesce(l.g, []), c) <> list_contains(coalesce(r.g, []), c))) = 0 AS covered,
+    covered AND coalesce(l.scope = l.stage AND r.scope = l.stage, FALSE) AS ok
+  FROM (SELECT * FROM v_side WHERE rk % 2 = 0) l FULL JOIN (SELECT * FROM v_side WHERE rk % 2 = 1) r USING (pair_id))"""
 _RATIO = "CASE WHEN left_us > 0 AND right_us > 0 THEN left_us / right_us END AS time_ratio, CASE WHEN {ok} THEN CASE WHEN right_us > 0 AND left_us > 0 THEN right_us / left_us END END AS observed_performance"
 SQL["compare_blockers"] = with_views(V_SLICE, V_WINDOW, V_BLOCK, "SELECT * FROM v_block")
-SQL["report_compare"] = with_views(V_SLICE, V_WINDOW, V_BLOCK, V_GATE, V_CATEGORY, f"v_sum AS (SELECT *, {_PAIR} FROM ({SQL['category_summary']}))", """
+SQL["report_compare"] = with_views(V_SLICE, V_WINDOW, V_BLOCK, V_GATE, V_CATEGORY, f"v_sum AS (SELECT *, {_PAIR} FROM ({SQL['context_summary']}))", """
 v_both AS (
   SELECT pair_id, category, coalesce(l.total_duration_us, 0) AS left_us, coalesce(r.total_duration_us, 0) AS right_us
   FROM (SELECT * FROM v_sum WHERE rk % 2 = 0) l FULL JOIN (SELECT * FROM v_sum WHERE rk % 2 = 1) r USING (pair_id, category))""",
-    f"SELECT pair_id, category_ord, category, left_us, right_us, {_RATIO.format(ok="len(blockers) = 0 AND (category <> 'GDN' OR coalesce(ok, FALSE))")} FROM v_both JOIN v_block USING (pair_id) LEFT JOIN v_gate USING (pair_id) JOIN v_category USING (category)")
+    f"SELECT pair_id, category_ord, category, CASE WHEN category = 'GDN' AND NOT coalesce(covered, left_us = 0 AND right_us = 0) THEN '{GDN_CONFIRMED_SUBSET}' ELSE category END AS label, left_us, right_us, {_RATIO.format(ok="len(blockers) = 0 AND (category <> 'GDN' OR coalesce(ok, FALSE))")} FROM v_both JOIN v_block USING (pair_id) LEFT JOIN v_gate USING (pair_id) JOIN v_category USING (category)")
 SQL["time_compare"] = with_views(V_SLICE, V_WINDOW, V_BLOCK, f"v_sum AS (SELECT *, {_PAIR} FROM ({SQL['time_account']}))", """
 v_both AS (
-  SELECT pair_id, row_ord, l.item, l.total_us AS left_us, r.total_us AS right_us
-  FROM (SELECT * FROM v_sum WHERE rk % 2 = 0) l FULL JOIN (SELECT * FROM v_sum WHERE rk % 2 = 1) r USING (pair_id, row_ord))""",
+  SELECT pair_id, row_ord, item, l.total_us AS left_us, r.total_us AS right_us
+  FROM (SELECT * FROM v_sum WHERE rk % 2 = 0) l FULL JOIN (SELECT * FROM v_sum WHERE rk % 2 = 1) r USING (pair_id, row_ord, item))""",
     f"SELECT pair_id, row_ord, item, left_us, right_us, {_RATIO.format(ok='len(blockers) = 0 AND row_ord IN (0, 6)')} FROM v_both JOIN v_block USING (pair_id)")
 _OPS = "CASE t " + " ".join(f"WHEN {text(t)} THEN {text(o)}" for t, o in GDN_COMPARISON_OPERATORS.items()) + " END"
 _LABEL = (f"nullif(CASE WHEN grp = 'Chunk 主计算' THEN CASE WHEN list_contains(semantic_types, 'gdn_chunk_prefill') THEN 'FlashInfer chunk_gated_delta_rule' ELSE 'chunk_gated_delta_rule_fwd' END "
-          f"ELSE array_to_string(list_distinct(list_filter(list_transform(semantic_types, lambda t: {_OPS}), lambda o: o IS NOT NULL)), '、') END, '') AS ops")
+          f"WHEN grp = '{GDN_METADATA_GROUP}' AND metadata_operator IS NOT NULL THEN metadata_operator ELSE array_to_string(list_distinct(list_filter(list_transform(semantic_types, lambda t: {_OPS}), lambda o: o IS NOT NULL)), '、') END, '') AS ops")
 SQL["gdn_compare"] = with_views(V_SLICE, V_WINDOW, V_BLOCK, f"""
 v_lab AS (SELECT {_PAIR}, grp, total_duration_us, scope = stage AS aligned, {_LABEL} FROM v_gst)""", """
 v_both AS (
@@ -724,6 +737,30 @@ v_both AS (
 SELECT pair_id, grp AS "group", CASE WHEN grp = 'Chunk 主计算' THEN '分块主计算' ELSE grp END || coalesce('（' || CASE WHEN lo <> ro THEN 'left: ' || lo || chr(10) || 'right: ' || ro ELSE coalesce(lo, ro) END || '）', '') AS label,
   left_us, right_us, {_RATIO.format(ok=f"len(blockers) = 0 AND aligned AND grp IN ({', '.join(text(c) for c in GDN_CORE_STAGES)})")}
 FROM v_both JOIN v_block USING (pair_id)""")
+SQL["context_rate"] = with_views(V_SLICE, V_WINDOW, f"""
+v_tok AS (
+  SELECT {_PAIR}, CASE WHEN window_id % 5 = 0 THEN CASE WHEN window_id % 11 = 5 THEN 64 ELSE 128 END END AS tokens, (end_ns - start_ns) / 1000.0::DOUBLE AS us
+  FROM v_window)""", """
+SELECT pair_id, l.tokens AS left_tokens, l.tokens * 1000000.0::DOUBLE / l.us AS left_tokens_per_s, r.tokens AS right_tokens, r.tokens * 1000000.0::DOUBLE / r.us AS right_tokens_per_s
+FROM (SELECT * FROM v_tok WHERE rk % 2 = 0) l FULL JOIN (SELECT * FROM v_tok WHERE rk % 2 = 1) r USING (pair_id) WHERE l.tokens IS NOT NULL OR r.tokens IS NOT NULL""")
+SQL["compare_checks"] = with_views(V_SLICE, V_WINDOW, f"""
+v_one AS (
+  SELECT trace_id, window_id, classes + coalesce(excluded, 0) AS whole, raw, selected_duration_sum_us AS sel, device_covered_us AS covered, window_total_us AS total, g.us AS rows_us, gdn, n, names
+  FROM (SELECT trace_id, window_id, sum(total_duration_us) AS classes, coalesce(sum(total_duration_us) FILTER (category = 'GDN'), 0) AS gdn, count(*) AS n,
+               count(DISTINCT category) AS names FROM ({SQL['context_summary']}) GROUP BY ALL) s
+  LEFT JOIN (SELECT trace_id, window_id, sum(total_duration_us) AS excluded FROM ({SQL['excluded_markers']}) GROUP BY ALL) e USING (trace_id, window_id)
+  LEFT JOIN (SELECT trace_id, window_id, sum(total_duration_us) AS raw FROM ({SQL['kernel_window_agg']}) GROUP BY ALL) k USING (trace_id, window_id)
+  LEFT JOIN ({SQL['window_coverage']}) c USING (trace_id, window_id)
+  LEFT JOIN (SELECT trace_id, window_id, sum(total_duration_us) AS us FROM ({SQL['gdn_stage_summary']}) GROUP BY ALL) g USING (trace_id, window_id)),
+v_check AS (
+  SELECT trace_id, window_id, unnest([
+    {{'c': 'classes_equal_kernels', 'a': whole, 'b': raw, 'ok': abs(whole - raw) <= greatest(1e-6, raw * 1e-10)}},
+    {{'c': 'classes_equal_selected', 'a': whole, 'b': sel, 'ok': abs(whole - sel) <= greatest(1e-6, sel * 1e-10)}},
+    {{'c': 'coverage_within_window', 'a': covered, 'b': total, 'ok': covered >= 0 AND total > 0 AND covered <= total}},
+    {{'c': 'gdn_rows_equal_category', 'a': rows_us, 'b': gdn, 'ok': rows_us IS NULL OR abs(gdn - rows_us) <= greatest(1e-6, rows_us * 1e-10)}},
+    {{'c': 'one_row_per_category', 'a': CAST(n AS DOUBLE), 'b': CAST(names AS DOUBLE), 'ok': n = names}}]) AS k FROM v_one)""", """
+SELECT CASE WHEN CAST(substr(trace_id, 9, 1) AS BIGINT) % 2 = 0 THEN 'left' ELSE 'right' END AS side, trace_id, window_id, k.c AS check_name,
+  round(CAST(k.a AS DOUBLE), 3) AS lhs, round(CAST(k.b AS DOUBLE), 3) AS rhs, k.ok AS ok FROM v_check""")
 SQL["rank_blocks"] = f"""
 SELECT trace_id, window_id, category, record_count, CAST(NULL AS VARCHAR) AS error_code,
   CASE WHEN regexp_matches(trace_id || '.json.gz', '_rank(\\d+)[._]') THEN CAST(substr(trace_id, 9, 1) AS INT) END AS rank

@@ -1,7 +1,8 @@
 """The driver views of ``driver_views`` as DuckDB common table expressions."""
 from __future__ import annotations
 
-from .driver_views import (CPU_OP_NAMES, DEVICE_NAMES, FRAME_NAMES, HOUR_NS, ORIGIN_NS, RUNTIME_NAMES, SLOT_NS,
+from ..fixed_values import DEVICE_NAMES
+from .driver_views import (CPU_OP_NAMES, FRAME_NAMES, HOUR_NS, ORIGIN_NS, RUNTIME_NAMES, SLOT_NS,
                            STEP_ID_BASE)
 
 
@@ -25,7 +26,7 @@ base AS (
 v_slice AS (
   SELECT 'run_rank' || (user_id % 4) AS trace_id, id,
     CASE WHEN category IN ('kernel','gpu_memcpy','gpu_memset')
-           THEN ({text_list(DEVICE_NAMES)})[(id * 7 + CAST(correlation AS BIGINT)) % 32 + 1]
+           THEN ({text_list(DEVICE_NAMES)})[(id * 7 + CAST(correlation AS BIGINT)) % {len(DEVICE_NAMES)} + 1]
          WHEN category = 'cuda_runtime' THEN ({text_list(RUNTIME_NAMES)})[id % 4 + 1]
          WHEN category = 'cpu_op' THEN ({text_list(CPU_OP_NAMES)})[id % 5 + 1]
          ELSE ({text_list(FRAME_NAMES)})[id % 3 + 1] END AS name,

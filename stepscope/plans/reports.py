@@ -6,7 +6,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import account, attribution, context, events, phases, steps, windows
+from ..functions.expressions import rank_of
+from ..operators import account, attribution, compare, context, events, phases, steps, windows
 from ..operators.classify import with_detail
 from ..sources.rules import RuleSet
 
@@ -20,12 +21,14 @@ def window_report(slices: DataFrame, flows: DataFrame, chosen: DataFrame, rules:
     totals = account.kernel_totals(windows.started_in(device, chosen))
     spark = slices.sparkSession
     provenance = ", ".join(f"{_quoted(v)} AS rules_{k}" for k, v in rules.provenance.items())
+    stages = context.gdn_stage_summary(parts, chosen)
     return {
         "kernels": account.kernel_aggregate(device, chosen), "detail": account.kernel_detail_table(totals, rules), "parts": parts,
         "summary": context.parts_summary(parts), "excluded": account.excluded_markers(totals, rules),
         "coverage": account.window_coverage(device, chosen), "time_account": account.time_account(device, chosen, rules),
         "checks": account.conservation_checks(device, chosen, rules), "metadata": windows.window_metadata(device, chosen),
-        "gdn_stages": context.gdn_stage_summary(parts, chosen), "gdn_operators": context.gdn_operators(parts),
+        "gdn_stages": stages, "gdn_operators": context.gdn_operators(parts), "manifest": manifest(chosen, stages, rules),
+        "downgraded": context.downgraded_gemm(parts), "event_roles": parts.filter("from_context OR startswith(rule_id, 'gdn.context.')"),
         "provenance": spark.range(1).selectExpr(provenance),
     }
 
@@ -84,12 +87,58 @@ def pair_report(mapping: DataFrame, formal: DataFrame, rules: RuleSet, configs:
             "formal_graphs": attribution.graph_evidence(formal, timed_events), "devices": events.device_identities(timed_events), **tables}
 
 
+COMPARED = ("summary", "kernels", "excluded", "coverage", "time_account", "gdn_stages", "manifest")
+
+
+def manifest(chosen: DataFrame, stages: DataFrame, rules: RuleSet) -> DataFrame:
+    """What a comparison asks of each window: its stage, whether it is mixed, its rank, the rules and the work its anchor names.
+
+    ``chosen`` may carry ``anchor``, the name of the step annotation, and ``rank``; without, the rank is read from the trace's file name.
+    """
+    windows_ = chosen if "anchor" in chosen.columns else chosen.withColumn("anchor", F.lit(None).cast("string"))
+    windows_ = windows_ if "rank" in chosen.columns else windows_.withColumn("rank", rank_of(F.col("trace_id")).cast("string"))
+    named = windows_.select("trace_id", "window_id", "stage", "rank", F.col("window_id").alias("id"), F.coalesce("anchor", F.lit("")).alias("name"))
+    work = steps.annotation_work(named).join(named.select("trace_id", "id", "window_id", "stage", "rank"), ["trace_id", "id"])
+    return compare.mixed_by_scope(work, stages).select(
+        "trace_id", "window_id", "stage", "mixed", "rank", F.lit(rules.sha256).alias("rules_sha256"),
+        F.when(F.col("stage") == "prefill", F.col("prefill_tokens")).alias("prefill_tokens"), F.lit(None).cast("bigint").alias("mixed_count"),
+        F.lit(None).cast("bigint").alias("mixed_generation_tokens"), F.when(F.col("stage") == "decode", F.col("decode_count")).alias("decode_count"),
+        F.when(F.col("stage") == "decode", F.col("decode_tokens")).alias("decode_tokens"))
+
+
 def report_pair(spark: SparkSession, left: str, right: str) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
-    """Summary, time-account and stage tables of two stored reports; a report is not compared with itself."""
+    """The compared tables of two stored reports; a report is not compared with itself."""
     if left.rstrip("/") == right.rstrip("/"):
         raise ValueError("comparison needs two distinct reports")
-    names = ("summary", "time_account", "gdn_stages", "metadata", "provenance")
-    return tuple({n: spark.read.parquet(f"{folder.rstrip('/')}/{n}") for n in names} for folder in (left, right))
+    return tuple({n: spark.read.parquet(f"{folder.rstrip('/')}/{n}") for n in COMPARED} for folder in (left, right))
+
+
+def compare_reports(spark: SparkSession, left: str, right: str, pairs: DataFrame, verified: bool, names: tuple[str, str] = ("left", "right")) -> dict[str, DataFrame]:
+    """Comparison of windows of two stored reports.
+
+    ``pairs``: ``pair_id, left_trace, left_window, right_trace, right_window``; either side may be NULL. Windows whose report does not
+    reconcile are in ``rejected`` and take no part in any ratio: their pairs are blocked as one-sided. ``verified`` says that the
+    workloads were found to be equal.
+    """
+    if not all(n.strip() for n in names) or names[0] == names[1]:
+        raise ValueError("sides need distinct names")
+    reports = report_pair(spark, left, right)
+    checks = [compare.report_checks(r) for r in reports]
+    sides: list[dict[str, DataFrame]] = []
+    for tag, report, checked in zip(("left", "right"), reports, checks):
+        bad = checked.filter("NOT ok").select("trace_id", "window_id").distinct()
+        mine = pairs.selectExpr("pair_id", f"{tag}_trace AS trace_id", f"{tag}_window AS window_id").filter("trace_id IS NOT NULL")
+        mine = mine.join(bad, ["trace_id", "window_id"], "left_anti")
+        sides.append({n: t.join(mine, ["trace_id", "window_id"]) for n, t in report.items()})
+    one, other = sides
+    blocked = compare.blockers(one["manifest"], other["manifest"], verified)
+    stages = [s["gdn_stages"].join(s["manifest"].select("pair_id", "stage"), "pair_id") for s in sides]
+    tagged = [c.withColumn("side", F.lit(name)) for c, name in zip(checks, names)]
+    return {"checks": tagged[0].unionByName(tagged[1]), "rejected": tagged[0].unionByName(tagged[1]).filter("NOT ok"), "blockers": blocked,
+            "categories": compare.compare_categories(one["summary"], other["summary"], blocked, compare.gdn_comparable(*stages)),
+            "time": compare.compare_time(one["time_account"], other["time_account"], blocked),
+            "gdn": compare.compare_gdn(*stages, blocked, names),
+            "rates": compare.context_rate(one["manifest"], other["manifest"], one["time_account"], other["time_account"])}
 
 
 def table_report(rows: DataFrame, rules: RuleSet) -> dict[str, DataFrame]:
