@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stepscope.operators import account, annotations, events, gemm, keyword, occupancy, phases, windows
 from stepscope.plans.reports import phase_report
 from stepscope.sources import sinks, tables, traces
-from stepscope.sources.rules import RuleError, load_rules, parse_rules
+from stepscope.sources.rules import RuleError, load_rules, parse_rules, violations
 from stepscope.streaming import rollup
 
 EVENTS = [
@@ -106,6 +106,15 @@ def test_rules_contract(tmp_path, spark):
             parse_rules(json.dumps(broken), "teco")
     with pytest.raises(RuleError):
         parse_rules('{"a": 1, "a": 2}')
+    broken = json.loads(json.dumps(good))
+    broken["platforms"]["nv"][0].update(patterns=["(", "x*+"], confidence="sure", notes=" ")
+    broken["platforms"]["dcu"].append({**good["platforms"]["nv"][0], "match_on": "cpu_op", "priority": True})
+    broken["platforms"]["teco"].append("no rule")
+    assert [place for place, _ in violations(json.dumps(broken))] == [
+        "platforms.nv[0].confidence", "platforms.nv[0].notes", f"platforms.dcu[{len(good['platforms']['dcu'])}].priority",
+        f"platforms.teco[{len(good['platforms']['teco'])}]", f"platforms.dcu[{len(good['platforms']['dcu'])}].id",
+        f"platforms.dcu[{len(good['platforms']['dcu'])}]", "platforms.nv[0].patterns"]
+    assert violations("{") and violations("[]") and violations(json.dumps(good)) == []
 
 
 def test_tables_and_configs(spark, tmp_path):
