@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import (account, annotations, attribution, audit, classify, compare, context, events, gemm, keyword, links,
                          occupancy, phases, steps, windows)
 from ..session import materialize, shared_path
-from ..sources import documents, sinks, traces
+from ..sources import documents, sinks, tables, traces
 from ..sources.rules import RuleSet, load_rules
 from . import driver_views as views
 from . import reports
@@ -576,6 +576,15 @@ def document_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+@query
+def kernel_table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of written kernel tables with the physical line each stands in."""
+    folder = shared_path(spark)
+    views.kernel_table_files(spark, sf_dir, folder)
+    return tables.raw_kernel_rows(tables.read_delimited(spark, folder)).select(
+        F.regexp_extract("table_id", "table_id=([^/]*)/", 1).alias("table_id"), "source_row", F.nullif("name", F.lit("")).alias("name"), "record_count", "total_duration_us", "error_code")
+
+
 @query
 def gemm_params(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gemm.rocblas_cases(views.gemm_lines(spark, sf_dir))

@@ -5,12 +5,13 @@ the shape and the difficult cases of the real input: reused ids, conflicting lin
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..fixed_values import DEVICE_NAMES
 from ..functions.layout import latest_before
 from ..operators.classify import sql_text
+from ..sources.tables import PARTS_BANNER
 
 HOUR_NS = 3_600_000_000_000
 SLOT_NS = 6 * HOUR_NS
@@ -156,6 +157,19 @@ def kernel_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("count(1) AS record_count"), F.expr("sum(cents) AS cents"), F.expr("max(l_linenumber) AS top_line"))
 
 
+def kernel_table_files(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    """Write the aggregated kernel tables as CSV, one file per table in the order of names: a blank line before every third row, an invalid
+    count in every seventh, no name in every eleventh, and rows after the contribution banner."""
+    order = Window.partitionBy("table_id").orderBy("name")
+    rows = kernel_table(spark, sf_dir).withColumn("n", F.row_number().over(order))
+    text = """concat(IF(n % 11 = 0, '', concat('"', name, '"')), ',', IF(n % 7 = 0, 'many', CAST(record_count AS STRING)), ',', CAST(cents AS STRING))"""
+    last = rows.groupBy("table_id").agg(F.max("n").alias("n"))
+    lines = rows.selectExpr("table_id", "n", f"explode(filter(array(IF(n = 1, 'name,record_count,total_duration_us', NULL), IF(n % 3 = 0, '', NULL), {text}), x -> x IS NOT NULL)) AS value")
+    lines = lines.unionByName(last.selectExpr("table_id", "n + 1 AS n", f"explode(array({sql_text(PARTS_BANNER + ',,')}, 'x,1,1')) AS value"))
+    (lines.withColumn("_order", F.monotonically_increasing_id()).repartition("table_id").sortWithinPartitions("table_id", "n", "_order")
+     .select("table_id", "value").write.partitionBy("table_id").text(folder))
+
+
 def gemm_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark commands from ``part``; every seventh is a comment, every fifth lacks the leading count."""
     return table(spark, sf_dir, "part").selectExpr(

@@ -847,3 +847,8 @@ SELECT splits, 'run_rank' || (user_id % 5) || '.json' AS trace_id, row_number()
   CASE WHEN event_id % 5 <> 0 THEN CAST(CAST(value AS DECIMAL(22,3)) * 1000 AS BIGINT) END AS dur_ns,
   CASE WHEN event_id % 13 = 0 THEN CAST(user_id AS VARCHAR) END AS flow_id, event_type AS stream
 FROM events, (VALUES (1), (8), (64)) AS s(splits)"""
+
+SQL["kernel_table_rows"] = with_views(V_TABLE, "v_row AS (SELECT *, row_number() OVER (PARTITION BY table_id ORDER BY name) AS n FROM v_table)", """
+SELECT table_id, 1 + n + n // 3 AS source_row, CASE WHEN n % 11 <> 0 THEN name END AS name, CASE WHEN n % 7 <> 0 THEN record_count END AS record_count,
+  CAST(cents AS DOUBLE) AS total_duration_us, CASE WHEN n % 11 = 0 THEN 'missing_name' WHEN n % 7 = 0 THEN 'invalid_number' END AS error_code
+FROM v_row""")

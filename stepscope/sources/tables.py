@@ -1,6 +1,8 @@
 """Aggregated tables, run configurations, benchmark files and monitor snapshots."""
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,11 +15,20 @@ ALIASES = {"name": ["kernel_name", "name"], "duration_us": ["total_duration_us",
 RAW_COLUMNS = ["name", "record_count", "total_duration_us", "avg_duration_us", "kernel_relative_pct", "window_absolute_pct"]
 
 
-def read_delimited(spark: SparkSession, path: str) -> DataFrame:
-    """CSV or TSV table with a header, as text columns with file and row order."""
-    separator = "\t" if path.lower().rstrip("/").endswith(".tsv") else ","
-    return spark.read.csv(path, header=True, sep=separator, encoding="UTF-8").select(
-        "*", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_order"))
+def read_delimited(spark: SparkSession, path: str, separator: str | None = None) -> DataFrame:
+    """CSV or TSV table with a header in its first line, as text columns with ``_file`` and ``_line``, the physical line counted from 1.
+
+    Blank lines are rows without values, so that they count. Files are split like any text: lines are numbered over the splits of a file.
+    """
+    separator = separator or ("\t" if path.lower().rstrip("/").endswith(".tsv") else ",")
+    lines = spark.read.text(path).select(F.col("value").alias("_text"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_split"))
+    first = lines.filter("_split = 0").first()  # the first line of a file; all files have one header
+    if first is None:
+        raise ValueError(f"no table in {path}")
+    names = [name.strip() for name in next(csv.reader([first[0].lstrip("\ufeff")], delimiter=separator))]
+    schema = ", ".join(f"`{name or f'_c{i}'}` STRING" for i, name in enumerate(names))
+    numbered = ordered_index(lines.withColumn("_order", F.monotonically_increasing_id()), ["_file"], "_split", ["_order"]).filter("idx > 0")
+    return numbered.select(F.from_csv("_text", schema, {"sep": separator}).alias("_row"), "_file", (F.col("idx") + 1).alias("_line")).select("_row.*", "_file", "_line")
 
 
 def kernel_names(table: DataFrame) -> DataFrame:
@@ -39,13 +50,12 @@ def raw_kernel_rows(table: DataFrame) -> DataFrame:
     for column in ("name", "record_count", "total_duration_us"):
         if column not in table.columns:
             raise ValueError(f"kernel table lacks the column {column}")
-    numbered = ordered_index(table, ["_file"], "_order")
-    banner = numbered.groupBy("_file").agg(F.min(F.when(F.col("name") == PARTS_BANNER, F.col("idx"))).alias("_stop"))
-    kept = numbered.join(banner, "_file").filter("_stop IS NULL OR idx < _stop")
+    banner = table.groupBy("_file").agg(F.min(F.when(F.col("name") == PARTS_BANNER, F.col("_line"))).alias("_stop"))
+    kept = table.join(banner, "_file").filter("_stop IS NULL OR _line < _stop")
     filled = " OR ".join(f"coalesce(`{c}`, '') <> ''" for c in table.columns if not c.startswith("_"))
     numbers = [f"try_cast({c} AS {'BIGINT' if c == 'record_count' else 'DOUBLE'}) AS {c}" if c in table.columns
                else f"CAST(NULL AS DOUBLE) AS {c}" for c in RAW_COLUMNS[1:]]
-    rows = kept.filter(filled).selectExpr("_file AS table_id", "idx + 2 AS source_row", "name", *numbers)
+    rows = kept.filter(filled).selectExpr("_file AS table_id", "_line AS source_row", "name", *numbers)
     return rows.withColumn("error_code", F.expr(
         "CASE WHEN coalesce(name, '') = '' THEN 'missing_name' WHEN record_count IS NULL OR record_count <= 0 OR total_duration_us IS NULL "
         "OR isnan(total_duration_us) OR total_duration_us < 0 OR total_duration_us = double('Infinity') THEN 'invalid_number' END"))

@@ -118,10 +118,9 @@ def test_rules_contract(tmp_path, spark):
 
 
 def test_tables_and_configs(spark, tmp_path):
-    (tmp_path / "k.csv").write_text(f"name,record_count,total_duration_us,old\nslave_gemm_x,2,6,q\n,,,\nWAIT,1,3,\n{tables.PARTS_BANNER},,,\nx,1,1,\n", encoding="utf8")
+    (tmp_path / "k.csv").write_text(f"name,record_count,total_duration_us,old\n\nslave_gemm_x,2,6,q\n,,,\n\n\"W,AIT\",1,3,\n{tables.PARTS_BANNER},,,\nx,1,1,\n", encoding="utf8")
     rows = tables.raw_kernel_rows(tables.read_delimited(spark, str(tmp_path / "k.csv"))).orderBy("source_row").collect()
-    assert [(r.source_row, r.name, r.record_count, r.error_code) for r in rows][0] == (2, "slave_gemm_x", 2, None)
-    assert [r.name for r in rows] == ["slave_gemm_x", "WAIT"]
+    assert [(r.source_row, r.name, r.record_count, r.error_code) for r in rows] == [(3, "slave_gemm_x", 2, None), (6, "W,AIT", 1, None)]
     (tmp_path / "a.tsv").write_text("kernel_name\tduration_us\nslave_gemm_x\t12\n", encoding="utf8")
     got = tables.kernel_names(tables.read_delimited(spark, str(tmp_path / "a.tsv"))).collect()[0]
     assert (got.name, got.record_count, got.duration_us) == ("slave_gemm_x", 1, 12.0)
