@@ -69,3 +69,22 @@ def window_metadata(events: DataFrame, windows: DataFrame) -> DataFrame:
         ns_to_us(F.coalesce("selected_duration_ns", F.lit(0))).alias("selected_total_duration_us"),
         F.when(F.coalesce("selected_event_count", F.lit(0)) == 0, "no_device_events")
         .when(F.col("unfinished_events") > 0, "unfinished_events").alias("error_code"))
+
+
+def request_metadata(events: DataFrame, requests: DataFrame) -> DataFrame:
+    """Requested windows, see :func:`relative_windows`, with relative and absolute bounds, what they select and the tracks it lies on.
+
+    ``error_code`` also marks windows without events or with unfinished ones; only windows without any may be reported.
+    """
+    valid = requests.filter("error_code IS NULL").select(*WINDOW_KEYS, "start_ns", "end_ns")
+    stats = started_in(events, valid).groupBy(*WINDOW_KEYS).agg(
+        F.count(F.lit(1)).alias("selected_event_count"), F.count_if(F.col("ts_ns") + F.col("dur_ns") > F.col("end_ns")).alias("events_crossing_end"),
+        F.count_if(F.col("dur_ns") < 0).alias("_unfinished"), F.array_sort(F.collect_set("track_id")).alias("track_ids"))
+    joined = requests.join(stats, WINDOW_KEYS, "left")
+    known = F.col("error_code").isNull()
+    return joined.select(
+        *WINDOW_KEYS, "stage", "start_us", "end_us", "trace_start_ns", F.when(known, F.col("start_ns") - F.col("trace_start_ns")).alias("start_offset_ns"),
+        F.when(known, F.col("end_ns") - F.col("trace_start_ns")).alias("end_offset_ns"), F.when(known, F.col("start_ns")).alias("start_ns"),
+        F.when(known, F.col("end_ns")).alias("end_ns"), "selected_event_count", "events_crossing_end", "track_ids",
+        F.when(~known, F.col("error_code")).when(F.col("selected_event_count").isNull(), "no_device_events")
+        .when(F.col("_unfinished") > 0, "unfinished_events").alias("error_code"))

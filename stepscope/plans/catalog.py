@@ -585,6 +585,14 @@ def kernel_table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.regexp_extract("table_id", "table_id=([^/]*)/", 1).alias("table_id"), "source_row", F.nullif("name", F.lit("")).alias("name"), "record_count", "total_duration_us", "error_code")
 
 
+@query
+def window_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows asked for relative to the trace start, checked, with what they select."""
+    t = Trace(spark, sf_dir)
+    bounds = windows.trace_bounds(t.slices)
+    return windows.request_metadata(t.device, windows.relative_windows(views.window_requests(t.slices, bounds), bounds))
+
+
 @query
 def gemm_params(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gemm.rocblas_cases(views.gemm_lines(spark, sf_dir))

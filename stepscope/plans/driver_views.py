@@ -124,6 +124,16 @@ def windows(slice_df: DataFrame) -> DataFrame:
         f"slot * {SLOT_NS} + {ORIGIN_NS} AS start_ns", f"slot * {SLOT_NS} + {ORIGIN_NS + SLOT_NS} AS end_ns")
 
 
+def window_requests(slice_df: DataFrame, bounds: DataFrame) -> DataFrame:
+    """The windows as texts of microseconds from the trace start; some are no numbers, some end before they start, some lie in no trace."""
+    relative = windows(slice_df).join(bounds, "trace_id").selectExpr(
+        "IF(window_id % 13 = 6, 'run_rank9', trace_id) AS trace_id", "window_id", "stage", "start_ns - trace_start_ns AS a", "end_ns - trace_start_ns AS b")
+    text = "concat(IF({0} < 0, '-', ''), abs({0}) DIV 1000, '.', lpad(CAST(abs({0}) % 1000 AS STRING), 3, '0'))"
+    return relative.selectExpr(
+        "trace_id", "window_id", "stage", f"CASE WHEN window_id % 7 = 3 THEN 'NaN' WHEN window_id % 7 = 5 THEN {text.format('b')} ELSE {text.format('a')} END AS start_us",
+        f"IF(window_id % 7 = 5, {text.format('a')}, {text.format('b')}) AS end_us").distinct()
+
+
 def steps(slice_df: DataFrame) -> DataFrame:
     """Step annotations: five hours out of every six on the first host thread of a trace."""
     return _slots(slice_df).selectExpr(

@@ -852,3 +852,26 @@ SQL["kernel_table_rows"] = with_views(V_TABLE, "v_row AS (SELECT *, row_number()
 SELECT table_id, 1 + n + n // 3 AS source_row, CASE WHEN n % 11 <> 0 THEN name END AS name, CASE WHEN n % 7 <> 0 THEN record_count END AS record_count,
   CAST(cents AS DOUBLE) AS total_duration_us, CASE WHEN n % 11 = 0 THEN 'missing_name' WHEN n % 7 = 0 THEN 'invalid_number' END AS error_code
 FROM v_row""")
+
+_US = "CASE WHEN {0} < 0 THEN '-' ELSE '' END || CAST(abs({0}) // 1000 AS VARCHAR) || '.' || lpad(CAST(abs({0}) % 1000 AS VARCHAR), 3, '0')"
+SQL["window_requests"] = with_views(V_SLICE, V_WINDOW, f"""
+v_bound AS (SELECT trace_id, min(ts_ns) AS lo, max(ts_ns + greatest(dur_ns, 0)) AS hi FROM v_slice GROUP BY trace_id),
+v_rel AS (
+  SELECT DISTINCT CASE WHEN window_id % 13 = 6 THEN 'run_rank9' ELSE w.trace_id END AS trace_id, window_id, stage,
+    CASE WHEN window_id % 7 = 3 THEN 'NaN' WHEN window_id % 7 = 5 THEN {_US.format('(end_ns - lo)')} ELSE {_US.format('(start_ns - lo)')} END AS start_us,
+    CASE WHEN window_id % 7 = 5 THEN {_US.format('(start_ns - lo)')} ELSE {_US.format('(end_ns - lo)')} END AS end_us
+  FROM v_window w JOIN v_bound b USING (trace_id)),
+v_asked AS (
+  SELECT r.*, b.lo, CASE WHEN start_us <> 'NaN' AND start_us NOT LIKE '-%' THEN CAST(CAST(start_us AS DECIMAL(30,3)) * 1000 AS BIGINT) END AS a,
+    CASE WHEN end_us NOT LIKE '-%' THEN CAST(CAST(end_us AS DECIMAL(30,3)) * 1000 AS BIGINT) END AS b, b.hi
+  FROM (SELECT trace_id, window_id, stage, start_us, end_us FROM v_rel) r LEFT JOIN v_bound b USING (trace_id)),
+v_judged AS (
+  SELECT *, CASE WHEN a IS NULL OR b IS NULL THEN 'invalid_time' WHEN a >= b THEN 'empty_window' WHEN lo IS NULL THEN 'unknown_trace' WHEN b > hi - lo THEN 'beyond_trace_bounds' END AS e
+  FROM v_asked),
+v_found AS (
+  SELECT j.trace_id, j.window_id, count(*) AS n, count(*) FILTER (d.ts_ns + d.dur_ns > lo + b) AS crossing, list_sort(list(DISTINCT d.track_id)) AS tracks
+  FROM v_judged j JOIN v_device d ON d.trace_id = j.trace_id AND d.ts_ns >= lo + a AND d.ts_ns < lo + b WHERE e IS NULL GROUP BY ALL)""", """
+SELECT j.trace_id, j.window_id, stage, start_us, end_us, lo AS trace_start_ns, CASE WHEN e IS NULL THEN a END AS start_offset_ns, CASE WHEN e IS NULL THEN b END AS end_offset_ns,
+  CASE WHEN e IS NULL THEN lo + a END AS start_ns, CASE WHEN e IS NULL THEN lo + b END AS end_ns, n AS selected_event_count, crossing AS events_crossing_end, tracks AS track_ids,
+  coalesce(e, CASE WHEN n IS NULL THEN 'no_device_events' END) AS error_code
+FROM v_judged j LEFT JOIN v_found f USING (trace_id, window_id)""")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.expressions import rank_of
 from ..operators import account, attribution, compare, context, events, phases, steps, windows
 from ..operators.classify import with_detail
+from ..session import materialize
 from ..sources.rules import RuleSet
 
 
@@ -33,6 +34,18 @@ def window_report(slices: DataFrame, flows: DataFrame, chosen: DataFrame, rules:
     }
 
 
+def request_report(slices: DataFrame, flows: DataFrame, requests: DataFrame, rules: RuleSet, categories: Sequence[str] = (),
+                   device_id: str | None = None, track_ids: Sequence[int] = ()) -> dict[str, DataFrame]:
+    """Report of windows asked for as microsecond texts from the trace start, ``(trace_id, window_id, stage, start_us, end_us)``.
+
+    Every request has a row in ``requests``; those with an error are in no other table.
+    """
+    device = events.window_events(slices, categories, device_id, track_ids)
+    checked = materialize(windows.request_metadata(device, windows.relative_windows(requests, windows.trace_bounds(slices))))
+    chosen = checked.filter("error_code IS NULL").select("trace_id", "window_id", "stage", "start_ns", "end_ns")
+    return {"requests": checked, **window_report(slices, flows, chosen, rules, categories, device_id, track_ids)}
+
+
 def step_report(slices: DataFrame, flows: DataFrame, rules: RuleSet, stage: str = "decode", step: int = 2, pattern: str | None = None,
                 categories: Sequence[str] = (), device_id: str | None = None, track_ids: Sequence[int] = (), host: str | None = None,
                 annotation_pairs: DataFrame | None = None) -> dict[str, DataFrame]:
