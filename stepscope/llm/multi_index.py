@@ -7,9 +7,10 @@ farther and the radius errs on the wide side.
 
 Index: rows are dealt to blocks of about ``BLOCK`` rows. A block holds, for each substring of eight bits, an inverted list of its
 rows by substring value. By the pigeonhole principle a code within the radius agrees with the query in some substring up to
-``radius // substrings`` bits (one less in the later substrings), so each query probes just those lists; candidates whose whole
-code lies within the radius are reranked by exact distance. A block in which fewer than k codes lie within the radius widens it
-for that query until k do.
+``radius // substrings`` bits (one less in the later substrings), so each query probes just those lists; whole codes are compared only
+for the rows these return, and those within the radius are reranked by exact distance. Lists are built once per block. A query that finds
+fewer than k rows in all blocks together meets all rows in a second pass. Tight clusters are met through few of their rows' lists; vectors
+without structure, whose neighbours are hardly nearer than others, have a wide radius, and lists return most rows.
 
 The queries, too, are cut into blocks; each query block meets each index block in one row, and leaves its k nearest there. Every
 row is indexed. Only the sample, the rotations and the radius pass through the driver; their size is fixed.
@@ -36,6 +37,7 @@ BLOCK = 2048
 QUERIES = 512
 TURNS = 4
 ROUNDS = 20
+STRETCH = 1 << 15  # pairs compared at once
 COVERED = 0.98
 BITS_OF = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).sum(axis=1)
 
@@ -96,34 +98,62 @@ def probe(queries: np.ndarray, order: np.ndarray, begins: np.ndarray, radius: in
     return found
 
 
-def nearest(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, coder: Coder, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Query number, id and distance of each query's k nearest candidates of a block."""
-    q_codes, codes = coder.codes(q), coder.codes(x)
-    candidates = probe(q_codes, *inverted_lists(codes), coder.radius)
-    a, b = (np.unpackbits(c, axis=1).astype(np.float32) * 2 - 1 for c in (q_codes, codes))
-    hamming = (a.shape[1] - a @ b.T) / 2
-    own = q_ids[:, None] == ids[None]
-    hamming[own] = np.inf
-    allowed = np.full(len(q), float(coder.radius))
-    few = np.flatnonzero((candidates & (hamming <= coder.radius)).sum(axis=1) < k)
-    if len(few):  # widen until k rows, or all there are
-        allowed[few] = np.maximum(coder.radius, np.partition(hamming[few], min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1])
-        candidates[few] = True
-    at, row = np.nonzero(candidates & (hamming <= allowed[:, None]) & ~own)
-    score = np.concatenate([np.sqrt(((q[at[s:s + 1 << 15]] - x[row[s:s + 1 << 15]]) ** 2).sum(axis=1)) for s in range(0, len(at), 1 << 15)] or [np.zeros(0)])
+def nearest(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, found: np.ndarray, k: int, close=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query number, id and distance of each query's k nearest among the rows of a block that are ``found`` (queries by rows); ``close`` tells
+    which pairs of query and row to rerank."""
+    at, row = np.nonzero(found)
+    keep = q_ids[at] != ids[row]
+    at, row = at[keep], row[keep]
+    if close is not None:
+        keep = np.concatenate([close(at[s:s + STRETCH], row[s:s + STRETCH]) for s in range(0, len(at), STRETCH)] or [np.zeros(0, bool)])
+        at, row = at[keep], row[keep]
+    score = np.concatenate([np.sqrt(((q[at[s:s + STRETCH]] - x[row[s:s + STRETCH]]) ** 2).sum(axis=1)) for s in range(0, len(at), STRETCH)] or [np.zeros(0)])
     order = np.lexsort((ids[row], score, at))
     at, row, score = at[order], row[order], score[order]
     rank = np.arange(len(at)) - np.searchsorted(at, at)
     return at[rank < k], ids[row[rank < k]], score[rank < k]
 
 
-def blobs(rows: DataFrame, key: str) -> DataFrame:
-    """One row per block: ids and vectors as bytes."""
+def probed(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, coder: Coder, k: int, codes: np.ndarray, order: np.ndarray,
+           begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`nearest` of what the lists return: whole codes are compared, and floats reranked, for these pairs only."""
+    q_codes = coder.codes(q)
+    return nearest(q_ids, q, ids, x, probe(q_codes, order, begins, coder.radius), k,
+                   lambda at, row: BITS_OF[q_codes[at] ^ codes[row]].sum(axis=1) <= coder.radius)
+
+
+def blobs(rows: DataFrame, key: str, coder=None) -> DataFrame:
+    """One row per block: ids and vectors as bytes; with a ``coder``, the block's codes and inverted lists, too."""
     def packed(part: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(part["embedding"].to_list()).astype(np.float64)
+        codes = coder.value.codes(x) if coder is not None else np.zeros((0, 1), np.uint8)
+        order, begins = inverted_lists(codes)
         return pd.DataFrame({key: [part[key].iloc[0]], "dim": [int(part["dim"].iloc[0])], "ids": [part["vec_id"].to_numpy(np.int64).tobytes()],
-                             "values": [np.stack(part["embedding"].to_list()).astype(np.float64).tobytes()]})
+                             "values": [x.tobytes()], "codes": [codes.tobytes()], "order": [order.astype(np.int32).tobytes()],
+                             "begins": [begins.astype(np.int32).tobytes()]})
+
+    return rows.groupBy(key, "dim").applyInPandas(packed, f"{key} int, dim int, ids binary, values binary, codes binary, order binary, begins binary")
+
+
+def met(queries: DataFrame, index: DataFrame, count: int, dim: int, coder, k: int, everything: bool) -> DataFrame:
+    """``query_id, vec_id, score``: each query block meets each index block in one row; with ``everything`` all rows are reranked."""
+    blocks = F.sequence(F.lit(0), F.lit(max(1, -(-count // BLOCK)) - 1))
+    each = queries.select("part", F.col("ids").alias("q_ids"), F.col("values").alias("q_values"), F.explode(blocks).alias("block"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                q_ids, q, ids, x, codes, order, begins = (np.frombuffer(batch.column(c)[r].as_buffer(), t) for c, t in (
+                    ("q_ids", np.int64), ("q_values", np.float64), ("ids", np.int64), ("values", np.float64), ("codes", np.uint8), ("order", np.int32), ("begins", np.int32)))
+                q, x, parts = q.reshape(-1, dim), x.reshape(-1, dim), len(codes) // len(ids)
+                if everything:
+                    at, near, score = nearest(q_ids, q, ids, x, np.ones((len(q), len(ids)), bool), k)
+                else:
+                    at, near, score = probed(q_ids, q, ids, x, coder.value, k, codes.reshape(-1, parts), order.reshape(-1, parts), begins.reshape(-1, parts))
+                yield pa.record_batch({"query_id": pa.array(q_ids[at]), "vec_id": pa.array(near), "score": pa.array(score)})
 
-    return rows.groupBy(key, "dim").applyInPandas(packed, f"{key} int, dim int, ids binary, values binary")
+    columns = ["q_ids", "q_values", "ids", "values", "codes", "order", "begins"]
+    return each.join(index, "block").select(*columns).mapInArrow(run, "query_id bigint, vec_id bigint, score double")
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 10, sample: int = SAMPLE) -> DataFrame:
@@ -136,20 +166,16 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, sample: int = SAMP
             continue
         own = rows.filter(F.col("dim") == dim)
         held = spark.sparkContext.broadcast(learn(bounded_sample(own, "vec_id", sample), k))
-        index = blobs(in_blocks(own, "vec_id", BLOCK, count), "block")
-        queries = blobs(in_blocks(own.filter(is_query), "vec_id", QUERIES, asked).withColumnRenamed("block", "part"), "part")
-        each = queries.select("part", F.col("ids").alias("q_ids"), F.col("values").alias("q_values"),
-                              F.explode(F.sequence(F.lit(0), F.lit(max(1, -(-count // BLOCK)) - 1))).alias("block"))
-
-        def run(batches: Iterator[pa.RecordBatch], held=held, dim=dim) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for r in range(batch.num_rows):
-                    q_ids, q, ids, x = (np.frombuffer(batch.column(c)[r].as_buffer(), t) for c, t in (
-                        ("q_ids", np.int64), ("q_values", np.float64), ("ids", np.int64), ("values", np.float64)))
-                    at, near, score = nearest(q_ids, q.reshape(-1, dim), ids, x.reshape(-1, dim), held.value, k)
-                    yield pa.record_batch({"query_id": pa.array(q_ids[at]), "vec_id": pa.array(near), "score": pa.array(score)})
-
-        found.append(each.join(index, "block").select("q_ids", "q_values", "ids", "values").mapInArrow(run, "query_id bigint, vec_id bigint, score double"))
+        index = stored(blobs(in_blocks(own, "vec_id", BLOCK, count), "block", held))
+        asking = own.filter(is_query)
+        queries = blobs(in_blocks(asking, "vec_id", QUERIES, asked).withColumnRenamed("block", "part"), "part")
+        near = stored(met(queries, index, count, dim, held, k, False))
+        served = stored(near.groupBy("query_id").agg(F.countDistinct("vec_id").alias("n")).filter(F.col("n") >= k).select(F.col("query_id").alias("vec_id")))
+        short = stored(asking.join(served, "vec_id", "left_anti"))
+        found.append(near.join(served.withColumnRenamed("vec_id", "query_id"), "query_id", "left_semi").select("query_id", "vec_id", "score"))
+        if not short.isEmpty():  # fewer than k codes lie within the radius, of all blocks together: these queries meet all rows
+            again = blobs(in_blocks(short, "vec_id", QUERIES, asked).withColumnRenamed("block", "part"), "part")
+            found.append(met(again, index, count, dim, held, k, True))
     if not found:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     union = found[0]

@@ -135,6 +135,23 @@ def test_probing_finds_every_code_within_the_radius():
         assert not (~found & (multi_index.BITS_OF[queries[:, None] ^ codes[None]].sum(axis=2) <= radius)).any()
 
 
+def test_lists_decide_what_is_compared():
+    """On clustered vectors the lists return a small share of the pairs, which holds the neighbours; without lists nothing is found."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(64, 32))
+    x = np.repeat(centres, 32, axis=0) + rng.normal(size=(2048, 32)) * 0.02
+    ids, q = np.arange(2048), x[::64]
+    coder = multi_index.learn(x, 10)
+    codes = coder.codes(x)
+    order, begins = multi_index.inverted_lists(codes)
+    share = multi_index.probe(coder.codes(q), order, begins, coder.radius).mean()
+    at, near, _ = multi_index.probed(ids[::64], q, ids, x, coder, 10, codes, order, begins)
+    true = [set(np.argsort(((x - v) ** 2).sum(axis=1))[1:11]) for v in q]
+    hits = sum(n in true[a] for a, n in zip(at, near))
+    assert share < 0.3 and hits >= 0.9 * 10 * len(q)
+    assert len(multi_index.probed(ids[::64], q, ids, x, coder, 10, codes, order, np.zeros_like(begins))[0]) == 0
+
+
 def test_packing_cases(docs):
     got = packing.pack(docs).collect()
     totals = {}
