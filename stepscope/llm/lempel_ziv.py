@@ -5,8 +5,9 @@ of each window of ``window`` words, the anchor is the run of ``ANCHOR`` words wi
 anchor form a block. The same window has the same anchor wherever it stands, so a document has to be parsed only against blocks
 with its own anchors; the index by anchor finds all of them.
 
-A document is parsed from left to right. A block that occurs whole in an earlier document (smaller doc_id) is copied, and the
-factor grows as long as the next block is found in the same document. Where a block is not found whole, a factor's boundary lies
+A block that occurs whole in an earlier document (smaller doc_id) is copied from the smallest such document, and runs of blocks whose
+sources are equal are one factor. This is not the longest factor against one reference: a copy of a document whose first part also
+stands in a smaller one is two factors. Where a block is not found whole, a factor's boundary lies
 inside it: each of its windows is looked up among the windows of the blocks with that anchor. So a window is removed exactly if
 it starts in an earlier document, and only words in blocks at factor boundaries are looked up one window at a time.
 
