@@ -3,7 +3,8 @@ import random
 import build
 
 from stepscope.functions import sweep
-from stepscope.operators import attribution
+from stepscope.operators import attribution, events
+from stepscope.sources.rules import load_rules
 
 SPAN = "trace_id STRING, id BIGINT, start BIGINT, end BIGINT, kind STRING, d BIGINT"
 
@@ -76,3 +77,13 @@ def test_frames_and_operators_without_pairs(spark):
     assert len(frames) == 200 and {r.frame_count for r in frames} == {200} and {len(r.python_stack) for r in frames} == {8} and most < 4000
     ops, most = widest(spark, attribution.innermost_ops(calls, s.filter("category = 'cpu_op'")))
     assert {(r.op_id, r.op_dur) for r in ops} == {(199, 100_000 - 2 * 199)} and len(ops) == 200 and most < 4000
+
+
+def test_sites_are_no_operators(spark):
+    """A kernel has a row per site and way, not per operator around its launch."""
+    s = build.slices(spark, *nested(40))
+    got = attribution.attribution(s, attribution.classified_kernels(events.device_events(s), load_rules())).collect()
+    keys = [(r.kernel_id, r.cpu_op, r.python_location, r.basis) for r in got]
+    assert len(keys) == len(set(keys)) and {r.basis for r in got} == {"external-id", "correlation+launch-external-id"}
+    assert {r.cpu_op for r in got} == {"aten::mm", "_C_sdaa::group_gemm_v2", "vllm::qwen_gdn_attention_core"}
+    assert {len(r.python_stack) for r in got} == {8}
