@@ -17,7 +17,7 @@ from ..sources.rules import RuleSet
 from .account import category_columns, classified, kernel_totals, unfold_categories
 from .attribution import GRAPH_LAUNCH
 from .classify import classify_names, host_rule, sql_text
-from .links import link_profile, scope_runtimes
+from .links import least_scopes, link_profile
 from .windows import WINDOW_KEYS, started_in
 
 # Host operators of the convolution, as patterns.
@@ -37,11 +37,9 @@ CORE_ROLES = {
 def expert_launches(slices: DataFrame, runtimes: DataFrame, rules: RuleSet) -> DataFrame:
     """Expert host operation that encloses each runtime call; the latest starting one wins."""
     ops = slices.filter("category = 'cpu_op'").withColumn("expert_rule", host_rule(rules)).filter("expert_rule IS NOT NULL") \
-        .withColumn("host_op", F.col("name")).withColumn("scope_ts", F.col("ts_ns"))
-    inside = scope_runtimes(ops, runtimes, ("expert_rule", "host_op", "scope_ts"))
-    return inside.groupBy("trace_id", "runtime_id").agg(
-        F.expr("max_by(struct(scope_id, host_op, expert_rule), struct(scope_ts, scope_id)) AS s")).select(
-        "trace_id", "runtime_id", "s.scope_id", "s.host_op", "s.expert_rule")
+        .withColumn("host_op", F.col("name")).withColumn("_ts", F.expr("-ts_ns")).withColumn("_id", F.expr("-id"))
+    return least_scopes(ops, runtimes, ["_ts", "_id"], ("host_op", "expert_rule")).selectExpr("trace_id", "runtime_id", "lanes[0].least[0] AS s").selectExpr(
+        "trace_id", "runtime_id", "-s._id AS scope_id", "s.host_op", "s.expert_rule")
 
 
 def expert_profile(device: DataFrame, runtimes: DataFrame, flows: DataFrame, experts: DataFrame) -> DataFrame:
@@ -127,8 +125,9 @@ def gdn_scopes(slices: DataFrame) -> DataFrame:
 def gdn_profile(slices: DataFrame, device: DataFrame, runtimes: DataFrame, flows: DataFrame) -> DataFrame:
     """Device events with their gated-delta-network ``role`` and whether they may come from a graph replay."""
     b = SCOPE_BITS
-    masks = scope_runtimes(gdn_scopes(slices), runtimes, ("bits",)).groupBy("trace_id", F.col("runtime_id").alias("id")).agg(
-        F.expr("bit_or(bits) AS mask"))
+    scopes = gdn_scopes(slices).withColumn("_last", F.expr("-(ts_ns + dur_ns)"))  # the scope of a kind that ends last encloses a call if any does
+    masks = least_scopes(scopes, runtimes, ["_last"], lanes=("bits",)).selectExpr(
+        "trace_id", "runtime_id AS id", "aggregate(lanes, 0, (m, x) -> m | x.bits) AS mask")
     in_core = sum(b[n] for n in CORE_ROLES)
     effective = (f"mask & ~(IF(mask & {b['core']} = 0, {in_core}, 0) | IF(mask & {b['output']} = 0, {b['output_norm']}, 0))")
     marked = runtimes.join(masks, ["trace_id", "id"], "left").withColumn("mask", F.expr("coalesce(mask, 0)"))

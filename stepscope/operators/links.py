@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.layout import enclosure_join
+from ..functions.sweep import enclosing_least
 from ..session import materialize
 
 BASIS = ("CASE WHEN n_corr > 0 AND n_flow > 0 THEN IF(n_both > 0, 'flow+correlation', 'conflicting-flow-correlation') "
@@ -80,6 +81,16 @@ def scope_runtimes(scopes: DataFrame, runtimes: DataFrame, carry: tuple[str, ...
         "trace_id", "scope_id", "runtime_id", "rt_ts", "rt_correlation", "rt_track = scope_track AS on_track", *carry)
 
 
+def least_scopes(scopes: DataFrame, runtimes: DataFrame, rank: list[str], carry: tuple[str, ...] = (), lanes: tuple[str, ...] = ()) -> DataFrame:
+    """Least scope by ``rank`` of those that enclose each runtime call, see :func:`scope_runtimes`, apart for each value of ``lanes``.
+
+    No scope meets a call that does not take it, see :func:`enclosing_least`.
+    """
+    calls = runtimes.filter("host_thread IS NOT NULL").selectExpr("trace_id", "host_thread", "id AS runtime_id", "ts_ns AS rt_ts", "ts_ns + dur_ns AS rt_end")
+    spans = scopes.filter("host_thread IS NOT NULL").selectExpr("*", "ts_ns AS scope_start", "ts_ns + dur_ns AS scope_end")
+    return enclosing_least(calls, spans, ["trace_id", "host_thread"], "runtime_id", "rt_ts", "scope_start", "scope_end", rank, carry, lanes, until="rt_end")
+
+
 def _group_touch(scope_rt: DataFrame) -> DataFrame:
     """Calls of each correlation id inside each scope."""
     return scope_rt.filter("rt_correlation IS NOT NULL").groupBy(

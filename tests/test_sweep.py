@@ -1,9 +1,10 @@
 import random
 
 import build
+from pyspark.sql import functions as F
 
 from stepscope.functions import sweep
-from stepscope.operators import attribution, events
+from stepscope.operators import attribution, context, events, links
 from stepscope.sources.rules import load_rules
 
 SPAN = "trace_id STRING, id BIGINT, start BIGINT, end BIGINT, kind STRING, d BIGINT"
@@ -79,6 +80,16 @@ def test_frames_and_operators_without_pairs(spark):
     assert {(r.op_id, r.op_dur) for r in ops} == {(199, 100_000 - 2 * 199)} and len(ops) == 200 and most < 4000
 
 
+def test_scopes_without_pairs(spark):
+    s = build.slices(spark, *nested(200))
+    found, most = widest(spark, context.expert_launches(s, events.runtimes(s), load_rules()))
+    last = max(r.id for r in s.filter("name = '_C_sdaa::group_gemm_v2'").collect())
+    assert {(r.scope_id, r.host_op) for r in found} == {(last, "_C_sdaa::group_gemm_v2")} and len(found) == 200 and most < 4000
+    scopes = context.gdn_scopes(s).withColumn("_last", F.expr("-(ts_ns + dur_ns)"))
+    found, most = widest(spark, links.least_scopes(scopes, events.runtimes(s), ["_last"], lanes=("bits",)))
+    assert len(found) == 200 and most < 4000
+
+
 def test_sites_are_no_operators(spark):
     """A kernel has a row per site and way, not per operator around its launch."""
     s = build.slices(spark, *nested(40))
