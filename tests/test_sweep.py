@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from stepscope.functions import sweep
 from stepscope.operators import attribution, context, events, links
+from stepscope.plans import catalog
 from stepscope.sources.rules import load_rules
 
 SPAN = "trace_id STRING, id BIGINT, start BIGINT, end BIGINT, kind STRING, d BIGINT"
@@ -98,3 +99,11 @@ def test_sites_are_no_operators(spark):
     assert len(keys) == len(set(keys)) and {r.basis for r in got} == {"external-id", "correlation+launch-external-id"}
     assert {r.cpu_op for r in got} == {"aten::mm", "_C_sdaa::group_gemm_v2", "vllm::qwen_gdn_attention_core"}
     assert {len(r.python_stack) for r in got} == {8}
+
+
+def test_parts_are_computed_once(spark, monkeypatch):
+    """Stage and category tables of a comparison come from one computation of the contributions."""
+    calls, whole = [], context.context_parts
+    monkeypatch.setattr(context, "context_parts", lambda *a: calls.append(1) or whole(*a))
+    catalog.QUERIES["report_compare"](spark, "/root/testdata/sf0.001")
+    assert len(calls) == 1
