@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from stepscope.llm import (collocations, components, cover_tree, labelled, lempel_ziv, mixing, multi_index, packing, prefix_join, quality, secret_rules,
                            secrets, sharding, token_matrix, toxicity, words)
+from stepscope.llm.store import settings
 
 LONG = " ".join(f"w{i % 977}x{i % 1013}" for i in range(40_000))
 TEXTS = [(1, "a b c d e f g h i j k l m n o p", "s"), (2, None, None), (3, "", "s"), (4, " \t\n", "t"), (5, LONG, "t"), (6, LONG, "t"),
@@ -416,6 +417,39 @@ def test_groups_that_span_batches(spark):
     assert len({r.id for r in got}) == len({r.word for r in got if r.f})
 
 
+def test_blocks_pass_to_python_a_few_at_a_time(spark):
+    """However many blocks a file holds, a batch has few of them, and pairs leave a task in small batches."""
+    def sizes(batches):
+        for batch in batches:
+            yield pa.record_batch({"size": pa.array([batch.nbytes])})
+
+    blocks = spark.range(0, 24, 1, 1).select(F.col("id").alias("block"), F.expr("CAST(repeat('x', 1 << 20) AS BINARY)").alias("items"))
+    with settings(spark, collocations.LARGE_ROWS):
+        assert max(r.size for r in blocks.mapInArrow(sizes, "size bigint").collect()) < 8 << 20
+
+    class Rows:
+        def mapInArrow(self, run, schema):
+            return run
+
+    size = 3 * collocations.PAIRS
+    items = collocations.relation_row(np.int64(size).tobytes(), size, np.arange(size), np.arange(size), np.arange(size) + 7)
+    assert len(items) == 16 + 12 * size
+    made = list(collocations.pair_rows(Rows())([pa.record_batch({"block": pa.array([5]), "items": pa.array([items], pa.binary())})]))
+    assert max(batch.num_rows for batch in made) <= collocations.PAIRS
+    got = pa.Table.from_batches(made).to_pydict()
+    assert got == {"block": [5] * (size - 1), "place": list(range(size - 1)), "first": list(range(7, size + 6)), "second": list(range(8, size + 7)), "n": [1] * (size - 1)}
+
+
+def test_relation_keeps_frequent_groups():
+    """Rare groups leave a gap; phrases that start later belong to the next block."""
+    none = collocations.NONE
+    items = collocations.relation_row(np.int64(4).tobytes(), 6, np.array([0, 1, 2, 4, 5]), np.array([0, 1, 0, 2, 1]), np.array([70, 80, none]))
+    at, first, second, group, own = collocations.adjacent(pa.py_buffer(items))
+    assert (at.tolist(), first.tolist(), second.tolist(), group.tolist(), own) == ([0, 1], [70, 80], [80, 70], [0, 1], 4)
+    nothing = collocations.relation_row(np.int64(2).tobytes(), 2, np.array([0, 1]), np.array([0, 0]), np.array([none]))
+    assert len(collocations.adjacent(pa.py_buffer(nothing))[0]) == 0
+
+
 def test_scores_beyond_64_bits(spark):
     frame = spark.createDataFrame([("en", "x y z", 9 * 10 ** 13, [10 ** 14, 2 * 10 ** 14], [3 * 10 ** 14, 10 ** 14])],
                                   "lang string, phrase string, f bigint, heads array<bigint>, tails array<bigint>")
