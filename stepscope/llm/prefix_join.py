@@ -88,6 +88,17 @@ def reserve_length(size: np.ndarray, similarity: Fraction = SIMILARITY) -> np.nd
     return np.minimum(size, base + np.maximum(EXTRA + 1, base // 3))
 
 
+def sizes(docs: DataFrame, n: int) -> DataFrame:
+    """``doc_id, size, mark`` (hash of the set)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in slices(batch, "text"):
+                value, first = shingle_sets(piece.column("text"), n)
+                yield pa.record_batch({"doc_id": piece.column("doc_id"), "size": pa.array(np.diff(first).astype(np.int64)), "mark": set_marks(value, first)})
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, size bigint, mark bigint")
+
+
 def prefixes(docs: DataFrame, n: int, similarity: Fraction) -> DataFrame:
     """``doc_id, size, mark`` (hash of the set) and ``prefix``, its reserve."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,16 +259,17 @@ def perhaps_live(tokens: DataFrame, live: DataFrame) -> DataFrame:
 def _classes(docs: DataFrame, n: int, similarity: Fraction) -> tuple[DataFrame, DataFrame]:
     """``doc_id, size, mark`` of each row, and for each set ``mark, size, component_id, doc`` (its smallest doc_id) and whether it is the
     one that stays (``first``) of its component."""
-    whole = stored(prefixes(docs, n, similarity))
-    every = stored(whole.select("doc_id", "size", "mark"))
+    every = stored(sizes(docs, n))
     usable = every.filter("size > 0 AND doc_id IS NOT NULL")
-    nodes = stored(whole.filter("size > 0 AND doc_id IS NOT NULL").groupBy("mark", "size")
-                   .agg(F.min("doc_id").alias("doc"), F.first("prefix").alias("prefix")).withColumn("node", F.monotonically_increasing_id()))
-    drop(whole)
+    named = stored(usable.groupBy("mark", "size").agg(F.min("doc_id").alias("doc")).withColumn("node", F.monotonically_increasing_id()))
+    repeated = not usable.groupBy("doc_id").count().filter("count > 1").isEmpty()  # exact repetitions of a row would give a node several times
+    own = prefixes(docs, n, similarity).filter("size > 0 AND doc_id IS NOT NULL")  # built once it is known which are wanted: they are the largest table
+    if repeated:
+        own = own.groupBy("doc_id", "mark", "size").agg(F.first("prefix").alias("prefix"))
+    nodes = stored(own.join(named.withColumnRenamed("doc", "doc_id"), ["doc_id", "mark", "size"]).select("node", "size", "prefix"))
     tokens = nodes.select("node", "size", F.posexplode("prefix").alias("pos", "token"))
     live = stored(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"))
     listed = stored(perhaps_live(tokens, live).join(live, "token"))
-    named = stored(nodes.select("node", "mark", "size", "doc"))
     drop(nodes)
     planned = stored(plans(listed, similarity))
     index = stored(listed.join(planned, "node").filter(f"pos < base OR pos < length AND df <= {HOT}"))
@@ -284,7 +296,6 @@ def _classes(docs: DataFrame, n: int, similarity: Fraction) -> tuple[DataFrame,
     crowd = stored(crowd)
     drop(live, listed, planned, index, hot, centres, around)
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(crowd.select("node")).distinct()
-    repeated = not usable.groupBy("doc_id").count().filter("count > 1").isEmpty()  # exact repetitions of a row would give a node several times
     sets = stored(full_sets(docs, stored(named.join(wanted, "node").select("node", "doc", "mark")), n, repeated), **PRUNE)
     links = stored(verified(pairs, sets, similarity))
     joined = stored(components(links))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from stepscope.llm import (collocations, components, cover_tree, labelled, lempel_ziv, mixing, multi_index, packing, prefix_join, quality, secret_rules,
                            secrets, sharding, token_matrix, toxicity, words)
+from stepscope.llm import store
 from stepscope.llm.store import settings
 
 LONG = " ".join(f"w{i % 977}x{i % 1013}" for i in range(40_000))
@@ -93,6 +94,24 @@ def test_prefix_join_of_several_texts_with_one_id(spark):
     assert kept == plain([rows[0], rows[1], (12, None), (3, "one two"), (3, "")])
 
 
+def test_prefixes_are_stored_once_per_set(spark, monkeypatch):
+    """Copies, rows repeated as they are and empty texts add nothing to the largest intermediate."""
+    texts = [" ".join(f"w{k}x{i}" for i in range(40)) for k in range(7)]
+    rows = [(i, texts[i % 7]) for i in range(70)] + [(0, texts[0]), (0, texts[1]), (None, texts[2]), (71, None), (72, "")]
+    kept, frame = [], spark.createDataFrame(rows, "doc_id bigint, text string")
+
+    def counted(df, **more):
+        table = store.stored(df, **more)
+        if "prefix" in table.columns:
+            kept.append((table.count(), table.select("node").distinct().count()))
+        return table
+
+    monkeypatch.setattr(prefix_join, "stored", counted)
+    got = [(r.doc_id, r.component_id) for r in prefix_join.join(frame).collect()]
+    assert kept == [(7, 7)]
+    assert sorted(got, key=repr) == sorted([(i, i % 7 if i % 7 != 1 else 0) for i in range(70)] + [(0, 0), (0, 0), (None, None), (71, 71), (72, 72)], key=repr)
+
+
 def test_prefix_join_large_groups(spark):
     """Near copies beyond every list bound, copies of them, and a passage many documents share."""
     rng, base, passage = np.random.default_rng(1), [f"b{i}" for i in range(120)], [f"p{i}" for i in range(60)]
