@@ -25,8 +25,14 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.astype(np.float64).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
+def bounded_rows(vectors: DataFrame, id_column: str, most: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of at most ``most`` rows in the order of a hash of their ids."""
+    rows = vectors.orderBy(F.xxhash64(id_column), id_column).limit(most).select(id_column, "embedding").collect()
+    return np.array([r[0] for r in rows], dtype=np.int64), np.array([r[1] for r in rows], dtype=np.float64)
+
+
 def bounded_sample(vectors: DataFrame, id_column: str, most: int = SAMPLE) -> np.ndarray:
-    """At most ``most`` vectors in the order of a hash of their ids."""
+    """The vectors of :func:`bounded_rows`."""
     rows = vectors.orderBy(F.xxhash64(id_column), id_column).limit(most).select("embedding").collect()
     return np.array([r[0] for r in rows], dtype=np.float64)
 

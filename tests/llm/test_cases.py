@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stepscope.llm import (collocations, components, cover_tree, labelled, lempel_ziv, mixing, multi_index, packing, prefix_join, quality, secret_rules,
-                           secrets, sharding, token_matrix, toxicity, words)
+                           secrets, sharding, token_matrix, toxicity, vectors, words)
 from stepscope.llm import store
 from stepscope.llm.store import settings
 
@@ -172,6 +172,94 @@ def test_lists_decide_what_is_compared():
     assert len(multi_index.probed(ids[::64], q, ids, x, coder, 10, codes, order, np.zeros_like(begins))[0]) == 0
 
 
+def by_definition(q_ids, q, ids, x, coder, k, everything=False):
+    """Query number, id and distance of the k nearest rows of each query, of all rows or those whose codes lie within the radius."""
+    out = []
+    for a, (q_id, v) in enumerate(zip(q_ids, q)):
+        near = np.sqrt(((v - x) ** 2).sum(axis=1))
+        apart = multi_index.BITS_OF[coder.codes(v[None]) ^ coder.codes(x)].sum(axis=1)
+        rows = np.flatnonzero((ids != q_id) & (everything | (apart <= coder.radius)))
+        out += [(a, int(ids[r]), float(near[r])) for r in rows[np.lexsort((ids[rows], near[rows]))][:k]]
+    return out
+
+
+@pytest.mark.parametrize("kind", ["random", "clustered", "far from zero", "copies", "huge and tiny", "doubles"])
+def test_blocks_one_after_the_other_find_the_nearest(kind):
+    """Bounds of earlier blocks, and distances in single precision, leave out nothing; few pairs are reranked once there is a bound."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 24))
+    if kind == "clustered":
+        x = np.repeat(rng.normal(size=(100, 24)), 30, axis=0) + rng.normal(size=x.shape) * 0.02
+    if kind == "far from zero":
+        x += 1e4
+    if kind == "copies":
+        x[500:1500] = x[7]
+    if kind == "huge and tiny":
+        x[::50] *= 1e25
+        x[1::50] *= 1e-9
+    x = x if kind == "doubles" else x.astype(np.float32)
+    ids = np.arange(3000)
+    ids[100:110] = 5
+    coder = multi_index.learn(x[:1000].astype(np.float64), 10)
+    q, q_ids = x[::30], ids[::30]
+    for everything in (False, True):
+        found, reranked = multi_index.Nearest(q_ids, q, coder.codes(q), coder.centre, 10), []
+        add = found.add
+        found.add = lambda ids, x, at, row: (reranked.append(len(at)), add(ids, x, at, row))
+        for block in np.array_split(np.arange(3000), 6):
+            own, codes = (ids[block], x[block]), coder.codes(x[block])
+            if everything:
+                for at, row in multi_index.not_farther(found, np.arange(len(q)), *own):
+                    found.add(*own, at, row)
+            else:
+                multi_index.meet(found, *own, codes, *multi_index.inverted_lists(codes), coder.radius)
+            found.settle()
+        got = [(int(a), int(i), float(d)) for a, i, d in zip(*found.settle())]
+        assert got == by_definition(q_ids, q.astype(np.float64), ids, x.astype(np.float64), coder, 10, everything)
+        assert kind != "random" or sum(reranked) < 120 * len(q)
+
+
+def test_marked_places():
+    rng = np.random.default_rng(6)
+    for shape, share in (((64, 100), 0.01), ((256, 128), 0.0), ((7, 9), 0.3), ((64, 64), 1.0)):
+        marked = rng.random(shape) < share
+        assert sorted(zip(*multi_index.pairs(marked))) == list(zip(*np.nonzero(marked)))
+
+
+def test_search_over_many_blocks_and_groups(spark, monkeypatch):
+    """Groups of blocks, blocks of queries and the second pass find what the definition finds; what query blocks leave does not grow with the blocks."""
+    rng, k = np.random.default_rng(12), 10
+    x = rng.normal(size=(8, 16))[rng.integers(0, 8, 3000)] + 0.3 * rng.normal(size=(3000, 16))
+    x[::75] = rng.normal(size=(40, 16))  # some of these have fewer than k rows within the radius
+    x = x.astype(np.float32)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>").localCheckpoint()
+    monkeypatch.setattr(multi_index, "BLOCK", 64)
+    monkeypatch.setattr(multi_index, "QUERIES", 32)
+    stored, counts = multi_index.stored, []
+
+    def counted(df, **more):
+        table = stored(df, **more)
+        counts.append(table.count())
+        return table
+
+    monkeypatch.setattr(multi_index, "stored", counted)
+    found = {}
+    for r in multi_index.search(rows, F.col("vec_id") % 25 == 0, k).collect():
+        found.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
+    wide, ids = x.astype(np.float64), np.arange(3000)
+    coder = multi_index.learn(vectors.bounded_sample(rows, "vec_id"), k)
+    expected = {}
+    for everything in (False, True):
+        asked = np.array([i for i in range(0, 3000, 25) if i not in expected])
+        for a, i, d in by_definition(asked, wide[asked], ids, wide, coder, k, everything):
+            expected.setdefault(int(asked[a]), []).append((i, d))
+        short = {q for q in expected if len(expected[q]) < k} | {int(q) for q in asked if int(q) not in expected}
+        assert bool(short) != everything
+        expected = {q: v for q, v in expected.items() if q not in short}
+    assert {q: [v[r] for r in range(1, k + 1)] for q, v in found.items()} == expected
+    assert max(counts) == 3000
+
+
 def test_packing_cases(docs):
     got = packing.pack(docs).collect()
     totals = {}
